@@ -26,7 +26,7 @@ Two entry points:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revisionlens.functions import constants as K
@@ -137,55 +137,140 @@ def equal_token_pairs(tokens: DataFrame) -> DataFrame:
                      F.lit(0.0).alias("distance")))
 
 
-def side_distances(tokens: DataFrame, near: DataFrame, side: str,
-                   cutoff: float = K.WORD_DISTANCE_CUTOFF) -> DataFrame:
-    """M1+M2 for one side from token-level near pairs: ``PAIR, sent_idx_x,
-    sent_idx_y, avg_sentence_distance`` for every sentence pair with at least
-    one near word."""
-    o = _other(side)
-    base = ["source", "entry_id"]
-    # other side: distinct (sentence, token); per-sentence minimum for each s-token
-    other = (tokens.select(*base, F.col("version").alias(f"version_{o}"),
-                           F.col("sent_idx").alias(f"sent_idx_{o}"), F.col("token").alias(f"token_{o}"))
-                   .distinct())
-    mins = (near.join(other, base + [f"version_{o}", f"token_{o}"])
-                .groupBy(*PAIR, f"sent_idx_{o}", f"token_{side}")
-                .agg(F.min("distance").alias("dmin")))
-    # this side: token multiplicity per sentence
-    mine = (tokens.groupBy(*base, F.col("version").alias(f"version_{side}"),
-                           F.col("sent_idx").alias(f"sent_idx_{side}"), F.col("token").alias(f"token_{side}"))
+def token_counts(tokens: DataFrame) -> DataFrame:
+    """(source, entry_id, version, sent_idx, token) -> occurrences ``c`` and sentence length ``n``."""
+    return (tokens.groupBy("source", "entry_id", "version", "sent_idx", "token")
                   .agg(F.count(F.lit(1)).alias("c"), F.min("num_words").alias("n")))
-    j = mins.join(mine, base + [f"version_{side}", f"token_{side}"])
-    g = (j.groupBy(*PAIR, "sent_idx_x", "sent_idx_y")
-          .agg(F.sum(F.col("c") * F.col("dmin")).alias("s"), F.sum("c").alias("m"), F.min("n").alias("n")))
-    return g.select(*PAIR, "sent_idx_x", "sent_idx_y",
-                    ((F.col("s") + F.lit(cutoff) * (F.col("n") - F.col("m"))) / F.col("n"))
-                    .alias("avg_sentence_distance"))
+
+
+def sentence_pair_distances(tokens: DataFrame, near: DataFrame | None = None,
+                            cutoff: float = K.WORD_DISTANCE_CUTOFF) -> DataFrame:
+    """M1+M2 for both sides at once: ``PAIR, sent_idx_x, sent_idx_y,
+    avg_sentence_distance_x, avg_sentence_distance_y`` for every sentence pair
+    of consecutive versions with at least one near word pair.
+
+    ``near=None`` means equal words only (distance 0): then one join of the
+    per-sentence token counts gives both sides' matched-word counts.  With
+    token-level near pairs, the per-word minima of each side are two
+    aggregations over one repartitioned join (the exchange is shared).
+    """
+    tc = token_counts(tokens)
+    base = ["source", "entry_id"]
+    x = tc.select(*base, F.col("version").alias("version_x"), F.col("sent_idx").alias("sent_idx_x"),
+                  F.col("token").alias("token_x"), F.col("c").alias("c_x"), F.col("n").alias("n_x"))
+    y = tc.select(*base, (F.col("version") - 1).alias("version_x"), F.col("sent_idx").alias("sent_idx_y"),
+                  F.col("token").alias("token_y"), F.col("c").alias("c_y"), F.col("n").alias("n_y"))
+    keys = PAIR + ["sent_idx_x", "sent_idx_y"]
+
+    def dist(s, m, n):
+        return (s + F.lit(cutoff) * (n - m)) / n
+
+    if near is None:
+        j = x.join(y, (x.source == y.source) & (x.entry_id == y.entry_id) & (x.version_x == y.version_x)
+                   & (x.token_x == y.token_y)).select(x.source, x.entry_id, x.version_x, "sent_idx_x",
+                                                      "sent_idx_y", "c_x", "c_y", "n_x", "n_y")
+        g = (j.groupBy("source", "entry_id", "version_x", "sent_idx_x", "sent_idx_y")
+              .agg(F.sum("c_x").alias("m_x"), F.sum("c_y").alias("m_y"),
+                   F.min("n_x").alias("n_x"), F.min("n_y").alias("n_y")))
+        return g.select("source", "entry_id", "version_x", (F.col("version_x") + 1).alias("version_y"),
+                        "sent_idx_x", "sent_idx_y",
+                        dist(F.lit(0.0), F.col("m_x"), F.col("n_x")).alias("avg_sentence_distance_x"),
+                        dist(F.lit(0.0), F.col("m_y"), F.col("n_y")).alias("avg_sentence_distance_y"))
+
+    nr = near.select(*base, "version_x", "token_x", "token_y", "distance")
+    j = (x.join(nr, base + ["version_x", "token_x"])
+          .join(y, base + ["version_x", "token_y"])
+          .withColumn("version_y", F.col("version_x") + 1)
+          .repartition(*keys))
+    sx = (j.groupBy(*keys, "token_x").agg(F.min("distance").alias("d"), F.min("c_x").alias("c"),
+                                          F.min("n_x").alias("n"))
+           .groupBy(*keys).agg(F.sum(F.col("c") * F.col("d")).alias("s_x"), F.sum("c").alias("m_x"),
+                               F.min("n").alias("n_x")))
+    sy = (j.groupBy(*keys, "token_y").agg(F.min("distance").alias("d"), F.min("c_y").alias("c"),
+                                          F.min("n_y").alias("n"))
+           .groupBy(*keys).agg(F.sum(F.col("c") * F.col("d")).alias("s_y"), F.sum("c").alias("m_y"),
+                               F.min("n").alias("n_y")))
+    return (sx.join(sy, keys)
+              .select(*keys, dist(F.col("s_x"), F.col("m_x"), F.col("n_x")).alias("avg_sentence_distance_x"),
+                      dist(F.col("s_y"), F.col("m_y"), F.col("n_y")).alias("avg_sentence_distance_y")))
+
+
+def arcs_from_pairs(pairs: DataFrame, sentences: DataFrame,
+                    threshold: float = K.SENTENCE_SIM_THRESH) -> DataFrame:
+    """M3-M6 in one pass over the sentence-pair distances.
+
+    Each sentence of a version pair also gets a placeholder row, so after two
+    ranking windows (per x sentence, per y sentence) every row knows whether
+    it is its sentence's best partner (ties: rounded distance, then index) and
+    whether its sentence met any word pair.  The output rows are then picked
+    with one ``explode`` of up to three structs per row: no join and no second
+    read of the pair table.
+    """
+    vp = version_pairs_present(sentences)
+    ph_x = (sentences.select("source", "entry_id", F.col("version").alias("version_x"),
+                             F.col("sent_idx").alias("sent_idx_x"))
+                     .join(vp, ["source", "entry_id", "version_x"])
+                     .select(*PAIR, "sent_idx_x", F.lit(None).cast("int").alias("sent_idx_y"),
+                             F.lit(None).cast("double").alias("dx"), F.lit(None).cast("double").alias("dy"),
+                             F.lit(1).alias("kind")))
+    ph_y = (sentences.select("source", "entry_id", F.col("version").alias("version_y"),
+                             F.col("sent_idx").alias("sent_idx_y"))
+                     .join(vp, ["source", "entry_id", "version_y"])
+                     .select(*PAIR, F.lit(None).cast("int").alias("sent_idx_x"), "sent_idx_y",
+                             F.lit(None).cast("double").alias("dx"), F.lit(None).cast("double").alias("dy"),
+                             F.lit(2).alias("kind")))
+    real = pairs.select(*PAIR, "sent_idx_x", "sent_idx_y", F.col("avg_sentence_distance_x").alias("dx"),
+                        F.col("avg_sentence_distance_y").alias("dy"), F.lit(0).alias("kind"))
+    u = real.unionByName(ph_x).unionByName(ph_y)
+    wx = Window.partitionBy(*PAIR, "sent_idx_x").orderBy(F.col("kind"), F.round("dx", 6), F.col("sent_idx_y"))
+    wy = Window.partitionBy(*PAIR, "sent_idx_y").orderBy(F.col("kind"), F.round("dy", 6), F.col("sent_idx_x"))
+    u = u.withColumn("rx", F.row_number().over(wx)).withColumn("ry", F.row_number().over(wy))
+    thr = F.lit(threshold)
+    best_x = (F.col("kind") == 0) & (F.col("rx") == 1)
+    best_y = (F.col("kind") == 0) & (F.col("ry") == 1)
+    keep_x = best_x & (F.col("dx") < thr)
+    keep_y = best_y & (F.col("dy") < thr)
+    st = lambda sx, sy, dx, dy: F.struct(sx.cast("int").alias("sent_idx_x"), sy.cast("int").alias("sent_idx_y"),
+                                         dx.cast("double").alias("avg_sentence_distance_x"),
+                                         dy.cast("double").alias("avg_sentence_distance_y"))
+    null_i, null_d = F.lit(None).cast("int"), F.lit(None).cast("double")
+    out = F.array(
+        # the arc itself, with each side's distance shown when that side chose it
+        F.when(keep_x | keep_y, st(F.col("sent_idx_x"), F.col("sent_idx_y"),
+                                   F.when(keep_x, F.col("dx")), F.when(keep_y, F.col("dy")))),
+        # best partner exists but is not close enough: the sentence is unmatched on its side
+        F.when(best_x & ~keep_x, st(F.col("sent_idx_x"), null_i, null_d, null_d)),
+        F.when(best_y & ~keep_y, st(null_i, F.col("sent_idx_y"), null_d, null_d)),
+        # placeholder first in its window: the sentence met no word pair at all
+        F.when((F.col("kind") == 1) & (F.col("rx") == 1), st(F.col("sent_idx_x"), null_i, null_d, null_d)),
+        F.when((F.col("kind") == 2) & (F.col("ry") == 1), st(null_i, F.col("sent_idx_y"), null_d, null_d)),
+    )
+    return (u.select(*PAIR, F.explode(F.filter(out, lambda e: e.isNotNull())).alias("a"))
+             .select(*PAIR, "a.sent_idx_x", "a.sent_idx_y", "a.avg_sentence_distance_x",
+                     "a.avg_sentence_distance_y"))
 
 
 def match_sentences(sentences: DataFrame, lexicon: DataFrame | None = None, *,
                     cutoff: float = K.WORD_DISTANCE_CUTOFF, threshold: float = K.SENTENCE_SIM_THRESH,
-                    mutual_only: bool = False, tile: int = 1024, complete: bool = True) -> DataFrame:
+                    mutual_only: bool = False, tile: int = 1024) -> DataFrame:
     """Split sentences -> ``matched_sentences`` (M1-M6).
 
     With a ``(token, vector)`` lexicon, word distances come from the exact
     tiled similarity join; without one, equal words are at distance 0 and all
-    other words are unmatched.
+    other words are unmatched.  ``mutual_only`` keeps arcs chosen by both
+    sides (sentences left without one become deletions/additions).
     """
     from revisionlens.operators.vectors import attach_vectors, near_token_pairs
 
     toks = sentence_tokens(sentences)
-    if lexicon is None:
-        near = equal_token_pairs(toks)
-    else:
+    near = None
+    if lexicon is not None:
         vocab = toks.select("source", "entry_id", "version", "token").distinct()
         near = near_token_pairs(attach_vectors(vocab, lexicon), cutoff, tile)
-    sides = {}
-    for s in ("x", "y"):
-        m2 = side_distances(toks, near, s, cutoff)
-        sides[s] = threshold_match(best_sentence(m2, s), s, threshold)
-    arcs = match_two_sided(sides["x"], sides["y"])
+    pairs = sentence_pair_distances(toks, near, cutoff)
+    arcs = arcs_from_pairs(pairs, sentences, threshold)
     if mutual_only:
-        arcs = arcs.filter(F.col("avg_sentence_distance_x").isNotNull() &
+        both = arcs.filter(F.col("avg_sentence_distance_x").isNotNull() &
                            F.col("avg_sentence_distance_y").isNotNull())
-    return complete_arcs(arcs, sentences) if complete else arcs
+        return complete_arcs(both, sentences)
+    return arcs

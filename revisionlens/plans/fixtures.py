@@ -15,15 +15,17 @@ from pyspark.sql import functions as F
 
 from revisionlens.functions import constants as K
 from revisionlens.functions import text as X
+from revisionlens.session import spread
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, balance: bool = False) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if balance else df
 
 
 def conversation_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles: one row per version (``entry_id, version, summary, source``)."""
-    c = table(spark, sf_dir, "conversations")
+    c = table(spark, sf_dir, "conversations", balance=True)
     return c.select(F.col("conv_id").cast("long").alias("entry_id"),
                     F.col("turn").cast("int").alias("version"),
                     F.col("text").alias("summary"),
@@ -44,7 +46,7 @@ def revision_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``sent_idx`` = rank of (order key, text) within the version, from 0.
     """
-    d = (table(spark, sf_dir, "documents")
+    d = (table(spark, sf_dir, "documents", balance=True)
          .filter(F.col("n_chars") < _REV_MAX_CHARS)
          .select(F.col("doc_id").cast("long").alias("doc_id"), "source",
                  X.sentence_array(F.col("text")).alias("sents")))
