@@ -27,13 +27,13 @@ def clean_markup(df: DataFrame, col: str = "summary", out: str | None = None) ->
     d = df.withColumn(lines, F.split(F.col(col), "</p><p>", -1))
     n = F.size(F.col(lines))
     d = d.withColumn(lines, F.when(
-        (n > 0) & F.element_at(F.col(lines), -1).rlike(K.LAST_LINE_PATTERN),
+        (n > 0) & F.try_element_at(F.col(lines), F.lit(-1)).rlike(K.LAST_LINE_PATTERN),
         F.slice(F.col(lines), 1, F.greatest(n - 1, F.lit(0)))).otherwise(F.col(lines)))
     n = F.size(F.col(lines))
     for pred in (lambda first: first.startswith(K.FIRST_LINE_LINK_PREFIX),
                  lambda first: first.rlike(K.VERSION_LINE_PATTERN)):
         d = d.withColumn(lines, F.when(
-            (n > 0) & pred(F.element_at(F.col(lines), 1)),
+            (n > 0) & pred(F.try_element_at(F.col(lines), F.lit(1))),
             F.slice(F.col(lines), 2, F.greatest(n - 1, F.lit(0)))).otherwise(F.col(lines)))
         n = F.size(F.col(lines))
     joined = F.array_join(F.col(lines), K.PARAGRAPH_SEP)
@@ -61,7 +61,7 @@ def sentence_list(text, *, drop_boilerplate: bool = False, drop_templates: bool
         sents = F.filter(sents, lambda s: ~X.is_boilerplate(s))
     sents = F.filter(F.transform(sents, lambda s: F.trim(s)), lambda s: s != "")
     if merge_dateline:
-        first_is = (F.size(sents) > 0) & X.is_dateline(F.element_at(sents, 1), countries)
+        first_is = (F.size(sents) > 0) & X.is_dateline(F.try_element_at(sents, F.lit(1)), countries)
         merged = F.concat(
             F.array(F.array_join(F.slice(sents, 1, 2), K.DATELINE_DASHES[0])),
             F.slice(sents, 3, F.greatest(F.size(sents) - 2, F.lit(0))))

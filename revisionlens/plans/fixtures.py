@@ -102,3 +102,17 @@ def trigram_lexicon(spark: SparkSession, sf_dir: str, tokens: DataFrame, dim: in
     vec = F.array(*[F.col(f"d{i}") for i in range(dim)])
     norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x * x))
     return summed.select("token", F.transform(vec, lambda x: x / norm).alias("vector"))
+
+
+def document_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as single-version articles (doc_id -> entry_id, version 0)."""
+    d = table(spark, sf_dir, "documents", balance=True)
+    return d.select(F.col("doc_id").cast("long").alias("entry_id"), F.lit(0).alias("version"),
+                    F.col("text").alias("summary"), "source")
+
+
+def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw web pages as single-version articles (page_id -> entry_id)."""
+    p = table(spark, sf_dir, "pages", balance=True)
+    return p.select(F.col("page_id").cast("long").alias("entry_id"), F.lit(0).alias("version"),
+                    F.col("html").alias("summary"), F.lit("pages").alias("source"))

@@ -216,3 +216,84 @@ def match_ctes(fixture: str = "conversations", cutoff: float = K.WORD_DISTANCE_C
 def matched_sql(fixture: str = "conversations", cutoff: float = K.WORD_DISTANCE_CUTOFF,
                 threshold: float = K.SENTENCE_SIM_THRESH, lexicon: bool = False) -> str:
     return with_(*match_ctes(fixture, cutoff, threshold, lexicon), select=f"{ARC_SELECT} FROM m6")
+
+
+# ---------------------------------------------------------------- text helpers
+def words_sql(s: str) -> str:
+    return f"(CASE WHEN trim({s}) = '' THEN []::VARCHAR[] ELSE regexp_split_to_array(trim({s}), '\\s+') END)"
+
+
+def is_dateline_sql(s: str) -> str:
+    w = words_sql(s)
+    return (f"(len({w}) < {K.DATELINE_MAX_WORDS} AND "
+            f"len(list_filter({w}, lambda w: upper(w) = w AND lower(w) <> w)) > 0)")
+
+
+def boilerplate_sql(s: str) -> str:
+    phrases = _lit_list(sorted({p.lower() for p in K.BOILERPLATE_PHRASES}))
+    return f"list_bool_or(list_transform({phrases}, lambda p: instr(lower({s}), p) > 0))"
+
+
+def template_sql(s: str) -> str:
+    parts = [f"starts_with({s}, '{p.replace(chr(39), chr(39) * 2)}')" for p in K.TEMPLATE_STARTS_WITH]
+    parts += [f"instr({s}, '{p.replace(chr(39), chr(39) * 2)}') > 0" for p in K.TEMPLATE_CONTAINS]
+    parts += [f"ends_with({s}, '{p.replace(chr(39), chr(39) * 2)}')" for p in K.TEMPLATE_ENDS_WITH]
+    return "(" + " OR ".join(parts) + ")"
+
+
+def content_words_sql(tokens_list: str) -> str:
+    stop = _lit_list(K.STOPWORDS)
+    punct = "'" + K.PUNCTUATION.replace("'", "''") + "'"
+    return (f"list_filter(list_transform({tokens_list}, lambda t: lower(t)), "
+            f"lambda t: NOT list_contains({stop}, t) AND instr({punct}, t) = 0 AND t <> '')")
+
+
+def display_sql(s: str) -> str:
+    return (f"trim(replace(replace(replace(translate({s}, '{K.ACCENTED_CHARS}', '{K.ACCENT_BASES}'), "
+            f"'\"', ''''''), '<p>', ''), '</p>', ''))")
+
+
+DOC_ARTICLES = ("articles", """
+SELECT CAST(doc_id AS BIGINT) AS entry_id, 0 AS version, text AS summary, source FROM documents""")
+
+PAGE_ARTICLES = ("articles", """
+SELECT CAST(page_id AS BIGINT) AS entry_id, 0 AS version, html AS summary, 'pages' AS source FROM pages""")
+
+
+def split_sql(array_expr: str, src: str = "articles") -> str:
+    return (f"SELECT source, entry_id, CAST(version AS INTEGER) AS version, CAST(u.i - 1 AS INTEGER) AS sent_idx, "
+            f"u.s AS sentence FROM (SELECT source, entry_id, version, {array_expr} AS arr FROM {src}), "
+            f"unnest(arr) WITH ORDINALITY AS u(s, i)")
+
+
+def clean_markup_select(src: str = "articles") -> str:
+    """T1 over ``src(entry_id, version, summary, source)`` -> same columns, cleaned summary."""
+    last, ver = K.LAST_LINE_PATTERN, K.VERSION_LINE_PATTERN
+    return f"""
+SELECT entry_id, version, source, regexp_replace(c4, '{K.ESCAPED_TAG_PATTERN}', '', 'g') AS summary FROM (
+ SELECT *, CASE WHEN ends_with(c3, '</p>') THEN substr(c3, 1, length(c3) - 4) ELSE c3 END AS c4 FROM (
+  SELECT *, CASE WHEN starts_with(j, '<p>') THEN substr(j, 4) ELSE j END AS c3 FROM (
+   SELECT *, array_to_string(l3, '</p><p>') AS j FROM (
+    SELECT *, CASE WHEN len(l2) > 0 AND regexp_matches(l2[1], '{ver}') THEN l2[2:] ELSE l2 END AS l3 FROM (
+     SELECT *, CASE WHEN len(l1) > 0 AND starts_with(l1[1], '{K.FIRST_LINE_LINK_PREFIX}') THEN l1[2:] ELSE l1 END AS l2 FROM (
+      SELECT *, CASE WHEN len(l0) > 0 AND regexp_matches(l0[-1], '{last}') THEN l0[1:len(l0) - 1] ELSE l0 END AS l1 FROM (
+       SELECT entry_id, version, source, string_split(summary, '</p><p>') AS l0 FROM {src}
+      )))))))"""
+
+
+def dateline_array_sql(text: str) -> str:
+    """T4 sentence array of one text (no country table)."""
+    arr = sentence_array(text)
+    for dash in reversed(K.DATELINE_DASHES):
+        head = f"split_part({text}, '{dash}', 1)"
+        tail = f"trim(substr({text}, instr({text}, '{dash}') + 1))"
+        arr = (f"(CASE WHEN instr({text}, '{dash}') > 0 AND {is_dateline_sql(head)} "
+               f"THEN [trim({head})] || {sentence_array(tail)} ELSE {arr} END)")
+    return arr
+
+
+def dateline_merge_sql(arr: str) -> str:
+    a = f"list_filter(list_transform({arr}, lambda s: trim(s)), lambda s: s <> '')"
+    return (f"(SELECT CASE WHEN len(a) > 0 AND {is_dateline_sql('a[1]')} "
+            f"THEN [array_to_string(a[1:2], '{K.DATELINE_DASHES[0]}')] || a[3:] ELSE a END "
+            f"FROM (SELECT {a} AS a))")

@@ -93,3 +93,94 @@ _match_key("m6_matched_lexicon", "conversations", True, 0.5, 0.44)
 _match_key("m6_matched_lexicon_wide", "conversations", True, 1.0, 0.44)
 _match_key("m6_revision_matched", "revision", False, 0.5, 0.44)
 _match_key("m6_revision_matched_t025", "revision", False, 0.5, 0.25)
+
+
+# ------------------------------------------------------------------ T: text (more)
+def doc_articles(spark, sf):
+    return FX.document_articles(spark, sf)
+
+
+@register("t1_clean_markup", O.with_(O.PAGE_ARTICLES, select=O.clean_markup_select()))
+def q_t1(spark, sf):
+    return TX.clean_markup(FX.page_articles(spark, sf)).select("entry_id", "version", "source", "summary")
+
+
+@register("t2_split_paragraphs", O.with_(O.PAGE_ARTICLES, select="""
+SELECT source, entry_id, version, CAST(u.i - 1 AS INTEGER) AS par_idx, u.p AS paragraph
+FROM articles, unnest(string_split(summary, '</p><p>')) WITH ORDINALITY AS u(p, i)"""))
+def q_t2(spark, sf):
+    return TX.paragraphs(FX.page_articles(spark, sf)).withColumn("par_idx", F.col("par_idx").cast("int"))
+
+
+@register("t3_split_pages_cleaned", O.with_(O.PAGE_ARTICLES, ("cleaned", O.clean_markup_select()),
+          select=O.split_sql(O.sentence_array("summary"), "cleaned")))
+def q_t3_pages(spark, sf):
+    return TX.split_sentences(FX.page_articles(spark, sf), clean=True)
+
+
+@register("t4_dateline_merge", O.with_(O.DOC_ARTICLES, select=O.split_sql(
+    O.dateline_merge_sql(O.dateline_array_sql("summary")))))
+def q_t4(spark, sf):
+    return TX.split_sentences(doc_articles(spark, sf), merge_dateline=True)
+
+
+@register("t5_drop_boilerplate", O.with_(O.DOC_ARTICLES, select=O.split_sql(
+    f"list_filter({O.sentence_array('summary')}, lambda s: NOT {O.boilerplate_sql('s')})")))
+def q_t5(spark, sf):
+    return TX.split_sentences(doc_articles(spark, sf), drop_boilerplate=True)
+
+
+@register("t6_drop_template_lines", O.with_(O.DOC_ARTICLES, select=O.split_sql(
+    f"list_filter({O.sentence_array('summary')}, lambda s: NOT {O.template_sql('s')})")))
+def q_t6(spark, sf):
+    return TX.split_sentences(doc_articles(spark, sf), drop_templates=True)
+
+
+@register("t7_tokenize", O.with_(*O.sentences_ctes("conversations"), select=f"""
+SELECT source, entry_id, version, sent_idx, array_to_string({O.tokens_of('sentence')}, ' ') AS tokens_text,
+       CAST(len({O.tokens_of('sentence')}) AS BIGINT) AS num_words FROM sentences"""))
+def q_t7(spark, sf):
+    t = TX.tokenize(conv_sentences(spark, sf))
+    return t.select("source", "entry_id", "version", "sent_idx", F.array_join("tokens", " ").alias("tokens_text"),
+                    "num_words")
+
+
+@register("t8_content_words", O.with_(*O.sentences_ctes("conversations"), select=f"""
+SELECT source, entry_id, version, sent_idx,
+       array_to_string({O.content_words_sql(O.tokens_of('sentence'))}, ' ') AS content_text FROM sentences"""))
+def q_t8(spark, sf):
+    t = TX.content_words(conv_sentences(spark, sf))
+    return t.select("source", "entry_id", "version", "sent_idx",
+                    F.array_join("content_words", " ").alias("content_text"))
+
+
+_T9_SQL = O.with_(*O.sentences_ctes("conversations"), O.TOKENS, select="""
+SELECT source, entry_id, version, sent_idx, num_words, off, pos, token
+FROM (SELECT source, entry_id, version, sent_idx,
+             CAST(coalesce(sum(num_words) OVER (PARTITION BY source, entry_id, version ORDER BY sent_idx
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS off
+      FROM (SELECT DISTINCT source, entry_id, version, sent_idx, num_words FROM tokens)) s
+JOIN tokens t USING (source, entry_id, version, sent_idx)""")
+
+
+@register("t9_explode_tokens", "WITH q AS (" + _T9_SQL + """)
+SELECT source, entry_id, version, sent_idx, num_words, CAST(off + pos AS INTEGER) AS word_idx, token FROM q""")
+def q_t9(spark, sf):
+    return TX.explode_tokens(conv_sentences(spark, sf))
+
+
+@register("t10_sentence_word_count", O.with_(*O.sentences_ctes("conversations"), O.TOKENS, select="""
+SELECT DISTINCT source, entry_id, version, sent_idx,
+       CAST(count(*) OVER (PARTITION BY source, entry_id, version, sent_idx) AS BIGINT) AS num_words FROM tokens"""))
+def q_t10(spark, sf):
+    from pyspark.sql import Window
+    t = TX.explode_tokens(conv_sentences(spark, sf))
+    w = Window.partitionBy("source", "entry_id", "version", "sent_idx")
+    return t.select("source", "entry_id", "version", "sent_idx",
+                    F.count(F.lit(1)).over(w).alias("num_words")).distinct()
+
+
+@register("t11_display_text", O.with_(O.DOC_ARTICLES, ("sentences", O.split_sql(O.sentence_array("summary"))),
+          select=f"SELECT source, entry_id, version, sent_idx, {O.display_sql('sentence')} AS sentence FROM sentences"))
+def q_t11(spark, sf):
+    return TX.display_sentences(TX.split_sentences(doc_articles(spark, sf)))
