@@ -151,15 +151,18 @@ def near_token_pairs(tokens: DataFrame, cutoff: float = K.WORD_DISTANCE_CUTOFF,
              .applyInPandas(_tile_distances(cutoff), schema=_PAIR_SCHEMA))
 
 
-def word_pairs_exact(tokens: DataFrame, cutoff: float = K.WORD_DISTANCE_CUTOFF, tile: int = 1024) -> DataFrame:
+def word_pairs_exact(tokens: DataFrame, near: DataFrame | None = None, cutoff: float = K.WORD_DISTANCE_CUTOFF,
+                     tile: int = 1024) -> DataFrame:
     """V5 (exact, position level): the word-pair stream a similarity join emits:
     one row per (word of version x, word of version y) under the cutoff, with
     sentence indices, word indices and per-side sentence lengths.
 
-    Built from ``near_token_pairs`` by equi-joins on the token, so the quadratic
-    step stays at distinct-token level.
+    ``tokens`` has ``word_idx`` (``explode_tokens``) and, unless ``near`` is
+    given, a ``word_embedding`` column.  The distance test runs on distinct
+    tokens (``near_token_pairs``); positions are attached by equi-joins.
     """
-    near = near_token_pairs(tokens, cutoff, tile)
+    if near is None:
+        near = near_token_pairs(tokens, cutoff, tile)
     base = ["source", "entry_id"]
     tx = tokens.select(*base, F.col("version").alias("version_x"), F.col("token").alias("token_x"),
                        F.col("sent_idx").alias("sent_idx_x"), F.col("word_idx").alias("word_idx_x"),

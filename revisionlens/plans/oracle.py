@@ -13,6 +13,9 @@ from revisionlens.functions import constants as K
 
 def with_(*ctes: tuple[str, str], select: str) -> str:
     body = ",\n".join(f"{n} AS (\n{q}\n)" for n, q in ctes)
+    sel = select.lstrip()
+    if sel[:5].upper() == "WITH ":          # the final query has CTEs of its own: one list
+        return f"WITH {body},\n{sel[5:]}"
     return f"WITH {body}\n{select}"
 
 
@@ -75,10 +78,17 @@ def sentences_ctes(fixture: str) -> list[tuple[str, str]]:
 
 
 TOKENS = ("tokens", f"""
-SELECT source, entry_id, version, sent_idx, CAST(len(tk) AS BIGINT) AS num_words,
-       CAST(u.p - 1 AS INTEGER) AS pos, u.t AS token
-FROM (SELECT *, {tokens_of('sentence')} AS tk FROM sentences),
-     unnest(tk) WITH ORDINALITY AS u(t, p)""")
+WITH t AS (
+  SELECT source, entry_id, version, sent_idx, CAST(len(tk) AS BIGINT) AS num_words,
+         CAST(u.p - 1 AS INTEGER) AS pos, u.t AS token
+  FROM (SELECT *, {tokens_of('sentence')} AS tk FROM sentences),
+       unnest(tk) WITH ORDINALITY AS u(t, p)),
+o AS (
+  SELECT source, entry_id, version, sent_idx,
+         CAST(coalesce(sum(num_words) OVER (PARTITION BY source, entry_id, version ORDER BY sent_idx
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS off
+  FROM (SELECT DISTINCT source, entry_id, version, sent_idx, num_words FROM t))
+SELECT t.*, CAST(o.off + t.pos AS INTEGER) AS word_idx FROM t JOIN o USING (source, entry_id, version, sent_idx)""")
 
 LEXICON = ("lexicon", f"""
 WITH vocab AS (SELECT DISTINCT token FROM tokens),
@@ -126,7 +136,7 @@ SELECT * FROM p WHERE distance < {cutoff}""")
 WORD_PAIRS = ("word_pairs", """
 SELECT n.source, n.entry_id, n.version_x, n.version_y,
        tx.sent_idx AS sent_idx_x, ty.sent_idx AS sent_idx_y,
-       tx.pos AS pos_x, ty.pos AS pos_y, tx.num_words AS num_words_x, ty.num_words AS num_words_y,
+       tx.word_idx AS word_idx_x, ty.word_idx AS word_idx_y, tx.num_words AS num_words_x, ty.num_words AS num_words_y,
        n.token_x, n.token_y, n.distance
 FROM near n
 JOIN tokens tx ON tx.source = n.source AND tx.entry_id = n.entry_id AND tx.version = n.version_x AND tx.token = n.token_x
@@ -137,9 +147,9 @@ PAIRK = "source, entry_id, version_x, version_y"
 
 def m1_cte(side: str) -> tuple[str, str]:
     return (f"m1_{side}", f"""
-SELECT {PAIRK}, sent_idx_x, sent_idx_y, pos_{side},
+SELECT {PAIRK}, sent_idx_x, sent_idx_y, word_idx_{side},
        min(num_words_{side}) AS num_words_total_list, min(distance) AS min_word_distance
-FROM word_pairs GROUP BY {PAIRK}, sent_idx_x, sent_idx_y, pos_{side}""")
+FROM word_pairs GROUP BY {PAIRK}, sent_idx_x, sent_idx_y, word_idx_{side}""")
 
 
 def m2_cte(side: str, cutoff: float) -> tuple[str, str]:
@@ -159,9 +169,9 @@ SELECT {PAIRK}, sent_idx_{side}, sent_idx_{o}, avg_sentence_distance FROM (
   FROM m2_{side}) WHERE rn = 1""")
 
 
-def m4_cte(side: str, threshold: float) -> tuple[str, str]:
+def m4_cte(side: str, threshold: float, suffix: str = "") -> tuple[str, str]:
     o = "y" if side == "x" else "x"
-    return (f"m4_{side}", f"""
+    return (f"m4_{side}{suffix}", f"""
 SELECT {PAIRK}, sent_idx_{side},
        CASE WHEN avg_sentence_distance < {threshold} THEN sent_idx_{o} END AS sent_idx_{o},
        CASE WHEN avg_sentence_distance < {threshold} THEN avg_sentence_distance END AS avg_sentence_distance_{side}
@@ -297,3 +307,11 @@ def dateline_merge_sql(arr: str) -> str:
     return (f"(SELECT CASE WHEN len(a) > 0 AND {is_dateline_sql('a[1]')} "
             f"THEN [array_to_string(a[1:2], '{K.DATELINE_DASHES[0]}')] || a[3:] ELSE a END "
             f"FROM (SELECT {a} AS a))")
+
+
+def arcs_ctes(threshold: float, suffix: str) -> list[tuple[str, str]]:
+    """m4/m5/m6 again at another threshold, named with a suffix (m1-m3 are shared)."""
+    out = [m4_cte("x", threshold, suffix), m4_cte("y", threshold, suffix)]
+    m5 = M5[1].replace("m4_x a", f"m4_x{suffix} a").replace("m4_y b", f"m4_y{suffix} b")
+    m6 = M6[1].replace("m5", f"m5{suffix}")
+    return out + [(f"m5{suffix}", m5), (f"m6{suffix}", m6)]

@@ -184,3 +184,460 @@ def q_t10(spark, sf):
           select=f"SELECT source, entry_id, version, sent_idx, {O.display_sql('sentence')} AS sentence FROM sentences"))
 def q_t11(spark, sf):
     return TX.display_sentences(TX.split_sentences(doc_articles(spark, sf)))
+
+
+# ------------------------------------------------------------------ M1-M5: the matching steps
+from revisionlens.operators import vectors as V  # noqa: E402
+from revisionlens.operators import selection as SEL  # noqa: E402
+from revisionlens.operators import stats as ST  # noqa: E402
+from revisionlens.operators import moves as MV  # noqa: E402
+from revisionlens.operators import diff as DF  # noqa: E402
+
+CONV = O.match_ctes("conversations")
+REV = O.match_ctes("revision")
+ARC_ROUND = O.ARC_SELECT
+
+
+def conv_word_pairs(spark, sf):
+    s = conv_sentences(spark, sf)
+    toks = TX.explode_tokens(s)
+    return V.word_pairs_exact(toks, M.equal_token_pairs(toks))
+
+
+def _m_side(spark, sf, upto: int, side: str = "x"):
+    d = M.word_min_distance(conv_word_pairs(spark, sf), side)
+    if upto >= 2:
+        d = M.sentence_distance(d)
+    if upto >= 3:
+        d = M.best_sentence(d, side)
+    if upto >= 4:
+        d = M.threshold_match(d, side)
+    return rounded(d)
+
+
+@register("m1_word_min_distance", O.with_(*CONV, select="""
+SELECT source, entry_id, version_x, version_y, sent_idx_x, sent_idx_y, word_idx_x, num_words_total_list,
+       round(min_word_distance, 4) AS min_word_distance FROM m1_x"""))
+def q_m1(spark, sf):
+    return _m_side(spark, sf, 1)
+
+
+@register("m2_sentence_distance", O.with_(*CONV, select="""
+SELECT source, entry_id, version_x, version_y, sent_idx_x, sent_idx_y,
+       round(avg_sentence_distance, 4) AS avg_sentence_distance FROM m2_y"""))
+def q_m2(spark, sf):
+    return rounded(M.sentence_distance(M.word_min_distance(conv_word_pairs(spark, sf), "y")))
+
+
+@register("m3_best_sentence", O.with_(*CONV, select="""
+SELECT source, entry_id, version_x, version_y, sent_idx_x, sent_idx_y,
+       round(avg_sentence_distance, 4) AS avg_sentence_distance FROM m3_x"""))
+def q_m3(spark, sf):
+    return _m_side(spark, sf, 3)
+
+
+@register("m4_threshold_match", O.with_(*CONV, select="""
+SELECT source, entry_id, version_x, version_y, sent_idx_y, sent_idx_x,
+       round(avg_sentence_distance_y, 4) AS avg_sentence_distance_y FROM m4_y"""))
+def q_m4(spark, sf):
+    return _m_side(spark, sf, 4, "y")
+
+
+@register("m5_match_two_sided", O.with_(*CONV, select=f"{ARC_ROUND} FROM m5"))
+def q_m5(spark, sf):
+    wp = conv_word_pairs(spark, sf)
+    sides = [M.threshold_match(M.best_sentence(M.sentence_distance(M.word_min_distance(wp, s)), s), s)
+             for s in ("x", "y")]
+    return rounded(M.match_two_sided(*sides))
+
+
+@register("m6_complete_arcs_stepwise", O.with_(*CONV, select=f"{ARC_ROUND} FROM m6"))
+def q_m6_steps(spark, sf):
+    wp = conv_word_pairs(spark, sf)
+    sides = [M.threshold_match(M.best_sentence(M.sentence_distance(M.word_min_distance(wp, s)), s), s)
+             for s in ("x", "y")]
+    return rounded(M.complete_arcs(M.match_two_sided(*sides), conv_sentences(spark, sf)))
+
+
+@register("m6_revision_mutual_only")
+def q_m6_mutual(spark, sf):
+    return rounded(M.match_sentences(rev_sentences(spark, sf), mutual_only=True))
+
+
+# ------------------------------------------------------------------ V: vectors
+@register("v1_attach_vectors", O.with_(*O.sentences_ctes("conversations"), O.TOKENS, O.LEXICON, select="""
+SELECT t.source, t.entry_id, t.version, t.sent_idx, t.word_idx, t.token,
+       round(l.vector[1], 4) + 0.0 AS v0, round(l.vector[64], 4) + 0.0 AS v63
+FROM tokens t JOIN lexicon l USING (token)"""))
+def q_v1(spark, sf):
+    s = conv_sentences(spark, sf)
+    toks = TX.explode_tokens(s)
+    lex = FX.trigram_lexicon(spark, sf, toks)
+    t = V.attach_vectors(toks, lex)
+    return rounded(t.select("source", "entry_id", "version", "sent_idx", "word_idx", "token",
+                            F.col("word_embedding")[0].alias("v0"), F.col("word_embedding")[63].alias("v63")))
+
+
+@register("v2_l2_normalize", """
+SELECT vec_id, round(e[1] / sqrt(list_sum(list_transform(e, lambda x: x * x))), 4) AS n0,
+       round(sqrt(list_sum(list_transform(e, lambda x: (x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) ^ 2))), 4)
+         AS norm
+FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)""")
+def q_v2(spark, sf):
+    e = FX.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    n = V.l2_normalize(e, "e", "n")
+    norm = F.sqrt(F.aggregate("n", F.lit(0.0), lambda a, x: a + x * x))
+    return rounded(n.select("vec_id", F.col("n")[0].alias("n0"), norm.alias("norm")))
+
+
+@register("v3_lsh_hash")
+def q_v3(spark, sf):
+    e = FX.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    _, h = V.lsh_hash(V.l2_normalize(e, "e", "n"), "n")
+    from pyspark.ml.functions import vector_to_array
+    return h.select("vec_id", *[vector_to_array(F.col("hashes")[i])[0].alias(f"h{i}") for i in range(3)])
+
+
+def conv_vector_tokens(spark, sf):
+    s = conv_sentences(spark, sf)
+    toks = M.sentence_tokens(s)
+    lex = FX.trigram_lexicon(spark, sf, toks)
+    vocab = toks.select("source", "entry_id", "version", "token").distinct()
+    return V.attach_vectors(vocab, lex)
+
+
+@register("v4_word_pairs_lsh")
+def q_v4(spark, sf):
+    return rounded(V.word_pairs_lsh(conv_vector_tokens(spark, sf), cutoff=1.0))
+
+
+@register("v5_word_pairs_exact", O.with_(*O.sentences_ctes("conversations"), O.TOKENS, O.LEXICON,
+                                         O.near_pairs_cte(1.0), select="""
+SELECT source, entry_id, version_x, version_y, token_x, token_y, round(distance, 4) AS distance FROM near"""))
+def q_v5(spark, sf):
+    return rounded(V.near_token_pairs(conv_vector_tokens(spark, sf), cutoff=1.0))
+
+
+# ------------------------------------------------------------------ A: selection and nesting
+def conv_arcs(spark, sf):
+    return matched(spark, sf, "conversations")
+
+
+A1_SQL = """SELECT source, entry_id, version FROM (
+  SELECT source, entry_id, version, count(*) AS c FROM sentences GROUP BY source, entry_id, version)
+WHERE c < 15 AND c > 3"""
+
+
+@register("a1_versions_by_size", O.with_(*O.sentences_ctes("conversations"), select=A1_SQL))
+def q_a1(spark, sf):
+    return SEL.versions_by_size(conv_sentences(spark, sf))
+
+
+@register("a2_pair_version_keys", O.with_(*CONV, select="""
+SELECT source, entry_id, version_x AS version FROM m6 UNION SELECT source, entry_id, version_y FROM m6"""))
+def q_a2(spark, sf):
+    return SEL.pair_version_keys(conv_arcs(spark, sf))
+
+
+@register("a3_select_arcs", O.with_(*CONV, ("keys", A1_SQL), select=f"""{ARC_ROUND} FROM m6 a
+WHERE EXISTS (SELECT 1 FROM keys k WHERE k.source = a.source AND k.entry_id = a.entry_id AND k.version = a.version_x)
+  AND EXISTS (SELECT 1 FROM keys k WHERE k.source = a.source AND k.entry_id = a.entry_id AND k.version = a.version_y)"""))
+def q_a3(spark, sf):
+    s = conv_sentences(spark, sf)
+    return rounded(SEL.select_by_keys(conv_arcs(spark, sf), s, SEL.versions_by_size(s))[0])
+
+
+@register("a3_select_sentences", O.with_(*O.sentences_ctes("conversations"), ("keys", A1_SQL), select="""
+SELECT s.* FROM sentences s SEMI JOIN keys k USING (source, entry_id, version)"""))
+def q_a3s(spark, sf):
+    s = conv_sentences(spark, sf)
+    return SEL.select_by_keys(conv_arcs(spark, sf), s, SEL.versions_by_size(s))[1]
+
+
+A4_INNER = """
+SELECT a.source, a.entry_id, a.version_x, a.version_y, a.sent_idx_x, a.sent_idx_y,
+       a.avg_sentence_distance_x, a.avg_sentence_distance_y, sx.sentence AS sentence_x, sy.sentence AS sentence_y
+FROM m6 a
+JOIN sentences sx ON sx.source = a.source AND sx.entry_id = a.entry_id AND sx.version = a.version_x AND sx.sent_idx = a.sent_idx_x
+JOIN sentences sy ON sy.source = a.source AND sy.entry_id = a.entry_id AND sy.version = a.version_y AND sy.sent_idx = a.sent_idx_y"""
+
+
+@register("a4_arcs_with_text", O.with_(*CONV, ("atx", A4_INNER), select="""
+SELECT source, entry_id, version_x, version_y, sent_idx_x, sent_idx_y, round(avg_sentence_distance_x, 4)
+       AS avg_sentence_distance_x, round(avg_sentence_distance_y, 4) AS avg_sentence_distance_y,
+       sentence_x, sentence_y FROM atx"""))
+def q_a4(spark, sf):
+    return rounded(SEL.arcs_with_text(conv_arcs(spark, sf), conv_sentences(spark, sf)))
+
+
+@register("a4_arcs_with_text_outer", O.with_(*CONV, ("j1", """
+SELECT coalesce(a.source, s.source) AS source, coalesce(a.entry_id, s.entry_id) AS entry_id,
+       coalesce(a.version_x, s.version) AS version_x, coalesce(a.sent_idx_x, s.sent_idx) AS sent_idx_x,
+       a.version_y, a.sent_idx_y, a.avg_sentence_distance_x, a.avg_sentence_distance_y, s.sentence AS sentence_x
+FROM m6 a FULL OUTER JOIN sentences s
+  ON a.source = s.source AND a.entry_id = s.entry_id AND a.version_x = s.version AND a.sent_idx_x = s.sent_idx"""),
+    select="""
+SELECT coalesce(j.source, s.source) AS source, coalesce(j.entry_id, s.entry_id) AS entry_id,
+       coalesce(j.version_y, s.version) AS version_y, coalesce(j.sent_idx_y, s.sent_idx) AS sent_idx_y,
+       j.version_x, j.sent_idx_x, round(j.avg_sentence_distance_x, 4) AS avg_sentence_distance_x,
+       round(j.avg_sentence_distance_y, 4) AS avg_sentence_distance_y, j.sentence_x, s.sentence AS sentence_y
+FROM j1 j FULL OUTER JOIN sentences s
+  ON j.source = s.source AND j.entry_id = s.entry_id AND j.version_y = s.version AND j.sent_idx_y = s.sent_idx"""))
+def q_a4o(spark, sf):
+    return rounded(SEL.arcs_with_text(conv_arcs(spark, sf), conv_sentences(spark, sf), "full_outer"))
+
+
+@register("a5_filter_by_distance", O.with_(*CONV, select=f"""{ARC_ROUND} FROM m6
+WHERE avg_sentence_distance_x > 0.1 AND avg_sentence_distance_y > 0.1"""))
+def q_a5(spark, sf):
+    return rounded(SEL.filter_by_distance(conv_arcs(spark, sf)))
+
+
+@register("a6_sentence_keys_union", O.with_(*CONV, select="""
+SELECT source, entry_id, version_x AS version, sent_idx_x AS sent_idx FROM m6 WHERE sent_idx_x IS NOT NULL
+UNION SELECT source, entry_id, version_y, sent_idx_y FROM m6 WHERE sent_idx_y IS NOT NULL"""))
+def q_a6(spark, sf):
+    return SEL.sentence_keys_union(conv_arcs(spark, sf))
+
+
+def _json(c):
+    return F.to_json(c, {"ignoreNullFields": "false"})
+
+
+ARCS_LIST = """list({'version_x': version_x, 'version_y': version_y, 'sent_idx_x': sent_idx_x,
+      'sent_idx_y': sent_idx_y, 'avg_sentence_distance_x': round(avg_sentence_distance_x, 4),
+      'avg_sentence_distance_y': round(avg_sentence_distance_y, 4)}
+      ORDER BY version_x, version_y, sent_idx_x NULLS FIRST, sent_idx_y NULLS FIRST)"""
+
+
+@register("a7_nest_arcs", O.with_(*CONV, select=f"""
+SELECT source, entry_id, version_x, version_y, to_json({ARCS_LIST}) AS arcs_json
+FROM m6 GROUP BY source, entry_id, version_x, version_y"""))
+def q_a7(spark, sf):
+    n = SEL.nest_arcs(rounded(conv_arcs(spark, sf)))
+    return n.select("source", "entry_id", "version_x", "version_y", _json("arcs").alias("arcs_json"))
+
+
+NODES_LIST = """list({'version': version, 'sent_idx': sent_idx, 'sentence': sentence} ORDER BY sent_idx)"""
+
+
+@register("a8_nest_nodes", O.with_(*O.sentences_ctes("conversations"), select=f"""
+SELECT source, entry_id, version, to_json({NODES_LIST}) AS nodes_json FROM sentences
+GROUP BY source, entry_id, version"""))
+def q_a8(spark, sf):
+    n = SEL.nest_nodes(conv_sentences(spark, sf))
+    return n.select("source", "entry_id", "version", _json("nodes").alias("nodes_json"))
+
+
+PAIR_NODES_SQL = f"""
+WITH n AS (SELECT source, entry_id, version, {NODES_LIST} AS nodes FROM sentences GROUP BY source, entry_id, version)
+SELECT a.source, a.entry_id, a.version AS version_x, b.version AS version_y, list_concat(a.nodes, b.nodes) AS nodes
+FROM n a JOIN n b ON a.source = b.source AND a.entry_id = b.entry_id AND b.version = a.version + 1"""
+
+
+@register("a9_pair_nodes", O.with_(*O.sentences_ctes("conversations"), ("pn", PAIR_NODES_SQL), select="""
+SELECT source, entry_id, version_x, version_y, to_json(nodes) AS nodes_json FROM pn"""))
+def q_a9(spark, sf):
+    n = SEL.pair_nodes(SEL.nest_nodes(conv_sentences(spark, sf)))
+    return n.select("source", "entry_id", "version_x", "version_y", _json("nodes").alias("nodes_json"))
+
+
+MATCH_RECORDS_SQL = f"""
+WITH ds AS (SELECT source, entry_id, version, sent_idx, {O.display_sql('sentence')} AS sentence FROM sentences),
+n AS (SELECT source, entry_id, version, {NODES_LIST} AS nodes FROM ds GROUP BY source, entry_id, version),
+pn AS (SELECT a.source, a.entry_id, a.version AS version_x, b.version AS version_y,
+              list_concat(a.nodes, b.nodes) AS nodes
+       FROM n a JOIN n b ON a.source = b.source AND a.entry_id = b.entry_id AND b.version = a.version + 1),
+na AS (SELECT source, entry_id, version_x, version_y, {ARCS_LIST} AS arcs FROM m6
+       GROUP BY source, entry_id, version_x, version_y)
+SELECT coalesce(pn.source, na.source) AS source, coalesce(pn.entry_id, na.entry_id) AS entry_id,
+       coalesce(pn.version_x, na.version_x) AS version_x, coalesce(pn.version_y, na.version_y) AS version_y,
+       pn.nodes, na.arcs
+FROM pn FULL OUTER JOIN na ON pn.source = na.source AND pn.entry_id = na.entry_id
+  AND pn.version_x = na.version_x AND pn.version_y = na.version_y"""
+
+
+@register("a10_match_records", O.with_(*CONV, ("mr", MATCH_RECORDS_SQL), select="""
+SELECT source, entry_id, version_x, version_y, to_json(nodes) AS nodes_json, to_json(arcs) AS arcs_json FROM mr"""))
+def q_a10(spark, sf):
+    r = SEL.match_records(rounded(conv_arcs(spark, sf)), conv_sentences(spark, sf))
+    return r.select("source", "entry_id", "version_x", "version_y", _json("nodes").alias("nodes_json"),
+                    _json("arcs").alias("arcs_json"))
+
+
+@register("a11_count_matched_pairs", O.with_(*CONV, select="""
+SELECT count(*) AS count_matched_versions FROM (SELECT DISTINCT source, entry_id, version_x, version_y FROM m6)"""))
+def q_a11(spark, sf):
+    return SEL.count_matched_pairs(conv_arcs(spark, sf))
+
+
+# ------------------------------------------------------------------ A17/A18 and what builds on them
+STATUS_SQL = """
+SELECT source, entry_id, version_x, version_y, side, sent_idx,
+       CASE WHEN l = 1 THEN 'matched' WHEN side = 'x' THEN 'deleted' ELSE 'added' END AS status
+FROM (SELECT source, entry_id, version_x, version_y, side, sent_idx, max(linked) AS l FROM (
+        SELECT source, entry_id, version_x, version_y, 'x' AS side, sent_idx_x AS sent_idx,
+               CAST(sent_idx_y IS NOT NULL AS INTEGER) AS linked FROM m6 WHERE sent_idx_x IS NOT NULL
+        UNION ALL
+        SELECT source, entry_id, version_x, version_y, 'y', sent_idx_y, CAST(sent_idx_x IS NOT NULL AS INTEGER)
+        FROM m6 WHERE sent_idx_y IS NOT NULL)
+      GROUP BY source, entry_id, version_x, version_y, side, sent_idx)"""
+
+DOC_STATS_SQL = """
+SELECT c.*, d.mean_x_dist, d.mean_y_dist, d.mean_dist_overall FROM (
+  SELECT source, entry_id, version_x, version_y,
+         CAST(count(*) FILTER (WHERE side = 'x') AS BIGINT) AS num_sentences_x,
+         CAST(count(*) FILTER (WHERE side = 'y') AS BIGINT) AS num_sentences_y,
+         CAST(count(*) FILTER (WHERE status = 'added') AS BIGINT) AS num_added,
+         CAST(count(*) FILTER (WHERE status = 'deleted') AS BIGINT) AS num_deleted
+  FROM status GROUP BY source, entry_id, version_x, version_y) c
+JOIN (
+  SELECT source, entry_id, version_x, version_y, avg(avg_sentence_distance_x) AS mean_x_dist,
+         avg(avg_sentence_distance_y) AS mean_y_dist,
+         (coalesce(sum(avg_sentence_distance_x), 0) + coalesce(sum(avg_sentence_distance_y), 0))
+           / nullif(count(avg_sentence_distance_x) + count(avg_sentence_distance_y), 0) AS mean_dist_overall
+  FROM m6 GROUP BY source, entry_id, version_x, version_y) d
+USING (source, entry_id, version_x, version_y)"""
+
+DOC_ROUND = """SELECT source, entry_id, version_x, version_y, num_sentences_x, num_sentences_y, num_added, num_deleted,
+       round(mean_x_dist, 4) AS mean_x_dist, round(mean_y_dist, 4) AS mean_y_dist,
+       round(mean_dist_overall, 4) AS mean_dist_overall"""
+
+
+def conv_doc_stats(spark, sf, edges=False):
+    arcs = conv_arcs(spark, sf)
+    e = MV.refactor_edges(arcs) if edges else None
+    return ST.doc_level_stats(arcs, conv_sentences(spark, sf), e)
+
+
+@register("a18_sentence_status", O.with_(*CONV, ("status", STATUS_SQL), select="SELECT * FROM status"))
+def q_a18(spark, sf):
+    return ST.sentence_status(conv_arcs(spark, sf))
+
+
+@register("a17_doc_level_stats", O.with_(*CONV, ("status", STATUS_SQL), ("ds", DOC_STATS_SQL),
+                                         select=f"{DOC_ROUND} FROM ds"))
+def q_a17(spark, sf):
+    return rounded(conv_doc_stats(spark, sf))
+
+
+@register("a17_doc_level_stats_refactors")
+def q_a17r(spark, sf):
+    return rounded(conv_doc_stats(spark, sf, edges=True))
+
+
+@register("a12_versions_per_entry", O.with_(*CONV, ("status", STATUS_SQL), ("ds", DOC_STATS_SQL), select="""
+SELECT source, entry_id, count(*) AS num_versions FROM ds GROUP BY source, entry_id"""))
+def q_a12(spark, sf):
+    return SEL.versions_per_entry(conv_doc_stats(spark, sf))
+
+
+@register("a13_growing_articles", O.with_(*CONV, ("status", STATUS_SQL), ("ds", DOC_STATS_SQL), select=f"""
+{DOC_ROUND}, num_versions FROM (
+  SELECT ds.*, nv.num_versions FROM ds JOIN (SELECT source, entry_id, count(*) AS num_versions FROM ds
+                                             GROUP BY source, entry_id) nv USING (source, entry_id))
+WHERE version_x / num_versions < 0.2 AND num_sentences_x < 20 AND num_added / num_sentences_x > 0.4"""))
+def q_a13(spark, sf):
+    return rounded(SEL.growing_articles(conv_doc_stats(spark, sf)))
+
+
+def box_sql(measures: list[str], src: str) -> str:
+    unp = " UNION ALL ".join(f"SELECT '{m}' AS operation, CAST({m} AS DOUBLE) AS value FROM {src}" for m in measures)
+    return f"""
+WITH l AS (SELECT * FROM ({unp}) WHERE value IS NOT NULL),
+q AS (SELECT operation, count(*) AS n, quantile_cont(value, [0.25, 0.5, 0.75]) AS q FROM l GROUP BY operation),
+q2 AS (SELECT operation, n, q[1] AS q1, q[2] AS median, q[3] AS q3 FROM q)
+SELECT q2.operation, n, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3,
+       round(min(CASE WHEN value >= q1 - 1.5 * (q3 - q1) THEN value END), 4) AS whisker_low,
+       round(max(CASE WHEN value <= q3 + 1.5 * (q3 - q1) THEN value END), 4) AS whisker_high
+FROM q2 JOIN l USING (operation) GROUP BY q2.operation, n, q1, median, q3"""
+
+
+@register("a14_operation_distribution")
+def q_a14(spark, sf):
+    return rounded(ST.operation_distribution(conv_doc_stats(spark, sf, edges=True)))
+
+
+@register("a14_operation_distribution_counts", O.with_(*CONV, ("status", STATUS_SQL), ("ds", DOC_STATS_SQL),
+          select=box_sql(["num_deleted", "num_added"], "ds")))
+def q_a14c(spark, sf):
+    return rounded(ST.box_summary(conv_doc_stats(spark, sf), ["num_deleted", "num_added"]))
+
+
+@register("a15_distance_distribution", O.with_(*CONV, ("status", STATUS_SQL), ("ds", DOC_STATS_SQL),
+          select=box_sql(["mean_x_dist", "mean_y_dist", "mean_dist_overall"], "ds")))
+def q_a15(spark, sf):
+    return rounded(ST.distance_distribution(conv_doc_stats(spark, sf)))
+
+
+@register("a16_distance_audit", O.with_(*CONV, select=f"""{ARC_ROUND} FROM m6
+WHERE avg_sentence_distance_x < 0 OR avg_sentence_distance_y < 0"""))
+def q_a16(spark, sf):
+    return rounded(ST.distance_audit(conv_arcs(spark, sf)))
+
+
+@register("a19_annotation_delta", O.with_(*REV, *O.arcs_ctes(0.25, "_b"), select="""
+WITH b AS (SELECT DISTINCT source, entry_id, version_x, version_y, sent_idx_x, sent_idx_y FROM m6
+           WHERE sent_idx_x IS NOT NULL AND sent_idx_y IS NOT NULL),
+a AS (SELECT DISTINCT source, entry_id, version_x, version_y, sent_idx_x, sent_idx_y FROM m6_b
+      WHERE sent_idx_x IS NOT NULL AND sent_idx_y IS NOT NULL),
+ch AS (SELECT *, 'removed' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a)
+       UNION ALL SELECT *, 'added' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
+       UNION ALL SELECT *, 'final' FROM a)
+SELECT source, entry_id, version_x, version_y,
+       CAST(count(*) FILTER (WHERE change = 'added') AS BIGINT) AS num_connections_added,
+       CAST(count(*) FILTER (WHERE change = 'removed') AS BIGINT) AS num_connections_removed,
+       CAST(count(*) FILTER (WHERE change = 'final') AS BIGINT) AS num_connections_final
+FROM ch GROUP BY source, entry_id, version_x, version_y"""))
+def q_a19(spark, sf):
+    s = rev_sentences(spark, sf)
+    before = M.match_sentences(s, threshold=0.44)
+    after = M.match_sentences(s, threshold=0.25)
+    return ST.annotation_delta(before, after)[1]
+
+
+OVERLAP_SQL = """
+WITH wa AS (SELECT source, entry_id, version_x, version_y, sent_idx_x, sent_idx_y, u.w, count(*) AS na
+            FROM atx, unnest(string_split(sentence_x, ' ')) AS u(w) GROUP BY ALL),
+wb AS (SELECT source, entry_id, version_x, version_y, sent_idx_x, sent_idx_y, u.w, count(*) AS nb
+       FROM atx, unnest(string_split(sentence_y, ' ')) AS u(w) GROUP BY ALL),
+m AS (SELECT source, entry_id, version_x, version_y, sent_idx_x, sent_idx_y, sum(least(na, nb)) AS m
+      FROM wa JOIN wb USING (source, entry_id, version_x, version_y, sent_idx_x, sent_idx_y, w) GROUP BY ALL)
+SELECT source, entry_id, version_x, version_y, sent_idx_x, sent_idx_y,
+       2.0 * coalesce(m.m, 0) / (len(string_split(sentence_x, ' ')) + len(string_split(sentence_y, ' '))) AS word_overlap
+FROM atx LEFT JOIN m USING (source, entry_id, version_x, version_y, sent_idx_x, sent_idx_y)"""
+
+
+@register("d4_word_overlap_ratio", O.with_(*CONV, ("atx", A4_INNER), ("ov", OVERLAP_SQL), select="""
+SELECT source, entry_id, version_x, version_y, sent_idx_x, sent_idx_y, round(word_overlap, 4) AS word_overlap FROM ov"""))
+def q_d4(spark, sf):
+    return rounded(ST.word_overlap(SEL.arcs_with_text(conv_arcs(spark, sf), conv_sentences(spark, sf))))
+
+
+@register("a20_low_overlap_arcs", O.with_(*CONV, ("atx", A4_INNER), ("ov", OVERLAP_SQL), select="""
+SELECT source, entry_id, version_x, version_y, sent_idx_x, sent_idx_y, round(word_overlap, 4) AS word_overlap
+FROM ov WHERE word_overlap < 0.2"""))
+def q_a20(spark, sf):
+    return rounded(ST.low_overlap_arcs(SEL.arcs_with_text(conv_arcs(spark, sf), conv_sentences(spark, sf))))
+
+
+@register("a21_head", O.with_(*CONV, select=f"""{ARC_ROUND} FROM m6
+ORDER BY source, entry_id, version_x, version_y, sent_idx_x NULLS FIRST, sent_idx_y NULLS FIRST LIMIT 5"""))
+def q_a21(spark, sf):
+    return rounded(SEL.head(conv_arcs(spark, sf), ["source", "entry_id", "version_x", "version_y",
+                                                   "sent_idx_x", "sent_idx_y"], 5))
+
+
+@register("a21_nth_pair", O.with_(*CONV, select=f"""{ARC_ROUND} FROM m6 SEMI JOIN (
+  SELECT DISTINCT source, entry_id, version_x, version_y FROM m6
+  ORDER BY source, entry_id, version_x, version_y LIMIT 1 OFFSET 3) p USING (source, entry_id, version_x, version_y)"""))
+def q_a21n(spark, sf):
+    return rounded(SEL.nth_pair(conv_arcs(spark, sf), 3))
+
+
+@register("a22_min_max_version", O.with_(*CONV, ("mr", MATCH_RECORDS_SQL), select="""
+SELECT source, entry_id, version_x, version_y, list_min(list_transform(nodes, lambda n: n.version)) AS x_version,
+       list_max(list_transform(nodes, lambda n: n.version)) AS y_version FROM mr"""))
+def q_a22(spark, sf):
+    r = SEL.min_max_version(SEL.match_records(conv_arcs(spark, sf), conv_sentences(spark, sf)))
+    return r.select("source", "entry_id", "version_x", "version_y", "x_version", "y_version")
