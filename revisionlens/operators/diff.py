@@ -186,9 +186,9 @@ def _ordered_group(pdf: pd.DataFrame) -> pd.DataFrame:
     n = pdf[pdf["side"] == 1].sort_values("sent_idx")
     old_idx, new_idx = o["sent_idx"].tolist(), n["sent_idx"].tolist()
     rows = align_lists(o["sentence"].tolist(), n["sentence"].tolist())
-    out = pd.DataFrame(rows, columns=["po", "text_old", "tag_old", "pn", "text_new", "tag_new"])
-    out["sent_idx_old"] = [old_idx[p] if p is not None and p == p else None for p in out["po"]]
-    out["sent_idx_new"] = [new_idx[p] if p is not None and p == p else None for p in out["pn"]]
+    out = pd.DataFrame(rows, columns=["po", "text_old", "tag_old", "pn", "text_new", "tag_new"], dtype=object)
+    out["sent_idx_old"] = [None if r[0] is None else old_idx[r[0]] for r in rows]
+    out["sent_idx_new"] = [None if r[3] is None else new_idx[r[3]] for r in rows]
     for c in ("source", "entry_id", "version_x", "version_y"):
         out[c] = head[c]
     out["row_idx"] = range(len(out))

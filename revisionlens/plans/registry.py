@@ -641,3 +641,291 @@ SELECT source, entry_id, version_x, version_y, list_min(list_transform(nodes, la
 def q_a22(spark, sf):
     r = SEL.min_max_version(SEL.match_records(conv_arcs(spark, sf), conv_sentences(spark, sf)))
     return r.select("source", "entry_id", "version_x", "version_y", "x_version", "y_version")
+
+
+# ------------------------------------------------------------------ R: moved sentences (revision fixture)
+def rev_arcs(spark, sf):
+    return matched(spark, sf, "revision")
+
+
+R1_SQL = """
+SELECT source, entry_id, version_x, version_y, sent_idx_x, sent_idx_y,
+       CAST(dense_rank() OVER (PARTITION BY source, entry_id, version_x, version_y ORDER BY sent_idx_x) AS INTEGER) AS rx,
+       CAST(dense_rank() OVER (PARTITION BY source, entry_id, version_x, version_y ORDER BY sent_idx_y) AS INTEGER) AS ry
+FROM (SELECT DISTINCT source, entry_id, version_x, version_y, sent_idx_x, sent_idx_y FROM m6
+      WHERE sent_idx_x IS NOT NULL AND sent_idx_y IS NOT NULL)"""
+
+
+@register("r1_arc_ranks", O.with_(*REV, select=R1_SQL))
+def q_r1(spark, sf):
+    return MV.arc_ranks(rev_arcs(spark, sf))
+
+
+@register("r2_arc_crossings", O.with_(*REV, ("r", R1_SQL), select="""
+WITH one AS (
+  SELECT a.source, a.entry_id, a.version_x, a.version_y,
+         a.sent_idx_x AS sent_idx_x_a, a.sent_idx_y AS sent_idx_y_a, a.rx AS rx_a, a.ry AS ry_a,
+         b.sent_idx_x AS sent_idx_x_b, b.sent_idx_y AS sent_idx_y_b, b.rx AS rx_b, b.ry AS ry_b
+  FROM r a JOIN r b ON a.source = b.source AND a.entry_id = b.entry_id AND a.version_x = b.version_x
+   AND a.version_y = b.version_y AND a.rx < b.rx AND a.ry > b.ry)
+SELECT * FROM one
+UNION ALL
+SELECT source, entry_id, version_x, version_y, sent_idx_x_b, sent_idx_y_b, rx_b, ry_b,
+       sent_idx_x_a, sent_idx_y_a, rx_a, ry_a FROM one"""))
+def q_r2(spark, sf):
+    return MV.arc_crossings(MV.arc_ranks(rev_arcs(spark, sf)))
+
+
+@register("r3_refactor_edges")
+def q_r3(spark, sf):
+    return MV.refactor_edges(rev_arcs(spark, sf))
+
+
+@register("r4_refactor_counts")
+def q_r4(spark, sf):
+    arcs = rev_arcs(spark, sf)
+    return MV.refactor_counts(MV.refactor_edges(arcs), arcs)
+
+
+@register("r4_label_refactors")
+def q_r4l(spark, sf):
+    arcs = rev_arcs(spark, sf)
+    return rounded(MV.label_refactors(arcs, MV.refactor_edges(arcs)))
+
+
+@register("r5_short_sentence_guard", O.with_(*REV, select=f"""{ARC_ROUND} FROM m6 a
+WHERE EXISTS (SELECT 1 FROM sentences s WHERE s.source = a.source AND s.entry_id = a.entry_id
+              AND s.version = a.version_x AND s.sent_idx = a.sent_idx_x AND length(s.sentence) >= 20)
+  AND EXISTS (SELECT 1 FROM sentences s WHERE s.source = a.source AND s.entry_id = a.entry_id
+              AND s.version = a.version_y AND s.sent_idx = a.sent_idx_y AND length(s.sentence) >= 20)"""))
+def q_r5(spark, sf):
+    return rounded(MV.short_sentence_guard(rev_arcs(spark, sf), rev_sentences(spark, sf), 20))
+
+
+@register("r3_refactor_edges_guarded")
+def q_r3g(spark, sf):
+    return MV.refactor_edges(rev_arcs(spark, sf), min_chars=20, sentences=rev_sentences(spark, sf))
+
+
+# ------------------------------------------------------------------ D: diffs
+DPAIRS_SQL = """
+SELECT source, entry_id, version AS version_x, version_y FROM (
+  SELECT source, entry_id, version, lead(version) OVER (PARTITION BY source, entry_id ORDER BY version) AS version_y
+  FROM (SELECT DISTINCT source, entry_id, version FROM sentences))
+WHERE version_y IS NOT NULL"""
+
+PK = "source, entry_id, version_x, version_y"
+
+D2_CTES = [("dpairs", DPAIRS_SQL), ("old", f"""
+SELECT p.*, s.sent_idx AS sent_idx_old, s.sentence AS text_old FROM dpairs p
+JOIN sentences s ON s.source = p.source AND s.entry_id = p.entry_id AND s.version = p.version_x"""), ("new", f"""
+SELECT p.*, s.sent_idx AS sent_idx_new, s.sentence AS text_new FROM dpairs p
+JOIN sentences s ON s.source = p.source AND s.entry_id = p.entry_id AND s.version = p.version_y"""), ("o", f"""
+SELECT *, row_number() OVER (PARTITION BY {PK}, text_old ORDER BY sent_idx_old) AS occ FROM old"""), ("n", f"""
+SELECT *, row_number() OVER (PARTITION BY {PK}, text_new ORDER BY sent_idx_new) AS occ FROM new"""), ("j", """
+SELECT coalesce(o.source, n.source) AS source, coalesce(o.entry_id, n.entry_id) AS entry_id,
+       coalesce(o.version_x, n.version_x) AS version_x, coalesce(o.version_y, n.version_y) AS version_y,
+       o.sent_idx_old, o.text_old, n.sent_idx_new, n.text_new
+FROM o FULL OUTER JOIN n ON o.source = n.source AND o.entry_id = n.entry_id AND o.version_x = n.version_x
+ AND o.version_y = n.version_y AND o.text_old = n.text_new AND o.occ = n.occ"""),
+    ("rem", f"SELECT {PK}, sent_idx_old, text_old FROM j WHERE sent_idx_new IS NULL"),
+    ("addd", f"SELECT {PK}, sent_idx_new, text_new FROM j WHERE sent_idx_old IS NULL"),
+    ("wr", f"SELECT {PK}, sent_idx_old, u.w, count(*) AS na FROM rem, unnest(string_split(text_old, ' ')) AS u(w) GROUP BY ALL"),
+    ("wa", f"SELECT {PK}, sent_idx_new, u.w, count(*) AS nb FROM addd, unnest(string_split(text_new, ' ')) AS u(w) GROUP BY ALL"),
+    ("cand", f"""SELECT {PK}, sent_idx_old, sent_idx_new, sum(least(na, nb)) AS m FROM wr JOIN wa USING ({PK}, w)
+GROUP BY {PK}, sent_idx_old, sent_idx_new"""),
+    ("cr", f"""SELECT c.*, 2.0 * m / (len(string_split(r.text_old, ' ')) + len(string_split(a.text_new, ' '))) AS ratio
+FROM cand c JOIN rem r USING ({PK}, sent_idx_old) JOIN addd a USING ({PK}, sent_idx_new)"""),
+    ("chg", f"""SELECT {PK}, sent_idx_old, sent_idx_new FROM (
+  SELECT *, row_number() OVER (PARTITION BY {PK}, sent_idx_old ORDER BY ratio DESC, sent_idx_new) AS ro,
+            row_number() OVER (PARTITION BY {PK}, sent_idx_new ORDER BY ratio DESC, sent_idx_old) AS rn
+  FROM cr WHERE ratio > 0.8) WHERE ro = 1 AND rn = 1"""),
+    ("u", f"""
+SELECT {PK}, sent_idx_old, text_old, ' ' AS tag_old, sent_idx_new, text_new, ' ' AS tag_new FROM j
+WHERE sent_idx_old IS NOT NULL AND sent_idx_new IS NOT NULL
+UNION ALL
+SELECT {PK}, c.sent_idx_old, r.text_old, '-', c.sent_idx_new, a.text_new, '+'
+FROM chg c JOIN rem r USING ({PK}, sent_idx_old) JOIN addd a USING ({PK}, sent_idx_new)
+UNION ALL
+SELECT {PK}, sent_idx_old, text_old, '-', NULL, '', ' ' FROM rem r
+WHERE NOT EXISTS (SELECT 1 FROM chg c WHERE c.source = r.source AND c.entry_id = r.entry_id AND
+                  c.version_x = r.version_x AND c.version_y = r.version_y AND c.sent_idx_old = r.sent_idx_old)
+UNION ALL
+SELECT {PK}, NULL, '', ' ', sent_idx_new, text_new, '+' FROM addd a
+WHERE NOT EXISTS (SELECT 1 FROM chg c WHERE c.source = a.source AND c.entry_id = a.entry_id AND
+                  c.version_x = a.version_x AND c.version_y = a.version_y AND c.sent_idx_new = a.sent_idx_new)"""),
+    ("aligned", f"""
+SELECT {PK}, CAST(row_number() OVER (PARTITION BY {PK} ORDER BY coalesce(sent_idx_new, sent_idx_old),
+       sent_idx_new IS NOT NULL, sent_idx_old NULLS FIRST) - 1 AS INTEGER) AS row_idx,
+       CAST(sent_idx_old AS INTEGER) AS sent_idx_old, text_old, tag_old,
+       CAST(sent_idx_new AS INTEGER) AS sent_idx_new, text_new, tag_new FROM u""")]
+
+REV_D2 = O.sentences_ctes("revision") + D2_CTES
+
+D5_CTES = [("ch", "SELECT * FROM aligned WHERE tag_old = '-' AND tag_new = '+'"),
+           ("wo", f"""SELECT {PK}, row_idx, u.w, CAST(u.i - 1 AS INTEGER) AS pos_old
+FROM ch, unnest(string_split(text_old, ' ')) WITH ORDINALITY AS u(w, i)"""),
+           ("wn", f"""SELECT {PK}, row_idx, u.w, CAST(u.i - 1 AS INTEGER) AS pos_new
+FROM ch, unnest(string_split(text_new, ' ')) WITH ORDINALITY AS u(w, i)"""),
+           ("o2", f"SELECT *, row_number() OVER (PARTITION BY {PK}, row_idx, w ORDER BY pos_old) AS occ FROM wo"),
+           ("n2", f"SELECT *, row_number() OVER (PARTITION BY {PK}, row_idx, w ORDER BY pos_new) AS occ FROM wn"),
+           ("wd", """
+SELECT coalesce(o2.source, n2.source) AS source, coalesce(o2.entry_id, n2.entry_id) AS entry_id,
+       coalesce(o2.version_x, n2.version_x) AS version_x, coalesce(o2.version_y, n2.version_y) AS version_y,
+       coalesce(o2.row_idx, n2.row_idx) AS row_idx, coalesce(o2.w, n2.w) AS word, o2.pos_old, n2.pos_new,
+       CASE WHEN n2.pos_new IS NULL THEN '-' WHEN o2.pos_old IS NULL THEN '+' ELSE ' ' END AS tag
+FROM o2 FULL OUTER JOIN n2 ON o2.source = n2.source AND o2.entry_id = n2.entry_id AND o2.version_x = n2.version_x
+ AND o2.version_y = n2.version_y AND o2.row_idx = n2.row_idx AND o2.w = n2.w AND o2.occ = n2.occ""")]
+
+D6_SQL = """SELECT *, CASE WHEN tag_old = '-' AND tag_new = '+' THEN 'changed'
+  WHEN tag_old = ' ' AND tag_new = '+' THEN 'added' WHEN tag_old = '-' AND tag_new = ' ' THEN 'removed'
+  WHEN tag_old = ' ' AND tag_new = ' ' THEN 'same' END AS change,
+  trim(text_old) <> '' AS in_old_doc, trim(text_new) <> '' AS in_new_doc FROM aligned"""
+
+D7_SQL = f"""
+SELECT {PK}, row_idx, sent_idx_old, text_old, tag_old, sent_idx_new, text_new, tag_new,
+       CAST(sum(st) OVER (PARTITION BY {PK} ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1
+            AS INTEGER) AS cluster_id
+FROM (SELECT *, CASE WHEN unch = 1 OR coalesce(lag(unch) OVER (PARTITION BY {PK} ORDER BY row_idx), 1) = 1
+                     THEN 1 ELSE 0 END AS st
+      FROM (SELECT *, CASE WHEN tag_old = ' ' AND tag_new = ' ' THEN 1 ELSE 0 END AS unch FROM aligned))"""
+
+
+def rev_aligned(spark, sf):
+    s = rev_sentences(spark, sf)
+    return DF.sentence_diff_set(s, DF.version_pairs(s))
+
+
+@register("d1_version_pairs_next", O.with_(*O.sentences_ctes("conversations"), select=DPAIRS_SQL))
+def q_d1(spark, sf):
+    return DF.version_pairs(conv_sentences(spark, sf), "next")
+
+
+@register("d1_version_pairs_plus_one", O.with_(*O.sentences_ctes("conversations"), select="""
+SELECT DISTINCT a.source, a.entry_id, a.version AS version_x, a.version + 1 AS version_y
+FROM sentences a JOIN sentences b ON a.source = b.source AND a.entry_id = b.entry_id AND b.version = a.version + 1"""))
+def q_d1p(spark, sf):
+    return DF.version_pairs(conv_sentences(spark, sf), "plus_one")
+
+
+@register("d2_sentence_diff_set", O.with_(*REV_D2, select="SELECT * FROM aligned"))
+def q_d2(spark, sf):
+    return rev_aligned(spark, sf)
+
+
+@register("d3_sentence_diff_ordered")
+def q_d3(spark, sf):
+    s = rev_sentences(spark, sf)
+    return DF.sentence_diff_ordered(s, DF.version_pairs(s))
+
+
+@register("d5_word_diff", O.with_(*REV_D2, *D5_CTES, select="SELECT * FROM wd"))
+def q_d5(spark, sf):
+    return DF.word_diff(rev_aligned(spark, sf))
+
+
+@register("d6_classify_changes", O.with_(*REV_D2, select=D6_SQL))
+def q_d6(spark, sf):
+    return DF.classify_changes(rev_aligned(spark, sf))
+
+
+@register("d7_edit_clusters", O.with_(*REV_D2, select=D7_SQL))
+def q_d7(spark, sf):
+    return DF.edit_clusters(rev_aligned(spark, sf))
+
+
+def _d8_side(a_text: str, i_text: str, active: int) -> str:
+    cw = lambda t: O.content_words_sql(O.words_sql(t))
+    return f"""
+SELECT {PK}, cluster_id, i, j, m, l1, l2, {active} AS active_side FROM (
+  SELECT {PK}, cluster_id, i, j, count(*) AS m, CAST(min(l1) AS INTEGER) AS l1, CAST(min(l2) AS INTEGER) AS l2
+  FROM (SELECT {PK}, cluster_id, row_idx AS j, len({cw(a_text)}) AS l2, unnest({cw(a_text)}) AS w
+        FROM clustered WHERE {a_text} <> '') e2
+  JOIN (SELECT {PK}, cluster_id, row_idx AS i, len({cw(i_text)}) AS l1, unnest(list_distinct({cw(i_text)})) AS w
+        FROM clustered WHERE {i_text} <> '') e1 USING ({PK}, cluster_id, w)
+  GROUP BY {PK}, cluster_id, i, j
+  UNION ALL
+  SELECT {PK}, cluster_id, i, j, CAST(0 AS BIGINT), CAST(l1 AS INTEGER), CAST(l2 AS INTEGER)
+  FROM (SELECT {PK}, cluster_id, row_idx AS j, len({cw(a_text)}) AS l2 FROM clustered WHERE {a_text} <> '') s2
+  JOIN (SELECT {PK}, cluster_id, row_idx AS i, len({cw(i_text)}) AS l1 FROM clustered WHERE {i_text} <> '') s1
+  USING ({PK}, cluster_id) WHERE l2 = 0)
+WHERE i <> j AND l2 <= l1 AND l2 <= 50 AND m >= l2 * 0.5"""
+
+
+@register("d8_containment_pairs", O.with_(*REV_D2, ("clustered", D7_SQL), select=_d8_side("text_old", "text_new", 0)
+                                          + "\nUNION ALL\n" + _d8_side("text_new", "text_old", 1)))
+def q_d8(spark, sf):
+    return DF.containment_pairs(DF.edit_clusters(rev_aligned(spark, sf)))
+
+
+@register("d10_sentence_change_stats", O.with_(*REV_D2, ("cls", D6_SQL), select=f"""
+SELECT {PK}, CAST(count(*) FILTER (WHERE change = 'added') AS BIGINT) AS num_added_sents,
+       CAST(count(*) FILTER (WHERE in_new_doc) AS BIGINT) AS len_new_doc,
+       CAST(count(*) FILTER (WHERE change = 'removed') AS BIGINT) AS num_removed_sents,
+       CAST(count(*) FILTER (WHERE in_old_doc) AS BIGINT) AS len_old_doc,
+       CAST(count(*) FILTER (WHERE change = 'changed') AS BIGINT) AS num_changed_sents
+FROM cls GROUP BY {PK}"""))
+def q_d10(spark, sf):
+    return DF.sentence_change_stats(rev_aligned(spark, sf))
+
+
+@register("d11_word_change_stats", O.with_(*REV_D2, *D5_CTES, select=f"""
+SELECT {PK}, row_idx, CAST(count(*) FILTER (WHERE tag = '-') AS BIGINT) AS num_removed_words,
+       CAST(count(*) FILTER (WHERE tag = '+') AS BIGINT) AS num_added_words,
+       count(pos_old) AS len_old_sent, count(pos_new) AS len_new_sent
+FROM wd GROUP BY {PK}, row_idx"""))
+def q_d11(spark, sf):
+    return DF.word_change_stats(DF.word_diff(rev_aligned(spark, sf)))
+
+
+def _markup_sql(front_o, back_o, front_n, back_n):
+    q = lambda v: v.replace("'", "''")
+    return f"""
+SELECT {PK}, row_idx,
+  array_to_string(list(CASE WHEN tag = '-' THEN '{q(front_o)}' || word || '{q(back_o)}' ELSE word END
+                       ORDER BY pos_old) FILTER (WHERE pos_old IS NOT NULL), ' ') AS marked_old,
+  array_to_string(list(CASE WHEN tag = '+' THEN '{q(front_n)}' || word || '{q(back_n)}' ELSE word END
+                       ORDER BY pos_new) FILTER (WHERE pos_new IS NOT NULL), ' ') AS marked_new
+FROM wd GROUP BY {PK}, row_idx"""
+
+
+@register("d13_diff_markup_html", O.with_(*REV_D2, *D5_CTES, select=_markup_sql(
+    K.HTML_MARKS["old_front"], K.HTML_MARKS["old_back"], K.HTML_MARKS["new_front"], K.HTML_MARKS["new_back"])))
+def q_d13(spark, sf):
+    return DF.html_markup(DF.word_diff(rev_aligned(spark, sf)))
+
+
+@register("d13_diff_markup_latex", O.with_(*REV_D2, *D5_CTES, select=_markup_sql(
+    K.LATEX_MARKS["old_front"], K.LATEX_MARKS["old_back"], K.LATEX_MARKS["new_front"], K.LATEX_MARKS["new_back"])))
+def q_d13l(spark, sf):
+    return DF.latex_markup(DF.word_diff(rev_aligned(spark, sf)))
+
+
+@register("d12_diff_quality_rows", O.with_(O.ARTICLES, O.SENTENCES, ("apairs", """
+SELECT source, entry_id, version AS version_x, version_y FROM (
+  SELECT source, entry_id, version, lead(version) OVER (PARTITION BY source, entry_id ORDER BY version) AS version_y
+  FROM (SELECT DISTINCT source, entry_id, version FROM articles)) WHERE version_y IS NOT NULL"""),
+    ("dpairs", "SELECT * FROM apairs"), *D2_CTES[1:], select=f"""
+SELECT source, entry_id, NULL::INTEGER AS version_x, NULL::INTEGER AS version_y, 'error, only one version' AS status
+FROM (SELECT source, entry_id FROM (SELECT DISTINCT source, entry_id, version FROM articles)
+      GROUP BY source, entry_id HAVING count(*) = 1)
+UNION ALL
+SELECT {PK}, 'error, no sentences.' FROM apairs p
+WHERE NOT EXISTS (SELECT 1 FROM aligned a WHERE a.source = p.source AND a.entry_id = p.entry_id
+                  AND a.version_x = p.version_x AND a.version_y = p.version_y)"""))
+def q_d12(spark, sf):
+    arts = FX.conversation_articles(spark, sf)
+    s = TX.split_sentences(arts)
+    pairs = DF.version_pairs(arts)
+    return DF.diff_quality_rows(arts, DF.sentence_diff_set(s, pairs), pairs)
+
+
+@register("d14_arc_neighbour_text", O.with_(*CONV, ("atx", A4_INNER), select="""
+SELECT source, entry_id, version_x, version_y, 'x' AS side, sent_idx_x AS sent_idx,
+       string_agg(sentence_y, ' ' ORDER BY sent_idx_y) AS linked_text FROM atx
+GROUP BY source, entry_id, version_x, version_y, sent_idx_x
+UNION ALL
+SELECT source, entry_id, version_x, version_y, 'y', sent_idx_y, string_agg(sentence_x, ' ' ORDER BY sent_idx_x)
+FROM atx GROUP BY source, entry_id, version_x, version_y, sent_idx_y"""))
+def q_d14(spark, sf):
+    return DF.arc_neighbour_text(SEL.arcs_with_text(conv_arcs(spark, sf), conv_sentences(spark, sf)))
