@@ -78,10 +78,14 @@ def is_dateline(text: Column, countries: list[str] | None = None) -> Column:
 
 
 def tokens(text: Column, method: str = "regex") -> Column:
-    """Lower-cased runs of letters/digits, or whitespace words."""
+    """Runs of letters/digits of the lower-cased text, or whitespace words.
+
+    Lower-casing the text once (not each token in an array lambda) keeps the
+    work inside generated code.
+    """
     if method == "whitespace":
         return words(text)
-    return F.transform(F.regexp_extract_all(text, F.lit(K.TOKEN_PATTERN), 0), lambda t: F.lower(t))
+    return F.regexp_extract_all(F.lower(text), F.lit(K.TOKEN_PATTERN), 0)
 
 
 def content_words(toks: Column) -> Column:

@@ -120,10 +120,9 @@ def complete_arcs(arcs: DataFrame, sentences: DataFrame) -> DataFrame:
 # ------------------------------------------------------- production chain
 def sentence_tokens(sentences: DataFrame, method: str = "regex") -> DataFrame:
     """(source, entry_id, version, sent_idx, num_words, token): one row per token occurrence."""
-    toks = X.tokens(F.col("sentence"), method)
-    return sentences.select("source", "entry_id", "version", "sent_idx",
-                            F.size(toks).cast("long").alias("num_words"),
-                            F.explode(toks).alias("token"))
+    keys = ["source", "entry_id", "version", "sent_idx"]
+    t = sentences.select(*keys, X.tokens(F.col("sentence"), method).alias("tk"))
+    return t.select(*keys, F.size("tk").cast("long").alias("num_words"), F.explode("tk").alias("token"))
 
 
 def equal_token_pairs(tokens: DataFrame) -> DataFrame:

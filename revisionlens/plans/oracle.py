@@ -33,7 +33,7 @@ def sentence_array(text: str) -> str:
 
 
 def tokens_of(text: str) -> str:
-    return f"list_transform(regexp_extract_all({text}, '{TOKEN_RE}'), lambda t: lower(t))"
+    return f"regexp_extract_all(lower({text}), '{TOKEN_RE}')"
 
 
 # ---------------------------------------------------------------- inputs

@@ -18,6 +18,7 @@ from revisionlens.operators import matching as M
 from revisionlens.operators import text as TX
 from revisionlens.plans import fixtures as FX
 from revisionlens.plans import oracle as O
+from revisionlens.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -45,11 +46,11 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
 
 # ------------------------------------------------------------------ shared inputs
 def conv_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return TX.split_sentences(FX.conversation_articles(spark, sf))
+    return materialize(TX.split_sentences(FX.conversation_articles(spark, sf)))
 
 
 def rev_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return FX.revision_sentences(spark, sf)
+    return materialize(FX.revision_sentences(spark, sf))
 
 
 def sentences_of(fixture: str):
@@ -929,3 +930,83 @@ SELECT source, entry_id, version_x, version_y, 'y', sent_idx_y, string_agg(sente
 FROM atx GROUP BY source, entry_id, version_x, version_y, sent_idx_y"""))
 def q_d14(spark, sf):
     return DF.arc_neighbour_text(SEL.arcs_with_text(conv_arcs(spark, sf), conv_sentences(spark, sf)))
+
+
+# ------------------------------------------------------------------ S: sources, sinks, streaming
+from revisionlens.sources import readers as RD  # noqa: E402
+from revisionlens.sources import sinks as SK  # noqa: E402
+
+
+def _scratch(spark, name: str) -> str:
+    import uuid
+    from revisionlens.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register("s1_read_versions", O.with_(O.ARTICLES, select="SELECT entry_id, version, summary, source FROM articles"))
+def q_s1(spark, sf):
+    return RD.read_versions(spark, f"{sf}/conversations.parquet", source="conversations",
+                            columns={"conv_id": "entry_id", "turn": "version", "text": "summary"})
+
+
+@register("s2_read_bracketed_json", "SELECT conv_id, turn, role, text FROM conversations")
+def q_s2(spark, sf):
+    """Writes conversations as one bracketed JSON array (one object per line,
+    trailing commas) under the shared scratch folder, then reads it back."""
+    conv = FX.table(spark, sf, "conversations")
+    path = _scratch(spark, "bracketed")
+    lines = conv.select(F.concat(F.to_json(F.struct("conv_id", "turn", "role", "text")), F.lit(",")).alias("value"))
+    brackets = spark.createDataFrame([("[",), ("]",)], "value string")
+    brackets.unionByName(lines).write.mode("overwrite").text(path)
+    schema = "conv_id long, turn long, role string, text string"
+    from pyspark.sql.types import _parse_datatype_string
+    ok, _bad = RD.read_bracketed_json(spark, path, _parse_datatype_string(schema))
+    return ok
+
+
+@register("s3_pair_lookup", O.with_(*CONV, select="""
+SELECT s.* FROM sentences s SEMI JOIN (
+  SELECT source, entry_id, version_x AS version FROM m6 WHERE avg_sentence_distance_x > 0.1 AND avg_sentence_distance_y > 0.1
+  UNION SELECT source, entry_id, version_y FROM m6 WHERE avg_sentence_distance_x > 0.1 AND avg_sentence_distance_y > 0.1
+) v USING (source, entry_id, version)"""))
+def q_s3(spark, sf):
+    arcs = conv_arcs(spark, sf)
+    pairs = SEL.filter_by_distance(arcs).select("source", "entry_id", "version_x", "version_y").distinct()
+    return RD.pair_lookup(arcs, conv_sentences(spark, sf), pairs)[1]
+
+
+@register("s6_export_pairs_json", O.with_(*CONV, ("mr", MATCH_RECORDS_SQL), select="""
+SELECT printf('(''%s'', %d, %d, %d)', source, entry_id, version_x, version_y) AS key,
+       to_json({'nodes': nodes, 'arcs': arcs}) AS record FROM mr"""))
+def q_s6(spark, sf):
+    r = SEL.match_records(rounded(conv_arcs(spark, sf)), conv_sentences(spark, sf))
+    return SK.export_pairs_json(r)
+
+
+@register("s7_backlog_batch", O.with_(*O.sentences_ctes("conversations"), select="""
+WITH done AS (SELECT DISTINCT entry_id FROM (SELECT entry_id, version, count(*) AS c FROM sentences
+                                            GROUP BY entry_id, version) WHERE c < 2),
+ids AS (SELECT DISTINCT source, entry_id FROM articles WHERE entry_id NOT IN (SELECT entry_id FROM done)),
+batch AS (SELECT * FROM ids ORDER BY entry_id, source LIMIT 50 OFFSET 10)
+SELECT a.* FROM articles a SEMI JOIN batch USING (source, entry_id)"""))
+def q_s7(spark, sf):
+    arts = FX.conversation_articles(spark, sf)
+    c = conv_sentences(spark, sf).groupBy("entry_id", "version").count()
+    done = c.filter(F.col("count") < 2).select("entry_id").distinct()
+    return RD.backlog_batch(arts, done, 50, 10)
+
+
+@register("s8_continuous_matching", O.matched_sql("conversations"))
+def q_s8(spark, sf):
+    """Versions land as parquet files (one file per turn); an availableNow
+    stream re-matches the touched entries batch by batch into the output table."""
+    from revisionlens.streaming import continuous as CM
+    arts = FX.conversation_articles(spark, sf)
+    landing = _scratch(spark, "landing")
+    out = _scratch(spark, "matches")
+    arts.write.mode("overwrite").partitionBy("version").parquet(landing + "-staged")
+    staged = spark.read.parquet(landing + "-staged")
+    staged.select("entry_id", "version", "summary", "source").write.mode("overwrite").parquet(landing)
+    q = CM.start_continuous_matching(spark, landing, landing, out, checkpoint=out + "-ck")
+    q.awaitTermination()
+    return rounded(CM.read_matches(spark, out))

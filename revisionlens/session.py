@@ -63,3 +63,15 @@ def spread(df):
     if df.rdd.getNumPartitions() < par:
         return df.repartition(par)
     return df
+
+
+def materialize(df):
+    """Cut lineage by writing ``df`` once to the shared checkpoint folder.
+
+    Used for inputs that several branches of one plan read (split sentences,
+    lexicons): each branch then scans the written files instead of recomputing
+    the text work, and a lost executor recomputes from the files, not from the
+    raw text.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
