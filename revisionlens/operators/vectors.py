@@ -94,28 +94,46 @@ _PAIR_SCHEMA = T.StructType([
 ])
 
 
-def _tile_distances(cutoff: float):
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or y.empty:
-            return pd.DataFrame({f.name: pd.Series(dtype=object) for f in _PAIR_SCHEMA.fields})
-        a = np.vstack(x["vec"].to_numpy()).astype(np.float64)
-        b = np.vstack(y["vec"].to_numpy()).astype(np.float64)
+def _tile_distances(cutoff: float, dim_hint: int = 0):
+    """Cogrouped Arrow function: one tile of one block -> near token pairs."""
+    import pyarrow as pa
+
+    def mat(col):
+        flat = col.combine_chunks() if hasattr(col, "combine_chunks") else col
+        values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        return values.reshape(len(flat), -1) if len(flat) else values.reshape(0, 0)
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        if x.num_rows == 0 or y.num_rows == 0:
+            return pa.Table.from_pylist([], schema=_ARROW_PAIR)
+        a, b = mat(x.column("vec")), mat(y.column("vec"))
         a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
         b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
         d = np.sqrt(np.maximum(2.0 - 2.0 * (a @ b.T), 0.0))
-        tx = x["token"].to_numpy()
-        ty = y["token"].to_numpy()
+        tx = np.asarray(x.column("token").to_pylist(), dtype=object)
+        ty = np.asarray(y.column("token").to_pylist(), dtype=object)
         d[tx[:, None] == ty[None, :]] = 0.0          # equal words are at distance 0 exactly
         ii, jj = np.nonzero(d < cutoff)
-        head = x.iloc[0]
-        return pd.DataFrame({
-            "source": head["source"], "entry_id": head["entry_id"],
-            "version_x": head["version_x"], "version_y": head["version_y"],
-            "token_x": tx[ii], "token_y": ty[jj], "distance": d[ii, jj],
-        })
+        n = len(ii)
+        head = {c: x.column(c)[0].as_py() for c in ("source", "entry_id", "version_x", "version_y")}
+        return pa.Table.from_arrays([
+            pa.array([head["source"]] * n, pa.string()), pa.array([head["entry_id"]] * n, pa.int64()),
+            pa.array([head["version_x"]] * n, pa.int32()), pa.array([head["version_y"]] * n, pa.int32()),
+            pa.array(tx[ii].tolist(), pa.string()), pa.array(ty[jj].tolist(), pa.string()),
+            pa.array(d[ii, jj], pa.float64())], schema=_ARROW_PAIR)
     return run
 
 
+def _arrow_schema():
+    import pyarrow as pa
+    return pa.schema([("source", pa.string()), ("entry_id", pa.int64()), ("version_x", pa.int32()),
+                      ("version_y", pa.int32()), ("token_x", pa.string()), ("token_y", pa.string()),
+                      ("distance", pa.float64())])
+
+
+_ARROW_PAIR = _arrow_schema()
+
+
 def near_token_pairs(tokens: DataFrame, cutoff: float = K.WORD_DISTANCE_CUTOFF, tile: int = 1024,
                      vector_col: str = "word_embedding") -> DataFrame:
     """V5 (exact, token level): distinct token pairs of consecutive versions of
@@ -148,7 +166,7 @@ def near_token_pairs(tokens: DataFrame, cutoff: float = K.WORD_DISTANCE_CUTOFF,
     x = x.select(*[F.col(c).alias(c) for c in x.columns])
     y = y.select(*[F.col(c).alias(c) for c in y.columns])
     return (x.groupBy(*g).cogroup(y.groupBy(*g))
-             .applyInPandas(_tile_distances(cutoff), schema=_PAIR_SCHEMA))
+             .applyInArrow(_tile_distances(cutoff), schema=_PAIR_SCHEMA))
 
 
 def word_pairs_exact(tokens: DataFrame, near: DataFrame | None = None, cutoff: float = K.WORD_DISTANCE_CUTOFF,

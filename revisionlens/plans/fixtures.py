@@ -78,30 +78,52 @@ def revision_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
                                "\n").alias("summary")))
 
 
+def _trigram_buckets(word: str) -> list[int]:
+    """md5 bucket of each character trigram of ``<word>`` (same rule as the SQL form)."""
+    import hashlib
+    p = f"<{word}>"
+    return [int(hashlib.md5(p[i:i + 3].encode("utf-8")).hexdigest()[:8], 16) % K.LEXICON_BUCKETS
+            for i in range(len(p) - 2)]
+
+
 def trigram_lexicon(spark: SparkSession, sf_dir: str, tokens: DataFrame, dim: int = 64) -> DataFrame:
     """Context-free word vectors: L2-normalised sum of ``embeddings`` rows picked
     by the md5 bucket of each character trigram of ``<word>``.
 
     Words sharing trigrams get related vectors (0 < d < 1); equal words get
-    equal vectors.  The 500 bucket vectors are a fixed-size table, so they are
-    broadcast; the vocabulary is not, and is aggregated by token.
+    equal vectors.  The vocabulary is distributed (``distinct`` then
+    ``mapInArrow``); only the bucket table travels to the tasks, and it has a
+    fixed size (``LEXICON_BUCKETS`` rows of ``dim`` values), so broadcasting it
+    is bounded.  Each Arrow batch is one sparse-count x table matrix product.
     """
-    emb = (table(spark, sf_dir, "embeddings")
-           .filter(F.col("vec_id") < K.LEXICON_BUCKETS)
-           .select(F.col("vec_id").alias("bucket"),
-                   F.col("embedding").cast("array<double>").alias("e")))
+    import numpy as np
+    import pyarrow as pa
+
+    emb = (table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < K.LEXICON_BUCKETS)
+           .select("vec_id", F.col("embedding").cast("array<double>").alias("e")))
+    rows = emb.collect()                      # bounded: at most LEXICON_BUCKETS rows
+    table_np = np.zeros((K.LEXICON_BUCKETS, dim))
+    for r in rows:
+        table_np[r["vec_id"], :] = r["e"]
+    bc = spark.sparkContext.broadcast(table_np)
+
+    def build(batches):
+        e = bc.value
+        for b in batches:
+            words = b.column("token").to_pylist()
+            counts = np.zeros((len(words), K.LEXICON_BUCKETS))
+            for i, w in enumerate(words):
+                for k in _trigram_buckets(w):
+                    counts[i, k] += 1.0
+            v = counts @ e
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+            flat = pa.array(v.reshape(-1), type=pa.float64())
+            offsets = pa.array(np.arange(0, len(words) * dim + 1, dim, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()),
+                                              pa.ListArray.from_arrays(offsets, flat)], ["token", "vector"])
+
     vocab = tokens.select("token").distinct()
-    tri = vocab.select("token", F.concat(F.lit("<"), "token", F.lit(">")).alias("p"))
-    tri = tri.select("token", F.explode(F.sequence(F.lit(1), F.length("p") - 2)).alias("pos"), "p")
-    tri = tri.select("token", F.expr("substr(p, pos, 3)").alias("tg"))
-    tri = tri.withColumn("bucket", F.pmod(F.conv(F.substring(F.md5("tg"), 1, 8), 16, 10).cast("long"),
-                                          F.lit(K.LEXICON_BUCKETS)))
-    j = tri.join(F.broadcast(emb), "bucket")
-    summed = j.groupBy("token").agg(
-        *[F.sum(F.col("e")[i]).alias(f"d{i}") for i in range(dim)])
-    vec = F.array(*[F.col(f"d{i}") for i in range(dim)])
-    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x * x))
-    return summed.select("token", F.transform(vec, lambda x: x / norm).alias("vector"))
+    return vocab.mapInArrow(build, "token string, vector array<double>")
 
 
 def document_articles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,29 @@ def get_spark(cpus: int | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable by Python workers (``addPyFile`` of a zip).
+
+    Grouped-map and Arrow functions are pickled by reference, so executors
+    need the package; Spark distributes the zip from the driver once per
+    context.
+    """
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    import shutil
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="revisionlens-pkg-")
+    zip_path = shutil.make_archive(os.path.join(out, "revisionlens"), "zip",
+                                   root_dir=os.path.dirname(pkg_dir), base_dir=os.path.basename(pkg_dir))
+    sc.addPyFile(zip_path)
+    _SHIPPED.add(key)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
@@ -49,6 +72,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", current)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(current)
+    ship_package(spark)
     return current
 
 
