@@ -356,3 +356,132 @@ def arc_neighbour_text(arcs_text: DataFrame) -> DataFrame:
              .select(*PAIR, F.lit("y").alias("side"), "sent_idx",
                      F.array_join(F.col("l.sentence_x"), " ").alias("linked_text")))
     return x.unionByName(y)
+
+
+# ------------------------------------------------------------------ D9
+def _content_words_py(text: str) -> list[str]:
+    """Python twin of ``content_words(tokens(text, 'whitespace'))`` for the fold."""
+    import re
+    t = text.strip(" ")
+    ws = [] if t == "" else re.split(r"\s+", t)
+    stop = set(K.STOPWORDS)
+    return [w for w in (x.lower() for x in ws) if w not in stop and w not in K.PUNCTUATION and w != ""]
+
+
+def _joined(pieces) -> str:
+    """Pieces (row, text) in row order, stripped, joined by one space."""
+    text = " ".join(p[1].strip() for p in sorted(pieces, key=lambda p: p[0]))
+    return " ".join(text.split())
+
+
+def fold_cluster(rows: list[list], slack: float = K.CONTAINMENT_SLACK, max_words: int = K.CONTAINMENT_MAX_WORDS,
+                 bound: int = K.MERGE_LOOP_BOUND) -> list[list]:
+    """D9 on one cluster.  ``rows`` are ``[[text_old, tag_old], [text_new, tag_new]]``.
+
+    Repeatedly, for each side a (old, then new): when the text of row j on
+    side a is nearly contained in the text of another row i on the other side,
+    both sides' texts of rows i and j are merged (in row order) into one row,
+    and the merged text is placed by the five placement rules.  Stops when a
+    full pass changes nothing (or after ``bound`` passes).
+    """
+    c = [[list(r[0]), list(r[1])] for r in rows if r[0][0] != "" or r[1][0] != ""]
+    n = len(c)
+    cache: dict[str, list[str]] = {}
+
+    def words(t):
+        key = _joined(t) if isinstance(t, list) else t
+        if key not in cache:
+            cache[key] = _content_words_py(key)
+        return cache[key]
+
+    def contained(big, small):
+        if len(small) > len(big) or len(small) > max_words:
+            return False
+        inside = set(big)
+        return sum(1 for w in small if w in inside) >= len(small) * (1 - slack)
+
+    def has_text_between(i, j, side):
+        lo, hi = min(i, j), max(i, j)
+        return any(c[k][side][0].strip() != "" for k in range(lo + 1, hi))
+
+    def swap(a, b, side):
+        c[a][side], c[b][side] = c[b][side], c[a][side]
+
+    def pieces(i, j, side):
+        out = []
+        for k in (i, j):
+            t = c[k][side][0]
+            out.extend(t if isinstance(t, list) else [(k, t)])
+        return out
+
+    for _ in range(bound + 1):
+        before = [[list(x) for x in r] for r in c]
+        for act in (0, 1):
+            ina = 1 - act
+            for p, q in ((p, q) for p in range(n) for q in range(n)):
+                i, j = (p, q) if act == 0 else (q, p)
+                if i == j or c[j][act][0] == "" or c[i][ina][0] == "":
+                    continue
+                if not contained(words(c[i][ina][0]), words(c[j][act][0])):
+                    continue
+                merged_act, merged_ina = pieces(i, j, act), pieces(i, j, ina)
+                c[j][act][0], c[i][act][0] = merged_act, ""
+                c[i][ina][0], c[j][ina][0] = merged_ina, ""
+                between_act, between_ina = has_text_between(i, j, act), has_text_between(i, j, ina)
+                if abs(i - j) == 1:
+                    swap(i, j, act)                      # rule 1: neighbours, move the active side
+                elif between_act and between_ina:
+                    pass                                 # rule 2: text on both sides in between, stay
+                elif between_act:
+                    swap(i, j, ina)                      # rule 3: active text in between, move the other side
+                else:
+                    swap(i, j, act)                      # rules 4 and 5: move the active side
+                for k in (i, j):
+                    for side in (act, ina):
+                        if isinstance(c[k][side][0], list):
+                            c[k][side][0] = _joined(c[k][side][0])
+        for k in range(n):
+            for side in (0, 1):
+                if isinstance(c[k][side][0], list):
+                    c[k][side][0] = _joined(c[k][side][0])
+        if c == before:
+            break
+    return c
+
+
+MERGED_SCHEMA = T.StructType([f for f in ALIGNED_SCHEMA.fields if f.name not in ("sent_idx_old", "sent_idx_new")]
+                             + [T.StructField("cluster_id", T.IntegerType())])
+
+
+def _fold_group(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("row_idx")
+    rows = [[[o, to], [nw, tn]] for o, to, nw, tn in
+            zip(pdf["text_old"], pdf["tag_old"], pdf["text_new"], pdf["tag_new"])]
+    out = fold_cluster(rows)
+    out = [r for r in out if r[0][0] != "" or r[1][0] != ""]
+    head = pdf.iloc[0]
+    res = pd.DataFrame({
+        "text_old": [r[0][0] for r in out], "tag_old": [r[0][1] for r in out],
+        "text_new": [r[1][0] for r in out], "tag_new": [r[1][1] for r in out]})
+    first = int(pdf["row_idx"].min())
+    res["row_idx"] = [first + k for k in range(len(out))]
+    for col in ("source", "entry_id", "version_x", "version_y", "cluster_id"):
+        res[col] = head[col]
+    return res[[f.name for f in MERGED_SCHEMA.fields]]
+
+
+def merge_split_sentences(clustered: DataFrame) -> DataFrame:
+    """Fold split/merged sentences inside edit clusters.
+
+    Only clusters with a containment hit (D8) go through the grouped map (one
+    cluster per group, in row order); all other rows pass through unchanged.
+    Rows whose two texts are empty are dropped.  ``row_idx`` keeps the
+    cluster's first position, so rows still sort by (row_idx) within a pair.
+    """
+    key = PAIR + ["cluster_id"]
+    hit = containment_pairs(clustered).select(*key).distinct()
+    todo = clustered.join(hit, key, "left_semi")
+    rest = clustered.join(hit, key, "left_anti").filter((F.col("text_old") != "") | (F.col("text_new") != ""))
+    folded = todo.groupBy(*key).applyInPandas(_fold_group, schema=MERGED_SCHEMA)
+    cols = [f.name for f in MERGED_SCHEMA.fields]
+    return rest.select(*cols).unionByName(folded.select(*cols))

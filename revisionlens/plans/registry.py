@@ -1010,3 +1010,8 @@ def q_s8(spark, sf):
     q = CM.start_continuous_matching(spark, landing, landing, out, checkpoint=out + "-ck")
     q.awaitTermination()
     return rounded(CM.read_matches(spark, out))
+
+
+@register("d9_merge_split_sentences")
+def q_d9(spark, sf):
+    return DF.merge_split_sentences(DF.edit_clusters(rev_aligned(spark, sf)))
