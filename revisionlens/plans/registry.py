@@ -260,7 +260,9 @@ def q_m6_steps(spark, sf):
     return rounded(M.complete_arcs(M.match_two_sided(*sides), conv_sentences(spark, sf)))
 
 
-@register("m6_revision_mutual_only")
+@register("m6_revision_mutual_only", O.with_(*REV, ("mu", """SELECT * FROM m5
+WHERE avg_sentence_distance_x IS NOT NULL AND avg_sentence_distance_y IS NOT NULL"""),
+    ("m6mu", O.M6[1].replace("m5", "mu")), select=f"{ARC_ROUND} FROM m6mu"))
 def q_m6_mutual(spark, sf):
     return rounded(M.match_sentences(rev_sentences(spark, sf), mutual_only=True))
 
