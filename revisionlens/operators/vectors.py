@@ -9,7 +9,9 @@ is a block = one article and two consecutive versions.  Within a block only
 and a block is cut into tiles of at most ``tile`` distinct tokens per side,
 so a hot article is spread over many tasks and no task holds more than
 ``tile x tile`` distances.  Each tile is one matrix product in numpy (Arrow
-batches in, only pairs under the cutoff out).
+batches in, only pairs under the cutoff out).  Blocks that fit in one tile
+share groups (hash buckets sized to about one tile of rows), so small
+articles do not pay one grouped-map call each.
 """
 
 from __future__ import annotations
@@ -103,9 +105,7 @@ def _tile_distances(cutoff: float, dim_hint: int = 0):
         values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         return values.reshape(len(flat), -1) if len(flat) else values.reshape(0, 0)
 
-    def run(x: pa.Table, y: pa.Table) -> pa.Table:
-        if x.num_rows == 0 or y.num_rows == 0:
-            return pa.Table.from_pylist([], schema=_ARROW_PAIR)
+    def block(x: pa.Table, y: pa.Table) -> pa.Table:
         a, b = mat(x.column("vec")), mat(y.column("vec"))
         a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
         b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
@@ -121,6 +121,21 @@ def _tile_distances(cutoff: float, dim_hint: int = 0):
             pa.array([head["version_x"]] * n, pa.int32()), pa.array([head["version_y"]] * n, pa.int32()),
             pa.array(tx[ii].tolist(), pa.string()), pa.array(ty[jj].tolist(), pa.string()),
             pa.array(d[ii, jj], pa.float64())], schema=_ARROW_PAIR)
+
+    def split(t: pa.Table) -> dict:
+        keys = list(zip(t.column("source").to_pylist(), t.column("entry_id").to_pylist(),
+                        t.column("version_x").to_pylist()))
+        groups: dict = {}
+        for i, k in enumerate(keys):
+            groups.setdefault(k, []).append(i)
+        return {k: t.take(pa.array(v, pa.int64())) for k, v in groups.items()}
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        if x.num_rows == 0 or y.num_rows == 0:
+            return pa.Table.from_pylist([], schema=_ARROW_PAIR)
+        xs, ys = split(x), split(y)            # a group may hold several small blocks
+        parts = [block(xs[k], ys[k]) for k in xs if k in ys]
+        return pa.concat_tables(parts) if parts else pa.Table.from_pylist([], schema=_ARROW_PAIR)
     return run
 
 
@@ -146,25 +161,39 @@ def near_token_pairs(tokens: DataFrame, cutoff: float = K.WORD_DISTANCE_CUTOFF,
                    .dropDuplicates(keys + ["token"]))
     sizes = vocab.groupBy(*keys).agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("k", F.ceil(F.col("n") / F.lit(tile)).cast("int"))
+    # blocks that fit in one tile share groups: about one tile of rows per group
+    total = sizes.agg(F.sum("n")).first()[0] or 0     # one number, from a one-row-per-version table
+    nb = max(1, int(total // tile))
     hx = F.pmod(F.xxhash64("token"), F.col("kx")).cast("int")
 
+    def group_cols(vx):
+        small = (F.col("kx") == 1) & (F.col("ky") == 1)
+        return [F.when(small, F.pmod(F.xxhash64("source", "entry_id", vx), F.lit(nb))).otherwise(F.lit(-1))
+                 .cast("long").alias("gb"),
+                F.when(small, F.lit(None)).otherwise(F.col("source")).alias("g_source"),
+                F.when(small, F.lit(None)).otherwise(F.col("entry_id")).alias("g_entry"),
+                F.when(small, F.lit(None)).otherwise(vx).cast("int").alias("g_version")]
+
     nxt = sizes.select(*keys[:2], (F.col("version") - 1).alias("version"), F.col("k").alias("ky"))
     x = (vocab.join(sizes.select(*keys, F.col("k").alias("kx")), keys)
               .join(nxt, keys)
               .select(F.col("source"), F.col("entry_id"), F.col("version").alias("version_x"),
-                      (F.col("version") + 1).alias("version_y"), "token", "vec",
-                      hx.alias("chunk_x"), F.explode(F.sequence(F.lit(0), F.col("ky") - 1)).alias("chunk_y")))
+                      (F.col("version") + 1).alias("version_y"), "token", "vec", "kx", "ky",
+                      hx.alias("chunk_x"), F.explode(F.sequence(F.lit(0), F.col("ky") - 1)).alias("chunk_y"))
+              .select("*", *group_cols(F.col("version_x"))))
     prev = sizes.select(*keys[:2], (F.col("version") + 1).alias("version"), F.col("k").alias("kx"))
     hy = F.pmod(F.xxhash64("token"), F.col("ky")).cast("int")
     y = (vocab.join(sizes.select(*keys, F.col("k").alias("ky")), keys)
               .join(prev, keys)
               .select(F.col("source"), F.col("entry_id"), (F.col("version") - 1).alias("version_x"),
-                      F.col("version").alias("version_y"), "token", "vec",
-                      F.explode(F.sequence(F.lit(0), F.col("kx") - 1)).alias("chunk_x"), hy.alias("chunk_y")))
-    g = ["source", "entry_id", "version_x", "version_y", "chunk_x", "chunk_y"]
+                      F.col("version").alias("version_y"), "token", "vec", "kx", "ky",
+                      F.explode(F.sequence(F.lit(0), F.col("kx") - 1)).alias("chunk_x"), hy.alias("chunk_y"))
+              .select("*", *group_cols(F.col("version_x"))))
+    g = ["gb", "g_source", "g_entry", "g_version", "chunk_x", "chunk_y"]
+    cols = ["source", "entry_id", "version_x", "version_y", "token", "vec"] + g
     # both sides come from one lineage: fresh aliases keep their attributes apart
-    x = x.select(*[F.col(c).alias(c) for c in x.columns])
-    y = y.select(*[F.col(c).alias(c) for c in y.columns])
+    x = x.select(*[F.col(c).alias(c) for c in cols])
+    y = y.select(*[F.col(c).alias(c) for c in cols])
     return (x.groupBy(*g).cogroup(y.groupBy(*g))
              .applyInArrow(_tile_distances(cutoff), schema=_PAIR_SCHEMA))
 
