@@ -218,13 +218,18 @@ def arcs_from_pairs(pairs: DataFrame, sentences: DataFrame,
                      .select(*PAIR, F.lit(None).cast("int").alias("sent_idx_x"), "sent_idx_y",
                              F.lit(None).cast("double").alias("dx"), F.lit(None).cast("double").alias("dy"),
                              F.lit(2).alias("kind")))
-    real = pairs.select(*PAIR, "sent_idx_x", "sent_idx_y", F.col("avg_sentence_distance_x").alias("dx"),
+    # A pair at or above the threshold on both sides can never be output: a
+    # sentence without any closer partner gets its NULL-partner row either way
+    # (M4 when it met a word pair, M6 when it did not), and the placeholder
+    # rows below produce exactly that row.  So only close pairs are ranked.
+    thr = F.lit(threshold)
+    close = pairs.filter((F.col("avg_sentence_distance_x") < thr) | (F.col("avg_sentence_distance_y") < thr))
+    real = close.select(*PAIR, "sent_idx_x", "sent_idx_y", F.col("avg_sentence_distance_x").alias("dx"),
                         F.col("avg_sentence_distance_y").alias("dy"), F.lit(0).alias("kind"))
     u = real.unionByName(ph_x).unionByName(ph_y)
     wx = Window.partitionBy(*PAIR, "sent_idx_x").orderBy(F.col("kind"), F.round("dx", 6), F.col("sent_idx_y"))
     wy = Window.partitionBy(*PAIR, "sent_idx_y").orderBy(F.col("kind"), F.round("dy", 6), F.col("sent_idx_x"))
     u = u.withColumn("rx", F.row_number().over(wx)).withColumn("ry", F.row_number().over(wy))
-    thr = F.lit(threshold)
     best_x = (F.col("kind") == 0) & (F.col("rx") == 1)
     best_y = (F.col("kind") == 0) & (F.col("ry") == 1)
     keep_x = best_x & (F.col("dx") < thr)

@@ -89,13 +89,17 @@ def spread(df):
     return df
 
 
-def materialize(df):
-    """Cut lineage by writing ``df`` once to the shared checkpoint folder.
-
-    Used for inputs that several branches of one plan read (split sentences,
-    lexicons): each branch then scans the written files instead of recomputing
-    the text work, and a lost executor recomputes from the files, not from the
-    raw text.
+def materialize(df, name: str = "table"):
+    """Cut lineage by writing ``df`` once as a Parquet table in the shared
+    checkpoint folder and reading it back.
+
+    Used for inputs that several branches of one plan read (split sentences):
+    each branch then scans the written files, with column pruning and filter
+    pushdown, instead of recomputing the text work; a lost executor re-reads
+    the files instead of recomputing from the raw text.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
