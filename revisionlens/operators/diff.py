@@ -314,14 +314,19 @@ def diff_quality_rows(versions: DataFrame, aligned: DataFrame, pairs: DataFrame)
 
 # ------------------------------------------------------------------ D8 / D9
 def containment_pairs(clustered: DataFrame, slack: float = K.CONTAINMENT_SLACK,
-                      max_words: int = K.CONTAINMENT_MAX_WORDS) -> DataFrame:
+                      max_words: int = K.CONTAINMENT_MAX_WORDS, materialized: bool = False) -> DataFrame:
     """Inside a cluster, text s2 (row j, active side) is nearly a subset of
     text s1 (row i != j, the other side): len2 <= len1, len2 <= max_words and at
     least len2 * (1 - slack) of s2's content words occur in s1.
 
     Candidate (i, j) come from an equi-join on (cluster, word); rows whose s2
     has no content word are contained in every s1 and are paired by cluster.
+    The input is read four times, so it is written once to the checkpoint
+    folder first (unless the caller already did).
     """
+    from revisionlens.session import materialize
+    if not materialized:
+        clustered = materialize(clustered, "clusters")
     key = PAIR + ["cluster_id"]
     cw = lambda t: X.content_words(X.tokens(F.col(t), "whitespace"))
     sides = []
@@ -478,8 +483,10 @@ def merge_split_sentences(clustered: DataFrame) -> DataFrame:
     Rows whose two texts are empty are dropped.  ``row_idx`` keeps the
     cluster's first position, so rows still sort by (row_idx) within a pair.
     """
+    from revisionlens.session import materialize
     key = PAIR + ["cluster_id"]
-    hit = containment_pairs(clustered).select(*key).distinct()
+    clustered = materialize(clustered, "clusters")
+    hit = containment_pairs(clustered, materialized=True).select(*key).distinct()
     todo = clustered.join(hit, key, "left_semi")
     rest = clustered.join(hit, key, "left_anti").filter((F.col("text_old") != "") | (F.col("text_new") != ""))
     folded = todo.groupBy(*key).applyInPandas(_fold_group, schema=MERGED_SCHEMA)

@@ -68,6 +68,11 @@ def matched(spark: SparkSession, sf: str, fixture: str = "conversations", lexico
     return M.match_sentences(s, lex, cutoff=cutoff, threshold=threshold)
 
 
+def matched_table(spark: SparkSession, sf: str, fixture: str = "conversations") -> DataFrame:
+    """The matched_sentences table as later steps read it: written once, then scanned."""
+    return materialize(matched(spark, sf, fixture), "matched")
+
+
 # ------------------------------------------------------------------ T: text
 @register("t3_split_sentences", O.with_(*O.sentences_ctes("conversations"),
           select="SELECT source, entry_id, version, sent_idx, sentence FROM sentences"))
@@ -323,7 +328,7 @@ def q_v5(spark, sf):
 
 # ------------------------------------------------------------------ A: selection and nesting
 def conv_arcs(spark, sf):
-    return matched(spark, sf, "conversations")
+    return matched_table(spark, sf, "conversations")
 
 
 A1_SQL = """SELECT source, entry_id, version FROM (
@@ -414,7 +419,7 @@ ARCS_LIST = """list({'version_x': version_x, 'version_y': version_y, 'sent_idx_x
 
 
 @register("a7_nest_arcs", O.with_(*CONV, select=f"""
-SELECT source, entry_id, version_x, version_y, to_json({ARCS_LIST}) AS arcs_json
+SELECT source, entry_id, version_x, version_y, CAST(to_json({ARCS_LIST}) AS VARCHAR) AS arcs_json
 FROM m6 GROUP BY source, entry_id, version_x, version_y"""))
 def q_a7(spark, sf):
     n = SEL.nest_arcs(rounded(conv_arcs(spark, sf)))
@@ -425,7 +430,7 @@ NODES_LIST = """list({'version': version, 'sent_idx': sent_idx, 'sentence': sent
 
 
 @register("a8_nest_nodes", O.with_(*O.sentences_ctes("conversations"), select=f"""
-SELECT source, entry_id, version, to_json({NODES_LIST}) AS nodes_json FROM sentences
+SELECT source, entry_id, version, CAST(to_json({NODES_LIST}) AS VARCHAR) AS nodes_json FROM sentences
 GROUP BY source, entry_id, version"""))
 def q_a8(spark, sf):
     n = SEL.nest_nodes(conv_sentences(spark, sf))
@@ -439,7 +444,7 @@ FROM n a JOIN n b ON a.source = b.source AND a.entry_id = b.entry_id AND b.versi
 
 
 @register("a9_pair_nodes", O.with_(*O.sentences_ctes("conversations"), ("pn", PAIR_NODES_SQL), select="""
-SELECT source, entry_id, version_x, version_y, to_json(nodes) AS nodes_json FROM pn"""))
+SELECT source, entry_id, version_x, version_y, CAST(to_json(nodes) AS VARCHAR) AS nodes_json FROM pn"""))
 def q_a9(spark, sf):
     n = SEL.pair_nodes(SEL.nest_nodes(conv_sentences(spark, sf)))
     return n.select("source", "entry_id", "version_x", "version_y", _json("nodes").alias("nodes_json"))
@@ -461,7 +466,7 @@ FROM pn FULL OUTER JOIN na ON pn.source = na.source AND pn.entry_id = na.entry_i
 
 
 @register("a10_match_records", O.with_(*CONV, ("mr", MATCH_RECORDS_SQL), select="""
-SELECT source, entry_id, version_x, version_y, to_json(nodes) AS nodes_json, to_json(arcs) AS arcs_json FROM mr"""))
+SELECT source, entry_id, version_x, version_y, CAST(to_json(nodes) AS VARCHAR) AS nodes_json, CAST(to_json(arcs) AS VARCHAR) AS arcs_json FROM mr"""))
 def q_a10(spark, sf):
     r = SEL.match_records(rounded(conv_arcs(spark, sf)), conv_sentences(spark, sf))
     return r.select("source", "entry_id", "version_x", "version_y", _json("nodes").alias("nodes_json"),
@@ -648,7 +653,7 @@ def q_a22(spark, sf):
 
 # ------------------------------------------------------------------ R: moved sentences (revision fixture)
 def rev_arcs(spark, sf):
-    return matched(spark, sf, "revision")
+    return matched_table(spark, sf, "revision")
 
 
 R1_SQL = """
@@ -979,7 +984,7 @@ def q_s3(spark, sf):
 
 @register("s6_export_pairs_json", O.with_(*CONV, ("mr", MATCH_RECORDS_SQL), select="""
 SELECT printf('(''%s'', %d, %d, %d)', source, entry_id, version_x, version_y) AS key,
-       to_json({'nodes': nodes, 'arcs': arcs}) AS record FROM mr"""))
+       CAST(to_json({'nodes': nodes, 'arcs': arcs}) AS VARCHAR) AS record FROM mr"""))
 def q_s6(spark, sf):
     r = SEL.match_records(rounded(conv_arcs(spark, sf)), conv_sentences(spark, sf))
     return SK.export_pairs_json(r)

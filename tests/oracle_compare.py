@@ -73,6 +73,7 @@ def main():
         try:
             res = con.execute(sqls[k])
             dcols = [d[0] for d in res.description]
+            dtypes = {d[0]: str(d[1]).upper() for d in res.description}
             drows = res.fetchall()
         except Exception as e:  # noqa: BLE001
             print(f"{k}: DUCKDB ERROR {str(e)[:300]}")
@@ -87,8 +88,13 @@ def main():
         b = sorted(tuple(norm(v) for v in r) for r in drows)
         ok = ok_cols and a == b
         bad += 0 if ok else 1
+        tmap = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                "boolean": "BOOLEAN", "float": "FLOAT"}
+        stypes = {f.name: tmap.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+        tdiff = {c: (stypes[c], dtypes.get(c)) for c in stypes if c in dtypes and stypes[c] != dtypes[c]}
         print(f"{k}: {'OK ' if ok else 'DIFF'} spark={len(rows)} duck={len(drows)} "
-              f"cols={'ok' if ok_cols else (cols, dcols)} {ts:.1f}s/{td:.1f}s")
+              f"cols={'ok' if ok_cols else (cols, dcols)} {ts:.1f}s/{td:.1f}s"
+              + (f" TYPES {tdiff}" if tdiff else ""))
         if not ok and ok_cols:
             sa, sb = set(a), set(b)
             print("   only spark:", list(sa - sb)[:3])
