@@ -92,7 +92,9 @@ def sentence_diff_set(sentences: DataFrame, pairs: DataFrame, similar: float = K
     occ_n = Window.partitionBy(*PAIR, "text_new").orderBy("sent_idx_new")
     o = old.withColumn("occ", F.row_number().over(occ_o)).withColumn("t", F.col("text_old"))
     n = new.withColumn("occ", F.row_number().over(occ_n)).withColumn("t", F.col("text_new"))
-    j = o.join(n, PAIR + ["t", "occ"], "full_outer")
+    # the occurrence join feeds five branches below: write it once instead of recomputing it
+    from revisionlens.session import materialize
+    j = materialize(o.join(n, PAIR + ["t", "occ"], "full_outer").drop("t"), "diff-occurrences")
     same = j.filter(F.col("sent_idx_old").isNotNull() & F.col("sent_idx_new").isNotNull())
     rem = j.filter(F.col("sent_idx_new").isNull()).select(*PAIR, "sent_idx_old", "text_old")
     add = j.filter(F.col("sent_idx_old").isNull()).select(*PAIR, "sent_idx_new", "text_new")
