@@ -64,25 +64,34 @@ def lsh_hash(df: DataFrame, col: str = "norm_word_embedding", bucket_length: flo
 
 def word_pairs_lsh(tokens: DataFrame, cutoff: float = K.WORD_DISTANCE_CUTOFF,
                    bucket_length: float = 3.0, num_tables: int = 3, seed: int = 42) -> DataFrame:
-    """V4: approximate word pairs (LSH similarity join) of consecutive versions.
-
-    Joins distinct (article, version, token, vector) rows, keeps pairs in the
-    same article with ``version_y = version_x + 1``; approximate by nature.
+    """V4: approximate word pairs of consecutive versions by random-projection LSH.
+
+    The result is the set a similarity join returns once restricted to one
+    article and ``version_y = version_x + 1``: distinct token pairs that share
+    a bucket in at least one hash table and lie under the cutoff.  The
+    restriction is part of the join key (article, version pair, table,
+    bucket), so candidates never leave their article; a library-level join
+    keyed on the bucket alone would pair every article with every other.
     """
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import vector_to_array
 
-    vocab = (tokens.select("source", "entry_id", "version", "token", "word_embedding")
-                   .dropDuplicates(["source", "entry_id", "version", "token"]))
+    keys = ["source", "entry_id", "version"]
+    vocab = (tokens.select(*keys, "token", "word_embedding").dropDuplicates(keys + ["token"]))
     vocab = l2_normalize(vocab, "word_embedding", "norm")
-    model, _ = lsh_hash(vocab, "norm", bucket_length, num_tables, seed)
-    v = vocab.withColumn("__vec", array_to_vector("norm"))
-    j = model.approxSimilarityJoin(v, v, cutoff, distCol="distance")
-    a, b = F.col("datasetA"), F.col("datasetB")
-    return (j.filter((a.source == b.source) & (a.entry_id == b.entry_id) & (b.version == a.version + 1))
-             .select(a.source.alias("source"), a.entry_id.alias("entry_id"),
-                     a.version.alias("version_x"), b.version.alias("version_y"),
-                     a.token.alias("token_x"), b.token.alias("token_y"),
-                     F.when(a.token == b.token, F.lit(0.0)).otherwise(F.col("distance")).alias("distance")))
+    _, hashed = lsh_hash(vocab, "norm", bucket_length, num_tables, seed)
+    h = hashed.select(*keys, "token", "norm", F.posexplode("hashes").alias("tbl", "hv")) \
+              .withColumn("bucket", vector_to_array("hv")[0]).drop("hv")
+    x = h.select("source", "entry_id", F.col("version").alias("version_x"), "tbl", "bucket",
+                 F.col("token").alias("token_x"), F.col("norm").alias("a"))
+    y = h.select("source", "entry_id", (F.col("version") - 1).alias("version_x"), "tbl", "bucket",
+                 F.col("token").alias("token_y"), F.col("norm").alias("b"))
+    cand = (x.join(y, ["source", "entry_id", "version_x", "tbl", "bucket"])
+             .dropDuplicates(["source", "entry_id", "version_x", "token_x", "token_y"]))
+    sq = F.aggregate(F.zip_with("a", "b", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda acc, v: acc + v)
+    d = F.when(F.col("token_x") == F.col("token_y"), F.lit(0.0)).otherwise(F.sqrt(sq))
+    return (cand.select("source", "entry_id", "version_x", (F.col("version_x") + 1).alias("version_y"),
+                        "token_x", "token_y", d.alias("distance"))
+                .filter(F.col("distance") < cutoff))
 
 
 _PAIR_SCHEMA = T.StructType([
