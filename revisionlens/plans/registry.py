@@ -1022,3 +1022,23 @@ def q_s8(spark, sf):
 @register("d9_merge_split_sentences")
 def q_d9(spark, sf):
     return DF.merge_split_sentences(DF.edit_clusters(rev_aligned(spark, sf)))
+
+
+@register("d12_diff_quality_rows_documents", O.with_(O.DOC_ARTICLES, ("sentences", O.split_sql(O.sentence_array("summary"))),
+    ("apairs", """
+SELECT source, entry_id, version AS version_x, version_y FROM (
+  SELECT source, entry_id, version, lead(version) OVER (PARTITION BY source, entry_id ORDER BY version) AS version_y
+  FROM (SELECT DISTINCT source, entry_id, version FROM articles)) WHERE version_y IS NOT NULL"""),
+    ("dpairs", "SELECT * FROM apairs"), *D2_CTES[1:], select=f"""
+SELECT source, entry_id, NULL::INTEGER AS version_x, NULL::INTEGER AS version_y, 'error, only one version' AS status
+FROM (SELECT source, entry_id FROM (SELECT DISTINCT source, entry_id, version FROM articles)
+      GROUP BY source, entry_id HAVING count(*) = 1)
+UNION ALL
+SELECT {PK}, 'error, no sentences.' FROM apairs p
+WHERE NOT EXISTS (SELECT 1 FROM aligned a WHERE a.source = p.source AND a.entry_id = p.entry_id
+                  AND a.version_x = p.version_x AND a.version_y = p.version_y)"""))
+def q_d12_docs(spark, sf):
+    arts = FX.document_articles(spark, sf)
+    s = TX.split_sentences(arts)
+    pairs = DF.version_pairs(arts)
+    return DF.diff_quality_rows(arts, DF.sentence_diff_set(s, pairs), pairs)
