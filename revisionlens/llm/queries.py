@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revisionlens.llm import decontam, htmltext, linededup, mixing, neardup, rules
+from revisionlens.llm import decontam, htmltext, linededup, mixing, neardup, rules, tokens, urls
 from revisionlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_html_text")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op2_token_ids")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.tokenized(table(spark, sf_dir, "documents"))
+
+
+@query("op6_url_filter")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"))
