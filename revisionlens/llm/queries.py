@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revisionlens.llm import decontam, htmltext, linededup, mixing, neardup, rules, tokens, urls
+from revisionlens.llm import decontam, htmltext, kneserney, licenses, linededup, mixing, neardup, rules, tokens, urls
 from revisionlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_url_filter")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
+
+
+@query("op8_kneser_ney_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneserney.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_license_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(table(spark, sf_dir, "documents"))

@@ -89,7 +89,7 @@ def template_shares(urls: DataFrame) -> DataFrame:
         merged = child.groupBy("host", "template", "name").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
         shares = child.select("host", "template", "segment", "name", "up").join(merged, ["host", "template", "name"])
         shares = shares.select("host", "template", "segment", "name", ((F.col("b") + SMOOTHING * F.col("up")) / (F.col("l") + SMOOTHING)).alias("new"), F.col("l").alias("evidence"))
-        nodes = nodes.join(shares, ["host", "template", "segment"]).select("host", "segments", "n", "labelled", "blocked", F.col("new").alias("share"), F.col("name").alias("template"), "evidence")
+        nodes = nodes.drop("evidence").join(shares, ["host", "template", "segment"]).select("host", "segments", "n", "labelled", "blocked", F.col("new").alias("share"), F.col("name").alias("template"), "evidence")
         nodes = written(nodes, f"level{level}")
     return nodes.groupBy("host", "segments").agg(F.first("share").alias("share"), F.first("template").alias("template"), F.first("evidence").alias("evidence"))
 
