@@ -9,10 +9,11 @@ the register's number, so small sets band like large ones.
 * Documents with equal sets are one class; the smallest ``doc_id`` stands for it.
 * 48 bands of five registers each: two sets of similarity 0.75 miss every band
   with a probability of (1 - 0.75**5)**48 = 2e-6.
-* Links are looked for in two turns.  First each member of a band's bucket
-  against the bucket's smallest id (one pair a member, never all pairs).  Then,
-  only in buckets whose members are still in different components, the pairs
-  across components: large buckets are cut into tiles, and a pair leaves its task
+* Links are looked for in three turns.  First each document against the smallest
+  id that it shares a bucket with (one pair a document).  Then each member of a
+  band's bucket against the bucket's smallest id, if they are still in different
+  components.  Then, only in buckets whose members still are, the pairs across
+  components: large buckets are cut into tiles, and a pair leaves its task
   only if its short signature passes.
 * Every pair passes the collision-corrected Jaccard estimate of the full
   registers (with a margin of 4.5 standard deviations) and is then confirmed on
@@ -308,6 +309,12 @@ def pairs_across(members: DataFrame, sketch: DataFrame, found: DataFrame) -> Dat
     return rows.mapInArrow(_across, "a long, b long").distinct()
 
 
+def _between(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components of ``found``."""
+    a, b = found.select(F.col("id").alias("a"), F.col("component").alias("ca")), found.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+    return pairs.join(a, "a", "left").join(b, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: ``doc_id, n_shingles, component_id, kept`` (see the module's text)."""
     prepare(documents.sparkSession)
@@ -327,11 +334,15 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     members = written(keyed.join(buckets.filter("n > 2").select("key", "low"), "key"), "members")
     stars = buckets.filter("n = 2").select(F.col("high").alias("a"), F.col("low").alias("b")).unionByName(
         members.filter("doc_id != low").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))).distinct()
+    stars = written(stars, "stars")
     sketch_of_reps = sketch.filter("fp1 is not null").select("doc_id", "n_shingles", "regs").dropDuplicates(["doc_id"])
-    first = links(docs, sketch_of_reps, stars)
-    found = components(first)
-    more = links(docs, sketch_of_reps, pairs_across(members.select("key", "doc_id"), sketch_of_reps, found))
-    found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+    # one pair a document first; then what is still in different components
+    found = components(links(docs, sketch_of_reps, stars.groupBy("a").agg(F.min("b").alias("b"))))
+    for pairs in (lambda: _between(stars, found), lambda: pairs_across(members.select("key", "doc_id"), sketch_of_reps, found)):
+        more = written(pairs(), "pairs")
+        if more.head(1):
+            found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links(docs, sketch_of_reps, more)))
 
     # every document by its class, every class by its component
     class_of = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component_id"))
