@@ -13,8 +13,9 @@ the register's number, so small sets band like large ones.
   id that it shares a bucket with (one pair a document).  Then each member of a
   band's bucket against the bucket's smallest id, if they are still in different
   components.  Then, only in buckets whose members still are, the pairs across
-  components: large buckets are cut into tiles, and a pair leaves its task
-  only if its short signature passes.
+  components (of small sets an upper bound of the intersection decides, from 16
+  bits of each shingle; of others the registers' low bytes): large buckets are cut into tiles, and a pair leaves its task
+  only if it passes.
 * Every pair passes the collision-corrected Jaccard estimate of the full
   registers (with a margin of 4.5 standard deviations) and is then confirmed on
   the full sets: ``100 * |A and B| >= 75 * |A or B|``.
@@ -45,7 +46,7 @@ from revisionlens.llm.textbatch import chunks, mix, shingle_sets
 BUCKET_BITS, MANTISSA_BITS = 8, 10
 REGISTERS = 1 << BUCKET_BITS
 BANDS, ROWS = 48, 5
-SHORT = 128          # registers whose low byte is the short signature
+CODED, NO_CODE = 512, 1 << 16      # sets of up to so many shingles also travel as 16-bit codes
 TILE = 256           # members of a bucket that are compared in one block
 SIMILARITY = (75, 100)
 
@@ -220,9 +221,9 @@ def links(docs: DataFrame, sketch: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs across components within a tile, by short signature.
+    """Pairs across components within a tile that may be links.
 
-    Rows come sorted by (key, i, j); columns key, i, j, side, doc_id, component, n, short.
+    Rows come sorted by (key, i, j); columns key, i, j, side, doc_id, component, n, short, codes.
     """
     left: pa.Table | None = None
     for batch in batches:
@@ -245,39 +246,53 @@ def _compared(t: pa.Table, cut: np.ndarray) -> Iterator[pa.RecordBatch]:
         return
     t = t.combine_chunks()
     side, doc, comp, n = (t.column(i).to_numpy() for i in range(3, 7))
-    short = _matrix(t.column(7).chunk(0), np.uint8, SHORT)
+    short = _matrix(t.column(7).chunk(0), np.uint8, REGISTERS)
     a, b = [], []
     edges = [0, *[int(x) for x in cut if x < t.num_rows], t.num_rows]
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
         rows = np.arange(lo, hi)
-        one, two = rows[side[lo:hi] <= 0], rows[side[lo:hi] != 0]
         both = side[lo] < 0                          # a tile of a chunk with itself
-        two = one if both else two
+        one = rows[side[lo:hi] <= 0]
+        two = one if both else rows[side[lo:hi] != 0]
         if not len(one) or not len(two):
             continue
+        codes = [np.frombuffer(x.as_buffer(), np.uint16) for x in t.column(8).slice(lo, hi - lo)]
+        wide = np.full((hi - lo, max(map(len, codes))), NO_CODE, np.int32)
+        for k, x in enumerate(codes):
+            wide[k, :len(x)] = x
         for r in one:
             c = two[two > r] if both else two
             c = c[(comp[c] != comp[r]) & (100 * np.minimum(n[c], n[r]) >= 75 * np.maximum(n[c], n[r]))]
-            if len(c):
-                agree = (short[c] == short[r]).sum(axis=1)
-                low, high = n[c].astype(float), np.full(len(c), float(n[r]))
-                est = (agree / SHORT - 1 / 256) / (1 - 1 / 256)
-                c = c[est >= 0.75 - margin(low, high, SHORT)]
-                a.append(np.full(len(c), doc[r]))
-                b.append(doc[c])
+            if not len(c):
+                continue
+            exact = (n[c] <= CODED) & (n[r] <= CODED)
+            agree = (short[c] == short[r]).sum(axis=1)
+            est = (agree / REGISTERS - 1 / 256) / (1 - 1 / 256)
+            keep = exact | (est >= 0.75 - margin(n[c].astype(float), np.full(len(c), float(n[r]))))
+            if exact.any():
+                held = np.zeros(NO_CODE + 1, np.int32)
+                np.add.at(held, codes[r - lo], 1)
+                most = held[wide[c[exact] - lo]].sum(axis=1)          # at least the size of the intersection
+                keep[exact] = 100 * most >= 75 * (n[c[exact]] + n[r] - most)
+            a.append(np.full(int(keep.sum()), doc[r]))
+            b.append(doc[c[keep]])
     if a:
         x, y = np.concatenate(a), np.concatenate(b)
         yield pa.record_batch([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
 
 
 def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document the low bytes of its registers and, of a set of up to CODED shingles, 16 bits of each."""
     for batch in batches:
-        if batch.num_rows:
-            regs = _matrix(batch.column(2), np.uint16, REGISTERS)[:, -SHORT:]
-            yield pa.record_batch([batch.column(0), batch.column(1), _binary(regs.astype(np.uint8))], names=["doc_id", "n", "short"])
+        for lo, hi, texts in chunks(batch.column(1)):
+            sets = shingle_sets(texts)
+            regs = np.array([registers(x) if len(x) else np.zeros(REGISTERS, np.uint16) for x in sets]).astype(np.uint8)
+            codes = [(x & np.uint64(NO_CODE - 1)).astype(np.uint16).tobytes() if len(x) <= CODED else b"" for x in sets]
+            yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array([len(x) for x in sets], pa.int64()), _binary(regs), pa.array(codes, pa.binary())],
+                                  names=["doc_id", "n", "short", "codes"])
 
 
-def pairs_across(members: DataFrame, sketch: DataFrame, found: DataFrame) -> DataFrame:
+def pairs_across(docs: DataFrame, members: DataFrame, found: DataFrame) -> DataFrame:
     """Candidate pairs between different components of ``found`` that share a bucket of ``members`` (key, doc_id).
 
     A bucket of up to ``TILE`` members is one tile.  A larger one is cut into
@@ -300,11 +315,13 @@ def pairs_across(members: DataFrame, sketch: DataFrame, found: DataFrame) -> Dat
     parts = m.select("key", "chunk", "of").distinct()
     other = parts.select("key", F.col("chunk").alias("j"), F.col("of").alias("of_j"))
     tiles = parts.select("key", F.col("chunk").alias("i"), "of").join(other, "key").filter("(i < j or (i = j and of is null)) and not (of <=> of_j and of is not null)").select("key", "i", "j")
-    short = sketch.join(m.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "regs").mapInArrow(_short, "doc_id long, n long, short binary")
+    ids = written(m.select("doc_id").distinct(), "mixed-ids")
+    short = docs.join(checked_broadcast(ids, ids.count()), "doc_id", "left_semi").mapInArrow(_short, "doc_id long, n long, short binary, codes binary")
+    short = written(short, "short").dropDuplicates(["doc_id"])
     ends = tiles.select("key", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("chunk"), F.lit(-1).cast("long").alias("side"))))
                         .otherwise(F.array(F.struct(F.col("i").alias("chunk"), F.lit(0).cast("long").alias("side")), F.struct(F.col("j").alias("chunk"), F.lit(1).cast("long").alias("side"))))).alias("x"))
     ends = ends.select("key", "i", "j", F.col("x.chunk").alias("chunk"), F.col("x.side").alias("side"))
-    rows = m.join(ends, ["key", "chunk"]).join(short, "doc_id").select("key", "i", "j", "side", "doc_id", "component", "n", "short")
+    rows = m.join(ends, ["key", "chunk"]).join(short, "doc_id").select("key", "i", "j", "side", "doc_id", "component", "n", "short", "codes")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
     return rows.mapInArrow(_across, "a long, b long").distinct()
 
@@ -339,7 +356,7 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     # one pair a document first; then what is still in different components
     found = components(links(docs, sketch_of_reps, stars.groupBy("a").agg(F.min("b").alias("b"))))
-    for pairs in (lambda: _between(stars, found), lambda: pairs_across(members.select("key", "doc_id"), sketch_of_reps, found)):
+    for pairs in (lambda: _between(stars, found), lambda: pairs_across(docs, members.select("key", "doc_id"), found)):
         more = written(pairs(), "pairs")
         if more.head(1):
             found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links(docs, sketch_of_reps, more)))
