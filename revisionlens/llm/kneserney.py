@@ -40,8 +40,8 @@ BITS = 12
 MODEL_ENTRIES = 2_000_000
 QUANTILE, SLACK, PRIOR_CHARS = 0.995, 0.15, 100
 HELD_OUT = 10
-CHUNK_CHARS = 1 << 20
-TASK_GRAMS = 2_000_000       # distinct five-grams that a task holds before it hands on what it has
+CHUNK_CHARS = 1 << 18
+TASK_GRAMS = 1_000_000       # distinct five-grams that a task holds before it hands on what it has
 START = 2
 
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at a time (a single longer text is worked on alone).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 1 << 64)
@@ -41,7 +41,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, CHUNK_BYTES + 8192), base, np.uint64)
+        have = np.full(max(n, CHUNK_BYTES + 65536), base, np.uint64)
         have[0] = 1
         _POWERS[base] = have = np.cumprod(have)
     return have[:n]

@@ -9,7 +9,7 @@ and filter, and a full read splits at stripes.
 
 The tokenizer's normaliser and splitter never join text across a space or line
 feed, so the ids of a text are the ids of its blank-separated pieces in order.
-Each task asks the tokenizers library once for each distinct piece and keeps the
+A worker asks the tokenizers library once for each distinct piece and keeps the
 answers in a table that is emptied at ``CACHE_PIECES`` entries (a time saver: no
 answer depends on it).
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,10 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 ROW_INDEX_STRIDE = 1000
 STRIPE_BYTES = 16 << 20
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
+CHUNK_CHARS = 1 << 19        # texts are encoded some at a time
+#: Letters below this (Latin, Greek, Cyrillic) are lower-cased one by one everywhere, but for a sigma at a word's end.
+PLAIN_BELOW, SIGMA = "\u0530", "\u03a3"
 SCHEMA = "doc_id long, n_tokens int, ids array<int>"
 
 
@@ -45,8 +49,25 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _parts(piece: str) -> tuple[str, str]:
+    """(lower-cased letters, stop) of a piece of plain letters and perhaps a full stop or comma; else (piece, "")."""
+    stem, stop = (piece[:-1], piece[-1]) if piece[-1:] in (".", ",") else (piece, "")
+    plain = stem.isalpha() and max(stem) < PLAIN_BELOW and SIGMA not in stem
+    return (stem.lower(), stop) if plain else (piece, "")
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The worker process's encoder: its table serves all tasks that the process runs."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 class Encoder:
-    """Ids of texts through a table of pieces; one in each task."""
+    """Ids of texts through a table of pieces."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -58,48 +79,60 @@ class Encoder:
         self.ids = np.zeros(1 << 16, np.int32)
         self.start, self.size, self.used, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0, 1
 
-    def _learn(self, pieces: list[str]) -> None:
-        for piece, encoded in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            ids = encoded.ids
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            if self.count == len(self.start):
-                self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-            self.ids[self.used:self.used + len(ids)] = ids
-            self.start[self.count], self.size[self.count] = self.used, len(ids)
-            self.places[piece] = self.count
-            self.used += len(ids)
-            self.count += 1
-
-    def encode(self, text: str) -> np.ndarray:
-        pieces = text.replace("\n", " ").split(" ")
+    def _store(self, pieces: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.count + len(pieces) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        here = slice(self.count, self.count + len(pieces))
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.size[here] = size
+        self.start[here] = self.used + np.cumsum(size) - size
+        self.places.update(zip(pieces, range(here.start, here.stop), strict=True))
+        self.used += len(ids)
+        self.count += len(pieces)
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        """The ids of the pieces at these places, one after the other."""
+        size = self.size[at]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.arange(total) + np.repeat(self.start[at] - (ends - size), size)]
+
+    def _learn(self, pieces: set[str]) -> None:
+        """The tokenizer lower-cases and splits letters from a stop: ``Word.`` has the ids of ``word`` and of ``.``."""
+        parts = {p: _parts(p) for p in pieces}
+        stems = sorted({x for pair in parts.values() for x in pair}.difference(self.places))
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(stems, add_special_tokens=False)]
+        self._store(stems, np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found)))
+        pieces = [p for p in pieces if p not in self.places]
+        at = np.fromiter((self.places[x] for p in pieces for x in parts[p]), np.int64, 2 * len(pieces))
+        self._store(pieces, self._gather(at), self.size[at].reshape(-1, 2).sum(axis=1))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, with the end id."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
         if self.count > CACHE_PIECES:
             self._empty()
-        new = set(pieces).difference(self.places)
+        new = set().union(*split).difference(self.places)
         if new:
-            self._learn(sorted(new))
-        at = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
-        size = self.size[at]
-        ends = np.cumsum(size)
-        total = int(ends[-1])
-        out = np.empty(total + 1, np.int32)
-        out[:total] = self.ids[np.arange(total) + np.repeat(self.start[at] - (ends - size), size)]
-        out[total] = END_ID
-        return out
+            self._learn(new)
+        return [np.append(self._gather(np.fromiter(map(self.places.__getitem__, s), np.int64, len(s))), np.int32(END_ID)) for s in split]
 
 
 def _encoding(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
-            part: list[np.ndarray] = []
+            part: list[str] = []
             lo = size = 0
             for i, text in enumerate(batch.column(1)):
-                part.append(encoder.encode(text.as_py() or ""))
+                part.append(text.as_py() or "")
                 size += len(part[-1])
-                if size >= 1 << 20 or i == batch.num_rows - 1:      # some million ids at a time go back
-                    n = np.array([len(x) for x in part], np.int32)
-                    ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(part)))
+                if size >= CHUNK_CHARS or i == batch.num_rows - 1:
+                    found = encoder.encode(part)
+                    n = np.array([len(x) for x in found], np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(found)))
                     yield pa.record_batch([batch.column(0).slice(lo, len(part)), pa.array(n), ids], names=["doc_id", "n_tokens", "ids"])
                     part, lo, size = [], i + 1, 0
     return encoded
