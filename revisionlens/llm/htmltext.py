@@ -45,6 +45,7 @@ RAW = frozenset("script style noscript template textarea title svg math iframe o
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt".split())
+LISTS = frozenset("ul ol dl table".split())
 NEVER = frozenset("head nav footer aside form button select option optgroup datalist dialog menu script style noscript template textarea title svg math iframe object input".split())
 NAMES = sorted(BLOCK | VOID | RAW | frozenset("a abbr b big cite code em font i ins del kbd label mark q s small span strike strong sub sup time tt u var button select option audio video".split()))
 # Words of class, id and role that mark what isn't content.
@@ -241,10 +242,10 @@ def _inside(page: Page, element: int, holder: int) -> bool:
 
 
 def _prose_of(page: Page, element: int, holder: int) -> bool:
-    """Whether text of ``element`` belongs to a paragraph or heading directly in ``holder``."""
+    """Whether text of ``element`` belongs to a paragraph or heading directly in ``holder`` (or a list, unless that is the whole page)."""
     while element > holder and page.parent[element] != holder:
         element = page.parent[element]
-    return element > holder and page.name[element] in PROSE
+    return element > holder and (page.name[element] in PROSE or page.name[element] in LISTS and page.name[holder] not in ("#root", "html", "body"))
 
 
 def _common(page: Page, elements: list[int]) -> int:
