@@ -112,8 +112,6 @@ STOPWORDS = [
 
 # Merge/split alignment of edited clusters.
 CONTAINMENT_SLACK = 0.5          # share of words of the shorter sentence allowed to be missing
-CONTAINMENT_MAX_WORDS = 50       # longer candidate sentences are never folded
-MERGE_LOOP_BOUND = 10000         # bound of the fold loop per cluster
 DIFF_SIMILAR_RATIO = 0.8         # word ratio above which ndiff's -/+ pair is one edited sentence
 LOW_OVERLAP_RATIO = 0.2          # arcs under this word overlap are flagged for review
 
@@ -136,7 +134,6 @@ LATEX_MARKS = {
 SENTENCE_PATTERN = r'[^.!?\n]+[.!?]*'     # one sentence: text up to and including its end marks
 TOKEN_PATTERN = r'[\p{L}\p{N}]+'          # one word: a run of letters and digits
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-LEXICON_BUCKETS = 500                     # trigram buckets of the fixture lexicon (vec_id 0..499)
 
 
 def _accent_table() -> tuple[str, str]:

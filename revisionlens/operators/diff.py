@@ -1,16 +1,11 @@
 """Version diffs (D1-D14): which sentences and words were kept, removed, added
 or changed between two versions.
 
-Two alignments are offered:
-
-* ``sentence_diff_set`` (D2): order-free.  Equal texts pair up by occurrence
+The alignment, ``sentence_diff_set`` (D2), is order-free.  Equal texts pair up by occurrence
   number (the k-th copy of a text in the old version with the k-th copy in the
   new one); leftovers pair up as *changed* when their multiset word overlap is
   above 0.8 and each is the other's best candidate.  Candidates come from an
   equi-join on shared words, never from all pairs of leftovers.
-* ``sentence_diff_ordered`` (D3): an ``ndiff``-style ordered alignment with
-  blank fillers, computed with stdlib ``difflib`` on one version pair per
-  group (``applyInPandas``).
 
 Aligned rows have ``row_idx, text_old, tag_old, text_new, tag_new`` with tags
 ``'-'`` (removed), ``'+'`` (added) and ``' '`` (kept or blank filler).
@@ -18,12 +13,8 @@ Aligned rows have ``row_idx, text_old, tag_old, text_new, tag_new`` with tags
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from revisionlens.functions import constants as K
 from revisionlens.functions import text as X
@@ -122,93 +113,6 @@ def sentence_diff_set(sentences: DataFrame, pairs: DataFrame, similar: float = K
     return u.withColumn("row_idx", (F.row_number().over(w) - 1).cast("int")).select(*ALIGNED)
 
 
-# ------------------------------------------------------------------ D3
-ALIGNED_SCHEMA = T.StructType([
-    T.StructField("source", T.StringType()),
-    T.StructField("entry_id", T.LongType()),
-    T.StructField("version_x", T.IntegerType()),
-    T.StructField("version_y", T.IntegerType()),
-    T.StructField("row_idx", T.IntegerType()),
-    T.StructField("sent_idx_old", T.IntegerType()),
-    T.StructField("text_old", T.StringType()),
-    T.StructField("tag_old", T.StringType()),
-    T.StructField("sent_idx_new", T.IntegerType()),
-    T.StructField("text_new", T.StringType()),
-    T.StructField("tag_new", T.StringType()),
-])
-
-
-def _word_ratio(a: str, b: str) -> float:
-    return difflib.SequenceMatcher(None, a.split(), b.split()).ratio()
-
-
-def align_lists(old: list[str], new: list[str], similar: float = K.DIFF_SIMILAR_RATIO):
-    """Ordered alignment of two lists with blank fillers.
-
-    Each ``ndiff`` removal becomes a row ``(old, blank)`` unless ndiff marks it
-    as an edit (an intraline ``?`` hint follows it, or follows the next
-    insertion), or the next line is an insertion with a word ratio above
-    ``similar``: then it shares a row with that insertion.  Insertions not
-    paired this way become ``(blank, new)``; common lines become ``(x, x)``.
-    Returns rows ``(old_pos, old_text, old_tag, new_pos, new_text, new_tag)``.
-    """
-    codes = [(line[0], line[2:]) for line in difflib.ndiff(old, new)]
-    rows = []
-    pending = None            # index in rows of a removal waiting for its insertion
-    io = jn = 0
-    for k, (code, txt) in enumerate(codes):
-        if code == "?":
-            continue
-        if code == " ":
-            rows.append([io, txt, " ", jn, txt, " "])
-            io += 1
-            jn += 1
-        elif code == "-":
-            nxt = codes[k + 1][0] if k + 1 < len(codes) else None
-            nxt2 = codes[k + 2][0] if k + 2 < len(codes) else None
-            edit = nxt == "?" or (nxt2 == "?" and nxt != "-")
-            if not edit and nxt == "+" and _word_ratio(txt, codes[k + 1][1]) > similar:
-                edit = True
-            rows.append([io, txt, "-", None, "", " "])
-            io += 1
-            pending = len(rows) - 1 if edit else None
-        else:  # "+"
-            if pending is not None:
-                rows[pending][3:] = [jn, txt, "+"]
-                pending = None
-            else:
-                rows.append([None, "", " ", jn, txt, "+"])
-            jn += 1
-    return rows
-
-
-def _ordered_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    head = pdf.iloc[0]
-    o = pdf[pdf["side"] == 0].sort_values("sent_idx")
-    n = pdf[pdf["side"] == 1].sort_values("sent_idx")
-    old_idx, new_idx = o["sent_idx"].tolist(), n["sent_idx"].tolist()
-    rows = align_lists(o["sentence"].tolist(), n["sentence"].tolist())
-    out = pd.DataFrame(rows, columns=["po", "text_old", "tag_old", "pn", "text_new", "tag_new"], dtype=object)
-    out["sent_idx_old"] = [None if r[0] is None else old_idx[r[0]] for r in rows]
-    out["sent_idx_new"] = [None if r[3] is None else new_idx[r[3]] for r in rows]
-    for c in ("source", "entry_id", "version_x", "version_y"):
-        out[c] = head[c]
-    out["row_idx"] = range(len(out))
-    out["sent_idx_old"] = out["sent_idx_old"].astype("Int32")
-    out["sent_idx_new"] = out["sent_idx_new"].astype("Int32")
-    return out[[f.name for f in ALIGNED_SCHEMA.fields]]
-
-
-def sentence_diff_ordered(sentences: DataFrame, pairs: DataFrame) -> DataFrame:
-    """D3: ordered (``ndiff``-style) alignment, one version pair per group."""
-    old, new = _sides(sentences, pairs)
-    rows = (old.select(*PAIR, F.lit(0).alias("side"), F.col("sent_idx_old").alias("sent_idx"),
-                       F.col("text_old").alias("sentence"))
-               .unionByName(new.select(*PAIR, F.lit(1).alias("side"), F.col("sent_idx_new").alias("sent_idx"),
-                                       F.col("text_new").alias("sentence"))))
-    return rows.groupBy(*PAIR).applyInPandas(_ordered_group, schema=ALIGNED_SCHEMA)
-
-
 # ------------------------------------------------------------------ D5 / D11 / D13
 def word_diff(aligned: DataFrame) -> DataFrame:
     """Words of each changed row tagged removed ``-`` / added ``+`` / kept ``' '``.
@@ -316,10 +220,10 @@ def diff_quality_rows(versions: DataFrame, aligned: DataFrame, pairs: DataFrame)
 
 # ------------------------------------------------------------------ D8 / D9
 def containment_pairs(clustered: DataFrame, slack: float = K.CONTAINMENT_SLACK,
-                      max_words: int = K.CONTAINMENT_MAX_WORDS, materialized: bool = False) -> DataFrame:
+                      max_words: int | None = None, materialized: bool = False) -> DataFrame:
     """Inside a cluster, text s2 (row j, active side) is nearly a subset of
-    text s1 (row i != j, the other side): len2 <= len1, len2 <= max_words and at
-    least len2 * (1 - slack) of s2's content words occur in s1.
+    text s1 (row i != j, the other side): len2 <= len1, len2 <= max_words (if one
+    is given) and at least len2 * (1 - slack) of s2's content words (T7 tokens) occur in s1.
 
     Candidate (i, j) come from an equi-join on (cluster, word); rows whose s2
     has no content word are contained in every s1 and are paired by cluster.
@@ -330,7 +234,7 @@ def containment_pairs(clustered: DataFrame, slack: float = K.CONTAINMENT_SLACK,
     if not materialized:
         clustered = materialize(clustered, "clusters")
     key = PAIR + ["cluster_id"]
-    cw = lambda t: X.content_words(X.tokens(F.col(t), "whitespace"))
+    cw = lambda t: X.content_words(X.tokens(F.col(t)))
     sides = []
     for active, a_text, i_text in ((0, "text_old", "text_new"), (1, "text_new", "text_old")):
         s2 = clustered.filter(F.col(a_text) != "").select(*key, F.col("row_idx").alias("j"), cw(a_text).alias("w2"))
@@ -344,7 +248,7 @@ def containment_pairs(clustered: DataFrame, slack: float = K.CONTAINMENT_SLACK,
         empty = s2.filter(F.col("l2") == 0).join(s1, key).select(*key, "i", "j", F.lit(0).cast("long").alias("m"),
                                                                   "l1", "l2")
         c = hits.unionByName(empty).filter(
-            (F.col("i") != F.col("j")) & (F.col("l2") <= F.col("l1")) & (F.col("l2") <= max_words)
+            (F.col("i") != F.col("j")) & (F.col("l2") <= F.col("l1")) & (F.lit(True) if max_words is None else F.col("l2") <= max_words)
             & (F.col("m") >= F.col("l2") * (1 - slack)))
         sides.append(c.withColumn("active_side", F.lit(active)))
     return sides[0].unionByName(sides[1])
@@ -366,131 +270,41 @@ def arc_neighbour_text(arcs_text: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ D9
-def _content_words_py(text: str) -> list[str]:
-    """Python twin of ``content_words(tokens(text, 'whitespace'))`` for the fold."""
-    import re
-    t = text.strip(" ")
-    ws = [] if t == "" else re.split(r"\s+", t)
-    stop = set(K.STOPWORDS)
-    return [w for w in (x.lower() for x in ws) if w not in stop and w not in K.PUNCTUATION and w != ""]
-
-
-def _joined(pieces) -> str:
-    """Pieces (row, text) in row order, stripped, joined by one space."""
-    text = " ".join(p[1].strip() for p in sorted(pieces, key=lambda p: p[0]))
-    return " ".join(text.split())
-
-
-def fold_cluster(rows: list[list], slack: float = K.CONTAINMENT_SLACK, max_words: int = K.CONTAINMENT_MAX_WORDS,
-                 bound: int = K.MERGE_LOOP_BOUND) -> list[list]:
-    """D9 on one cluster.  ``rows`` are ``[[text_old, tag_old], [text_new, tag_new]]``.
-
-    Repeatedly, for each side a (old, then new): when the text of row j on
-    side a is nearly contained in the text of another row i on the other side,
-    both sides' texts of rows i and j are merged (in row order) into one row,
-    and the merged text is placed by the five placement rules.  Stops when a
-    full pass changes nothing (or after ``bound`` passes).
-    """
-    c = [[list(r[0]), list(r[1])] for r in rows if r[0][0] != "" or r[1][0] != ""]
-    n = len(c)
-    cache: dict[str, list[str]] = {}
-
-    def words(t):
-        key = _joined(t) if isinstance(t, list) else t
-        if key not in cache:
-            cache[key] = _content_words_py(key)
-        return cache[key]
-
-    def contained(big, small):
-        if len(small) > len(big) or len(small) > max_words:
-            return False
-        inside = set(big)
-        return sum(1 for w in small if w in inside) >= len(small) * (1 - slack)
-
-    def has_text_between(i, j, side):
-        lo, hi = min(i, j), max(i, j)
-        return any(c[k][side][0].strip() != "" for k in range(lo + 1, hi))
-
-    def swap(a, b, side):
-        c[a][side], c[b][side] = c[b][side], c[a][side]
-
-    def pieces(i, j, side):
-        out = []
-        for k in (i, j):
-            t = c[k][side][0]
-            out.extend(t if isinstance(t, list) else [(k, t)])
-        return out
-
-    for _ in range(bound + 1):
-        before = [[list(x) for x in r] for r in c]
-        for act in (0, 1):
-            ina = 1 - act
-            for p, q in ((p, q) for p in range(n) for q in range(n)):
-                i, j = (p, q) if act == 0 else (q, p)
-                if i == j or c[j][act][0] == "" or c[i][ina][0] == "":
-                    continue
-                if not contained(words(c[i][ina][0]), words(c[j][act][0])):
-                    continue
-                merged_act, merged_ina = pieces(i, j, act), pieces(i, j, ina)
-                c[j][act][0], c[i][act][0] = merged_act, ""
-                c[i][ina][0], c[j][ina][0] = merged_ina, ""
-                between_act, between_ina = has_text_between(i, j, act), has_text_between(i, j, ina)
-                if abs(i - j) == 1:
-                    swap(i, j, act)                      # rule 1: neighbours, move the active side
-                elif between_act and between_ina:
-                    pass                                 # rule 2: text on both sides in between, stay
-                elif between_act:
-                    swap(i, j, ina)                      # rule 3: active text in between, move the other side
-                else:
-                    swap(i, j, act)                      # rules 4 and 5: move the active side
-                for k in (i, j):
-                    for side in (act, ina):
-                        if isinstance(c[k][side][0], list):
-                            c[k][side][0] = _joined(c[k][side][0])
-        for k in range(n):
-            for side in (0, 1):
-                if isinstance(c[k][side][0], list):
-                    c[k][side][0] = _joined(c[k][side][0])
-        if c == before:
-            break
-    return c
-
-
-MERGED_SCHEMA = T.StructType([f for f in ALIGNED_SCHEMA.fields if f.name not in ("sent_idx_old", "sent_idx_new")]
-                             + [T.StructField("cluster_id", T.IntegerType())])
-
-
-def _fold_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("row_idx")
-    rows = [[[o, to], [nw, tn]] for o, to, nw, tn in
-            zip(pdf["text_old"], pdf["tag_old"], pdf["text_new"], pdf["tag_new"])]
-    out = fold_cluster(rows)
-    out = [r for r in out if r[0][0] != "" or r[1][0] != ""]
-    head = pdf.iloc[0]
-    res = pd.DataFrame({
-        "text_old": [r[0][0] for r in out], "tag_old": [r[0][1] for r in out],
-        "text_new": [r[1][0] for r in out], "tag_new": [r[1][1] for r in out]})
-    first = int(pdf["row_idx"].min())
-    res["row_idx"] = [first + k for k in range(len(out))]
-    for col in ("source", "entry_id", "version_x", "version_y", "cluster_id"):
-        res[col] = head[col]
-    return res[[f.name for f in MERGED_SCHEMA.fields]]
-
-
-def merge_split_sentences(clustered: DataFrame) -> DataFrame:
-    """Fold split/merged sentences inside edit clusters.
-
-    Only clusters with a containment hit (D8) go through the grouped map (one
-    cluster per group, in row order); all other rows pass through unchanged.
-    Rows whose two texts are empty are dropped.  ``row_idx`` keeps the
-    cluster's first position, so rows still sort by (row_idx) within a pair.
+def merge_split_sentences(clustered: DataFrame, slack: float = K.CONTAINMENT_SLACK, max_words: int | None = None) -> DataFrame:
+    """Bring the pieces of split or merged sentences together.
+
+    A sentence without a partner in its own row that is contained (D8) in
+    sentences of the other side goes to the row of its one best container: the
+    one that holds the largest share of its words, then the nearest row, then
+    the lowest.  Each row's texts of a side are then joined in row order, and the
+    indices of their sentences are kept in order.  All moves are decided on the rows as
+    they came in, so the result depends on no order of steps; rows left
+    without text are gone.
     """
     from revisionlens.session import materialize
     key = PAIR + ["cluster_id"]
     clustered = materialize(clustered, "clusters")
-    hit = containment_pairs(clustered, materialized=True).select(*key).distinct()
-    todo = clustered.join(hit, key, "left_semi")
-    rest = clustered.join(hit, key, "left_anti").filter((F.col("text_old") != "") | (F.col("text_new") != ""))
-    folded = todo.groupBy(*key).applyInPandas(_fold_group, schema=MERGED_SCHEMA)
-    cols = [f.name for f in MERGED_SCHEMA.fields]
-    return rest.select(*cols).unionByName(folded.select(*cols))
+    hits = containment_pairs(clustered, slack, max_words, materialized=True)
+    rank = Window.partitionBy(*key, "active_side", "j").orderBy(
+        (F.col("m") / F.greatest("l2", F.lit(1))).desc(), F.abs(F.col("i") - F.col("j")), "i")
+    best = (hits.withColumn("place", F.row_number().over(rank)).filter("place = 1")
+                .select(*key, F.col("active_side").alias("side"), F.col("j").alias("row_idx"), F.col("i").alias("target")))
+    alone = (F.col("text_old") == "") | (F.col("text_new") == "")
+    pieces = None
+    for side, name in ((0, "old"), (1, "new")):
+        part = clustered.filter(F.col(f"text_{name}") != "").select(
+            *key, "row_idx", F.lit(side).alias("side"), alone.alias("alone"), F.col(f"text_{name}").alias("text"),
+            F.col(f"tag_{name}").alias("tag"), F.col(f"sent_idx_{name}").alias("sent_idx"))
+        pieces = part if pieces is None else pieces.unionByName(part)
+    pieces = pieces.join(best, key + ["side", "row_idx"], "left")
+    pieces = pieces.withColumn("to", F.when(F.col("alone"), F.coalesce("target", "row_idx")).otherwise(F.col("row_idx")))
+
+    def joined(side: int):
+        mine = F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("row_idx", F.trim("text").alias("text"), "sent_idx"))))
+        tag = F.coalesce(F.max(F.when(F.col("side") == side, F.col("tag"))), F.lit(" "))
+        return mine, tag
+
+    (old, tag_old), (new, tag_new) = joined(0), joined(1)
+    rows = pieces.groupBy(*key, F.col("to").alias("row_idx")).agg(old.alias("old"), tag_old.alias("tag_old"), new.alias("new"), tag_new.alias("tag_new"))
+    return rows.select(*PAIR, "row_idx", F.col("old.sent_idx").alias("sent_idx_old"), F.array_join("old.text", " ").alias("text_old"), "tag_old",
+                       F.col("new.sent_idx").alias("sent_idx_new"), F.array_join("new.text", " ").alias("text_new"), "tag_new", "cluster_id")

@@ -33,7 +33,6 @@ def conversation_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # FIXED VALUES of the planted revision history (integer rules on (i + doc_id)).
-_REV_MAX_CHARS = 6000
 _V1_DELETE = "(x.i + doc_id) % 11 = 4"
 _V2_DELETE = "(x.i + doc_id) % 13 = 6"
 _V1_EDIT = "(x.i + doc_id) % 9 = 2"
@@ -42,12 +41,11 @@ _V1_ADD = "(x.i + doc_id) % 10 = 7"
 
 
 def revision_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Split sentences of versions 0, 1, 2 of each short document.
+    """Split sentences of versions 0, 1, 2 of each document.
 
     ``sent_idx`` = rank of (order key, text) within the version, from 0.
     """
     d = (table(spark, sf_dir, "documents", balance=True)
-         .filter(F.col("n_chars") < _REV_MAX_CHARS)
          .select(F.col("doc_id").cast("long").alias("doc_id"), "source",
                  X.sentence_array(F.col("text")).alias("sents")))
     d = d.withColumn("idx", F.expr("transform(sents, (s, i) -> named_struct('i', i, 's', s))"))
@@ -78,52 +76,26 @@ def revision_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
                                "\n").alias("summary")))
 
 
-def _trigram_buckets(word: str) -> list[int]:
-    """md5 bucket of each character trigram of ``<word>`` (same rule as the SQL form)."""
-    import hashlib
-    p = f"<{word}>"
-    return [int(hashlib.md5(p[i:i + 3].encode("utf-8")).hexdigest()[:8], 16) % K.LEXICON_BUCKETS
-            for i in range(len(p) - 2)]
-
-
 def trigram_lexicon(spark: SparkSession, sf_dir: str, tokens: DataFrame, dim: int = 64) -> DataFrame:
     """Context-free word vectors: L2-normalised sum of ``embeddings`` rows picked
     by the md5 bucket of each character trigram of ``<word>``.
 
     Words sharing trigrams get related vectors (0 < d < 1); equal words get
-    equal vectors.  The vocabulary is distributed (``distinct`` then
-    ``mapInArrow``); only the bucket table travels to the tasks, and it has a
-    fixed size (``LEXICON_BUCKETS`` rows of ``dim`` values), so broadcasting it
-    is bounded.  Each Arrow batch is one sparse-count x table matrix product.
+    equal vectors.  All of it is DataFrame work: the trigrams of the distinct
+    words, a join with the whole ``embeddings`` table by bucket, and one sum a
+    dimension.  The modulus is the table's own size.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    emb = (table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < K.LEXICON_BUCKETS)
-           .select("vec_id", F.col("embedding").cast("array<double>").alias("e")))
-    rows = emb.collect()                      # bounded: at most LEXICON_BUCKETS rows
-    table_np = np.zeros((K.LEXICON_BUCKETS, dim))
-    for r in rows:
-        table_np[r["vec_id"], :] = r["e"]
-    bc = spark.sparkContext.broadcast(table_np)
-
-    def build(batches):
-        e = bc.value
-        for b in batches:
-            words = b.column("token").to_pylist()
-            counts = np.zeros((len(words), K.LEXICON_BUCKETS))
-            for i, w in enumerate(words):
-                for k in _trigram_buckets(w):
-                    counts[i, k] += 1.0
-            v = counts @ e
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            flat = pa.array(v.reshape(-1), type=pa.float64())
-            offsets = pa.array(np.arange(0, len(words) * dim + 1, dim, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()),
-                                              pa.ListArray.from_arrays(offsets, flat)], ["token", "vector"])
-
-    vocab = tokens.select("token").distinct()
-    return vocab.mapInArrow(build, "token string, vector array<double>")
+    e = table(spark, sf_dir, "embeddings")
+    size = e.agg((F.max("vec_id") + 1).alias("size")).first()["size"] or 1
+    padded = F.concat(F.lit("<"), F.col("token"), F.lit(">"))
+    grams = tokens.select("token").distinct().select(
+        "token", F.explode(F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.substr(padded, i, F.lit(3)))).alias("gram"))
+    bucket = F.conv(F.substring(F.md5("gram"), 1, 8), 16, 10).cast("long") % F.lit(size)
+    grams = grams.groupBy("token", bucket.alias("vec_id")).agg(F.count("*").alias("n"))
+    parts = grams.join(e.select("vec_id", F.col("embedding").cast("array<double>").alias("e")), "vec_id")
+    sums = parts.groupBy("token").agg(*[F.sum(F.col("n") * F.col("e")[k]).alias(f"d{k}") for k in range(dim)])
+    norm = F.greatest(F.sqrt(sum((F.col(f"d{k}") * F.col(f"d{k}") for k in range(1, dim)), F.col("d0") * F.col("d0"))), F.lit(1e-300))
+    return sums.select("token", F.array(*[F.col(f"d{k}") / norm for k in range(dim)]).alias("vector"))
 
 
 def document_articles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ FROM (SELECT source, entry_id, version, {sentence_array('summary')} AS arr FROM
 
 REV_BASE = ("rev_base", f"""
 SELECT doc_id AS entry_id, source, CAST(u.i - 1 AS INTEGER) AS i, u.s AS s
-FROM (SELECT doc_id, source, {sentence_array('text')} AS arr FROM documents WHERE n_chars < 6000),
+FROM (SELECT doc_id, source, {sentence_array('text')} AS arr FROM documents),
      unnest(arr) WITH ORDINALITY AS u(s, i)""")
 
 REV_KEYED = ("rev_keyed", """
@@ -97,10 +97,10 @@ tri AS (
   FROM vocab, LATERAL (SELECT unnest(range(1, length('<' || token || '>') - 1)) AS pos) r
 ),
 b AS (
-  SELECT token, CAST(('0x' || substr(md5(tg), 1, 8)) AS BIGINT) % {K.LEXICON_BUCKETS} AS bucket FROM tri
+  SELECT token, CAST(('0x' || substr(md5(tg), 1, 8)) AS BIGINT) % (SELECT max(vec_id) + 1 FROM embeddings) AS bucket FROM tri
 ),
 e AS (
-  SELECT vec_id AS bucket, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < {K.LEXICON_BUCKETS}
+  SELECT vec_id AS bucket, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
 ),
 dims AS (
   SELECT b.token, g.d, sum(e.e[g.d + 1]) AS v

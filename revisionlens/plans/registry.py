@@ -58,7 +58,7 @@ def sentences_of(fixture: str):
 
 
 def lexicon_for(spark: SparkSession, sf: str, sentences: DataFrame) -> DataFrame:
-    return FX.trigram_lexicon(spark, sf, M.sentence_tokens(sentences))
+    return materialize(FX.trigram_lexicon(spark, sf, M.sentence_tokens(sentences)), "lexicon")
 
 
 def matched(spark: SparkSession, sf: str, fixture: str = "conversations", lexicon: bool = False,
@@ -821,12 +821,6 @@ def q_d2(spark, sf):
     return rev_aligned(spark, sf)
 
 
-@register("d3_sentence_diff_ordered")
-def q_d3(spark, sf):
-    s = rev_sentences(spark, sf)
-    return DF.sentence_diff_ordered(s, DF.version_pairs(s))
-
-
 @register("d5_word_diff", O.with_(*REV_D2, *D5_CTES, select="SELECT * FROM wd"))
 def q_d5(spark, sf):
     return DF.word_diff(rev_aligned(spark, sf))
@@ -843,7 +837,7 @@ def q_d7(spark, sf):
 
 
 def _d8_side(a_text: str, i_text: str, active: int) -> str:
-    cw = lambda t: O.content_words_sql(O.words_sql(t))
+    cw = lambda t: O.content_words_sql(O.tokens_of(t))
     return f"""
 SELECT {PK}, cluster_id, i, j, m, l1, l2, {active} AS active_side FROM (
   SELECT {PK}, cluster_id, i, j, count(*) AS m, CAST(min(l1) AS INTEGER) AS l1, CAST(min(l2) AS INTEGER) AS l2
@@ -857,7 +851,7 @@ SELECT {PK}, cluster_id, i, j, m, l1, l2, {active} AS active_side FROM (
   FROM (SELECT {PK}, cluster_id, row_idx AS j, len({cw(a_text)}) AS l2 FROM clustered WHERE {a_text} <> '') s2
   JOIN (SELECT {PK}, cluster_id, row_idx AS i, len({cw(i_text)}) AS l1 FROM clustered WHERE {i_text} <> '') s1
   USING ({PK}, cluster_id) WHERE l2 = 0)
-WHERE i <> j AND l2 <= l1 AND l2 <= 50 AND m >= l2 * 0.5"""
+WHERE i <> j AND l2 <= l1 AND m >= l2 * 0.5"""
 
 
 @register("d8_containment_pairs", O.with_(*REV_D2, ("clustered", D7_SQL), select=_d8_side("text_old", "text_new", 0)
@@ -998,8 +992,8 @@ batch AS (SELECT * FROM ids ORDER BY entry_id, source LIMIT 50 OFFSET 10)
 SELECT a.* FROM articles a SEMI JOIN batch USING (source, entry_id)"""))
 def q_s7(spark, sf):
     arts = FX.conversation_articles(spark, sf)
-    c = conv_sentences(spark, sf).groupBy("entry_id", "version").count()
-    done = c.filter(F.col("count") < 2).select("entry_id").distinct()
+    c = conv_sentences(spark, sf).groupBy("source", "entry_id", "version").count()
+    done = c.filter(F.col("count") < 2).select("source", "entry_id").distinct()
     return RD.backlog_batch(arts, done, 50, 10)
 
 
@@ -1019,9 +1013,33 @@ def q_s8(spark, sf):
     return rounded(CM.read_matches(spark, out))
 
 
-@register("d9_merge_split_sentences")
+def _d9_side(name: str, side: int) -> str:
+    return f"""
+SELECT {PK}, cluster_id, row_idx, {side} AS side, text_old = '' OR text_new = '' AS alone, text_{name} AS text, tag_{name} AS tag, sent_idx_{name} AS sent_idx
+FROM clustered WHERE text_{name} <> ''"""
+
+
+def _d9_joined(name: str, side: int) -> str:
+    return f"""string_agg(trim(text), ' ' ORDER BY p.row_idx) FILTER (WHERE p.side = {side}) AS t_{name}, max(tag) FILTER (WHERE p.side = {side}) AS g_{name},
+  string_agg(CAST(sent_idx AS VARCHAR), ',' ORDER BY p.row_idx) FILTER (WHERE p.side = {side}) AS s_{name}"""
+
+
+@register("d9_merge_split_sentences", O.with_(*REV_D2, ("clustered", D7_SQL),
+    ("hits", _d8_side("text_old", "text_new", 0) + "\nUNION ALL\n" + _d8_side("text_new", "text_old", 1)),
+    ("best", f"""
+SELECT {PK}, cluster_id, active_side AS side, j AS row_idx, i AS target FROM hits
+QUALIFY row_number() OVER (PARTITION BY {PK}, cluster_id, active_side, j ORDER BY CAST(m AS DOUBLE) / greatest(l2, 1) DESC, abs(i - j), i) = 1"""),
+    ("pieces", _d9_side("old", 0) + "\nUNION ALL\n" + _d9_side("new", 1)),
+    ("merged", f"""
+SELECT {PK}, cluster_id, CASE WHEN alone THEN coalesce(b.target, p.row_idx) ELSE p.row_idx END AS dest, {_d9_joined('old', 0)}, {_d9_joined('new', 1)}
+FROM pieces p LEFT JOIN best b USING ({PK}, cluster_id, side, row_idx) GROUP BY ALL"""),
+    select=f"""
+SELECT {PK}, CAST(dest AS INTEGER) AS row_idx, coalesce(s_old, '') AS sent_idx_old, coalesce(t_old, '') AS text_old, coalesce(g_old, ' ') AS tag_old,
+       coalesce(s_new, '') AS sent_idx_new, coalesce(t_new, '') AS text_new, coalesce(g_new, ' ') AS tag_new, cluster_id FROM merged"""))
 def q_d9(spark, sf):
-    return DF.merge_split_sentences(DF.edit_clusters(rev_aligned(spark, sf)))
+    rows = DF.merge_split_sentences(DF.edit_clusters(rev_aligned(spark, sf)))
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return rows.select(*[text(c).alias(c) if c.startswith("sent_idx") else F.col(c) for c in rows.columns])
 
 
 @register("d12_diff_quality_rows_documents", O.with_(O.DOC_ARTICLES, ("sentences", O.split_sql(O.sentence_array("summary"))),

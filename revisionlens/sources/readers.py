@@ -44,11 +44,10 @@ def read_bracketed_json(spark: SparkSession, path: str, schema: T.StructType) ->
     lines = spark.read.text(path)
     body = lines.filter(~F.trim("value").isin("[", "]")).select(
         F.regexp_replace("value", ",$", "").alias("line"))
-    parsed = body.select("line", F.from_json("line", schema, {"mode": "PERMISSIVE",
-                                                              "columnNameOfCorruptRecord": "_bad"}).alias("r"))
-    ok = parsed.filter(F.col("r").isNotNull() & F.trim("line").startswith("{"))
-    bad = parsed.filter(F.col("r").isNull() | ~F.trim("line").startswith("{")).select("line")
-    return ok.select("r.*"), bad
+    with_bad = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    parsed = body.select("line", F.from_json("line", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    ok = F.trim("line").startswith("{") & F.col("r").isNotNull() & F.col("r._bad").isNull()
+    return parsed.filter(ok).select(*[F.col("r")[f.name].alias(f.name) for f in schema.fields]), parsed.filter(~ok).select("line")
 
 
 def pair_lookup(arcs: DataFrame, sentences: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -81,6 +80,7 @@ def backlog_batch(articles: DataFrame, done_ids: DataFrame | None, n: int, start
     """
     ids = articles.select("source", "entry_id").distinct()
     if done_ids is not None:
-        ids = ids.join(done_ids.select("entry_id").distinct(), "entry_id", "left_anti")
+        keys = [c for c in ("source", "entry_id") if c in done_ids.columns]      # an id is finished within its source
+        ids = ids.join(done_ids.select(*keys).distinct(), keys, "left_anti")
     batch = ids.orderBy("entry_id", "source").offset(start).limit(n)
     return articles.join(batch, ["source", "entry_id"], "left_semi")

@@ -21,39 +21,39 @@ from pyspark.sql import functions as F
 
 from revisionlens.schemas import ARTICLES
 
-BUCKETS = 64
-
-
-def _bucket(col: str = "entry_id"):
-    return F.pmod(F.xxhash64(F.col(col)), F.lit(BUCKETS)).cast("int")
+def _bucket(n: int, col: str = "entry_id"):
+    return F.pmod(F.xxhash64(F.col(col)), F.lit(n)).cast("int")
 
 
 def rematch_batch(spark: SparkSession, touched: DataFrame, versions_path: str, out_path: str,
-                  lexicon: DataFrame | None = None) -> None:
-    """Re-match every version of the touched entries and overwrite their buckets."""
+                  lexicon: DataFrame | None = None, buckets: int = 64) -> None:
+    """Re-match every version of the touched entries and overwrite their buckets.
+
+    ``buckets``: output partitions of the whole table; set it from the corpus's size and keep it.
+    """
     from revisionlens.operators.matching import match_sentences
     from revisionlens.operators.text import split_sentences
 
     ids = touched.select("source", "entry_id").distinct()
-    buckets = ids.select(_bucket().alias("bucket")).distinct()
+    touched_buckets = ids.select(_bucket(buckets).alias("bucket")).distinct()
     versions = spark.read.schema(ARTICLES).parquet(versions_path)
     # whole buckets are rewritten, so every entry of a touched bucket is re-matched
-    todo = versions.withColumn("bucket", _bucket()).join(buckets, "bucket", "left_semi").drop("bucket")
+    todo = versions.withColumn("bucket", _bucket(buckets)).join(touched_buckets, "bucket", "left_semi").drop("bucket")
     arcs = match_sentences(split_sentences(todo), lexicon)
-    (arcs.withColumn("bucket", _bucket())
+    (arcs.withColumn("bucket", _bucket(buckets))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("bucket").parquet(out_path))
 
 
 def start_continuous_matching(spark: SparkSession, landing_path: str, versions_path: str, out_path: str,
                               checkpoint: str | None = None, available_now: bool = True,
-                              lexicon: DataFrame | None = None):
+                              lexicon: DataFrame | None = None, buckets: int = 64):
     """Start the stream; ``available_now`` processes the backlog and stops."""
     ck = checkpoint or os.path.join(spark.conf.get("spark.checkpoint.dir"), "continuous-matching")
     stream = spark.readStream.schema(ARTICLES).parquet(landing_path)
 
     def on_batch(batch: DataFrame, epoch_id: int) -> None:
-        rematch_batch(batch.sparkSession, batch, versions_path, out_path, lexicon)
+        rematch_batch(batch.sparkSession, batch, versions_path, out_path, lexicon, buckets)
 
     w = stream.select("source", "entry_id").writeStream.foreachBatch(on_batch).option("checkpointLocation", ck)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

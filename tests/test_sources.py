@@ -35,3 +35,29 @@ def test_backlog_batch_and_list_tables(spark):
 def test_checkpoint_dir_is_read_from_session(spark):
     d = checkpoint_dir(spark)
     assert d == spark.conf.get("spark.checkpoint.dir") and os.path.isdir(d)
+
+
+def test_bracketed_json_rejects_broken_lines(spark, tmp_path):
+    from pyspark.sql import types as T
+    from revisionlens.sources import readers as R
+    p = tmp_path / "x.json"
+    p.write_text('[\n{"a": 1, "b": "x"},\n{"a": 2, "b":\n{"a": "zz", "b": "y"},\n{"a": 3, "b": null}\n]\n')
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType())])
+    ok, bad = R.read_bracketed_json(spark, str(p), schema)
+    assert sorted(r.a for r in ok.collect()) == [1, 3] and bad.count() == 2
+
+
+def test_backlog_is_keyed_by_source(spark):
+    from revisionlens.sources import readers as R
+    arts = spark.createDataFrame([(1, 0, "t", "a"), (1, 0, "t", "b")], "entry_id long, version int, summary string, source string")
+    done = spark.createDataFrame([("a", 1)], "source string, entry_id long")
+    assert [r.source for r in R.backlog_batch(arts, done, 5).collect()] == ["b"]
+
+
+def test_checkpoint_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace as N
+    import pytest
+    from revisionlens.session import checkpoint_dir
+    far = N(conf=N(get=lambda k, d=None: None), sparkContext=N(getCheckpointDir=lambda: None, master="spark://somewhere:7077"))
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(far)
