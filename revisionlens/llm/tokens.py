@@ -7,11 +7,13 @@ streams, with a row index every ``ROW_INDEX_STRIDE`` rows and Bloom filters on
 ``doc_id``: a lookup by id skips files and stripes by their footers, then row groups by index
 and filter, and a full read splits at stripes.
 
-The tokenizer's normaliser and splitter never join text across a space or line
-feed, so the ids of a text are the ids of its blank-separated pieces in order.
-A worker asks the tokenizers library once for each distinct piece and keeps the
-answers in a table that is emptied at ``CACHE_PIECES`` entries (a time saver: no
-answer depends on it).
+A tokenizer whose normaliser and splitter are ``PIECEWISE`` never joins text across a
+space or line feed, so the ids of a text are the ids of its blank-separated pieces in
+order.  A worker asks the tokenizers library once for each distinct piece and keeps the
+answers in a table that is emptied at ``CACHE_PIECES`` entries (a time saver: no answer
+depends on it).  Such a normaliser and splitter leave a run of lower-case letters whole
+and only rename its bytes, so these pieces go straight to the library's model.  Texts of
+any other tokenizer are encoded whole.
 
 Nulls and odd input: a null or empty text is only the end id; rows without
 ``doc_id`` come first; rows of equal ``doc_id`` stand in the order of their texts; other
@@ -20,9 +22,11 @@ columns are ignored; an empty table writes an empty folder with the same schema.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +45,14 @@ CACHE_PIECES = 300_000
 CHUNK_CHARS = 1 << 19        # texts are encoded some at a time
 #: Letters below this (Latin, Greek, Cyrillic) are lower-cased one by one everywhere, but for a sigma at a word's end.
 PLAIN_BELOW, SIGMA = "\u0530", "\u03a3"
+#: Normaliser and splitter of a tokenizer file that works piece by piece.
+PIECEWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
 SCHEMA = "doc_id long, n_tokens int, ids array<int>"
 
 
@@ -49,11 +61,32 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level splitter's letter of each byte: printable ones stand for themselves, the others count on from 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = sorted(set(range(256)).difference(shown))
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+def _lowered(text: str) -> str:
+    """Lower-cased, if all its characters are Latin-1 (each is lower-cased alone there); else as it is."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 def _parts(piece: str) -> tuple[str, str]:
     """(lower-cased letters, stop) of a piece of plain letters and perhaps a full stop or comma; else (piece, "")."""
     stem, stop = (piece[:-1], piece[-1]) if piece[-1:] in (".", ",") else (piece, "")
-    plain = stem.isalpha() and max(stem) < PLAIN_BELOW and SIGMA not in stem
-    return (stem.lower(), stop) if plain else (piece, "")
+    low = stem.lower()
+    if not stem.isalpha() or not low.isalpha():            # a dotted capital I ends in a mark, which would join the stop
+        return piece, ""
+    return (low, stop) if stem.isascii() or (max(stem) < PLAIN_BELOW and SIGMA not in stem) else (piece, "")
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -72,6 +105,9 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        parts = json.loads(self.tokenizer.to_str())
+        self.piecewise = all(parts[k] == v for k, v in PIECEWISE.items())
         self._empty()
 
     def _empty(self) -> None:
@@ -103,15 +139,32 @@ class Encoder:
         """The tokenizer lower-cases and splits letters from a stop: ``Word.`` has the ids of ``word`` and of ``.``."""
         parts = {p: _parts(p) for p in pieces}
         stems = sorted({x for pair in parts.values() for x in pair}.difference(self.places))
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(stems, add_special_tokens=False)]
+        found = self._ask(stems)
         self._store(stems, np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found)))
         pieces = [p for p in pieces if p not in self.places]
         at = np.fromiter((self.places[x] for p in pieces for x in parts[p]), np.int64, 2 * len(pieces))
         self._store(pieces, self._gather(at), self.size[at].reshape(-1, 2).sum(axis=1))
 
+    def _ask(self, stems: list[str]) -> list[list[int]]:
+        """The library's ids of each piece: of lower-case letters from its model, else from the whole tokenizer."""
+        model, found, rest = self.model.tokenize, [], []
+        for i, s in enumerate(stems):
+            if s.isascii() and s.isalpha() and s.islower():
+                found.append([t.id for t in model(s)])
+            elif s.isalpha() and s.islower() and max(s) < PLAIN_BELOW and s.lower() == s and is_normalized("NFC", s):
+                found.append([t.id for t in model(s.encode().decode("latin-1").translate(BYTE_LETTERS))])
+            else:
+                found.append([])
+                rest.append(i)
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([stems[i] for i in rest], add_special_tokens=False), strict=True):
+            found[i] = e.ids
+        return found
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, with the end id."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        if not self.piecewise:
+            return [np.array([*e.ids, END_ID], np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        split = [_lowered(t).replace("\n", " ").split(" ") for t in texts]
         if self.count > CACHE_PIECES:
             self._empty()
         new = set().union(*split).difference(self.places)

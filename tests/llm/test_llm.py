@@ -335,3 +335,23 @@ def test_pipeline(spark, odd_rows, tmp_path):
         assert r.start == starts
         starts += r.n_tokens
     assert {r.doc_id for r in out} <= {k for k, (_, c) in want.items() if k == c} - {3} and len(out) > 20
+
+
+def test_pieces_have_the_ids_of_the_whole_text():
+    import random
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from revisionlens.llm import tokens
+    whole, encoder = Tokenizer.from_file(tokens.tokenizer_path()), tokens.Encoder(tokens.tokenizer_path())
+    assert encoder.piecewise
+    rnd = random.Random(7)
+    letters = "aábcdeEÉßµªİıΣσςʹͅжЖЙйǅŉ中文ﬁ" + "́̈ͅ" + "0129²½" + ".,!?'-_" + "  \u0085\t\x1c" + "    \n\n"
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(40))) for _ in range(3000)]
+    texts += ["it's. He'll, we've", "a.. b., c.,", "Straße. ÉTÉ, naïve", "<|endoftext|> x", ""]
+    found = encoder.encode(texts)
+    for t, ids in zip(texts, found, strict=True):
+        assert np.array_equal(ids, [*whole.encode(t, add_special_tokens=False).ids, tokens.END_ID]), t
+    encoder.piecewise = False
+    assert all(np.array_equal(a, b) for a, b in zip(found, encoder.encode(texts), strict=True))
