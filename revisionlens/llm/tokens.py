@@ -23,6 +23,7 @@ columns are ignored; an empty table writes an empty folder with the same schema.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -71,13 +72,24 @@ def _byte_letters() -> dict[int, str]:
 BYTE_LETTERS = _byte_letters()
 
 
-def _lowered(text: str) -> str:
-    """Lower-cased, if all its characters are Latin-1 (each is lower-cased alone there); else as it is."""
+#: A full stop or comma before a space that follows neither a letter, a digit nor a space: it belongs to a run of signs.
+JOINED_STOP = re.compile(r"[.,](?= )(?<![^\W_][.,])(?<! [.,])")
+
+
+def _pieces(text: str) -> list[str]:
+    """The blank-separated pieces.
+
+    Text in Latin-1, where each letter is lower-cased alone, comes in lower case and with its stops apart.
+    """
+    text = text.replace("\n", " ")
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
-        return text
-    return text.lower()
+        return text.split(" ")
+    text = text.lower() + " "
+    if not JOINED_STOP.search(text):
+        text = text.replace(". ", " . ").replace(", ", " , ")
+    return text.split(" ")
 
 
 def _parts(piece: str) -> tuple[str, str]:
@@ -137,11 +149,11 @@ class Encoder:
 
     def _learn(self, pieces: set[str]) -> None:
         """The tokenizer lower-cases and splits letters from a stop: ``Word.`` has the ids of ``word`` and of ``.``."""
-        parts = {p: _parts(p) for p in pieces}
-        stems = sorted({x for pair in parts.values() for x in pair}.difference(self.places))
+        parts = {p: _parts(p) for p in pieces if not p.isalpha() or not p.islower()}
+        stems = list({x for pair in parts.values() for x in pair}.union(pieces.difference(parts)).difference(self.places))
         found = self._ask(stems)
         self._store(stems, np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found)))
-        pieces = [p for p in pieces if p not in self.places]
+        pieces = [p for p in parts if p not in self.places]
         at = np.fromiter((self.places[x] for p in pieces for x in parts[p]), np.int64, 2 * len(pieces))
         self._store(pieces, self._gather(at), self.size[at].reshape(-1, 2).sum(axis=1))
 
@@ -164,7 +176,7 @@ class Encoder:
         """The ids of each text, with the end id."""
         if not self.piecewise:
             return [np.array([*e.ids, END_ID], np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        split = [_lowered(t).replace("\n", " ").split(" ") for t in texts]
+        split = [_pieces(t) for t in texts]
         if self.count > CACHE_PIECES:
             self._empty()
         new = set().union(*split).difference(self.places)

@@ -349,6 +349,8 @@ def test_pieces_have_the_ids_of_the_whole_text():
     rnd = random.Random(7)
     letters = "aábcdeEÉßµªİıΣσςʹͅжЖЙйǅŉ中文ﬁ" + "́̈ͅ" + "0129²½" + ".,!?'-_" + "  \u0085\t\x1c" + "    \n\n"
     texts = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(40))) for _ in range(3000)]
+    latin = "abcZÉßµª_0²½" + "..,,!?'-" + "  \u0085\xa0\t\n"
+    texts += ["".join(rnd.choice(latin) for _ in range(rnd.randrange(30))) for _ in range(6000)]
     texts += ["it's. He'll, we've", "a.. b., c.,", "Straße. ÉTÉ, naïve", "<|endoftext|> x", ""]
     found = encoder.encode(texts)
     for t, ids in zip(texts, found, strict=True):
