@@ -71,9 +71,9 @@ def is_dateline(text: Column, countries: list[str] | None = None) -> Column:
     short = F.size(ws) < K.DATELINE_MAX_WORDS
     has_place = F.exists(ws, is_upper_word)
     if countries:
-        names = _lit_array(sorted({c.lower() for c in countries}))
-        toks = tokens(text)
-        has_place = has_place | F.exists(toks, lambda t: F.array_contains(names, t))
+        padded = lambda t: F.concat(F.lit(" "), F.array_join(tokens(t), " "), F.lit(" "))
+        names = F.transform(_lit_array(sorted({c.lower() for c in countries})), padded)    # "united kingdom" is two tokens
+        has_place = has_place | F.exists(names, lambda n: (F.trim(n) != "") & F.contains(padded(text), n))
     return short & has_place
 
 

@@ -142,9 +142,11 @@ def word_change_stats(words: DataFrame) -> DataFrame:
 
 
 def diff_markup(words: DataFrame, old_front: str, new_front: str, old_back: str | None = None,
-                new_back: str | None = None) -> DataFrame:
+                new_back: str | None = None, aligned: DataFrame | None = None) -> DataFrame:
     """Old and new sentence with changed words wrapped in marks.
 
+    With the ``aligned`` rows that the words come from, all other rows pass
+    through unmarked; a removed or added sentence has NULL on the side it lacks.
     A missing back mark takes the other side's back mark.  Words keep their
     order by position (``array_sort`` over (position, word) inside the aggregate).
     """
@@ -155,20 +157,25 @@ def diff_markup(words: DataFrame, old_front: str, new_front: str, old_back: str
     g = words.groupBy(*PAIR, "row_idx").agg(
         F.array_sort(F.collect_list(F.when(F.col("pos_old").isNotNull(), F.struct("pos_old", of.alias("t"))))).alias("o"),
         F.array_sort(F.collect_list(F.when(F.col("pos_new").isNotNull(), F.struct("pos_new", nf.alias("t"))))).alias("n"))
-    return g.select(*PAIR, "row_idx", F.array_join(F.col("o.t"), " ").alias("marked_old"),
-                    F.array_join(F.col("n.t"), " ").alias("marked_new"))
+    marked = g.select(*PAIR, "row_idx", F.array_join(F.col("o.t"), " ").alias("marked_old"),
+                      F.array_join(F.col("n.t"), " ").alias("marked_new"))
+    if aligned is None:
+        return marked
+    gone, new = F.col("tag_old") == "-", F.col("tag_new") == "+"
+    return marked.unionByName(aligned.filter(~(gone & new)).select(
+        *PAIR, "row_idx", F.when(~new, F.col("text_old")).alias("marked_old"), F.when(~gone, F.col("text_new")).alias("marked_new")))
 
 
-def html_markup(words: DataFrame) -> DataFrame:
+def html_markup(words: DataFrame, aligned: DataFrame | None = None) -> DataFrame:
     """D13 preset: HTML spans."""
     return diff_markup(words, K.HTML_MARKS["old_front"], K.HTML_MARKS["new_front"],
-                       K.HTML_MARKS["old_back"], K.HTML_MARKS["new_back"])
+                       K.HTML_MARKS["old_back"], K.HTML_MARKS["new_back"], aligned)
 
 
-def latex_markup(words: DataFrame) -> DataFrame:
+def latex_markup(words: DataFrame, aligned: DataFrame | None = None) -> DataFrame:
     """D13 preset: LaTeX highlight macros."""
     return diff_markup(words, K.LATEX_MARKS["old_front"], K.LATEX_MARKS["new_front"],
-                       K.LATEX_MARKS["old_back"], K.LATEX_MARKS["new_back"])
+                       K.LATEX_MARKS["old_back"], K.LATEX_MARKS["new_back"], aligned)
 
 
 # ------------------------------------------------------------------ D6 / D7 / D10 / D12

@@ -90,19 +90,25 @@ def match_two_sided(x_side: DataFrame, y_side: DataFrame) -> DataFrame:
     return x_side.join(y_side, keys, "full_outer").select(*ARC_COLS)
 
 
-def version_pairs_present(sentences: DataFrame) -> DataFrame:
-    """(source, entry_id, version_x, version_y = version_x + 1) where both versions have sentences."""
-    v = sentences.select("source", "entry_id", "version").distinct()
+def version_pairs_present(versions: DataFrame) -> DataFrame:
+    """(source, entry_id, version_x, version_y = version_x + 1) where ``versions`` has rows of both.
+
+    Given the version table, a version without sentences counts; given sentences, it doesn't.
+    """
+    v = versions.select("source", "entry_id", "version").distinct()
     nxt = v.select("source", "entry_id", (F.col("version") - 1).alias("version"))
     return (v.join(nxt, ["source", "entry_id", "version"], "left_semi")
              .select("source", "entry_id", F.col("version").alias("version_x"),
                      (F.col("version") + 1).alias("version_y")))
 
 
-def complete_arcs(arcs: DataFrame, sentences: DataFrame) -> DataFrame:
+def complete_arcs(arcs: DataFrame, sentences: DataFrame, versions: DataFrame | None = None) -> DataFrame:
     """M6: sentences of a version pair missing from every arc become deletions
-    (x side) or additions (y side)."""
-    pairs = version_pairs_present(sentences)
+    (x side) or additions (y side).
+
+    ``versions`` is the version table; with it, an emptied version deletes all sentences of the one before.
+    """
+    pairs = version_pairs_present(sentences if versions is None else versions)
     sx = (sentences.select("source", "entry_id", F.col("version").alias("version_x"),
                            F.col("sent_idx").alias("sent_idx_x"))
                    .join(pairs, ["source", "entry_id", "version_x"]))
@@ -195,7 +201,7 @@ def sentence_pair_distances(tokens: DataFrame, near: DataFrame | None = None,
 
 
 def arcs_from_pairs(pairs: DataFrame, sentences: DataFrame,
-                    threshold: float = K.SENTENCE_SIM_THRESH) -> DataFrame:
+                    threshold: float = K.SENTENCE_SIM_THRESH, versions: DataFrame | None = None) -> DataFrame:
     """M3-M6 in one pass over the sentence-pair distances.
 
     Each sentence of a version pair also gets a placeholder row, so after two
@@ -205,7 +211,7 @@ def arcs_from_pairs(pairs: DataFrame, sentences: DataFrame,
     with one ``explode`` of up to three structs per row: no join and no second
     read of the pair table.
     """
-    vp = version_pairs_present(sentences)
+    vp = version_pairs_present(sentences if versions is None else versions)
     ph_x = (sentences.select("source", "entry_id", F.col("version").alias("version_x"),
                              F.col("sent_idx").alias("sent_idx_x"))
                      .join(vp, ["source", "entry_id", "version_x"])
@@ -257,13 +263,14 @@ def arcs_from_pairs(pairs: DataFrame, sentences: DataFrame,
 
 def match_sentences(sentences: DataFrame, lexicon: DataFrame | None = None, *,
                     cutoff: float = K.WORD_DISTANCE_CUTOFF, threshold: float = K.SENTENCE_SIM_THRESH,
-                    mutual_only: bool = False, tile: int = 1024) -> DataFrame:
+                    mutual_only: bool = False, tile: int = 1024, versions: DataFrame | None = None) -> DataFrame:
     """Split sentences -> ``matched_sentences`` (M1-M6).
 
     With a ``(token, vector)`` lexicon, word distances come from the exact
     tiled similarity join; without one, equal words are at distance 0 and all
     other words are unmatched.  ``mutual_only`` keeps arcs chosen by both
-    sides (sentences left without one become deletions/additions).
+    sides (sentences left without one become deletions/additions).  ``versions``
+    is the version table: pairs come from it, so versions without sentences count.
     """
     from revisionlens.operators.vectors import attach_vectors, near_token_pairs
 
@@ -273,9 +280,9 @@ def match_sentences(sentences: DataFrame, lexicon: DataFrame | None = None, *,
         vocab = toks.select("source", "entry_id", "version", "token").distinct()
         near = near_token_pairs(attach_vectors(vocab, lexicon), cutoff, tile)
     pairs = sentence_pair_distances(toks, near, cutoff)
-    arcs = arcs_from_pairs(pairs, sentences, threshold)
+    arcs = arcs_from_pairs(pairs, sentences, threshold, versions)
     if mutual_only:
         both = arcs.filter(F.col("avg_sentence_distance_x").isNotNull() &
                            F.col("avg_sentence_distance_y").isNotNull())
-        return complete_arcs(both, sentences)
+        return complete_arcs(both, sentences, versions)
     return arcs

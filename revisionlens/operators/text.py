@@ -119,14 +119,16 @@ def content_words(sentences: DataFrame, lemmas: DataFrame | None = None) -> Data
     d = sentences.withColumn("content_words", X.content_words(X.tokens(F.col("sentence"))))
     if lemmas is None:
         return d
-    # word -> lemma through a join on exploded words (the dictionary may be large)
-    keys = [c for c in d.columns if c != "content_words"]
-    ex = d.select(*keys, F.posexplode("content_words").alias("pos", "word"))
-    ex = (ex.join(lemmas, "word", "left")
-            .withColumn("word", F.coalesce(F.lower("lemma"), F.col("word"))))
-    return (ex.groupBy(*keys)
-              .agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("cw"))
-              .withColumn("content_words", X.content_words(F.col("cw.word"))).drop("cw"))
+    # word -> lemma through a join on the words of each distinct word list (the dictionary may be large);
+    # lists are joined back by value, so rows without words stay and equal rows don't merge
+    lemma = lemmas.groupBy("word").agg(F.lower(F.min("lemma")).alias("lemma"))
+    lists = d.select(F.col("content_words").alias("before")).distinct()
+    ex = lists.select("before", F.posexplode("before").alias("pos", "word")).join(lemma, "word", "left")
+    mapped = (ex.groupBy("before")
+                .agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("lemma", "word").alias("word")))).alias("cw"))
+                .select("before", X.content_words(F.col("cw.word")).alias("after")))
+    return (d.join(mapped, d["content_words"] == mapped["before"], "left")
+             .withColumn("content_words", F.coalesce("after", "content_words")).drop("before", "after"))
 
 
 def explode_tokens(sentences: DataFrame, method: str = "regex") -> DataFrame:

@@ -265,6 +265,31 @@ def q_m6_steps(spark, sf):
     return rounded(M.complete_arcs(M.match_two_sided(*sides), conv_sentences(spark, sf)))
 
 
+@register("m6_emptied_versions", O.with_((O.ARTICLES[0], O.ARTICLES[1].replace(
+    "text AS summary", "CASE WHEN (conv_id + turn) % 5 = 2 THEN '' ELSE text END AS summary")), *CONV[1:-2],
+    ("pairs", O.PAIRS_PRESENT[1].replace("FROM sentences", "FROM articles")), O.M6, select=f"{ARC_ROUND} FROM m6"))
+def q_m6_emptied(spark, sf):
+    """Every fifth version is emptied: all its predecessor's sentences are deletions, all of its successor's additions."""
+    arts = FX.conversation_articles(spark, sf)
+    arts = arts.withColumn("summary", F.when((F.col("entry_id") + F.col("version")) % 5 == 2, "").otherwise(F.col("summary")))
+    return rounded(M.match_sentences(materialize(TX.split_sentences(arts)), versions=arts))
+
+
+@register("t8_content_lemmas", O.with_(*CONV[:2], ("tk", f"""
+SELECT source, entry_id, version, sent_idx, u.i, u.w FROM (SELECT *, {O.content_words_sql(O.tokens_of('sentence'))} AS cw FROM sentences),
+  unnest(cw) WITH ORDINALITY AS u(w, i)"""), ("lem", """
+SELECT DISTINCT w AS word, substr(w, 1, length(w) - 1) AS lemma FROM tk WHERE length(w) > 4 AND ends_with(w, 's')"""), ("ml", """
+SELECT source, entry_id, version, sent_idx, list(coalesce(lemma, w) ORDER BY i) AS ws
+FROM tk LEFT JOIN lem ON w = word GROUP BY ALL"""), select=f"""
+SELECT source, entry_id, version, sent_idx, coalesce(array_to_string({O.content_words_sql('ws')}, ' '), '') AS words FROM sentences LEFT JOIN ml USING (source, entry_id, version, sent_idx)"""))
+def q_t8_lemmas(spark, sf):
+    """A lemma table that takes a final s off; sentences without content words stay."""
+    s = conv_sentences(spark, sf)
+    w = TX.content_words(s).select(F.explode("content_words").alias("word")).distinct()
+    lemmas = w.filter((F.length("word") > 4) & F.col("word").endswith("s")).withColumn("lemma", F.expr("substr(word, 1, length(word) - 1)"))
+    return TX.content_words(s, lemmas).select("source", "entry_id", "version", "sent_idx", F.array_join("content_words", " ").alias("words"))
+
+
 @register("m6_revision_mutual_only", O.with_(*REV, ("mu", """SELECT * FROM m5
 WHERE avg_sentence_distance_x IS NOT NULL AND avg_sentence_distance_y IS NOT NULL"""),
     ("m6mu", O.M6[1].replace("m5", "mu")), select=f"{ARC_ROUND} FROM m6mu"))
@@ -888,19 +913,24 @@ SELECT {PK}, row_idx,
                        ORDER BY pos_old) FILTER (WHERE pos_old IS NOT NULL), ' ') AS marked_old,
   array_to_string(list(CASE WHEN tag = '+' THEN '{q(front_n)}' || word || '{q(back_n)}' ELSE word END
                        ORDER BY pos_new) FILTER (WHERE pos_new IS NOT NULL), ' ') AS marked_new
-FROM wd GROUP BY {PK}, row_idx"""
+FROM wd GROUP BY {PK}, row_idx
+UNION ALL
+SELECT {PK}, row_idx, CASE WHEN tag_new <> '+' THEN text_old END, CASE WHEN tag_old <> '-' THEN text_new END
+FROM aligned WHERE NOT (tag_old = '-' AND tag_new = '+')"""
 
 
 @register("d13_diff_markup_html", O.with_(*REV_D2, *D5_CTES, select=_markup_sql(
     K.HTML_MARKS["old_front"], K.HTML_MARKS["old_back"], K.HTML_MARKS["new_front"], K.HTML_MARKS["new_back"])))
 def q_d13(spark, sf):
-    return DF.html_markup(DF.word_diff(rev_aligned(spark, sf)))
+    a = materialize(rev_aligned(spark, sf), "aligned")
+    return DF.html_markup(DF.word_diff(a), a)
 
 
 @register("d13_diff_markup_latex", O.with_(*REV_D2, *D5_CTES, select=_markup_sql(
     K.LATEX_MARKS["old_front"], K.LATEX_MARKS["old_back"], K.LATEX_MARKS["new_front"], K.LATEX_MARKS["new_back"])))
 def q_d13l(spark, sf):
-    return DF.latex_markup(DF.word_diff(rev_aligned(spark, sf)))
+    a = materialize(rev_aligned(spark, sf), "aligned")
+    return DF.latex_markup(DF.word_diff(a), a)
 
 
 @register("d12_diff_quality_rows", O.with_(O.ARTICLES, O.SENTENCES, ("apairs", """

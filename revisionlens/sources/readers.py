@@ -18,9 +18,29 @@ def read_versions(spark: SparkSession, path: str, source: str | None = None, fmt
     """Load a version table and cast it to ``entry_id LONG, version INT,
     summary STRING, source STRING``.
 
+    Keys and versions may be stored loosely (``"3"``, ``3.0``, ``"3.0"``); rows with one
+    that is no whole number are left to :func:`rejected_versions`.
     ``columns`` maps input names to those four (e.g. ``{"conv_id": "entry_id"}``);
     ``source`` is added as a literal when the input has no such column.
     """
+    df = _typed_versions(spark, path, source, fmt, columns, options)
+    return df.filter("NOT _rejected").select(*ARTICLES.fieldNames())
+
+
+def rejected_versions(spark: SparkSession, path: str, source: str | None = None, fmt: str = "parquet",
+                      columns: dict[str, str] | None = None, options: dict[str, str] | None = None) -> DataFrame:
+    """The rows that :func:`read_versions` leaves out, with key and version as they were written."""
+    df = _typed_versions(spark, path, source, fmt, columns, options)
+    return df.filter("_rejected").select(F.col("_raw.entry_id"), F.col("_raw.version"), "summary", "source")
+
+
+def _whole(name: str, to: str):
+    """A loosely stored whole number as ``to``; NULL for any other value."""
+    text, number = F.trim(F.col(name).cast("string")), F.col(name).cast("string").try_cast("double")
+    return F.coalesce(text.try_cast(to), F.when(number == F.floor(number), number.try_cast(to)))
+
+
+def _typed_versions(spark, path, source, fmt, columns, options) -> DataFrame:
     reader = spark.read.format(fmt)
     for k, v in (options or {}).items():
         reader = reader.option(k, v)
@@ -31,7 +51,11 @@ def read_versions(spark: SparkSession, path: str, source: str | None = None, fmt
         df = df.withColumnRenamed(old, new)
     if source is not None:
         df = df.withColumn("source", F.lit(source))
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in ARTICLES.fields])
+    raw = F.struct(F.col("entry_id").cast("string").alias("entry_id"), F.col("version").cast("string").alias("version"))
+    typed = df.select(_whole("entry_id", "long").alias("entry_id"), _whole("version", "int").alias("version"),
+                      F.col("summary").cast("string").alias("summary"), F.col("source").cast("string").alias("source"), raw.alias("_raw"))
+    bad = [F.col(c).isNull() & F.col(f"_raw.{c}").isNotNull() for c in ("entry_id", "version")]
+    return typed.withColumn("_rejected", bad[0] | bad[1])
 
 
 def read_bracketed_json(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:

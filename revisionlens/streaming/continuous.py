@@ -39,7 +39,7 @@ def rematch_batch(spark: SparkSession, touched: DataFrame, versions_path: str, o
     versions = spark.read.schema(ARTICLES).parquet(versions_path)
     # whole buckets are rewritten, so every entry of a touched bucket is re-matched
     todo = versions.withColumn("bucket", _bucket(buckets)).join(touched_buckets, "bucket", "left_semi").drop("bucket")
-    arcs = match_sentences(split_sentences(todo), lexicon)
+    arcs = match_sentences(split_sentences(todo), lexicon, versions=todo)
     (arcs.withColumn("bucket", _bucket(buckets))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("bucket").parquet(out_path))

@@ -61,3 +61,11 @@ def test_checkpoint_folder_is_needed_on_a_cluster():
     far = N(conf=N(get=lambda k, d=None: None), sparkContext=N(getCheckpointDir=lambda: None, master="spark://somewhere:7077"))
     with pytest.raises(RuntimeError):
         checkpoint_dir(far)
+
+
+def test_loose_versions_and_rejects(spark, tmp_path):
+    path = tmp_path / "versions.csv"
+    path.write_text("entry_id,version,summary\n7,1.0,a\n8, 2 ,b\n9,x,c\n9007199254740993,3,d\n10,1.5,e\n11,,f\n")
+    args = (spark, str(path), "s", "csv")
+    assert [tuple(r)[:2] for r in RD.read_versions(*args).orderBy("summary").collect()] == [(7, 1), (8, 2), (9007199254740993, 3), (11, None)]
+    assert sorted(tuple(r) for r in RD.rejected_versions(*args).collect()) == [("10", "1.5", "e", "s"), ("9", "x", "c", "s")]

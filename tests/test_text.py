@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import articles_df
+from conftest import articles_df, sentences_df
 from revisionlens.operators import text as TX
 
 
@@ -64,3 +64,18 @@ def test_explode_tokens_word_idx_runs_over_document(spark):
     rows = TX.explode_tokens(TX.split_sentences(df)).orderBy("word_idx").collect()
     assert [(r.sent_idx, r.word_idx, r.token, r.num_words) for r in rows] == [
         (0, 0, "a", 3), (0, 1, "b", 3), (0, 2, "c", 3), (1, 3, "d", 2), (1, 4, "e", 2)]
+
+
+def test_lemmas_keep_wordless_and_equal_rows(spark):
+    s = sentences_df(spark, [(1, 0, ["Dogs barked.", "The.", "Dogs barked."])]).drop("sent_idx")
+    lemmas = spark.createDataFrame([("dogs", "dog"), ("dogs", "dog")], "word string, lemma string")
+    rows = [r.content_words for r in TX.content_words(s, lemmas).collect()]
+    assert sorted(rows) == [[], ["dog", "barked"], ["dog", "barked"]]
+
+
+def test_dateline_of_a_country_of_two_words(spark):
+    df = articles_df(spark, [(1, 0, "United Kingdom — The bridge opened. It rained."), (2, 0, "A kingdom united — The bridge opened. It rained.")])
+    rows = TX.split_sentences(df, merge_dateline=True, countries=["United Kingdom", ""]).orderBy("entry_id", "sent_idx").collect()
+    first = {r.entry_id: r.sentence for r in rows if r.sent_idx == 0}
+    assert first[1].startswith("United Kingdom") and first[1].endswith("The bridge opened.")
+    assert [r.sent_idx for r in rows if r.entry_id == 1] == [0, 1]
