@@ -11,7 +11,9 @@ from __future__ import annotations
 from revisionlens.functions import constants as K
 
 
-def with_(*ctes: tuple[str, str], select: str) -> str:
+def with_(*ctes: tuple[str, str], select: str, recursive: bool = False) -> str:
+    if recursive:
+        return "WITH RECURSIVE" + with_(*ctes, select=select)[4:]
     body = ",\n".join(f"{n} AS (\n{q}\n)" for n, q in ctes)
     sel = select.lstrip()
     if sel[:5].upper() == "WITH ":          # the final query has CTEs of its own: one list

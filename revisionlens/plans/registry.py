@@ -537,10 +537,44 @@ DOC_ROUND = """SELECT source, entry_id, version_x, version_y, num_sentences_x, n
        round(mean_dist_overall, 4) AS mean_dist_overall"""
 
 
+R1_SQL = """
+SELECT source, entry_id, version_x, version_y, sent_idx_x, sent_idx_y,
+       CAST(dense_rank() OVER (PARTITION BY source, entry_id, version_x, version_y ORDER BY sent_idx_x) AS INTEGER) AS rx,
+       CAST(dense_rank() OVER (PARTITION BY source, entry_id, version_x, version_y ORDER BY sent_idx_y) AS INTEGER) AS ry
+FROM (SELECT DISTINCT source, entry_id, version_x, version_y, sent_idx_x, sent_idx_y FROM m6
+      WHERE sent_idx_x IS NOT NULL AND sent_idx_y IS NOT NULL)"""
+
+
+def edges_ctes(arcs: str = "m6") -> list[tuple[str, str]]:
+    """R3 by its rule: each turn takes one arc of every version pair away (place 1) until no arc has a crossing."""
+    place = """row_number() OVER (PARTITION BY source, entry_id, version_x, version_y
+                              ORDER BY crossings DESC, abs(ry - rx) DESC, ry < rx DESC, rx, ry) AS place"""
+    return [("ranked", R1_SQL.replace("FROM m6", f"FROM {arcs}")), ("crossed", """
+SELECT a.source, a.entry_id, a.version_x, a.version_y, a.sent_idx_x, a.sent_idx_y, a.rx, a.ry, count(*) AS crossings
+FROM ranked a JOIN ranked b ON a.source = b.source AND a.entry_id = b.entry_id AND a.version_x = b.version_x
+ AND a.version_y = b.version_y AND ((a.rx < b.rx AND a.ry > b.ry) OR (a.rx > b.rx AND a.ry < b.ry))
+GROUP BY ALL"""), ("turns", f"""
+SELECT 0 AS turn, *, {place} FROM crossed
+UNION ALL
+SELECT turn + 1, source, entry_id, version_x, version_y, sent_idx_x, sent_idx_y, rx, ry, crossings, {place} FROM (
+  SELECT * REPLACE (crossings - CAST((rx < gone_x AND ry > gone_y) OR (rx > gone_x AND ry < gone_y) AS BIGINT) AS crossings) FROM (
+    SELECT *, max(rx) FILTER (WHERE place = 1) OVER p AS gone_x, max(ry) FILTER (WHERE place = 1) OVER p AS gone_y
+    FROM turns WINDOW p AS (PARTITION BY source, entry_id, version_x, version_y)) WHERE place > 1)
+WHERE crossings > 0"""), ("edges", """
+SELECT source, entry_id, version_x, version_y, sent_idx_x, sent_idx_y, CAST(turn AS INTEGER) AS removal_order
+FROM turns WHERE place = 1""")]
+
+
+DOC_STATS_EDGES = [("status", STATUS_SQL), ("ds", DOC_STATS_SQL), *edges_ctes(), ("dse", """
+SELECT ds.*, coalesce(num_refactors, 0) AS num_refactors FROM ds LEFT JOIN (
+  SELECT source, entry_id, version_x, version_y, count(*) AS num_refactors FROM edges GROUP BY ALL) e
+USING (source, entry_id, version_x, version_y)""")]
+
+
 def conv_doc_stats(spark, sf, edges=False):
     arcs = conv_arcs(spark, sf)
     e = MV.refactor_edges(arcs) if edges else None
-    return ST.doc_level_stats(arcs, conv_sentences(spark, sf), e)
+    return ST.doc_level_stats(arcs, e)
 
 
 @register("a18_sentence_status", O.with_(*CONV, ("status", STATUS_SQL), select="SELECT * FROM status"))
@@ -554,7 +588,8 @@ def q_a17(spark, sf):
     return rounded(conv_doc_stats(spark, sf))
 
 
-@register("a17_doc_level_stats_refactors")
+@register("a17_doc_level_stats_refactors", O.with_(*CONV, *DOC_STATS_EDGES, recursive=True,
+                                                   select=f"{DOC_ROUND}, num_refactors FROM dse"))
 def q_a17r(spark, sf):
     return rounded(conv_doc_stats(spark, sf, edges=True))
 
@@ -586,7 +621,8 @@ SELECT q2.operation, n, round(q1, 4) AS q1, round(median, 4) AS median, round(q3
 FROM q2 JOIN l USING (operation) GROUP BY q2.operation, n, q1, median, q3"""
 
 
-@register("a14_operation_distribution")
+@register("a14_operation_distribution", O.with_(*CONV, *DOC_STATS_EDGES, recursive=True,
+          select=box_sql(["num_deleted", "num_added", "num_refactors"], "dse")))
 def q_a14(spark, sf):
     return rounded(ST.operation_distribution(conv_doc_stats(spark, sf, edges=True)))
 
@@ -681,14 +717,6 @@ def rev_arcs(spark, sf):
     return matched_table(spark, sf, "revision")
 
 
-R1_SQL = """
-SELECT source, entry_id, version_x, version_y, sent_idx_x, sent_idx_y,
-       CAST(dense_rank() OVER (PARTITION BY source, entry_id, version_x, version_y ORDER BY sent_idx_x) AS INTEGER) AS rx,
-       CAST(dense_rank() OVER (PARTITION BY source, entry_id, version_x, version_y ORDER BY sent_idx_y) AS INTEGER) AS ry
-FROM (SELECT DISTINCT source, entry_id, version_x, version_y, sent_idx_x, sent_idx_y FROM m6
-      WHERE sent_idx_x IS NOT NULL AND sent_idx_y IS NOT NULL)"""
-
-
 @register("r1_arc_ranks", O.with_(*REV, select=R1_SQL))
 def q_r1(spark, sf):
     return MV.arc_ranks(rev_arcs(spark, sf))
@@ -709,18 +737,24 @@ def q_r2(spark, sf):
     return MV.arc_crossings(MV.arc_ranks(rev_arcs(spark, sf)))
 
 
-@register("r3_refactor_edges")
+@register("r3_refactor_edges", O.with_(*REV, *edges_ctes(), select="SELECT * FROM edges", recursive=True))
 def q_r3(spark, sf):
     return MV.refactor_edges(rev_arcs(spark, sf))
 
 
-@register("r4_refactor_counts")
+@register("r4_refactor_counts", O.with_(*REV, *edges_ctes(), recursive=True, select="""
+SELECT source, entry_id, version_x, version_y, count(removal_order) AS num_refactors
+FROM (SELECT DISTINCT source, entry_id, version_x, version_y FROM m6) LEFT JOIN edges USING (source, entry_id, version_x, version_y)
+GROUP BY ALL"""))
 def q_r4(spark, sf):
     arcs = rev_arcs(spark, sf)
     return MV.refactor_counts(MV.refactor_edges(arcs), arcs)
 
 
-@register("r4_label_refactors")
+@register("r4_label_refactors", O.with_(*REV, *edges_ctes(), recursive=True, select=f"""{ARC_ROUND},
+       EXISTS (SELECT 1 FROM edges e WHERE e.source = m6.source AND e.entry_id = m6.entry_id AND e.version_x = m6.version_x
+               AND e.version_y = m6.version_y AND e.sent_idx_x = m6.sent_idx_x AND e.sent_idx_y = m6.sent_idx_y) AS is_refactor
+FROM m6"""))
 def q_r4l(spark, sf):
     arcs = rev_arcs(spark, sf)
     return rounded(MV.label_refactors(arcs, MV.refactor_edges(arcs)))
@@ -735,7 +769,12 @@ def q_r5(spark, sf):
     return rounded(MV.short_sentence_guard(rev_arcs(spark, sf), rev_sentences(spark, sf), 20))
 
 
-@register("r3_refactor_edges_guarded")
+@register("r3_refactor_edges_guarded", O.with_(*REV, ("guarded", """
+SELECT * FROM m6 WHERE EXISTS (SELECT 1 FROM sentences s WHERE s.source = m6.source AND s.entry_id = m6.entry_id
+  AND s.version = m6.version_x AND s.sent_idx = m6.sent_idx_x AND length(s.sentence) >= 20)
+  AND EXISTS (SELECT 1 FROM sentences s WHERE s.source = m6.source AND s.entry_id = m6.entry_id
+  AND s.version = m6.version_y AND s.sent_idx = m6.sent_idx_y AND length(s.sentence) >= 20)"""),
+    *edges_ctes("guarded"), select="SELECT * FROM edges", recursive=True))
 def q_r3g(spark, sf):
     return MV.refactor_edges(rev_arcs(spark, sf), min_chars=20, sentences=rev_sentences(spark, sf))
 
