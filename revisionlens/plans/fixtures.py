@@ -15,17 +15,15 @@ from pyspark.sql import functions as F
 
 from revisionlens.functions import constants as K
 from revisionlens.functions import text as X
-from revisionlens.session import spread
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, balance: bool = False) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if balance else df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def conversation_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles: one row per version (``entry_id, version, summary, source``)."""
-    c = table(spark, sf_dir, "conversations", balance=True)
+    c = table(spark, sf_dir, "conversations")
     return c.select(F.col("conv_id").cast("long").alias("entry_id"),
                     F.col("turn").cast("int").alias("version"),
                     F.col("text").alias("summary"),
@@ -45,7 +43,7 @@ def revision_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``sent_idx`` = rank of (order key, text) within the version, from 0.
     """
-    d = (table(spark, sf_dir, "documents", balance=True)
+    d = (table(spark, sf_dir, "documents")
          .select(F.col("doc_id").cast("long").alias("doc_id"), "source",
                  X.sentence_array(F.col("text")).alias("sents")))
     d = d.withColumn("idx", F.expr("transform(sents, (s, i) -> named_struct('i', i, 's', s))"))
@@ -100,13 +98,13 @@ def trigram_lexicon(spark: SparkSession, sf_dir: str, tokens: DataFrame, dim: in
 
 def document_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as single-version articles (doc_id -> entry_id, version 0)."""
-    d = table(spark, sf_dir, "documents", balance=True)
+    d = table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").cast("long").alias("entry_id"), F.lit(0).alias("version"),
                     F.col("text").alias("summary"), "source")
 
 
 def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw web pages as single-version articles (page_id -> entry_id)."""
-    p = table(spark, sf_dir, "pages", balance=True)
+    p = table(spark, sf_dir, "pages")
     return p.select(F.col("page_id").cast("long").alias("entry_id"), F.lit(0).alias("version"),
                     F.col("html").alias("summary"), F.lit("pages").alias("source"))

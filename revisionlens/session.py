@@ -80,19 +80,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def spread(df):
-    """Round-robin a scan that yields fewer splits than the cluster has cores.
-
-    Small inputs (one parquet row group) would otherwise run the per-row text
-    work in a single task.  Large inputs already have enough splits and are
-    left alone, so no full shuffle of the raw text happens at scale.
-    """
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
-
-
 def materialize(df, name: str = "table"):
     """Cut lineage by writing ``df`` once as a Parquet table in the shared
     checkpoint folder and reading it back.
