@@ -7,10 +7,11 @@ template's coverage is the share of its words that are aligned.
 
 A text is only looked at where it may reach ``COVERAGE``: a template covered to that
 share has at least one word of any set that makes up more than the rest of its
-words, so texts without such a word are passed over (a substring test) without
-losing a match.  In the others, regions are cut around the templates' words, each
-at most a few templates long, so that a notice that stands twice in a text is
-found in each place, and no work grows with the square of a text.
+words (counted in whole numbers), so texts without such a word are passed over
+without losing a match.  In the others, each such word of the text is put on its
+place in the template, and what is before and after it is aligned alone, over at most a
+template's length of added words: copies that follow each other don't hide one
+another, and no work grows with the square of a text.
 
 Nulls and odd input: a null or empty text has no license; a null ``doc_id`` stays
 null; repeated rows give repeated results; other columns are ignored; an empty
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from revisionlens.llm.common import prepare
 
 COVERAGE = 0.8
+_PERCENT = round(100 * COVERAGE)              # shares are compared in whole numbers
 _WORD = re.compile(r"[0-9a-z]+")
 
 # Public license notices.
@@ -55,6 +57,7 @@ def words_at(text: str) -> list[str]:
 
 
 _PARSED = {name: words_at(t) for name, t in TEMPLATES.items()}
+_COUNTS = {name: Counter(words) for name, words in _PARSED.items()}
 
 
 def _needed(words: list[str]) -> list[str]:
@@ -63,7 +66,7 @@ def _needed(words: list[str]) -> list[str]:
     for w in sorted(count, key=lambda w: (-len(w), w)):
         out.append(w)
         total += count[w]
-        if total > (1 - COVERAGE) * len(words):
+        if 100 * total > (100 - _PERCENT) * len(words):
             break
     return out
 
@@ -118,26 +121,27 @@ def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
-def regions(spots: list[int], size: int, reach: int) -> list[tuple[int, int]]:
-    """Word ranges around the spots: one for each run of near spots, long runs cut into overlapping ranges."""
-    out: list[tuple[int, int]] = []
-    k = 0
-    while k < len(spots):
-        m = k
-        while m + 1 < len(spots) and spots[m + 1] - spots[m] <= reach and spots[m + 1] - spots[k] <= reach:
-            m += 1
-        out.append((max(0, spots[k] - reach), min(size, spots[m] + reach + 1)))
-        k = m + 1
-    return out
+def placed(words: list[str], template: list[str], i: int, j: int) -> list[tuple[int, int]]:
+    """The largest alignment that puts word ``i`` on the template's word ``j``, over few to a template's length of added words."""
+    best: list[tuple[int, int]] = []
+    n = len(template)
+    for added in (0, n // 5 + 1, n):
+        lo, hi = max(0, i - j - added), min(len(words), i + n - j + added)
+        left, right = aligned(words[lo:i], template[:j]), aligned(words[i + 1:hi], template[j + 1:])
+        pairs = [*((lo + x, y) for x, y in left), (i, j), *((i + 1 + x, j + 1 + y) for x, y in right)]
+        if len(pairs) > len(best) and pairs[-1][0] - pairs[0][0] < 2 * n:
+            best = pairs
+    return best
 
 
 def scan(text: str) -> list[tuple[str, float, int, int]]:
     """(license, coverage, first word, last word) of every template that the text covers, best place each."""
-    low = text.lower()
-    maybe = [name for name, need in _NEEDED.items() if any(w in low for w in need)]
+    words = _WORD.findall(text.lower())
+    held = Counter(words)
+    enough = lambda name, count: 100 * sum(min(c, count[w]) for w, c in _COUNTS[name].items()) >= _PERCENT * len(_PARSED[name])
+    maybe = [name for name, need in _NEEDED.items() if not need.isdisjoint(held) and enough(name, held)]
     if not maybe:
         return []
-    words = _WORD.findall(low)
     at: dict[str, list[int]] = {}
     wanted = frozenset().union(*(_NEEDED[n] for n in maybe))
     for i, w in enumerate(words):
@@ -145,15 +149,19 @@ def scan(text: str) -> list[tuple[str, float, int, int]]:
             at.setdefault(w, []).append(i)
     out = []
     for name in maybe:
-        template = _PARSED[name]
-        best = (0.0, 0, 0)
-        for lo, hi in regions(sorted(i for w in _NEEDED[name] for i in at.get(w, ())), len(words), len(template)):
-            pairs = aligned(words[lo:hi], template)
-            share = len(pairs) / len(template)
-            if pairs and share > best[0] and pairs[-1][0] - pairs[0][0] < 2 * len(template):
-                best = (share, lo + pairs[0][0], lo + pairs[-1][0])
-        if best[0] >= COVERAGE:
-            out.append((name, round(best[0], 6), best[1], best[2]))
+        template, best = _PARSED[name], (0, 0, 0)
+        n = len(template)
+        for i in sorted(i for w in _NEEDED[name] for i in at.get(w, ())):
+            if best[0] == n:
+                break
+            if not enough(name, Counter(words[max(0, i - 2 * n):i + 2 * n])):
+                continue
+            for j in (j for j, w in enumerate(template) if w == words[i]):
+                pairs = placed(words, template, i, j)
+                if len(pairs) > best[0]:
+                    best = (len(pairs), pairs[0][0], pairs[-1][0])
+        if 100 * best[0] >= _PERCENT * n:
+            out.append((name, round(best[0] / n, 6), best[1], best[2]))
     return out
 
 

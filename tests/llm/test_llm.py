@@ -312,6 +312,14 @@ def test_licenses(spark):
         assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
 
 
+def test_license_share_of_four_in_five_and_adjacent_copies():
+    filler, notice = "word " * 400, licenses.TEMPLATES["MIT"]
+    assert [h[:2] for h in licenses.scan(f"{filler}\nLicensed under the MIT License.\n{filler}")] == [("MIT", 0.8)]
+    assert licenses.scan(f"{filler}{notice} {notice} {filler}") == [("MIT", 1.0, 400, 404)]
+    for name, text in licenses.TEMPLATES.items():
+        assert (name, 1.0) in [h[:2] for h in licenses.scan(f"{filler}{text} {text} {text}")]
+
+
 def test_queries_are_registered():
     assert sorted(QUERIES) == sorted(set(QUERIES)) and {re.match(r"op(\d+)_", q)[1] for q in QUERIES} == {str(i) for i in range(1, 11)} and set(ORACLE) <= set(QUERIES)
 
