@@ -320,6 +320,25 @@ def test_license_share_of_four_in_five_and_adjacent_copies():
         assert (name, 1.0) in [h[:2] for h in licenses.scan(f"{filler}{text} {text} {text}")]
 
 
+def test_licenses_are_told_apart(spark):
+    found = lambda text: {h[0] for h in licenses.scan("word " * 50 + text + " word" * 50)}
+    for text, name in [("licensed under the GNU General Public License, version 2", "GPL-2.0"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+                       ("Licensed under CC BY-NC-ND 3.0.", "CC-BY-NC-ND-3.0"), ("Licensed under CC BY 2.5.", "CC-BY-2.5"), ("Licensed under the ISC License", "ISC"),
+                       ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-4.0"), ("Released under the BSD License.", None)]:
+        assert found("This work is " + text if text.startswith("licensed") else text) == ({name} - {None}), text
+    for name, texts in licenses.DEFAULT.items():
+        for text in texts:
+            assert name in found(text), name
+    for name, text in licenses.TEXTS.items():
+        w = text.split()
+        del w[100::50]
+        assert found(" ".join(w)) & set(licenses.TEXTS) == {name}, name
+    assert "BSD-3-Clause" not in found(licenses.PHRASINGS["BSD-2-Clause"][0]) and "BSD-2-Clause" not in found(licenses.PHRASINGS["BSD-3-Clause"][0])
+    assert "ISC" not in found(licenses.PHRASINGS["0BSD"][0]) and "0BSD" not in found(licenses.PHRASINGS["ISC"][0])
+    own = licenses.license_matches(spark.createDataFrame([(1, "all of this is ours"), (2, "Released under the MIT License.")], "doc_id long, text string"), {"ours": "this is ours", "no": ("", ".")})
+    assert [(r.doc_id, r.license) for r in own.collect()] == [(1, "ours")]
+
+
 def test_queries_are_registered():
     assert sorted(QUERIES) == sorted(set(QUERIES)) and {re.match(r"op(\d+)_", q)[1] for q in QUERIES} == {str(i) for i in range(1, 11)} and set(ORACLE) <= set(QUERIES)
 
