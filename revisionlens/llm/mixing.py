@@ -87,14 +87,14 @@ def mix_table(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     return inner.unionByName(edge).select(*given, "source_size", "target", (F.col("epochs") + F.col("extra")).alias("copies"))
 
 
-def document_sizes(documents: DataFrame, quality: DataFrame | None = None) -> DataFrame:
-    """doc_id, source, size, weight.  ``quality``: doc_id and quality 0 or 1, which weigh 0.5 and 2 (unknown: 1)."""
-    d = documents.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+def document_sizes(documents: DataFrame, quality: DataFrame | None = None, *more: str) -> DataFrame:
+    """doc_id, source, ``more``, size, weight.  ``quality``: doc_id and quality 0 or 1, which weigh 0.5 and 2 (unknown: 1)."""
+    d = documents.select("doc_id", "source", *more, n_words(F.col("text")).alias("size"))
     if quality is None:
         return d.withColumn("weight", F.lit(1.0))
     q = quality.filter("doc_id is not null").groupBy(F.col("doc_id").alias("q_id")).agg(F.max("quality").alias("quality"))
     return d.join(q, d.doc_id == q.q_id, "left").select(
-        "doc_id", "source", "size", F.when(F.col("quality") >= 1, 2.0).when(F.col("quality") <= 0, 0.5).otherwise(1.0).alias("weight"))
+        "doc_id", "source", *more, "size", F.when(F.col("quality") >= 1, 2.0).when(F.col("quality") <= 0, 0.5).otherwise(1.0).alias("weight"))
 
 
 def mix_documents(documents: DataFrame, quality: DataFrame | None = None) -> DataFrame:
@@ -104,15 +104,16 @@ def mix_documents(documents: DataFrame, quality: DataFrame | None = None) -> Dat
     return mix_table(sizes).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def mixed(documents: DataFrame) -> DataFrame:
+def mixed(documents: DataFrame, quality: DataFrame | None = None) -> DataFrame:
     """The mix itself: every row of ``documents``, with all its columns, as often as it is taken.
 
+    ``quality`` is that of :func:`document_sizes`.
     Only (row hash, copies) meets the texts again.  Rows of equal ``doc_id``,
     text and source are one row here, which gives the copies of them all.
     """
     prepare(documents.sparkSession)
     row = F.xxhash64("doc_id", "text", "source")
-    sizes = written(documents.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.lit(1.0).alias("weight"), row.alias("row")), "sizes")
+    sizes = written(document_sizes(documents.select("doc_id", "source", "text", row.alias("row")), quality, "row"), "sizes")
     copies = mix_table(sizes).groupBy(F.col("row").alias("mix_row")).agg(F.sum("copies").cast("int").alias("mix_copies"), F.count("*").alias("mix_equal"))
     d = documents.join(copies.filter("mix_copies > 0"), row == F.col("mix_row"))
     alone = d.filter("mix_equal = 1").unionByName(d.filter("mix_equal > 1").dropDuplicates(["mix_row"]))

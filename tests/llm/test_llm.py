@@ -364,6 +364,18 @@ def test_pipeline(spark, odd_rows, tmp_path):
     assert {r.doc_id for r in out} <= {k for k, (_, c) in want.items() if k == c} - {3} and len(out) > 20
 
 
+def test_pipeline_mix_takes_the_labels(spark, tmp_path):
+    import corpus_pipeline
+    once = spark.createDataFrame([(i, f"word {i} " * 5, f"s{i % 3}") for i in range(300)], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, i // 3 % 2, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    counted = lambda rows: Counter({r.doc_id: r.copies for r in rows.collect() if r.copies})
+    taken = Counter(r.doc_id for r in corpus_pipeline.mix(spark, once, str(tmp_path)).collect())
+    assert taken == counted(mixing.mix_documents(once, labels)) != counted(mixing.mix_documents(once))
+    low = [i for i in taken if i % 3 == 0 and i // 3 % 2 == 0]
+    assert 2 * len(low) < len([i for i in taken if i % 3 == 0]) < 100
+
+
 def test_pieces_have_the_ids_of_the_whole_text():
     import random
 
