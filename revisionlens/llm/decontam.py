@@ -17,7 +17,7 @@ the same joins shuffle.  A word in a third of all positions is an anchor only of
 items that have no rarer word.
 
 Nulls and odd input: null texts have no words (and an item without words no
-window); items with a null ``item_id`` are left out; rows that repeat a ``doc_id`` are
+window); documents with a null ``doc_id`` are judged by their own text like any other; items with a null ``item_id`` are left out; rows that repeat a ``doc_id`` are
 judged by their own text, equal rows alike; empty tables give every document
 without hits, or no rows.
 """
@@ -81,9 +81,10 @@ def phrase_matches(documents: DataFrame, items: DataFrame, postings: DataFrame,
     met = met.filter(F.col("terms") >= F.least(F.lit(ANCHORS), F.col("item_n"))).select("doc_id", "row", "item", "offset")
     met = written(met, "met")
     ids = written(met.select("doc_id", "row").distinct(), "met-ids")
-    docs = documents.select("doc_id", "text", F.xxhash64("text").alias("row")).join(checked_broadcast(ids, ids.count()), ["doc_id", "row"], "left_semi")
-    docs = docs.select("doc_id", "row", words_of(ascii_lower(F.col("text"))).alias("doc_words")).dropDuplicates(["doc_id", "row"])
-    both = met.join(docs, ["doc_id", "row"]).join(items.select("item", "item_id", "words", "n"), "item")
+    ids = checked_broadcast(ids.select(F.col("doc_id").alias("d"), F.col("row").alias("r")), ids.count())
+    docs = documents.select("doc_id", "text", F.xxhash64("text").alias("row")).join(ids, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left_semi")
+    docs = docs.select(F.col("doc_id").alias("d"), F.col("row").alias("r"), words_of(ascii_lower(F.col("text"))).alias("doc_words")).dropDuplicates(["d", "r"])
+    both = met.join(docs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r"))).join(items.select("item", "item_id", "words", "n"), "item")
     equal = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.get("doc_words", F.col("offset") + i) == F.get("words", i), F.lit(False)))
     both = both.select("doc_id", "row", "item_id", "offset", "n", equal.alias("equal")).filter(F.array_contains("equal", True))
     width = F.least(F.lit(WINDOW), F.col("n"))
@@ -112,9 +113,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = written(_items(benchmark), "items")
     postings, anchors = build_index(documents, items)
     hits = phrase_matches(documents, items, postings, anchors)
-    spots = hits.select("doc_id", "row", "pos").distinct().groupBy("doc_id", "row").agg(F.count("*").alias("n_hit"))
-    which = hits.select("doc_id", "row", "item_id").distinct().groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    found = spots.join(which, ["doc_id", "row"])
+    spots = hits.groupBy("doc_id", "row", "pos").agg(F.collect_set(F.col("item_id").cast("string")).alias("at"))
+    found = spots.groupBy("doc_id", "row").agg(F.count("*").alias("n_hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("at")))).alias("items"))
     found = found.select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "n_hit", "items")
     every = postings.filter("pos = 0").select("doc_id", "row", F.col("n").cast("long").alias("n_words"))
     out = every.join(found, every.doc_id.eqNullSafe(found.d) & (every.row == found.r), "left")

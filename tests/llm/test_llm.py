@@ -241,6 +241,14 @@ def test_decontamination_brute_force(spark, odd_rows):
     assert len(none) == len(rows) and not any(r.contaminated for r in none)
 
 
+def test_decontamination_of_null_ids(spark):
+    whole = " ".join(f"w{i}" for i in range(20))
+    rows = [(None, whole), (None, f"tail {whole} tail"), (None, "w1 w2 w3"), (None, None), (1, whole), (None, whole)]
+    items = [(1, whole), (2, "tail w0")]
+    found = decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in found.collect()) == brute_hits(rows, items)
+
+
 def test_proximity(spark):
     items = decontam._items(spark.createDataFrame([(1, "alpha beta gamma delta epsilon")], "item_id long, text string"))
     docs = spark.createDataFrame([(1, "alpha x x beta"), (2, "alpha " + "x " * 200 + "beta"), (3, "x")], "doc_id long, text string")
