@@ -7,8 +7,12 @@
    pass over the texts, written to the shared checkpoint folder.
 4. Each posting is moved by its anchor's place in the item; postings that agree
    on (document, item, offset) are an intersection of offset-adjusted lists.
-5. Intersections are compared word by word, for the exact phrase matches; the
-   same postings, within a distance of each other, give the proximity matches.
+5. Intersections are compared word by word, for the exact phrase matches.
+6. Proximity matches find reworded copies: documents that hold several different
+   terms of an item within a distance.  Its terms are its anchors and its
+   ``NEAR_TERMS`` rarest words (beyond ``LEAST`` of them only such as stand less
+   often than there are documents); an item with fewer terms than the match asks
+   for must have all of them near each other.
 
 Terms are found by ``lower()`` of the single word, which joins at least all that
 are equal after lower-casing A-Z; the last comparison is exact.  Broadcast:
@@ -32,6 +36,7 @@ from revisionlens.llm.common import ascii_lower, checked_broadcast, prepare, wri
 
 WINDOW = 13
 ANCHORS = 2                   # rarest words of a window whose lists are intersected
+NEAR_TERMS, DISTANCE, LEAST = 6, 50, 3
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"      # the words before A-Z are lower-cased
 
 
@@ -52,30 +57,39 @@ def _positions(docs: DataFrame) -> DataFrame:
 
 
 def build_index(documents: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(postings, anchors): the written index over the anchors' terms, and the anchors (term, item, at)."""
+    """(postings, anchors): the written index over the anchors' terms, and the anchors (term, item, at, n, phrase).
+
+    ``phrase`` is false for the terms that only the proximity matches need.
+    """
     prepare(documents.sparkSession)
     docs = documents.select("doc_id", "text", F.xxhash64("text").alias("row"))
     spots = items.select("item", "n", F.posexplode("words").alias("at", "word")).select("item", "n", "at", F.lower("word").alias("term"))
     spots = written(spots, "spots")
-    terms = written(spots.select("term").distinct(), "terms")
+    empty = documents.sparkSession.createDataFrame([("",)], "term string")          # stands once in every document
+    terms = written(spots.select("term").unionByName(empty).distinct(), "terms")
     words = _positions(docs)
     counts = words.select(F.lower("word").alias("term")).join(checked_broadcast(terms, terms.count()), "term").groupBy("term").agg(F.count("*").alias("frequency"))
-    spots = spots.join(written(counts, "frequencies"), "term")         # a word that no document has: its windows occur nowhere
+    counts = written(counts, "frequencies")
+    spots = written(spots.join(counts, "term"), "known")         # a word that no document has: its windows occur nowhere
+    n_docs = counts.filter("term = ''").select(F.col("frequency").alias("n_docs"))          # one row, or none without documents
+    own = spots.groupBy("item", "term", "frequency", "n").agg(F.min("at").alias("at"))
+    own = own.withColumn("place", F.row_number().over(W.partitionBy("item").orderBy("frequency", "term"))).join(F.broadcast(n_docs), F.lit(True))
+    near = own.filter(f"place <= {LEAST} or place <= {NEAR_TERMS} and frequency <= n_docs").select("term", "item", "at", "n", F.lit(False).alias("phrase"))
     width = F.least(F.lit(WINDOW), F.col("n"))
     first = F.greatest(F.lit(0), F.col("at") - width + 1)
     last = F.least(F.col("at"), F.col("n") - width)
     spots = spots.withColumn("window", F.explode(F.sequence(first, last)))
     rarest = F.row_number().over(W.partitionBy("item", "window").orderBy("frequency", "term", "at"))
-    anchors = written(spots.withColumn("place", rarest).filter(F.col("place") <= ANCHORS).select("term", "item", "at", "n").distinct(), "anchors")
-    wanted = anchors.select("term").distinct()
-    wanted = written(wanted.unionByName(wanted.sparkSession.createDataFrame([("",)], "term string")).distinct(), "wanted")
+    anchors = spots.withColumn("place", rarest).filter(F.col("place") <= ANCHORS).select("term", "item", "at", "n", F.lit(True).alias("phrase")).distinct()
+    anchors = written(anchors.unionByName(near), "anchors")
+    wanted = written(anchors.select("term").unionByName(empty).distinct(), "wanted")
     postings = words.select("doc_id", "row", "n", "pos", F.lower("word").alias("term")).join(checked_broadcast(wanted, wanted.count()), "term")
     return written(postings.select("term", "doc_id", "row", "n", "pos"), "postings"), anchors
 
 
 def phrase_matches(documents: DataFrame, items: DataFrame, postings: DataFrame, anchors: DataFrame) -> DataFrame:
     """Every exact match: ``doc_id, row, item_id, pos`` of each document word that a window of the item covers."""
-    moved = postings.filter("pos > 0").select("term", "doc_id", "row", "pos").join(anchors.select("term", "item", "at", F.col("n").alias("item_n")), "term")
+    moved = postings.filter("pos > 0").select("term", "doc_id", "row", "pos").join(anchors.filter("phrase").select("term", "item", "at", F.col("n").alias("item_n")), "term")
     moved = moved.select("doc_id", "row", "item", "item_n", (F.col("pos") - 1 - F.col("at")).alias("offset"))
     met = moved.groupBy("doc_id", "row", "item", "offset").agg(F.count("*").alias("terms"), F.first("item_n").alias("item_n"))
     met = met.filter(F.col("terms") >= F.least(F.lit(ANCHORS), F.col("item_n"))).select("doc_id", "row", "item", "offset")
@@ -94,21 +108,32 @@ def phrase_matches(documents: DataFrame, items: DataFrame, postings: DataFrame,
     return found.select("doc_id", "row", "item_id", F.explode(covered).alias("i"), "offset").select("doc_id", "row", "item_id", (F.col("offset") + F.col("i")).alias("pos"))
 
 
-def proximity_matches(postings: DataFrame, anchors: DataFrame, items: DataFrame, distance: int = 50, least: int = 3) -> DataFrame:
-    """(doc_id, item_id, terms): documents with at least ``least`` different anchor terms of an item within ``distance`` words.
+def proximity_matches(postings: DataFrame, anchors: DataFrame, items: DataFrame, distance: int = DISTANCE, least: int = LEAST) -> DataFrame:
+    """(doc_id, row, item_id, terms): documents with at least ``least`` different terms of an item (all, if it has fewer) within ``distance`` words.
 
-    A document's positions are cut into overlapping halves of twice the distance, so
-    every span of ``distance`` words lies whole in one of them.
+    ``terms`` is the most that stand so: their first and last position are at most ``distance`` apart.
     """
-    hits = postings.filter("pos > 0").select("term", "doc_id", "row", "pos").join(anchors.select("term", "item").distinct(), "term")
-    blocks = F.array(F.floor(F.col("pos") / distance), F.floor(F.col("pos") / distance) + 1)
-    hits = hits.select("doc_id", "row", "item", "term", F.explode(blocks).alias("block")).distinct()
-    near = hits.groupBy("doc_id", "row", "item", "block").agg(F.count("*").alias("terms")).groupBy("doc_id", "item").agg(F.max("terms").alias("terms"))
-    return near.filter(F.col("terms") >= least).join(items.select("item", "item_id"), "item").groupBy("doc_id", "item_id").agg(F.max("terms").alias("terms"))
+    terms = anchors.select("term", "item").distinct()
+    asked = terms.groupBy("item").agg(F.least(F.lit(least), F.count("*")).alias("asked"))
+    hits = postings.filter("pos > 0").select("term", "doc_id", "row", "pos").distinct().join(terms.join(asked, "item"), "term")
+    # a block and the next hold every span that begins in it: only spans in blocks with enough terms are looked at
+    block = F.floor(F.col("pos") / (distance + 1))
+    blocks = hits.select("doc_id", "row", "item", "asked", "term", "pos", block.alias("own"), F.explode(F.array(block - 1, block)).alias("block"))
+    full = blocks.groupBy("doc_id", "row", "item", "block").agg(F.collect_set("term").alias("held"), F.collect_list(F.struct("pos", "term")).alias("spots"), F.first("asked").alias("asked"))
+    full = full.filter(F.size("held") >= F.col("asked")).select("doc_id", "row", "item", "block", "asked", F.explode("spots").alias("spot"))
+    span = W.partitionBy("doc_id", "row", "item", "block").orderBy("pos").rangeBetween(0, distance)
+    near = full.select("doc_id", "row", "item", "asked", "block", F.col("spot.pos").cast("long").alias("pos"), F.col("spot.term").alias("term"))
+    near = near.withColumn("terms", F.size(F.collect_set("term").over(span)))
+    near = near.groupBy("doc_id", "row", "item").agg(F.max("terms").cast("long").alias("terms"), F.first("asked").alias("asked")).filter("terms >= asked")
+    return near.join(items.select("item", "item_id"), "item").groupBy("doc_id", "row", "item_id").agg(F.max("terms").alias("terms"))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per document ``doc_id, row, n_words, n_hit, items (sorted as strings), contaminated``."""
+    """Per document ``doc_id, row, n_words, n_hit, items (sorted as strings), contaminated, near_items, near_terms``.
+
+    ``near_items`` are those of the proximity matches (sorted as strings), ``near_terms`` the most terms of one.
+    They don't decide on ``contaminated``.
+    """
     prepare(documents.sparkSession)
     items = written(_items(benchmark), "items")
     postings, anchors = build_index(documents, items)
@@ -118,6 +143,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = found.select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "n_hit", "items")
     every = postings.filter("pos = 0").select("doc_id", "row", F.col("n").cast("long").alias("n_words"))
     out = every.join(found, every.doc_id.eqNullSafe(found.d) & (every.row == found.r), "left")
+    near = proximity_matches(postings, anchors, items).groupBy(F.col("doc_id").alias("near_d"), F.col("row").alias("near_r")).agg(
+        F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("near_items"), F.max("terms").alias("near_terms"))
+    out = out.join(near, F.col("doc_id").eqNullSafe(F.col("near_d")) & (F.col("row") == F.col("near_r")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select("doc_id", "row", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-                      ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+                      ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+                      F.coalesce("near_items", F.array().cast("array<string>")).alias("near_items"), F.coalesce("near_terms", F.lit(0)).cast("long").alias("near_terms"))

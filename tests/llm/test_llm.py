@@ -257,6 +257,17 @@ def test_proximity(spark):
     assert [(r.doc_id, r.item_id) for r in near.collect()] in ([], [(1, 1)])          # both terms are anchors only if they are the rarest
 
 
+def test_proximity_of_reworded_short_items(spark):
+    items = [(1, "the quick zebra of the north eats purple lemons at dawn"), (2, "rare pair"), (3, "never seen")]
+    far = "x " * 60
+    rows = [(1, f"{far} at dawn the zebra from the north was eating lemons {far}"), (None, "a pair is rare"), (2, f"zebra {far} lemons {far} north {far} purple {far} pair"),
+            (3, "the of at " * 5), (4, "zebra " + "x " * 24 + "lemons " + "x " * 24 + "purple"), (5, "zebra " + "x " * 24 + "lemons " + "x " * 25 + "purple"), (6, items[0][1]), (7, None), (8, "rare " + far)]
+    rows += [(100 + i, "the of at eats quick") for i in range(30)]
+    out = decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    near = {r.doc_id: (r["near_items"], r.near_terms >= 2, r.contaminated) for r in out if r["near_items"]}
+    assert near == {1: (["1"], True, False), None: (["2"], True, False), 4: (["1"], True, False), 6: (["1"], True, True)}
+
+
 def test_kneser_ney_scores(spark):
     rng = random.Random(2)
     clean = [(i, " ".join(rng.choice(["the", "words", "are", "plain", "and", "good"]) for _ in range(80)), "en") for i in range(120)]
