@@ -10,27 +10,46 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from revisionlens.llm import decontam, kneserney, mixing, neardup, tokens
 from revisionlens.llm.common import checked_broadcast, prepare, table, written
 from revisionlens.session import checkpoint_dir
 
 
+#: Column that tells the rows of a stage's input apart: ids can be null or repeat.
+ROW = "pipeline_row"
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    scores = kneserney.quality_scores(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, scores.filter("not kept").select("doc_id"))
+    rows = _rows(docs)
+    scores = kneserney.quality_scores(rows, table(spark, sf_dir, "labels"), row_id=ROW)
+    return _without(rows, scores.filter("not kept").select(F.col("row_id").alias(ROW)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest ``doc_id``."""
-    return _without(docs, neardup.near_duplicates(docs).filter("not kept").select("doc_id"))
+    """One document of each group of near-duplicates: the smallest ``doc_id`` (null is the largest).
+
+    Each row is compared on its own.  Rows of one ``doc_id`` that have no words are one document.
+    """
+    rows = _rows(docs)
+    found = neardup.near_duplicates(rows, doc_id=ROW).select(F.col("doc_id").alias(ROW), "n_shingles", "component_id")
+    found = found.join(rows.select(ROW, F.col("doc_id").alias("id")), ROW)
+    some = F.col("n_shingles") > 0
+    found = found.select(ROW, "id", F.when(some, F.col("component_id")).alias("component"), F.when(~some, F.col("id")).alias("short"),
+                         F.when(~some & F.col("id").isNull(), F.col(ROW)).alias("alone"))
+    found = written(found, "near-rows")
+    first = found.groupBy("component", "short", "alone").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", ROW)).alias("first"))
+    first = written(first.select(F.col(f"first.{ROW}").alias(ROW)), "near-first")
+    return _without(rows, found.select(ROW).join(first, ROW, "left_anti"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark."""
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.filter("contaminated").select("doc_id"))
+    rows = _rows(docs)
+    found = decontam.contamination(rows.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return _without(rows, found.filter("contaminated").select(F.col("doc_id").alias(ROW)))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +62,16 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return tokens.tokenized(docs)
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` without the rejected ids: the ids are broadcast if their count is bounded, else both sides shuffle."""
+def _rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with a written id of each row: the operators' verdicts are by row."""
+    prepare(docs.sparkSession)
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def _without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``rows`` without the rejected ones and their ids: the ids are broadcast if their count is bounded, else both sides shuffle."""
     ids = written(rejected.distinct(), "rejected")
-    return docs.join(checked_broadcast(ids, ids.count()), "doc_id", "left_anti").select(*docs.columns)
+    return rows.join(checked_broadcast(ids, ids.count()), ROW, "left_anti").drop(ROW)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix), ("token_ids", token_ids)]

@@ -200,9 +200,10 @@ def _whole(docs: DataFrame, model: DataFrame) -> DataFrame:
             for lo, texts in _pieces(batch.column(2)):
                 grams, first = five_grams(texts)
                 sums = np.concatenate([[0.0], np.cumsum(log_probabilities(grams, tables))])
-                yield pa.record_batch([batch.column(0).slice(lo, len(texts)), batch.column(1).slice(lo, len(texts)), pa.array(np.diff(first)), pa.array(sums[first[:-1]] - sums[first[1:]])], names=["doc_id", "lang", "n_chars", "nll"])
+                yield pa.record_batch([batch.column(0).slice(lo, len(texts)), batch.column(1).slice(lo, len(texts)), pa.array(np.diff(first)), pa.array(sums[first[:-1]] - sums[first[1:]]),
+                                       batch.column(3).slice(lo, len(texts))], names=["doc_id", "lang", "n_chars", "nll", "row_id"])
 
-    return docs.mapInArrow(scored, "doc_id long, lang string, n_chars long, nll double")
+    return docs.mapInArrow(scored, "doc_id long, lang string, n_chars long, nll double, row_id long")
 
 
 def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +215,7 @@ def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sharded(docs: DataFrame, model: DataFrame) -> DataFrame:
     """The same scores by joins on the gram: nothing is held whole anywhere."""
-    docs = written(docs.select("doc_id", "lang", "text", F.monotonically_increasing_id().alias("row")), "kn-docs")
+    docs = written(docs.select("doc_id", "lang", "text", "row_id", F.monotonically_increasing_id().alias("row")), "kn-docs")
     held = written(docs.select("row", "text").mapInArrow(_grams_of, "row long, gram long, n long"), "kn-grams")
     model = written(model, "kn-model")
     open_ = held.select("gram").distinct().withColumn("sum", F.lit(0.0))
@@ -230,18 +231,19 @@ def _sharded(docs: DataFrame, model: DataFrame) -> DataFrame:
         open_ = t.filter("p is null").select("gram", "sum")
     done = done.unionByName(open_.select("gram", (F.col("sum") - BITS * float(np.log(2))).alias("sum")))
     sums = held.join(done, "gram").groupBy("row").agg(F.sum(F.col("n") * F.col("sum")).alias("s"))
-    return docs.join(sums, "row", "left").select("doc_id", "lang", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), (-F.coalesce("s", F.lit(0.0))).alias("nll"))
+    return docs.join(sums, "row", "left").select("doc_id", "lang", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), (-F.coalesce("s", F.lit(0.0))).alias("nll"), "row_id")
 
 
 def score(docs: DataFrame, model: DataFrame, model_entries: int = MODEL_ENTRIES) -> DataFrame:
-    """``doc_id, lang, n_chars, nll`` of ``doc_id, lang, text``."""
+    """``doc_id, lang, n_chars, nll, row_id`` of ``doc_id, lang, text, row_id``."""
     return _whole(docs, model) if model.count() <= model_entries else _sharded(docs, model)
 
 
-def quality_scores(documents: DataFrame, labels: DataFrame, model_entries: int = MODEL_ENTRIES) -> DataFrame:
-    """Per document ``doc_id, lang, n_chars, perplexity, score, threshold, kept``."""
+def quality_scores(documents: DataFrame, labels: DataFrame, model_entries: int = MODEL_ENTRIES, row_id: str | None = None) -> DataFrame:
+    """Per document ``doc_id, lang, n_chars, perplexity, score, threshold, kept``, and ``row_id`` if its column (long) is named."""
     prepare(documents.sparkSession)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    row = F.lit(None) if row_id is None else F.col(row_id)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", row.cast("long").alias("row_id"))
     trusted = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     trusted = written(trusted.filter("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("doc_id")), "trusted")
     n = trusted.count()
@@ -271,4 +273,4 @@ def quality_scores(documents: DataFrame, labels: DataFrame, model_entries: int =
     limit, value = F.coalesce("threshold", "all_threshold"), drawn(F.coalesce("mean", "all_mean"))
     some = F.col("n_chars") > 0
     return out.select("doc_id", "lang", "n_chars", F.when(some, F.exp(F.col("nll") / F.col("n_chars"))).alias("perplexity"), F.when(some, value).alias("score"), limit.alias("threshold"),
-                      F.coalesce(~some | (value <= limit), F.lit(True)).alias("kept"))
+                      F.coalesce(~some | (value <= limit), F.lit(True)).alias("kept"), *([] if row_id is None else ["row_id"]))

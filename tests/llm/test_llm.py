@@ -383,6 +383,25 @@ def test_pipeline(spark, odd_rows, tmp_path):
     assert {r.doc_id for r in out} <= {k for k, (_, c) in want.items() if k == c} - {3} and len(out) > 20
 
 
+def test_pipeline_judges_rows(spark, tmp_path):
+    """Null and repeated ids: each row is judged by its own text, and one of equal rows stays."""
+    import corpus_pipeline
+    rng = random.Random(2)
+    prose = lambda n: " ".join(rng.choice(["the", "words", "are", "plain", "and", "good"]) for _ in range(n))
+    junk = ["".join(rng.choice("#%&$|!XQZ") for _ in range(300)) for _ in range(2)]
+    item, copy = " ".join(f"w{i}" for i in range(20)), prose(60)
+    d = str(tmp_path)
+    spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    held = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    docs = lambda rows: spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")
+    clean = [(i, prose(60)) for i in range(80)]
+    assert held(corpus_pipeline.quality(spark, docs([*clean, (None, junk[0]), (None, clean[3][1]), (90, junk[1]), (90, clean[4][1])]), d)) == Counter([*clean, (None, clean[3][1]), (90, clean[4][1])])
+    assert held(corpus_pipeline.decontaminate(spark, docs([*clean, (None, item), (None, "w1"), (90, item), (90, "w2")]), d)) == Counter([*clean, (None, "w1"), (90, "w2")])
+    few = [(5, copy), (5, copy), (None, copy), (4, copy), (6, prose(70)), (6, copy), (7, None), (7, None), (None, None), (None, None)]
+    assert held(corpus_pipeline.near_dedup(spark, docs(few), d)) == Counter([(4, copy), few[4], (7, None), (None, None), (None, None)])
+
+
 def test_pipeline_mix_takes_the_labels(spark, tmp_path):
     import corpus_pipeline
     once = spark.createDataFrame([(i, f"word {i} " * 5, f"s{i % 3}") for i in range(300)], "doc_id long, text string, source string")
