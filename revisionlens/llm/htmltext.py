@@ -9,7 +9,8 @@ short paragraphs at its ends aren't lost), and its blocks are the text.
 
 Elements that are never content are left out by name (scripts, styles, menus,
 forms, asides ...) or by the words of their class, id and role (adverts,
-sidebars, notices, comments ...).  Only one page is in hand at a time; every
+sidebars, notices, comments ...).  A form, dialog or object stays if it holds the
+article or main element or, on pages without one, most of the page's words.  Only one page is in hand at a time; every
 page is extracted whole.  At most ``SAMPLE_PAGES`` labelled pages (those of the
 smallest id hashes) fit the weights; one weight a tag name of a fixed list is
 all that reaches the driver.
@@ -41,13 +42,14 @@ SAMPLE_PAGES = 2000
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object".split())
+RAW = frozenset("script style noscript template textarea title svg math iframe".split())
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt".split())
 LISTS = frozenset("ul ol dl table".split())
 NEVER = frozenset("head nav footer aside form button select option optgroup datalist dialog menu script style noscript template textarea title svg math iframe object input".split())
-NAMES = sorted(BLOCK | VOID | RAW | frozenset("a abbr b big cite code em font i ins del kbd label mark q s small span strike strong sub sup time tt u var button select option audio video".split()))
+WRAPPERS = frozenset("form dialog object".split())          # of NEVER, but some pages stand whole in one
+NAMES = sorted(BLOCK | VOID | RAW | WRAPPERS | frozenset("a abbr b big cite code em font i ins del kbd label mark q s small span strike strong sub sup time tt u var button select option audio video".split()))
 # Words of class, id and role that mark what isn't content.
 MARKS = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation
 breadcrumb breadcrumbs cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login search
@@ -71,6 +73,7 @@ class Page:
     def __init__(self, source: str):
         self.name, self.parent, self.off, self.holds = ["#root"], [-1], [False], [False]
         self.events: list[tuple[int, int, str]] = []
+        self.marked = False                        # whether there is an article or main element
         stack, at, n = [0], 0, len(source)
         while at < n:
             m = _EVENT.search(source, at)
@@ -115,12 +118,12 @@ class Page:
                 return
 
     def _open(self, name: str, parent: int, attrs: str) -> int:
-        off = name in NEVER or bool(attrs and _HIDDEN.search(attrs))
+        off = name in NEVER and name not in WRAPPERS or bool(attrs and _HIDDEN.search(attrs))
         inside = self.within(parent, ("article", "main"))
         if not off and attrs and name not in ("html", "body", "main"):
             for m in _MARK_ATTR.finditer(attrs):
                 for one in (m[2] or m[3] or m[4] or "").split():
-                    words = {w.lower() for w in _PARTS.findall(one)}
+                    words = {w.lower() for w in _PARTS.findall(one)} - ({name} & WRAPPERS)          # id="form1" says no more than the name
                     if not words & NEGATIONS:
                         off = off or bool(words & MARKS) or inside < 0 and bool(words & MARKS_OUTSIDE)
         off = off or name == "header" and inside < 0
@@ -129,6 +132,7 @@ class Page:
         self.off.append(off)
         self.holds.append(False)
         if name in ("article", "main") and not off:
+            self.marked = True
             while parent > 0 and not self.holds[parent]:
                 self.holds[parent] = True
                 parent = self.parent[parent]
@@ -144,12 +148,26 @@ class Page:
 
     def dropped(self) -> list[bool]:
         """Per element: it or one around it is never content (an element that holds the article is)."""
-        out = []
-        for e in range(len(self.name)):
+        out: list[bool] = []
+        most = self._most() if not self.marked else frozenset()
+        for e, name in enumerate(self.name):
             up = self.parent[e] >= 0 and out[self.parent[e]]
-            out.append(up or self.off[e] and (self.name[e] in NEVER or not self.holds[e]))
+            never = name in NEVER and not (name in WRAPPERS and (self.holds[e] or e in most))
+            out.append(up or never or self.off[e] and not self.holds[e])
         return out
 
+    def _most(self) -> frozenset[int]:
+        """Forms, dialogs and objects that hold more than half of the page's words."""
+        if WRAPPERS.isdisjoint(self.name):
+            return frozenset()
+        n = [0] * len(self.name)
+        for e, kind, value in self.events:
+            if kind == 0:
+                n[e] += _count_words(value)
+        for e in range(len(n) - 1, 0, -1):                 # a parent comes before its children
+            n[self.parent[e]] += n[e]
+        return frozenset(e for e, name in enumerate(self.name) if name in WRAPPERS and 2 * n[e] > n[0])
+
 
 def _count_words(piece: str) -> int:
     return len(piece.split())
@@ -201,7 +219,7 @@ def main_text(source: str | None, weights: dict[str, float]) -> str:
     page = Page(source)
     dropped = page.dropped()
     if not any(kind == 0 and not dropped[e] and value.strip() for e, kind, value in page.events):
-        page.off = [name in NEVER for name in page.name]       # all is marked: only names count then
+        page.off = [name in NEVER and name not in WRAPPERS for name in page.name]       # all is marked: only names count then
         dropped = page.dropped()
     word, other = weights.get("#word", 1.0), weights.get("#other", -1.0)
     scores = [0.0 if dropped[e] and kind == 0 else word * _count_words(value) if kind == 0 else weights.get(value, other) for e, kind, value in page.events]

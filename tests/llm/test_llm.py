@@ -160,6 +160,18 @@ def test_html_text(spark):
     assert by[3].text == by[4].text == "" and by[5].text == "a < b and &am; c" and by[6].text == "Be." and by[7].text == "only this"
 
 
+def test_article_in_a_form():
+    weights = htmltext.DEFAULT_WEIGHTS
+    inner = ARTICLE.replace("<form>sign up</form>", "<div class='signup'>sign up</div>")
+    body = inner.replace("on here.", "on here, and for quite a few more words than the menu has.")
+    for tag in ("form id='form1'", "dialog open", "object"):
+        end = tag.split()[0]
+        page = f"<html><head><title>t</title></head><body><nav>menu menu menu</nav><{tag}><input type=hidden>%s</{end}><form>search <b>this</b> site</form></body>"
+        assert htmltext.main_text(page % f"<div class='menu'>more menu</div><article>{inner}</article>", weights) == TEXT
+        assert htmltext.main_text(page % f"<div>{body}</div>", weights) == TEXT.replace("on here.", "on here, and for quite a few more words than the menu has.")
+    assert htmltext.main_text("<article><p>Be here.</p><form>sign up now or later, as you like it</form></article>", weights) == "Be here."
+
+
 def test_best_run():
     assert htmltext.best_run([-1, 2, -1, 3, -9, 4]) == (1, 3) and htmltext.best_run([-1, 0]) == (0, -1)
 
