@@ -11,8 +11,8 @@ any table of labels that is given.
 
 Everything is a grouped count over (host, template) with map-side sums; the
 nodes of a host are far fewer than its urls, as id-like segments are generalised
-before the first shuffle.  Levels deeper than ``DEPTH`` are one wildcard, as
-templates end there; every url has a template.
+before the first shuffle.  There are as many levels as the longest path has segments
+(at least ``DEPTH``), each written; every url has a template.
 
 Nulls and odd input: a null url, or one without ``://``, has an empty host and
 path and is judged like any other (no rule fits it); repeated rows are judged each,
@@ -62,7 +62,7 @@ def _segment(s: Column) -> Column:
 
 
 def template_shares(urls: DataFrame) -> DataFrame:
-    """``urls``: host, segments (generalised ids), n, labelled, blocked.  Returns host, s1..sDEPTH (raw) and ``share``.
+    """``urls``: host, segments (generalised ids), n, labelled, blocked.  Returns host, segments, share, template and evidence.
 
     One level at a time: the node's children are counted, generalised and merged,
     and the node's smoothed share is handed down to them.
@@ -71,7 +71,12 @@ def template_shares(urls: DataFrame) -> DataFrame:
     everything = urls.agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
     labelled, blocked = everything.first()               # two numbers
     nodes = nodes.withColumn("share", F.lit(((blocked or 0) + 0.5) / ((labelled or 0) + 1.0))).withColumn("template", F.lit(""))
-    for level in range(DEPTH + 1):
+    longest = urls.agg(F.max(F.size("segments"))).first()[0] or 0          # one number
+    done: list[DataFrame] = []
+    for level in range(max(DEPTH, longest) + 1):
+        if level > DEPTH:                # paths that ended a level ago have their template
+            done.append(nodes.filter(F.size("segments") < level - 1))
+            nodes = nodes.filter(F.size("segments") >= level - 1)
         # level 0 is the host itself, then one segment each
         seg = F.lit("") if level == 0 else F.coalesce(F.get("segments", F.lit(level - 1)), F.lit(""))
         nodes = nodes.withColumn("segment", seg)
@@ -91,6 +96,8 @@ def template_shares(urls: DataFrame) -> DataFrame:
         shares = shares.select("host", "template", "segment", "name", ((F.col("b") + SMOOTHING * F.col("up")) / (F.col("l") + SMOOTHING)).alias("new"), F.col("l").alias("evidence"))
         nodes = nodes.drop("evidence").join(shares, ["host", "template", "segment"]).select("host", "segments", "n", "labelled", "blocked", F.col("new").alias("share"), F.col("name").alias("template"), "evidence")
         nodes = written(nodes, f"level{level}")
+    for ended in done:
+        nodes = nodes.unionByName(ended)
     return nodes.groupBy("host", "segments").agg(F.first("share").alias("share"), F.first("template").alias("template"), F.first("evidence").alias("evidence"))
 
 
@@ -105,7 +112,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame | None = None, rules=RULES)
 
     def parsed(df: DataFrame, *columns: str) -> DataFrame:
         df = df.select(*columns, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-        return df.select("*", rule_of(F.col("host"), F.col("path"), rules).alias("rule"), F.slice(segments, 1, DEPTH).alias("segments"))
+        return df.select("*", rule_of(F.col("host"), F.col("path"), rules).alias("rule"), segments.alias("segments"))
 
     p = written(parsed(pages, "page_id"), "urls")
     decided = F.col("rule").isNotNull()

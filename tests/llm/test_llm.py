@@ -224,6 +224,15 @@ def test_url_templates_use_labels(spark):
     assert all((r.verdict == "block") == bool(r.page_id % 2) for r in out)
 
 
+def test_url_templates_of_deep_paths(spark):
+    url = lambda i: f"http://a.org/a/b/c/d/{'bad' if i % 2 else 'good'}/{i}"
+    pages = spark.createDataFrame([(i, url(i)) for i in range(200)] + [(200, "http://a.org/a/b"), (201, "http://a.org/a/b/c/d"), (202, None)], "page_id long, url string")
+    labels = spark.createDataFrame([(url(i), i % 2) for i in range(0, 200, 3)], "url string, blocked int")
+    out = urls.filter_urls(pages, labels).collect()
+    assert len(out) == 203 and all(r.template is not None for r in out)
+    assert all((r.verdict == "block") == bool(r.page_id % 2) for r in out if r.page_id < 200)
+
+
 def brute_hits(rows, items):
     split = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(s or ""))
     out = Counter()
