@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revisionlens.llm import decontam, htmltext, kneserney, licenses, linededup, mixing, neardup, rules, simhash, tokens, urls
+from revisionlens.llm import decontam, htmltext, kneserney, licenses, linededup, mixing, neardup, rules, simhash, tokenalign, tokens, urls
 from revisionlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_simhash_groups")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op13_align_tokens")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenalign.align_tokens(table(spark, sf_dir, "documents"))
