@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revisionlens.llm import decontam, htmltext, kneserney, licenses, linededup, mixing, neardup, rules, simhash, tokenalign, tokens, urls
+from revisionlens.llm import decontam, htmltext, kneserney, licenses, linededup, mixing, neardup, prefixtrie, rules, simhash, tokenalign, tokens, urls
 from revisionlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,39 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_align_tokens")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenalign.align_tokens(table(spark, sf_dir, "documents"))
+
+
+@query("op11_prefix_trie", r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id::BIGINT AS conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+bits AS (
+  SELECT conv_id, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: list_transform(range(8), lambda i: (ascii(c) >> i) & 1))) AS b
+  FROM (SELECT DISTINCT conv_id FROM t)),
+h AS (
+  SELECT conv_id, conv_id - ((conv_id % 5) + 5) % 5 AS base,
+         xor(list_reduce(list_prepend(4294967295, b), lambda crc, bit: xor(crc >> 1, CASE WHEN xor(crc, bit) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295) % 9 AS h
+  FROM bits),
+r AS (
+  SELECT h.conv_id, t.pos, role, text FROM h JOIN t ON t.conv_id = h.base AND t.pos <= h.h
+  UNION ALL SELECT h.conv_id, t.pos, role, text FROM h JOIN t ON t.conv_id = h.conv_id AND t.pos > h.h),
+s AS (
+  SELECT h.conv_id, coalesce(q.turns, []) AS turns, coalesce(q.size, []) AS size
+  FROM h LEFT JOIN (SELECT conv_id, list(sha256(role || chr(0) || text) ORDER BY pos) AS turns, list(strlen(text) ORDER BY pos) AS size FROM r GROUP BY conv_id) q USING (conv_id)),
+p AS (SELECT conv_id, len(turns) AS total, d, array_to_string(turns[1:d], ',') AS key, CASE WHEN d > 0 THEN array_to_string(turns[1:d - 1], ',') END AS up, CASE WHEN d > 0 THEN size[d] ELSE 0 END AS bytes
+  FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM s)),
+n AS (
+  SELECT d, key, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(bytes) AS saved,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE total = d), '')) AS ends_sha256
+  FROM p GROUP BY d, key),
+k AS (SELECT d - 1 AS d, up AS key, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (d, key)),
+a AS (
+  SELECT d AS top_d, key AS top, d, key, up, saved, n_children FROM m
+  UNION ALL SELECT m.d, m.key, a.d, a.key, m.up, a.saved, a.n_children FROM a JOIN m ON m.d = a.top_d - 1 AND m.key = a.up),
+u AS (SELECT top_d AS d, top AS key, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM a GROUP BY ALL)
+SELECT m.conv_id, m.d::BIGINT AS depth, v.conv_id AS parent_conv_id, m.n_convs, m.n_children::BIGINT AS n_children, u.n_leaves, u.saved_tokens::BIGINT AS saved_tokens, m.ends_sha256
+FROM m JOIN u USING (d, key) LEFT JOIN n v ON v.d = m.d - 1 AND v.key = m.up""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.conversation_trie(table(spark, sf_dir, "conversations"))
