@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from revisionlens.functions import constants as K
 from revisionlens.functions import text as X
+from revisionlens.operators.folding import contained, merge_split_sentences  # noqa: F401  (D9 has its own module)
 
 PAIR = ["source", "entry_id", "version_x", "version_y"]
 ALIGNED = PAIR + ["row_idx", "sent_idx_old", "text_old", "tag_old", "sent_idx_new", "text_new", "tag_new"]
@@ -227,37 +228,29 @@ def diff_quality_rows(versions: DataFrame, aligned: DataFrame, pairs: DataFrame)
 
 # ------------------------------------------------------------------ D8 / D9
 def containment_pairs(clustered: DataFrame, slack: float = K.CONTAINMENT_SLACK,
-                      max_words: int | None = None, materialized: bool = False) -> DataFrame:
+                      max_words: int | None = None) -> DataFrame:
     """Inside a cluster, text s2 (row j, active side) is nearly a subset of
     text s1 (row i != j, the other side): len2 <= len1, len2 <= max_words (if one
     is given) and at least len2 * (1 - slack) of s2's content words (T7 tokens) occur in s1.
 
-    Candidate (i, j) come from an equi-join on (cluster, word); rows whose s2
-    has no content word are contained in every s1 and are paired by cluster.
-    The input is read four times, so it is written once to the checkpoint
-    folder first (unless the caller already did).
+    Candidates come from a prefix filter on rare words (:func:`folding.contained`);
+    rows whose s2 has no content word are contained in every s1 and are paired
+    by cluster, as the definition lists them all (D9 doesn't).  The input is read
+    several times, so it is written once to the checkpoint folder first.
     """
     from revisionlens.session import materialize
-    if not materialized:
-        clustered = materialize(clustered, "clusters")
     key = PAIR + ["cluster_id"]
     cw = lambda t: X.content_words(X.tokens(F.col(t)))
+    c = materialize(clustered.select(*key, "row_idx", cw("text_old").alias("w_old"), cw("text_new").alias("w_new"),
+                                     (F.col("text_old") != "").alias("has_old"), (F.col("text_new") != "").alias("has_new")), "clusters")
     sides = []
-    for active, a_text, i_text in ((0, "text_old", "text_new"), (1, "text_new", "text_old")):
-        s2 = clustered.filter(F.col(a_text) != "").select(*key, F.col("row_idx").alias("j"), cw(a_text).alias("w2"))
-        s1 = clustered.filter(F.col(i_text) != "").select(*key, F.col("row_idx").alias("i"), cw(i_text).alias("w1"))
-        s2 = s2.withColumn("l2", F.size("w2"))
-        s1 = s1.withColumn("l1", F.size("w1"))
-        e2 = s2.select(*key, "j", "l2", F.explode("w2").alias("w"))
-        e1 = s1.select(*key, "i", "l1", F.explode(F.array_distinct("w1")).alias("w"))
-        hits = (e2.join(e1, key + ["w"]).groupBy(*key, "i", "j").agg(F.count(F.lit(1)).alias("m"),
-                                                                     F.min("l1").alias("l1"), F.min("l2").alias("l2")))
-        empty = s2.filter(F.col("l2") == 0).join(s1, key).select(*key, "i", "j", F.lit(0).cast("long").alias("m"),
-                                                                  "l1", "l2")
-        c = hits.unionByName(empty).filter(
-            (F.col("i") != F.col("j")) & (F.col("l2") <= F.col("l1")) & (F.lit(True) if max_words is None else F.col("l2") <= max_words)
-            & (F.col("m") >= F.col("l2") * (1 - slack)))
-        sides.append(c.withColumn("active_side", F.lit(active)))
+    for active, a_side, i_side in ((0, "old", "new"), (1, "new", "old")):
+        s2 = c.filter(f"has_{a_side}").select(*key, F.col("row_idx").alias("j"), F.col(f"w_{a_side}").alias("w2"), F.size(f"w_{a_side}").alias("l2"))
+        s1 = c.filter(f"has_{i_side}").select(*key, F.col("row_idx").alias("i"), F.col(f"w_{i_side}").alias("w1"), F.size(f"w_{i_side}").alias("l1"))
+        if max_words is not None:
+            s2 = s2.filter(F.col("l2") <= max_words)
+        empty = s2.filter("l2 = 0").join(s1, key).filter("i != j").select(*key, "i", "j", F.lit(0).cast("long").alias("m"), "l1", "l2")
+        sides.append(contained(s2.filter("l2 > 0"), s1, slack).unionByName(empty).withColumn("active_side", F.lit(active)))
     return sides[0].unionByName(sides[1])
 
 
@@ -274,44 +267,3 @@ def arc_neighbour_text(arcs_text: DataFrame) -> DataFrame:
              .select(*PAIR, F.lit("y").alias("side"), "sent_idx",
                      F.array_join(F.col("l.sentence_x"), " ").alias("linked_text")))
     return x.unionByName(y)
-
-
-# ------------------------------------------------------------------ D9
-def merge_split_sentences(clustered: DataFrame, slack: float = K.CONTAINMENT_SLACK, max_words: int | None = None) -> DataFrame:
-    """Bring the pieces of split or merged sentences together.
-
-    A sentence without a partner in its own row that is contained (D8) in
-    sentences of the other side goes to the row of its one best container: the
-    one that holds the largest share of its words, then the nearest row, then
-    the lowest.  Each row's texts of a side are then joined in row order, and the
-    indices of their sentences are kept in order.  All moves are decided on the rows as
-    they came in, so the result depends on no order of steps; rows left
-    without text are gone.
-    """
-    from revisionlens.session import materialize
-    key = PAIR + ["cluster_id"]
-    clustered = materialize(clustered, "clusters")
-    hits = containment_pairs(clustered, slack, max_words, materialized=True)
-    rank = Window.partitionBy(*key, "active_side", "j").orderBy(
-        (F.col("m") / F.greatest("l2", F.lit(1))).desc(), F.abs(F.col("i") - F.col("j")), "i")
-    best = (hits.withColumn("place", F.row_number().over(rank)).filter("place = 1")
-                .select(*key, F.col("active_side").alias("side"), F.col("j").alias("row_idx"), F.col("i").alias("target")))
-    alone = (F.col("text_old") == "") | (F.col("text_new") == "")
-    pieces = None
-    for side, name in ((0, "old"), (1, "new")):
-        part = clustered.filter(F.col(f"text_{name}") != "").select(
-            *key, "row_idx", F.lit(side).alias("side"), alone.alias("alone"), F.col(f"text_{name}").alias("text"),
-            F.col(f"tag_{name}").alias("tag"), F.col(f"sent_idx_{name}").alias("sent_idx"))
-        pieces = part if pieces is None else pieces.unionByName(part)
-    pieces = pieces.join(best, key + ["side", "row_idx"], "left")
-    pieces = pieces.withColumn("to", F.when(F.col("alone"), F.coalesce("target", "row_idx")).otherwise(F.col("row_idx")))
-
-    def joined(side: int):
-        mine = F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("row_idx", F.trim("text").alias("text"), "sent_idx"))))
-        tag = F.coalesce(F.max(F.when(F.col("side") == side, F.col("tag"))), F.lit(" "))
-        return mine, tag
-
-    (old, tag_old), (new, tag_new) = joined(0), joined(1)
-    rows = pieces.groupBy(*key, F.col("to").alias("row_idx")).agg(old.alias("old"), tag_old.alias("tag_old"), new.alias("new"), tag_new.alias("tag_new"))
-    return rows.select(*PAIR, "row_idx", F.col("old.sent_idx").alias("sent_idx_old"), F.array_join("old.text", " ").alias("text_old"), "tag_old",
-                       F.col("new.sent_idx").alias("sent_idx_new"), F.array_join("new.text", " ").alias("text_new"), "tag_new", "cluster_id")

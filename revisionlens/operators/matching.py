@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from revisionlens.functions import constants as K
 from revisionlens.functions import text as X
+from revisionlens.session import materialize
 
 PAIR = ["source", "entry_id", "version_x", "version_y"]
 ARC_COLS = PAIR + ["sent_idx_x", "sent_idx_y", "avg_sentence_distance_x", "avg_sentence_distance_y"]
@@ -148,14 +149,76 @@ def token_counts(tokens: DataFrame) -> DataFrame:
                   .agg(F.count(F.lit(1)).alias("c"), F.min("num_words").alias("n")))
 
 
-def sentence_pair_distances(tokens: DataFrame, near: DataFrame | None = None,
-                            cutoff: float = K.WORD_DISTANCE_CUTOFF) -> DataFrame:
+#: A token that joins more sentence pairs than this in a version pair is heavy.
+HEAVY_PAIRS = 1 << 14
+
+
+def _heavy_light_pairs(tc: DataFrame, cutoff: float, threshold: float, heavy_pairs: int) -> DataFrame:
+    """Sentence pairs that may be under the threshold, with both sides' matched and total words, for equal words.
+
+    Tokens are split by their counted output: (sentences of x that hold it) times (those of y).
+
+    * Light tokens make candidates by a plain equi-join.
+    * A pair that shares only heavy tokens can be under the threshold only if the heavy
+      words of one of its sentences would do alone (a prefix filter from the threshold:
+      ``cutoff * (n - m) / n < threshold``).  So only such sentences meet the other
+      side's over heavy tokens, in a join cut into cells of about ``heavy_pairs`` pairs.
+    * Every candidate then gets the heavy words that both its sentences hold, from one
+      short array a sentence.
+
+    No row is dropped that could be a partner, and no join key holds more than a cell.
+    """
+    tc = materialize(tc, "token-counts")
+    block = ["source", "entry_id", "version_x"]
+    x = tc.select("source", "entry_id", F.col("version").alias("version_x"), F.col("sent_idx").alias("sent_idx_x"), "token", F.col("c").alias("c_x"), F.col("n").alias("n_x"))
+    y = tc.select("source", "entry_id", (F.col("version") - 1).alias("version_x"), F.col("sent_idx").alias("sent_idx_y"), "token", F.col("c").alias("c_y"), F.col("n").alias("n_y"))
+    held = tc.groupBy("source", "entry_id", "version", "token").agg(F.count("*").alias("k"))
+    held = materialize(held.filter("k > 1"), "token-sentences")                 # a heavy token is held more than once on one side at least
+    hx = held.select("source", "entry_id", F.col("version").alias("version_x"), "token", F.col("k").alias("k_x"))
+    hy = held.select("source", "entry_id", (F.col("version") - 1).alias("version_x"), "token", F.col("k").alias("k_y"))
+    product = F.coalesce("k_x", F.lit(1)) * F.coalesce("k_y", F.lit(1))
+    heavy = hx.join(hy, block + ["token"], "full_outer").filter(product > heavy_pairs)
+    heavy = materialize(heavy.select(*block, "token", F.ceil(F.sqrt(product / heavy_pairs)).cast("int").alias("cells")), "heavy-tokens")
+
+    pair = block + ["sent_idx_x", "sent_idx_y"]
+    xl, yl = x.join(heavy, block + ["token"], "left_anti"), y.join(heavy, block + ["token"], "left_anti")
+    light = xl.join(yl, block + ["token"]).select(*pair, "c_x", "c_y", "n_x", "n_y")
+
+    def parts(side, c, n, idx):
+        rows = side.join(heavy, block + ["token"])
+        own = rows.groupBy(*block, idx).agg(F.sum(c).alias("h"), F.min(n).alias("n"), F.collect_list(F.struct("token", F.col(c).alias("c"))).alias(f"heavy_{idx[-1]}"))
+        alone = own.select(*block, idx, ((F.lit(cutoff) * (F.col("n") - F.col("h"))) / F.col("n") < F.lit(threshold)).alias("alone"))
+        mine = F.pmod(F.xxhash64(idx), F.col("cells")).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+        cell = (mine.alias("cell_x"), other.alias("cell_y")) if idx[-1] == "x" else (other.alias("cell_x"), mine.alias("cell_y"))
+        rows = rows.join(alone, block + [idx]).select(*block, "token", idx, n, "alone", *cell)
+        return rows, own.select(*block, idx, f"heavy_{idx[-1]}")
+
+    (xh, x_words), (yh, y_words) = parts(x, "c_x", "n_x", "sent_idx_x"), parts(y, "c_y", "n_y", "sent_idx_y")
+    on = block + ["token", "cell_x", "cell_y"]
+    by_heavy = xh.filter("alone").drop("alone").join(yh.drop("alone"), on).unionByName(xh.filter("not alone").drop("alone").join(yh.filter("alone").drop("alone"), on))
+    zero = F.lit(0).cast("long")
+    g = light.unionByName(by_heavy.select(*pair, zero.alias("c_x"), zero.alias("c_y"), "n_x", "n_y")).groupBy(*pair).agg(
+        F.sum("c_x").alias("m_x"), F.sum("c_y").alias("m_y"), F.min("n_x").alias("n_x"), F.min("n_y").alias("n_y"))
+    g = g.join(x_words, block + ["sent_idx_x"], "left").join(y_words, block + ["sent_idx_y"], "left")
+
+    def shared(mine, other):
+        both = F.filter(mine, lambda t: F.array_contains(F.transform(other, lambda u: u["token"]), t["token"]))
+        return F.coalesce(F.aggregate(both, zero, lambda a, t: a + t["c"]), zero)
+
+    return g.select(*pair, (F.col("m_x") + shared("heavy_x", F.col("heavy_y"))).alias("m_x"), (F.col("m_y") + shared("heavy_y", F.col("heavy_x"))).alias("m_y"), "n_x", "n_y")
+
+
+def sentence_pair_distances(tokens: DataFrame, near: DataFrame | None = None, cutoff: float = K.WORD_DISTANCE_CUTOFF,
+                            threshold: float | None = None, heavy_pairs: int = HEAVY_PAIRS) -> DataFrame:
     """M1+M2 for both sides at once: ``PAIR, sent_idx_x, sent_idx_y,
     avg_sentence_distance_x, avg_sentence_distance_y`` for every sentence pair
     of consecutive versions with at least one near word pair.
 
     ``near=None`` means equal words only (distance 0): then one join of the
-    per-sentence token counts gives both sides' matched-word counts.  With
+    per-sentence token counts gives both sides' matched-word counts; with a
+    ``threshold``, pairs that can't be under it on any side may be missing, and
+    frequent tokens are joined apart (:func:`_heavy_light_pairs`).  With
     token-level near pairs, the per-word minima of each side are two
     aggregations over one repartitioned join (the exchange is shared).
     """
@@ -170,6 +233,11 @@ def sentence_pair_distances(tokens: DataFrame, near: DataFrame | None = None,
     def dist(s, m, n):
         return (s + F.lit(cutoff) * (n - m)) / n
 
+    if near is None and threshold is not None:
+        g = _heavy_light_pairs(tc, cutoff, threshold, heavy_pairs)
+        return g.select("source", "entry_id", "version_x", (F.col("version_x") + 1).alias("version_y"), "sent_idx_x", "sent_idx_y",
+                        dist(F.lit(0.0), F.col("m_x"), F.col("n_x")).alias("avg_sentence_distance_x"),
+                        dist(F.lit(0.0), F.col("m_y"), F.col("n_y")).alias("avg_sentence_distance_y"))
     if near is None:
         j = x.join(y, (x.source == y.source) & (x.entry_id == y.entry_id) & (x.version_x == y.version_x)
                    & (x.token_x == y.token_y)).select(x.source, x.entry_id, x.version_x, "sent_idx_x",
@@ -279,7 +347,7 @@ def match_sentences(sentences: DataFrame, lexicon: DataFrame | None = None, *,
     if lexicon is not None:
         vocab = toks.select("source", "entry_id", "version", "token").distinct()
         near = near_token_pairs(attach_vectors(vocab, lexicon), cutoff, tile)
-    pairs = sentence_pair_distances(toks, near, cutoff)
+    pairs = sentence_pair_distances(toks, near, cutoff, threshold)
     arcs = arcs_from_pairs(pairs, sentences, threshold, versions)
     if mutual_only:
         both = arcs.filter(F.col("avg_sentence_distance_x").isNotNull() &

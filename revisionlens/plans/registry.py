@@ -1082,35 +1082,63 @@ def q_s8(spark, sf):
     return rounded(CM.read_matches(spark, out))
 
 
-def _d9_side(name: str, side: int) -> str:
-    return f"""
-SELECT {PK}, cluster_id, row_idx, {side} AS side, text_old = '' OR text_new = '' AS alone, text_{name} AS text, tag_{name} AS tag, sent_idx_{name} AS sent_idx
-FROM clustered WHERE text_{name} <> ''"""
-
-
-def _d9_joined(name: str, side: int) -> str:
-    return f"""string_agg(trim(text), ' ' ORDER BY p.row_idx) FILTER (WHERE p.side = {side}) AS t_{name}, max(tag) FILTER (WHERE p.side = {side}) AS g_{name},
-  string_agg(CAST(sent_idx AS VARCHAR), ',' ORDER BY p.row_idx) FILTER (WHERE p.side = {side}) AS s_{name}"""
-
-
-@register("d9_merge_split_sentences", O.with_(*REV_D2, ("clustered", D7_SQL),
-    ("hits", _d8_side("text_old", "text_new", 0) + "\nUNION ALL\n" + _d8_side("text_new", "text_old", 1)),
-    ("best", f"""
-SELECT {PK}, cluster_id, active_side AS side, j AS row_idx, i AS target FROM hits
-QUALIFY row_number() OVER (PARTITION BY {PK}, cluster_id, active_side, j ORDER BY CAST(m AS DOUBLE) / greatest(l2, 1) DESC, abs(i - j), i) = 1"""),
-    ("pieces", _d9_side("old", 0) + "\nUNION ALL\n" + _d9_side("new", 1)),
-    ("merged", f"""
-SELECT {PK}, cluster_id, CASE WHEN alone THEN coalesce(b.target, p.row_idx) ELSE p.row_idx END AS dest, {_d9_joined('old', 0)}, {_d9_joined('new', 1)}
-FROM pieces p LEFT JOIN best b USING ({PK}, cluster_id, side, row_idx) GROUP BY ALL"""),
-    select=f"""
-SELECT {PK}, CAST(dest AS INTEGER) AS row_idx, coalesce(s_old, '') AS sent_idx_old, coalesce(t_old, '') AS text_old, coalesce(g_old, ' ') AS tag_old,
-       coalesce(s_new, '') AS sent_idx_new, coalesce(t_new, '') AS text_new, coalesce(g_new, ' ') AS tag_new, cluster_id FROM merged"""))
-def q_d9(spark, sf):
-    rows = DF.merge_split_sentences(DF.edit_clusters(rev_aligned(spark, sf)))
+D9_ROUNDS = 4        # the SQL states the fixpoint by so many rounds, one more than the rows need (a test of the code has no such bound)
+
+
+def d9_ctes(rounds: int = D9_ROUNDS) -> list[tuple[str, str]]:
+    """Rounds of: rows -> hits -> arrows -> best arrow -> root (recursive) -> the pieces' rows."""
+    side = lambda name, k: f"SELECT {PK}, cluster_id, {k} AS side, row_idx, trim(text_{name}) AS text, tag_{name} AS tag, sent_idx_{name} AS sent_idx, row_idx AS dest FROM clustered WHERE text_{name} <> ''"
+    joined = lambda k: f"string_agg(text, ' ' ORDER BY row_idx) FILTER (WHERE side = {k})"
+    words = lambda t: O.content_words_sql(O.tokens_of(t))
+    ctes = [("pieces0", side("old", 0) + "\nUNION ALL\n" + side("new", 1))]
+    for r in range(rounds):
+        ctes += [(f"rows{r}", f"""
+SELECT *, {words("coalesce(t_old, '')")} AS w_old, {words("coalesce(t_new, '')")} AS w_new, t_old IS NULL OR t_new IS NULL AS alone,
+       count(*) OVER (PARTITION BY {PK}, cluster_id) AS n
+FROM (SELECT {PK}, cluster_id, dest, {joined(0)} AS t_old, {joined(1)} AS t_new FROM pieces{r} GROUP BY ALL)
+QUALIFY n > 1""")]
+        for mine, other, k in (("old", "new", 0), ("new", "old", 1)):
+            ctes.append((f"hits{r}_{k}", f"""
+SELECT p.{PK.replace(', ', ', p.')}, p.cluster_id, p.dest AS j, c.dest AS i, c.alone AND len(c.w_{other}) = len(p.w_{mine}) AND {k} = 1 AS turned,
+       len(list_filter(p.w_{mine}, lambda w: list_contains(c.w_{other}, w)))::DOUBLE AS m, len(p.w_{mine}) AS l2
+FROM rows{r} p JOIN rows{r} c USING ({PK}, cluster_id)
+WHERE p.alone AND p.t_{mine} IS NOT NULL AND c.t_{other} IS NOT NULL AND p.dest <> c.dest AND len(p.w_{mine}) <= len(c.w_{other})"""))
+        ctes += [(f"best{r}", f"""
+SELECT {PK}, cluster_id, CASE WHEN turned THEN i ELSE j END AS src, CASE WHEN turned THEN j ELSE i END AS dst
+FROM (SELECT * FROM hits{r}_0 UNION ALL SELECT * FROM hits{r}_1) WHERE m >= l2 * 0.5
+QUALIFY row_number() OVER (PARTITION BY {PK}, cluster_id, src ORDER BY m / greatest(l2, 1) DESC, abs(src - dst), dst) = 1"""),
+                 (f"roots{r}", f"""
+SELECT {PK}, cluster_id, src, dst AS root FROM best{r} b WHERE NOT EXISTS (
+  SELECT 1 FROM best{r} c WHERE c.source = b.source AND c.entry_id = b.entry_id AND c.version_x = b.version_x AND c.version_y = b.version_y
+                            AND c.cluster_id = b.cluster_id AND c.src = b.dst)
+UNION ALL SELECT b.{PK.replace(', ', ', b.')}, b.cluster_id, b.src, r.root FROM best{r} b JOIN roots{r} r
+  ON r.source = b.source AND r.entry_id = b.entry_id AND r.version_x = b.version_x AND r.version_y = b.version_y AND r.cluster_id = b.cluster_id AND r.src = b.dst"""),
+                 (f"pieces{r + 1}", f"""
+SELECT p.* EXCLUDE (dest), coalesce(root, p.dest) AS dest FROM pieces{r} p LEFT JOIN roots{r} r
+  ON r.source = p.source AND r.entry_id = p.entry_id AND r.version_x = p.version_x AND r.version_y = p.version_y AND r.cluster_id = p.cluster_id AND r.src = p.dest""")]
+    last = f"pieces{rounds}"
+    cols = lambda name, k: (f"coalesce(string_agg(CAST(sent_idx AS VARCHAR), ',' ORDER BY row_idx) FILTER (WHERE side = {k}), '') AS sent_idx_{name}, "
+                            f"coalesce({joined(k)}, '') AS text_{name}, coalesce(max(tag) FILTER (WHERE side = {k}), ' ') AS tag_{name}")
+    return ctes + [("folded", f"SELECT {PK}, CAST(dest AS INTEGER) AS row_idx, {cols('old', 0)}, {cols('new', 1)}, cluster_id FROM {last} GROUP BY {PK}, cluster_id, dest")]
+
+
+REV_D9 = REV_D2 + [("clustered", D7_SQL)] + d9_ctes()
+
+
+def rev_folded(spark, sf):
+    return DF.merge_split_sentences(DF.edit_clusters(rev_aligned(spark, sf)))
+
+
+def _listed(rows: DataFrame) -> DataFrame:
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
     return rows.select(*[text(c).alias(c) if c.startswith("sent_idx") else F.col(c) for c in rows.columns])
 
 
+@register("d9_merge_split_sentences", O.with_(*REV_D9, select="SELECT * FROM folded", recursive=True))
+def q_d9(spark, sf):
+    return _listed(rev_folded(spark, sf))
+
+
 @register("d12_diff_quality_rows_documents", O.with_(O.DOC_ARTICLES, ("sentences", O.split_sql(O.sentence_array("summary"))),
     ("apairs", """
 SELECT source, entry_id, version AS version_x, version_y FROM (
