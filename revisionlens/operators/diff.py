@@ -4,8 +4,8 @@ or changed between two versions.
 The alignment, ``sentence_diff_set`` (D2), is order-free.  Equal texts pair up by occurrence
   number (the k-th copy of a text in the old version with the k-th copy in the
   new one); leftovers pair up as *changed* when their multiset word overlap is
-  above 0.8 and each is the other's best candidate.  Candidates come from an
-  equi-join on shared words, never from all pairs of leftovers.
+  above 0.8 and each is the other's best candidate.  Candidates come from a
+  join of the rows' rarest words (a prefix filter), never from all pairs of leftovers.
 
 Aligned rows have ``row_idx, text_old, tag_old, text_new, tag_new`` with tags
 ``'-'`` (removed), ``'+'`` (added) and ``' '`` (kept or blank filler).
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from revisionlens.functions import constants as K
 from revisionlens.functions import text as X
 from revisionlens.operators.folding import contained, merge_split_sentences  # noqa: F401  (D9 has its own module)
+from revisionlens.session import materialize
 
 PAIR = ["source", "entry_id", "version_x", "version_y"]
 ALIGNED = PAIR + ["row_idx", "sent_idx_old", "text_old", "tag_old", "sent_idx_new", "text_new", "tag_new"]
@@ -60,17 +61,38 @@ def word_counts(df: DataFrame, key: list[str], text: str) -> DataFrame:
               .groupBy(*key, "w").agg(F.count(F.lit(1)).alias("n")))
 
 
-def overlap_candidates(left: DataFrame, right: DataFrame, lkey: list[str], rkey: list[str],
-                       block: list[str], ltext: str, rtext: str) -> DataFrame:
-    """D4 on candidate pairs: multiset overlap ratio 2*M/(|a|+|b|) for every
-    (left row, right row) of a block sharing at least one word."""
-    lc = word_counts(left, block + lkey, ltext).withColumnRenamed("n", "na")
-    rc = word_counts(right, block + rkey, rtext).withColumnRenamed("n", "nb")
-    m = lc.join(rc, block + ["w"]).groupBy(*block, *lkey, *rkey).agg(F.sum(F.least("na", "nb")).alias("m"))
-    ls = left.select(*block, *lkey, F.size(F.split(F.col(ltext), " ", -1)).alias("la"))
-    rs = right.select(*block, *rkey, F.size(F.split(F.col(rtext), " ", -1)).alias("lb"))
-    return (m.join(ls, block + lkey).join(rs, block + rkey)
-             .select(*block, *lkey, *rkey, (2.0 * F.col("m") / (F.col("la") + F.col("lb"))).alias("ratio")))
+def similar_pairs(left: DataFrame, right: DataFrame, lkey: str, rkey: str, block: list[str], ltext: str, rtext: str, similar: float) -> DataFrame:
+    """D4 above a bound: the (left row, right row) of a block whose multiset overlap ratio 2*M/(|a|+|b|) is above ``similar``.
+
+    A prefix-filtered set-similarity join; the k-th copy of a word is an element of its own.
+
+    * Length filter: ``2 * min(|a|, |b|) / (|a| + |b|)`` must be above the bound.
+    * Such a partner shares more than ``similar / (2 - similar)`` of a row's elements (two
+      thirds at 0.8), so both rows hold a common one among their rarest rest (a third): only
+      these prefixes are joined, and a word that all rows share joins next to nothing.
+    * The ratio is then exact, from both rows' whole element lists.
+    """
+    def elements(df, key, text, length):
+        e = word_counts(df, block + [key], text).select(*block, key, "w", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"))
+        return e, df.select(*block, key, F.size(F.split(F.col(text), " ", -1)).alias(length))
+
+    (le, ls), (re, rs) = elements(left, lkey, ltext, "la"), elements(right, rkey, rtext, "lb")
+    le, re = materialize(le, "diff-words"), materialize(re, "diff-words")
+    often = le.select(*block, "w", "k").unionByName(re.select(*block, "w", "k")).groupBy(*block, "w", "k").agg(F.count("*").alias("often"))
+    share = F.lit(similar / (2 - similar))
+
+    def ordered(e, sizes, key, length):
+        rows = e.join(often, block + ["w", "k"]).groupBy(*block, key).agg(F.array_sort(F.collect_list(F.struct("often", "w", "k"))).alias("e")).join(sizes, block + [key])
+        prefix = F.col(length) - F.floor(share * F.col(length)).cast("int")
+        return materialize(rows.select(*block, key, length, F.transform("e", lambda x: F.struct(x["w"], x["k"])).alias(f"e_{length}"), prefix.alias("p")), "diff-elements")
+
+    lr, rr = ordered(le, ls, lkey, "la"), ordered(re, rs, rkey, "lb")
+    cand = (lr.select(*block, lkey, "la", F.explode(F.slice("e_la", F.lit(1), F.col("p"))).alias("x"))
+              .join(rr.select(*block, rkey, "lb", F.explode(F.slice("e_lb", F.lit(1), F.col("p"))).alias("x")), block + ["x"])
+              .filter(2.0 * F.least("la", "lb") / (F.col("la") + F.col("lb")) > similar).select(*block, lkey, rkey).distinct())
+    both = cand.join(lr.drop("p"), block + [lkey]).join(rr.drop("p"), block + [rkey])
+    ratio = 2.0 * F.size(F.array_intersect("e_la", "e_lb")) / (F.col("la") + F.col("lb"))
+    return both.select(*block, lkey, rkey, ratio.alias("ratio")).filter(F.col("ratio") > similar)
 
 
 # ------------------------------------------------------------------ D2
@@ -85,13 +107,11 @@ def sentence_diff_set(sentences: DataFrame, pairs: DataFrame, similar: float = K
     o = old.withColumn("occ", F.row_number().over(occ_o)).withColumn("t", F.col("text_old"))
     n = new.withColumn("occ", F.row_number().over(occ_n)).withColumn("t", F.col("text_new"))
     # the occurrence join feeds five branches below: write it once instead of recomputing it
-    from revisionlens.session import materialize
     j = materialize(o.join(n, PAIR + ["t", "occ"], "full_outer").drop("t"), "diff-occurrences")
     same = j.filter(F.col("sent_idx_old").isNotNull() & F.col("sent_idx_new").isNotNull())
     rem = j.filter(F.col("sent_idx_new").isNull()).select(*PAIR, "sent_idx_old", "text_old")
     add = j.filter(F.col("sent_idx_old").isNull()).select(*PAIR, "sent_idx_new", "text_new")
-    cand = overlap_candidates(rem, add, ["sent_idx_old"], ["sent_idx_new"], PAIR, "text_old", "text_new")
-    cand = cand.filter(F.col("ratio") > similar)
+    cand = similar_pairs(rem, add, "sent_idx_old", "sent_idx_new", PAIR, "text_old", "text_new", similar)
     bo = Window.partitionBy(*PAIR, "sent_idx_old").orderBy(F.desc("ratio"), "sent_idx_new")
     bn = Window.partitionBy(*PAIR, "sent_idx_new").orderBy(F.desc("ratio"), "sent_idx_old")
     chg = (cand.withColumn("ro", F.row_number().over(bo)).withColumn("rn", F.row_number().over(bn))
@@ -215,13 +235,15 @@ def sentence_change_stats(aligned: DataFrame) -> DataFrame:
         F.count_if(F.col("change") == "changed").alias("num_changed_sents"))
 
 
-def diff_quality_rows(versions: DataFrame, aligned: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Status rows for articles with one version and pairs without sentences."""
+def diff_quality_rows(versions: DataFrame, sentences: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Status rows for articles with one version and for pairs of which neither version has a sentence."""
     v = versions.select("source", "entry_id", "version").distinct()
     one = (v.groupBy("source", "entry_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == 1)
             .select("source", "entry_id", F.lit(None).cast("int").alias("version_x"),
                     F.lit(None).cast("int").alias("version_y"), F.lit("error, only one version").alias("status")))
-    empty = (pairs.join(aligned.select(*PAIR).distinct(), PAIR, "left_anti")
+    some = sentences.select("source", "entry_id", F.col("version").cast("int").alias("version")).distinct()
+    empty = (pairs.join(some.withColumnRenamed("version", "version_x"), ["source", "entry_id", "version_x"], "left_anti")
+                  .join(some.withColumnRenamed("version", "version_y"), ["source", "entry_id", "version_y"], "left_anti")
                   .select(*PAIR, F.lit("error, no sentences.").alias("status")))
     return one.unionByName(empty)
 
@@ -238,7 +260,6 @@ def containment_pairs(clustered: DataFrame, slack: float = K.CONTAINMENT_SLACK,
     by cluster, as the definition lists them all (D9 doesn't).  The input is read
     several times, so it is written once to the checkpoint folder first.
     """
-    from revisionlens.session import materialize
     key = PAIR + ["cluster_id"]
     cw = lambda t: X.content_words(X.tokens(F.col(t)))
     c = materialize(clustered.select(*key, "row_idx", cw("text_old").alias("w_old"), cw("text_new").alias("w_new"),
@@ -267,3 +288,12 @@ def arc_neighbour_text(arcs_text: DataFrame) -> DataFrame:
              .select(*PAIR, F.lit("y").alias("side"), "sent_idx",
                      F.array_join(F.col("l.sentence_x"), " ").alias("linked_text")))
     return x.unionByName(y)
+
+
+# ------------------------------------------------------------------ the chain
+def folded_diff(sentences: DataFrame, similar: float = K.DIFF_SIMILAR_RATIO, slack: float = K.CONTAINMENT_SLACK, max_words: int | None = None) -> DataFrame:
+    """D1 -> D2 -> D7 -> D9: the aligned rows of consecutive versions with split and merged sentences brought together.
+
+    Takes sentences after the filters (T5, T6); the result feeds D6, D10, D5/D11 and D13.
+    """
+    return merge_split_sentences(edit_clusters(sentence_diff_set(sentences, version_pairs(sentences), similar)), slack, max_words)

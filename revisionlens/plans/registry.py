@@ -46,11 +46,11 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
 
 # ------------------------------------------------------------------ shared inputs
 def conv_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return materialize(TX.split_sentences(FX.conversation_articles(spark, sf)))
+    return materialize(TX.split_sentences(FX.conversation_articles(spark, sf)), rebalance=True)
 
 
 def rev_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return materialize(FX.revision_sentences(spark, sf))
+    return materialize(FX.revision_sentences(spark, sf), rebalance=True)
 
 
 def sentences_of(fixture: str):
@@ -972,23 +972,32 @@ def q_d13l(spark, sf):
     return DF.latex_markup(DF.word_diff(a), a)
 
 
-@register("d12_diff_quality_rows", O.with_(O.ARTICLES, O.SENTENCES, ("apairs", """
+def _d12_sql(articles: str) -> str:
+    return O.with_(("articles", articles), O.SENTENCES, ("apairs", """
 SELECT source, entry_id, version AS version_x, version_y FROM (
   SELECT source, entry_id, version, lead(version) OVER (PARTITION BY source, entry_id ORDER BY version) AS version_y
   FROM (SELECT DISTINCT source, entry_id, version FROM articles)) WHERE version_y IS NOT NULL"""),
-    ("dpairs", "SELECT * FROM apairs"), *D2_CTES[1:], select=f"""
+        ("dpairs", "SELECT * FROM apairs"), *D2_CTES[1:], select=f"""
 SELECT source, entry_id, NULL::INTEGER AS version_x, NULL::INTEGER AS version_y, 'error, only one version' AS status
 FROM (SELECT source, entry_id FROM (SELECT DISTINCT source, entry_id, version FROM articles)
       GROUP BY source, entry_id HAVING count(*) = 1)
 UNION ALL
 SELECT {PK}, 'error, no sentences.' FROM apairs p
 WHERE NOT EXISTS (SELECT 1 FROM aligned a WHERE a.source = p.source AND a.entry_id = p.entry_id
-                  AND a.version_x = p.version_x AND a.version_y = p.version_y)"""))
+                  AND a.version_x = p.version_x AND a.version_y = p.version_y)""")
+
+
+def _quality_rows(arts):
+    return DF.diff_quality_rows(arts, TX.split_sentences(arts), DF.version_pairs(arts))
+
+
+@register("d12_diff_quality_rows", _d12_sql(O.ARTICLES[1].replace(
+    "text AS summary", "CASE WHEN (conv_id + turn) % 5 IN (2, 3) THEN '' ELSE text END AS summary") + " WHERE conv_id % 7 <> 3 OR turn = 0"))
 def q_d12(spark, sf):
-    arts = FX.conversation_articles(spark, sf)
-    s = TX.split_sentences(arts)
-    pairs = DF.version_pairs(arts)
-    return DF.diff_quality_rows(arts, DF.sentence_diff_set(s, pairs), pairs)
+    """Two of five versions are emptied, so some pairs have no sentence on either side; of every seventh article only the first version is taken."""
+    arts = FX.conversation_articles(spark, sf).filter("entry_id % 7 != 3 or version = 0")
+    return _quality_rows(arts.withColumn("summary", F.when((F.col("entry_id") + F.col("version")) % 5 >= 2, F.when((F.col("entry_id") + F.col("version")) % 5 <= 3, "")
+                                                            .otherwise(F.col("summary"))).otherwise(F.col("summary"))))
 
 
 @register("d14_arc_neighbour_text", O.with_(*CONV, ("atx", A4_INNER), select="""
@@ -1139,21 +1148,45 @@ def q_d9(spark, sf):
     return _listed(rev_folded(spark, sf))
 
 
-@register("d12_diff_quality_rows_documents", O.with_(O.DOC_ARTICLES, ("sentences", O.split_sql(O.sentence_array("summary"))),
-    ("apairs", """
-SELECT source, entry_id, version AS version_x, version_y FROM (
-  SELECT source, entry_id, version, lead(version) OVER (PARTITION BY source, entry_id ORDER BY version) AS version_y
-  FROM (SELECT DISTINCT source, entry_id, version FROM articles)) WHERE version_y IS NOT NULL"""),
-    ("dpairs", "SELECT * FROM apairs"), *D2_CTES[1:], select=f"""
-SELECT source, entry_id, NULL::INTEGER AS version_x, NULL::INTEGER AS version_y, 'error, only one version' AS status
-FROM (SELECT source, entry_id FROM (SELECT DISTINCT source, entry_id, version FROM articles)
-      GROUP BY source, entry_id HAVING count(*) = 1)
-UNION ALL
-SELECT {PK}, 'error, no sentences.' FROM apairs p
-WHERE NOT EXISTS (SELECT 1 FROM aligned a WHERE a.source = p.source AND a.entry_id = p.entry_id
-                  AND a.version_x = p.version_x AND a.version_y = p.version_y)"""))
+@register("d12_diff_quality_rows_documents", _d12_sql(O.DOC_ARTICLES[1]))
 def q_d12_docs(spark, sf):
-    arts = FX.document_articles(spark, sf)
-    s = TX.split_sentences(arts)
-    pairs = DF.version_pairs(arts)
-    return DF.diff_quality_rows(arts, DF.sentence_diff_set(s, pairs), pairs)
+    return _quality_rows(FX.document_articles(spark, sf))
+
+
+# ------------------------------------------------------------------ the whole diff chain: T5/T6 -> D2 -> D7 -> D9 -> D6/D10/D11/D13
+CHAIN = [O.REV_BASE, O.REV_KEYED, ("every", O.REV_SENTENCES[1]), ("sentences", f"""
+SELECT source, entry_id, version, CAST(row_number() OVER (PARTITION BY source, entry_id, version ORDER BY sent_idx) - 1 AS INTEGER) AS sent_idx, sentence
+FROM every WHERE NOT {O.boilerplate_sql('sentence')} AND NOT {O.template_sql('sentence')}"""),
+         *D2_CTES, ("clustered", D7_SQL), *d9_ctes()]
+# the folded rows take the place of the aligned ones
+CHAIN_D5 = [(n, q.replace("FROM aligned", "FROM folded")) for n, q in D5_CTES]
+
+
+def chain_folded(spark, sf):
+    """Both filters, the sentence diff and the fold, on the revision history's texts."""
+    s = TX.split_sentences(FX.revision_articles(spark, sf), drop_boilerplate=True, drop_templates=True)
+    return DF.folded_diff(materialize(s, "chain-sentences", rebalance=True))
+
+
+@register("d10_chain_sentence_stats", O.with_(*CHAIN, ("cls", D6_SQL.replace("FROM aligned", "FROM folded")), recursive=True, select=f"""
+SELECT {PK}, CAST(count(*) FILTER (WHERE change = 'added') AS BIGINT) AS num_added_sents, CAST(count(*) FILTER (WHERE in_new_doc) AS BIGINT) AS len_new_doc,
+       CAST(count(*) FILTER (WHERE change = 'removed') AS BIGINT) AS num_removed_sents, CAST(count(*) FILTER (WHERE in_old_doc) AS BIGINT) AS len_old_doc,
+       CAST(count(*) FILTER (WHERE change = 'changed') AS BIGINT) AS num_changed_sents
+FROM cls GROUP BY {PK}"""))
+def q_chain_sentences(spark, sf):
+    return DF.sentence_change_stats(chain_folded(spark, sf))
+
+
+@register("d11_chain_word_stats", O.with_(*CHAIN, *CHAIN_D5, recursive=True, select=f"""
+SELECT {PK}, row_idx, CAST(count(*) FILTER (WHERE tag = '-') AS BIGINT) AS num_removed_words, CAST(count(*) FILTER (WHERE tag = '+') AS BIGINT) AS num_added_words,
+       count(pos_old) AS len_old_sent, count(pos_new) AS len_new_sent
+FROM wd GROUP BY {PK}, row_idx"""))
+def q_chain_words(spark, sf):
+    return DF.word_change_stats(DF.word_diff(chain_folded(spark, sf)))
+
+
+@register("d13_chain_markup_html", O.with_(*CHAIN, *CHAIN_D5, recursive=True, select=_markup_sql(
+    K.HTML_MARKS["old_front"], K.HTML_MARKS["old_back"], K.HTML_MARKS["new_front"], K.HTML_MARKS["new_back"]).replace("FROM aligned", "FROM folded")))
+def q_chain_markup(spark, sf):
+    folded = materialize(chain_folded(spark, sf), "folded")
+    return DF.html_markup(DF.word_diff(folded), folded)

@@ -80,19 +80,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def materialize(df, name: str = "table"):
+def materialize(df, name: str = "table", rebalance: bool = False):
     """Cut lineage by writing ``df`` once as a Parquet table in the shared
     checkpoint folder and reading it back.
 
     Used for inputs that several branches of one plan read (split sentences):
     each branch then scans the written files, with column pruning and filter
     pushdown, instead of recomputing the text work; a lost executor re-reads
-    the files instead of recomputing from the raw text.
+    the files instead of recomputing from the raw text.  ``rebalance`` spreads the
+    rows over files of about the advisory size first: a table that few tasks
+    made (an input of few row groups, exploded) is then read by many.
     """
     import uuid
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    (df.hint("rebalance") if rebalance else df).write.mode("overwrite").parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)     # when the session ends
     return spark.read.parquet(path)
