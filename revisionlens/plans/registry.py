@@ -1075,20 +1075,45 @@ def q_s7(spark, sf):
     return RD.backlog_batch(arts, done, 50, 10)
 
 
+def _stream(spark, sf, mode):
+    """Versions land in three parts, the odd ones last; each part is a micro-batch of one stream."""
+    from revisionlens.streaming import continuous as CM
+    arts = FX.conversation_articles(spark, sf).select("entry_id", "version", "summary", "source")
+    landing, out = _scratch(spark, "landing"), _scratch(spark, "matches")
+    for part in ("version % 2 = 0 and entry_id % 3 > 0", "version % 2 = 0 and entry_id % 3 = 0", "version % 2 = 1"):
+        arts.filter(part).write.mode("append").parquet(landing)
+        CM.start_continuous_matching(spark, landing, out, checkpoint=out + "-ck", mode=mode).awaitTermination()
+    return CM.read_matches(spark, out)
+
+
 @register("s8_continuous_matching", O.matched_sql("conversations"))
 def q_s8(spark, sf):
-    """Versions land as parquet files (one file per turn); an availableNow
-    stream re-matches the touched entries batch by batch into the output table."""
-    from revisionlens.streaming import continuous as CM
-    arts = FX.conversation_articles(spark, sf)
-    landing = _scratch(spark, "landing")
-    out = _scratch(spark, "matches")
-    arts.write.mode("overwrite").partitionBy("version").parquet(landing + "-staged")
-    staged = spark.read.parquet(landing + "-staged")
-    staged.select("entry_id", "version", "summary", "source").write.mode("overwrite").parquet(landing)
-    q = CM.start_continuous_matching(spark, landing, landing, out, checkpoint=out + "-ck")
-    q.awaitTermination()
-    return rounded(CM.read_matches(spark, out))
+    """Three micro-batches, the versions of the last one late: the table equals one matching of all versions."""
+    return rounded(_stream(spark, sf, "match"))
+
+
+@register("s8_continuous_splitting", O.with_(*O.sentences_ctes("conversations"), select="SELECT * FROM sentences"))
+def q_s8_split(spark, sf):
+    """The same stream in splitting mode."""
+    return _stream(spark, sf, "split").select("source", "entry_id", "version", "sent_idx", "sentence")
+
+
+@register("s5_append_batch", O.with_(O.ARTICLES, select="SELECT entry_id, version, summary, source FROM articles"))
+def q_s5(spark, sf):
+    """Two batches, the first one run twice: every row is there once."""
+    arts, out = FX.conversation_articles(spark, sf), _scratch(spark, "batches")
+    even, odd = arts.filter("entry_id % 2 = 0"), arts.filter("entry_id % 2 = 1")
+    for batch_id, part in ((1, even), (1, even), (2, odd)):
+        SK.append_batch(part, out, batch_id)
+    return SK.read_batches(spark, out).select("entry_id", "version", "summary", "source")
+
+
+@register("s4_list_tables", "SELECT name, 'TEMPORARY' AS table_type, true AS is_temporary FROM (VALUES ('s4_articles'), ('s4_documents')) t(name)")
+def q_s4(spark, sf):
+    """Two views over the given tables, found again among the session's tables."""
+    FX.conversation_articles(spark, sf).createOrReplaceTempView("s4_articles")
+    FX.document_articles(spark, sf).createOrReplaceTempView("s4_documents")
+    return RD.list_tables(spark).filter(F.col("name").startswith("s4_"))
 
 
 D9_ROUNDS = 4        # the SQL states the fixpoint by so many rounds, one more than the rows need (a test of the code has no such bound)

@@ -14,13 +14,24 @@ def test_bracketed_json_with_reject(spark, tmp_path):
     assert [r.line for r in bad.collect()] == ["not json"]
 
 
-def test_append_batch_and_read_versions(spark, tmp_path):
+def test_append_batch_is_exactly_once(spark, tmp_path):
     df = articles_df(spark, [(1, 0, "x."), (1, 1, "y.")])
-    out = str(tmp_path / "out")
-    SK.append_batch(df, out)
-    SK.append_batch(df, out)
-    back = RD.read_versions(spark, out)
-    assert back.count() == 4 and back.schema["entry_id"].dataType.typeName() == "long"
+    for fmt in ("parquet", "csv"):
+        out = str(tmp_path / fmt)
+        assert SK.append_batch(df, out, 1, fmt) and not SK.append_batch(df, out, 1, fmt)
+        # a batch that failed before its record
+        df.write.partitionBy("source").format(fmt).save(f"{out}/batch-lost")
+        assert SK.append_batch(articles_df(spark, [(2, 0, "z.")]), out, 2, fmt)
+        back = SK.read_batches(spark, out)
+        assert sorted((r.entry_id, r.version, r.summary, r.source) for r in back.collect()) == [(1, 0, "x.", "t"), (1, 1, "y.", "t"), (2, 0, "z.", "t")]
+        assert back.schema["entry_id"].dataType.typeName() == "long"
+
+
+def test_two_writers_of_one_record(spark, tmp_path):
+    from revisionlens.sources import commits
+    folder = str(tmp_path / "ledger")
+    assert commits.commit(spark, folder, "a", "first") and not commits.commit(spark, folder, "a", "second")
+    assert commits.names(spark, folder) == ["a"] and commits.text(spark, folder, "a") == "first"
 
 
 def test_backlog_batch_and_list_tables(spark):
