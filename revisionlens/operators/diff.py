@@ -64,35 +64,30 @@ def word_counts(df: DataFrame, key: list[str], text: str) -> DataFrame:
 def similar_pairs(left: DataFrame, right: DataFrame, lkey: str, rkey: str, block: list[str], ltext: str, rtext: str, similar: float) -> DataFrame:
     """D4 above a bound: the (left row, right row) of a block whose multiset overlap ratio 2*M/(|a|+|b|) is above ``similar``.
 
-    A prefix-filtered set-similarity join; the k-th copy of a word is an element of its own.
+    A prefix-filtered set-similarity join over counted words.
 
     * Length filter: ``2 * min(|a|, |b|) / (|a| + |b|)`` must be above the bound.
-    * Such a partner shares more than ``similar / (2 - similar)`` of a row's elements (two
-      thirds at 0.8), so both rows hold a common one among their rarest rest (a third): only
-      these prefixes are joined, and a word that all rows share joins next to nothing.
-    * The ratio is then exact, from both rows' whole element lists.
+    * Such a partner shares more than ``similar / (2 - similar)`` of a row's words (two
+      thirds at 0.8).  So a row's *prefix*, its rarest words of the block until the rest are too
+      few for that, holds one of the shared words, and so does the partner's: only prefixes are
+      joined, and a word that all rows share joins next to nothing.
+    * The ratio is then exact, from all words of both rows.
     """
-    def elements(df, key, text, length):
-        e = word_counts(df, block + [key], text).select(*block, key, "w", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"))
-        return e, df.select(*block, key, F.size(F.split(F.col(text), " ", -1)).alias(length))
-
-    (le, ls), (re, rs) = elements(left, lkey, ltext, "la"), elements(right, rkey, rtext, "lb")
-    le, re = materialize(le, "diff-words"), materialize(re, "diff-words")
-    often = le.select(*block, "w", "k").unionByName(re.select(*block, "w", "k")).groupBy(*block, "w", "k").agg(F.count("*").alias("often"))
-    share = F.lit(similar / (2 - similar))
-
-    def ordered(e, sizes, key, length):
-        rows = e.join(often, block + ["w", "k"]).groupBy(*block, key).agg(F.array_sort(F.collect_list(F.struct("often", "w", "k"))).alias("e")).join(sizes, block + [key])
-        prefix = F.col(length) - F.floor(share * F.col(length)).cast("int")
-        return materialize(rows.select(*block, key, length, F.transform("e", lambda x: F.struct(x["w"], x["k"])).alias(f"e_{length}"), prefix.alias("p")), "diff-elements")
-
-    lr, rr = ordered(le, ls, lkey, "la"), ordered(re, rs, rkey, "lb")
-    cand = (lr.select(*block, lkey, "la", F.explode(F.slice("e_la", F.lit(1), F.col("p"))).alias("x"))
-              .join(rr.select(*block, rkey, "lb", F.explode(F.slice("e_lb", F.lit(1), F.col("p"))).alias("x")), block + ["x"])
-              .filter(2.0 * F.least("la", "lb") / (F.col("la") + F.col("lb")) > similar).select(*block, lkey, rkey).distinct())
-    both = cand.join(lr.drop("p"), block + [lkey]).join(rr.drop("p"), block + [rkey])
-    ratio = 2.0 * F.size(F.array_intersect("e_la", "e_lb")) / (F.col("la") + F.col("lb"))
-    return both.select(*block, lkey, rkey, ratio.alias("ratio")).filter(F.col("ratio") > similar)
+    side = lambda df, key, text, name: word_counts(df.withColumnRenamed(key, "key"), block + ["key"], text).withColumn("side", F.lit(name))
+    u = side(left, lkey, ltext, "l").unionByName(side(right, rkey, rtext, "r"))
+    u = u.withColumn("often", F.count("*").over(Window.partitionBy(*block, "w")))
+    row = Window.partitionBy("side", *block, "key")
+    u = u.withColumn("size", F.sum("n").over(row))
+    rarer = F.coalesce(F.sum("n").over(row.orderBy("often", "w").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    u = u.withColumn("prefix", rarer < F.col("size") - F.floor(F.lit(similar / (2 - similar)) * F.col("size")))
+    u = materialize(u.select("side", *block, "key", "w", "n", "size", "prefix"), "diff-words")
+    l = u.filter("side = 'l'").select(*block, F.col("key").alias(lkey), "w", F.col("n").alias("na"), F.col("size").alias("la"), F.col("prefix").alias("pa"))
+    r = u.filter("side = 'r'").select(*block, F.col("key").alias(rkey), "w", F.col("n").alias("nb"), F.col("size").alias("lb"), F.col("prefix").alias("pb"))
+    cand = (l.filter("pa").join(r.filter("pb"), block + ["w"]).filter(2.0 * F.least("la", "lb") / (F.col("la") + F.col("lb")) > similar)
+             .select(*block, lkey, rkey, "la", "lb").distinct())
+    m = (cand.join(l.select(*block, lkey, "w", "na"), block + [lkey]).join(r.select(*block, rkey, "w", "nb"), block + [rkey, "w"])
+             .groupBy(*block, lkey, rkey).agg(F.sum(F.least("na", "nb")).alias("m"), F.min("la").alias("la"), F.min("lb").alias("lb")))
+    return m.select(*block, lkey, rkey, (2.0 * F.col("m") / (F.col("la") + F.col("lb"))).alias("ratio")).filter(F.col("ratio") > similar)
 
 
 # ------------------------------------------------------------------ D2

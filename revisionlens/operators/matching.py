@@ -150,13 +150,14 @@ def token_counts(tokens: DataFrame) -> DataFrame:
 
 
 #: A token that joins more sentence pairs than this in a version pair is heavy.
-HEAVY_PAIRS = 1 << 14
+HEAVY_PAIRS = 1 << 20
 
 
 def _heavy_light_pairs(tc: DataFrame, cutoff: float, threshold: float, heavy_pairs: int) -> DataFrame:
     """Sentence pairs that may be under the threshold, with both sides' matched and total words, for equal words.
 
     Tokens are split by their counted output: (sentences of x that hold it) times (those of y).
+    Version pairs without a heavy token join their tokens plainly; in the others:
 
     * Light tokens make candidates by a plain equi-join.
     * A pair that shares only heavy tokens can be under the threshold only if the heavy
@@ -168,21 +169,27 @@ def _heavy_light_pairs(tc: DataFrame, cutoff: float, threshold: float, heavy_pai
 
     No row is dropped that could be a partner, and no join key holds more than a cell.
     """
-    tc = materialize(tc, "token-counts")
     block = ["source", "entry_id", "version_x"]
     x = tc.select("source", "entry_id", F.col("version").alias("version_x"), F.col("sent_idx").alias("sent_idx_x"), "token", F.col("c").alias("c_x"), F.col("n").alias("n_x"))
     y = tc.select("source", "entry_id", (F.col("version") - 1).alias("version_x"), F.col("sent_idx").alias("sent_idx_y"), "token", F.col("c").alias("c_y"), F.col("n").alias("n_y"))
     held = tc.groupBy("source", "entry_id", "version", "token").agg(F.count("*").alias("k"))
-    held = materialize(held.filter("k > 1"), "token-sentences")                 # a heavy token is held more than once on one side at least
     hx = held.select("source", "entry_id", F.col("version").alias("version_x"), "token", F.col("k").alias("k_x"))
     hy = held.select("source", "entry_id", (F.col("version") - 1).alias("version_x"), "token", F.col("k").alias("k_y"))
-    product = F.coalesce("k_x", F.lit(1)) * F.coalesce("k_y", F.lit(1))
-    heavy = hx.join(hy, block + ["token"], "full_outer").filter(product > heavy_pairs)
+    product = F.col("k_x") * F.col("k_y")
+    heavy = hx.join(hy, block + ["token"]).filter(product > heavy_pairs)
     heavy = materialize(heavy.select(*block, "token", F.ceil(F.sqrt(product / heavy_pairs)).cast("int").alias("cells")), "heavy-tokens")
 
     pair = block + ["sent_idx_x", "sent_idx_y"]
-    xl, yl = x.join(heavy, block + ["token"], "left_anti"), y.join(heavy, block + ["token"], "left_anti")
-    light = xl.join(yl, block + ["token"]).select(*pair, "c_x", "c_y", "n_x", "n_y")
+    def plain(x, y):
+        j = x.join(y, block + ["token"]).select(*pair, "c_x", "c_y", "n_x", "n_y")
+        return j, j.groupBy(*pair).agg(F.sum("c_x").alias("m_x"), F.sum("c_y").alias("m_y"), F.min("n_x").alias("n_x"), F.min("n_y").alias("n_y"))
+
+    if not heavy.head(1):
+        return plain(x, y)[1]
+    hot = heavy.select(*block).distinct()
+    cold = plain(x.join(hot, block, "left_anti"), y.join(hot, block, "left_anti"))[1]
+    x, y = x.join(hot, block, "left_semi"), y.join(hot, block, "left_semi")
+    light = plain(x.join(heavy, block + ["token"], "left_anti"), y.join(heavy, block + ["token"], "left_anti"))[0]
 
     def parts(side, c, n, idx):
         rows = side.join(heavy, block + ["token"])
@@ -206,7 +213,7 @@ def _heavy_light_pairs(tc: DataFrame, cutoff: float, threshold: float, heavy_pai
         both = F.filter(mine, lambda t: F.array_contains(F.transform(other, lambda u: u["token"]), t["token"]))
         return F.coalesce(F.aggregate(both, zero, lambda a, t: a + t["c"]), zero)
 
-    return g.select(*pair, (F.col("m_x") + shared("heavy_x", F.col("heavy_y"))).alias("m_x"), (F.col("m_y") + shared("heavy_y", F.col("heavy_x"))).alias("m_y"), "n_x", "n_y")
+    return cold.unionByName(g.select(*pair, (F.col("m_x") + shared("heavy_x", F.col("heavy_y"))).alias("m_x"), (F.col("m_y") + shared("heavy_y", F.col("heavy_x"))).alias("m_y"), "n_x", "n_y"))
 
 
 def sentence_pair_distances(tokens: DataFrame, near: DataFrame | None = None, cutoff: float = K.WORD_DISTANCE_CUTOFF,
@@ -234,6 +241,7 @@ def sentence_pair_distances(tokens: DataFrame, near: DataFrame | None = None, cu
         return (s + F.lit(cutoff) * (n - m)) / n
 
     if near is None and threshold is not None:
+        tc = materialize(tc, "token-counts")
         g = _heavy_light_pairs(tc, cutoff, threshold, heavy_pairs)
         return g.select("source", "entry_id", "version_x", (F.col("version_x") + 1).alias("version_y"), "sent_idx_x", "sent_idx_y",
                         dist(F.lit(0.0), F.col("m_x"), F.col("n_x")).alias("avg_sentence_distance_x"),
