@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from revisionlens.llm.common import checked_broadcast, prepare, written
+from revisionlens.llm.common import checked_broadcast, frees, prepare, written
 
 ORDER = 5
 BITS = 12
@@ -115,7 +115,7 @@ def train(texts: DataFrame) -> DataFrame:
     of a k-gram leaves to the lower order.
     """
     mask = lambda k: (1 << (BITS * k)) - 1
-    tables = [written(texts.mapInArrow(_counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("c")), "kn-5")]
+    tables = [written(texts.mapInArrow(frees(_counted), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("c")), "kn-5")]
     for k in range(ORDER - 1, 0, -1):       # continuation counts
         tables.insert(0, written(tables[0].groupBy(F.col("gram").bitwiseAND(mask(k)).alias("gram")).agg(F.count("*").alias("c")), f"kn-{k}"))
     lower, model = None, None
@@ -203,7 +203,7 @@ def _whole(docs: DataFrame, model: DataFrame) -> DataFrame:
                 yield pa.record_batch([batch.column(0).slice(lo, len(texts)), batch.column(1).slice(lo, len(texts)), pa.array(np.diff(first)), pa.array(sums[first[:-1]] - sums[first[1:]]),
                                        batch.column(3).slice(lo, len(texts))], names=["doc_id", "lang", "n_chars", "nll", "row_id"])
 
-    return docs.mapInArrow(scored, "doc_id long, lang string, n_chars long, nll double, row_id long")
+    return docs.mapInArrow(frees(scored), "doc_id long, lang string, n_chars long, nll double, row_id long")
 
 
 def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +216,7 @@ def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sharded(docs: DataFrame, model: DataFrame) -> DataFrame:
     """The same scores by joins on the gram: nothing is held whole anywhere."""
     docs = written(docs.select("doc_id", "lang", "text", "row_id", F.monotonically_increasing_id().alias("row")), "kn-docs")
-    held = written(docs.select("row", "text").mapInArrow(_grams_of, "row long, gram long, n long"), "kn-grams")
+    held = written(docs.select("row", "text").mapInArrow(frees(_grams_of), "row long, gram long, n long"), "kn-grams")
     model = written(model, "kn-model")
     open_ = held.select("gram").distinct().withColumn("sum", F.lit(0.0))
     done = None

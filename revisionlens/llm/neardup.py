@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revisionlens.llm.common import checked_broadcast, prepare, written
+from revisionlens.llm.common import checked_broadcast, frees, prepare, written
 from revisionlens.llm.components import components
 from revisionlens.llm.textbatch import chunks, mix, shingle_sets
 
@@ -212,12 +212,12 @@ def links(docs: DataFrame, sketch: DataFrame, pairs: DataFrame) -> DataFrame:
     b = sketch.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("regs").alias("rb"))
     bounded = "100 * least(na, nb) >= 75 * greatest(na, nb)"
     both = pairs.join(a, "a").join(b, "b").filter(bounded).select("a", "b", "na", "nb", "ra", "rb")
-    likely = written(both.mapInArrow(_likely, "a long, b long"), "likely")
+    likely = written(both.mapInArrow(frees(_likely), "a long, b long"), "likely")
     ids = written(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    sets = written(docs.join(checked_broadcast(ids, ids.count()), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
+    sets = written(docs.join(checked_broadcast(ids, ids.count()), "doc_id", "left_semi").mapInArrow(frees(_sets), "doc_id long, shingles binary"), "sets")
     sets = sets.dropDuplicates(["doc_id"])
     x, y = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    return written(likely.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(_confirmed, "a long, b long"), "links")
+    return written(likely.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(frees(_confirmed), "a long, b long"), "links")
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,14 +316,14 @@ def pairs_across(docs: DataFrame, members: DataFrame, found: DataFrame) -> DataF
     other = parts.select("key", F.col("chunk").alias("j"), F.col("of").alias("of_j"))
     tiles = parts.select("key", F.col("chunk").alias("i"), "of").join(other, "key").filter("(i < j or (i = j and of is null)) and not (of <=> of_j and of is not null)").select("key", "i", "j")
     ids = written(m.select("doc_id").distinct(), "mixed-ids")
-    short = docs.join(checked_broadcast(ids, ids.count()), "doc_id", "left_semi").mapInArrow(_short, "doc_id long, n long, short binary, codes binary")
+    short = docs.join(checked_broadcast(ids, ids.count()), "doc_id", "left_semi").mapInArrow(frees(_short), "doc_id long, n long, short binary, codes binary")
     short = written(short, "short").dropDuplicates(["doc_id"])
     ends = tiles.select("key", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("chunk"), F.lit(-1).cast("long").alias("side"))))
                         .otherwise(F.array(F.struct(F.col("i").alias("chunk"), F.lit(0).cast("long").alias("side")), F.struct(F.col("j").alias("chunk"), F.lit(1).cast("long").alias("side"))))).alias("x"))
     ends = ends.select("key", "i", "j", F.col("x.chunk").alias("chunk"), F.col("x.side").alias("side"))
     rows = m.join(ends, ["key", "chunk"]).join(short, "doc_id").select("key", "i", "j", "side", "doc_id", "component", "n", "short", "codes")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
-    return rows.mapInArrow(_across, "a long, b long").distinct()
+    return rows.mapInArrow(frees(_across), "a long, b long").distinct()
 
 
 def _between(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -336,7 +336,7 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     """Per document: ``doc_id, n_shingles, component_id, kept`` (see the module's text)."""
     prepare(documents.sparkSession)
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketch = written(docs.mapInArrow(_sketches, SKETCH), "sketch")
+    sketch = written(docs.mapInArrow(frees(_sketches), SKETCH), "sketch")
 
     # one class for each distinct set
     full = sketch.filter("fp1 is not null and doc_id is not null")

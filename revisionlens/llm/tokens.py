@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from revisionlens.llm.common import prepare, written
+from revisionlens.llm.common import frees, prepare, written
 from revisionlens.session import checkpoint_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -208,7 +208,7 @@ def write_tokens(documents: DataFrame, folder: str, path: str | None = None) ->
     prepare(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    rows = docs.mapInArrow(_encoding(path or tokenizer_path()), SCHEMA)
+    rows = docs.mapInArrow(frees(_encoding(path or tokenizer_path())), SCHEMA)
     (rows.write.mode("overwrite").option("orc.compress", "ZSTD").option("orc.stripe.size", STRIPE_BYTES).option("orc.create.index", "true")
      .option("orc.row.index.stride", ROW_INDEX_STRIDE).option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(folder))
 
@@ -237,7 +237,7 @@ def token_index(spark: SparkSession, folder: str) -> DataFrame:
     prepare(spark)
     d = read_tokens(spark, folder).select("doc_id", "ids", F.col("_metadata.file_name").alias("file"),
                                          F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("row"))
-    d = d.mapInArrow(_crc, "doc_id long, n_tokens long, ids_crc32 long, file string, row struct<block: long, row: long>")
+    d = d.mapInArrow(frees(_crc), "doc_id long, n_tokens long, ids_crc32 long, file string, row struct<block: long, row: long>")
     d = written(d, "token-index")
     total = d.groupBy("file").agg(F.sum("n_tokens").alias("file_tokens"))
     # files hold ranges of ids in the order of their names' part numbers
