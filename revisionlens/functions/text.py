@@ -29,11 +29,10 @@ def sentence_array(text: Column) -> Column:
     return F.filter(F.transform(raw, lambda s: F.trim(s)), lambda s: s != "")
 
 
-def is_boilerplate(sentence: Column) -> Column:
-    """T5 predicate: lower-cased text contains one of the boilerplate phrases."""
-    phrases = _lit_array(sorted({p.lower() for p in K.BOILERPLATE_PHRASES}))
-    low = F.lower(sentence)
-    return F.exists(phrases, lambda p: F.instr(low, p) > 0)
+def is_boilerplate(sentence: Column, phrases: list[str] | None = None) -> Column:
+    """T5 predicate: lower-cased text contains one of the boilerplate phrases (one compiled pattern)."""
+    every = sorted({p.lower() for p in (K.BOILERPLATE_PHRASES if phrases is None else phrases)})
+    return F.lower(sentence).rlike("|".join("\\Q" + p.replace("\\E", "\\E\\\\E\\Q") + "\\E" for p in every)) if every else F.lit(False)
 
 
 def is_template_line(sentence: Column) -> Column:

@@ -13,6 +13,10 @@ Aligned rows have ``row_idx, text_old, tag_old, text_new, tag_new`` with tags
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,6 +152,71 @@ def word_diff(aligned: DataFrame) -> DataFrame:
                      .otherwise(" ").alias("tag"))
 
 
+def kept_words(old: list[str], new: list[str]) -> list[tuple[int, int]]:
+    """Positions (old, new) of the words that stay, both increasing.
+
+    Anchors: the k-th copy of a word with its k-th copy on the other side; the longest increasing
+    run of them stays (of equal runs the one with the least new positions).  Then the same
+    between any two neighbouring anchors, until a gap has no common word.
+    """
+    out, gaps = [], [(0, len(old), 0, len(new))]
+    while gaps:
+        a, b, c, d = gaps.pop()
+        places: dict[str, list[int]] = {}
+        for j in range(d - 1, c - 1, -1):
+            places.setdefault(new[j], []).append(j)
+        pairs = [(i, places[old[i]].pop()) for i in range(a, b) if places.get(old[i])]
+        tails: list[int] = []             # least new position that ends a run of each length, and where it came from
+        ends: list[int] = []
+        before: list[int] = []
+        for at, (_, j) in enumerate(pairs):
+            k = bisect_left(tails, j)
+            if k == len(tails):
+                tails.append(j)
+                ends.append(at)
+            else:
+                tails[k], ends[k] = j, at
+            before.append(ends[k - 1] if k else -1)
+        run, at = [], ends[-1] if ends else -1
+        while at >= 0:
+            run.append(pairs[at])
+            at = before[at]
+        run.reverse()
+        out += run
+        i, j = a, c
+        for x, y in [*run, (b, d)] if run else []:
+            if i < x and j < y:
+                gaps.append((i, x, j, y))
+            i, j = x + 1, y + 1
+    return sorted(out)
+
+
+def _ordered_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        row, word, at_old, at_new, tag = [], [], [], [], []
+        for n, (x, y) in enumerate(zip(batch.column("text_old").to_pylist(), batch.column("text_new").to_pylist(), strict=True)):
+            old, new = x.split(" "), y.split(" ")
+            kept = kept_words(old, new)
+            gone, come = set(range(len(old))).difference(i for i, _ in kept), set(range(len(new))).difference(j for _, j in kept)
+            rows = [(old[i], i, j, " ") for i, j in kept] + [(old[i], i, None, "-") for i in sorted(gone)] + [(new[j], None, j, "+") for j in sorted(come)]
+            row += [n] * len(rows)
+            for values, column in zip(zip(*rows, strict=True), (word, at_old, at_new, tag), strict=True):
+                column.extend(values)
+        keys = batch.select([*PAIR, "row_idx"]).take(pa.array(row, pa.int32()))
+        yield pa.record_batch([*keys.columns, pa.array(word, pa.string()), pa.array(at_old, pa.int32()), pa.array(at_new, pa.int32()), pa.array(tag, pa.string())],
+                              names=[*PAIR, "row_idx", "word", "pos_old", "pos_new", "tag"])
+
+
+def ordered_word_diff(aligned: DataFrame) -> DataFrame:
+    """D5, ordered form: the rows of :func:`word_diff`, with kept words in the same order on both sides.
+
+    A word that moved is removed and added.  Each changed row is aligned alone
+    (:func:`kept_words`), inside Arrow batches; D11 and D13 take either form.
+    """
+    ch = aligned.filter((F.col("tag_old") == "-") & (F.col("tag_new") == "+")).select(*PAIR, "row_idx", "text_old", "text_new")
+    return ch.mapInArrow(_ordered_rows, "source string, entry_id long, version_x int, version_y int, row_idx int, word string, pos_old int, pos_new int, tag string")
+
+
 def word_change_stats(words: DataFrame) -> DataFrame:
     """Per changed row: removed and added words, old and new lengths."""
     return (words.groupBy(*PAIR, "row_idx")

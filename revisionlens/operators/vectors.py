@@ -8,21 +8,22 @@ is a block = one article and two consecutive versions.  Within a block only
 *distinct* tokens are compared (a word that occurs 50 times is compared once),
 and a block is cut into tiles of at most ``tile`` distinct tokens per side,
 so a hot article is spread over many tasks and no task holds more than
-``tile x tile`` distances.  Each tile is one matrix product in numpy (Arrow
-batches in, only pairs under the cutoff out).  Blocks that fit in one tile
-share groups (hash buckets sized to about one tile of rows), so small
-articles do not pay one grouped-map call each.
+``tile x tile`` distances.  Tiles of all sizes go the same way: their rows are
+dealt and sorted by tile and stream through ``mapInArrow``, which holds one tile at
+a time and does one matrix product for it (only pairs under the cutoff leave).
 """
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revisionlens.functions import constants as K
+from revisionlens.session import materialize
 
 VEC = T.ArrayType(T.DoubleType())
 
@@ -45,52 +46,54 @@ def l2_normalize(df: DataFrame, col: str = "word_embedding", out: str = "norm_wo
                          .otherwise(F.col(col).cast(VEC)))
 
 
-def lsh_hash(df: DataFrame, col: str = "norm_word_embedding", bucket_length: float = 3.0,
-             num_tables: int = 3, seed: int = 42):
-    """V3: random-projection LSH model and hashes (Spark ML).
+def projections(dim: int, num_tables: int, seed: int = 42) -> list[list[float]]:
+    """One unit vector a hash table, its parts by rule from the md5 of ``seed:table:part`` (so SQL can state them)."""
+    out = []
+    for t in range(num_tables):
+        v = [int(md5(f"{seed}:{t}:{d}".encode()).hexdigest()[:8], 16) / 2 ** 32 - 0.5 for d in range(dim)]
+        norm = sum(x * x for x in v) ** 0.5
+        out.append([x / norm for x in v])
+    return out
 
-    Returns ``(model, hashed_df)``.  With unit vectors and bucket length 3 every
-    projection falls in [-1, 1], so each table has at most 2 buckets.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
 
-    d = df.withColumn("__vec", array_to_vector(F.col(col)))
-    lsh = BucketedRandomProjectionLSH(inputCol="__vec", outputCol="hashes",
-                                      bucketLength=bucket_length, numHashTables=num_tables, seed=seed)
-    model = lsh.fit(d)
-    return model, model.transform(d)
+def lsh_hash(df: DataFrame, col: str = "norm_word_embedding", bucket_length: float = 3.0, num_tables: int = 3, seed: int = 42, dim: int = 64,
+             out: str = "hashes") -> DataFrame:
+    """V3: random-projection hashes ``floor(projection / bucket_length)``, one a table, as an array.
+
+    With unit vectors and bucket length 3 every projection falls in [-1, 1], so
+    each table has at most 2 buckets; ``word_pairs_lsh`` takes a width that fits its cutoff.
+    """
+    dot = lambda p: F.aggregate(F.zip_with(F.col(col), F.array(*map(F.lit, p)), lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    return df.withColumn(out, F.array(*[F.floor(dot(p) / bucket_length).cast("long") for p in projections(dim, num_tables, seed)]))
 
 
-def word_pairs_lsh(tokens: DataFrame, cutoff: float = K.WORD_DISTANCE_CUTOFF,
-                   bucket_length: float = 3.0, num_tables: int = 3, seed: int = 42) -> DataFrame:
+def word_pairs_lsh(tokens: DataFrame, cutoff: float = K.WORD_DISTANCE_CUTOFF, bucket_length: float | None = None, num_tables: int = 3, seed: int = 42,
+                   dim: int = 64) -> DataFrame:
     """V4: approximate word pairs of consecutive versions by random-projection LSH.
 
     The result is the set a similarity join returns once restricted to one
     article and ``version_y = version_x + 1``: distinct token pairs that share
     a bucket in at least one hash table and lie under the cutoff.  The
     restriction is part of the join key (article, version pair, table,
-    bucket), so candidates never leave their article; a library-level join
-    keyed on the bucket alone would pair every article with every other.
+    bucket), so candidates never leave their article.  Candidates are pairs of
+    keys; vectors are joined to them only for the distance.  The bucket width
+    is a quarter of the cutoff by default: a pair at the cutoff then differs in a projection
+    by half a bucket on average, and wider buckets pair nearly everything.
     """
-    from pyspark.ml.functions import vector_to_array
-
     keys = ["source", "entry_id", "version"]
-    vocab = (tokens.select(*keys, "token", "word_embedding").dropDuplicates(keys + ["token"]))
-    vocab = l2_normalize(vocab, "word_embedding", "norm")
-    _, hashed = lsh_hash(vocab, "norm", bucket_length, num_tables, seed)
-    h = hashed.select(*keys, "token", "norm", F.posexplode("hashes").alias("tbl", "hv")) \
-              .withColumn("bucket", vector_to_array("hv")[0]).drop("hv")
-    x = h.select("source", "entry_id", F.col("version").alias("version_x"), "tbl", "bucket",
-                 F.col("token").alias("token_x"), F.col("norm").alias("a"))
-    y = h.select("source", "entry_id", (F.col("version") - 1).alias("version_x"), "tbl", "bucket",
-                 F.col("token").alias("token_y"), F.col("norm").alias("b"))
-    cand = (x.join(y, ["source", "entry_id", "version_x", "tbl", "bucket"])
-             .dropDuplicates(["source", "entry_id", "version_x", "token_x", "token_y"]))
+    vocab = l2_normalize(tokens.select(*keys, "token", "word_embedding").dropDuplicates(keys + ["token"]), "word_embedding", "norm")
+    vocab = materialize(vocab.select(*keys, "token", "norm"), "lsh-words")
+    h = lsh_hash(vocab, "norm", cutoff / 4 if bucket_length is None else bucket_length, num_tables, seed, dim).select(*keys, "token", F.posexplode("hashes").alias("tbl", "bucket"))
+    block = ["source", "entry_id", "version_x"]
+    x = h.select("source", "entry_id", F.col("version").alias("version_x"), "tbl", "bucket", F.col("token").alias("token_x"))
+    y = h.select("source", "entry_id", (F.col("version") - 1).alias("version_x"), "tbl", "bucket", F.col("token").alias("token_y"))
+    cand = x.join(y, [*block, "tbl", "bucket"]).select(*block, "token_x", "token_y").distinct()
+    a = vocab.select("source", "entry_id", F.col("version").alias("version_x"), F.col("token").alias("token_x"), F.col("norm").alias("a"))
+    b = vocab.select("source", "entry_id", (F.col("version") - 1).alias("version_x"), F.col("token").alias("token_y"), F.col("norm").alias("b"))
     sq = F.aggregate(F.zip_with("a", "b", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda acc, v: acc + v)
     d = F.when(F.col("token_x") == F.col("token_y"), F.lit(0.0)).otherwise(F.sqrt(sq))
-    return (cand.select("source", "entry_id", "version_x", (F.col("version_x") + 1).alias("version_y"),
-                        "token_x", "token_y", d.alias("distance"))
+    return (cand.join(a, [*block, "token_x"]).join(b, [*block, "token_y"])
+                .select(*block, (F.col("version_x") + 1).alias("version_y"), "token_x", "token_y", d.alias("distance"))
                 .filter(F.col("distance") < cutoff))
 
 
@@ -105,46 +108,55 @@ _PAIR_SCHEMA = T.StructType([
 ])
 
 
-def _tile_distances(cutoff: float, dim_hint: int = 0):
-    """Cogrouped Arrow function: one tile of one block -> near token pairs."""
+_TILE = ["source", "entry_id", "version_x", "chunk_x", "chunk_y"]
+
+
+def _tile_distances(cutoff: float):
+    """Rows sorted by (tile, side) -> near token pairs; one tile's rows are held at a time."""
     import pyarrow as pa
 
-    def mat(col):
-        flat = col.combine_chunks() if hasattr(col, "combine_chunks") else col
-        values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        return values.reshape(len(flat), -1) if len(flat) else values.reshape(0, 0)
-
-    def block(x: pa.Table, y: pa.Table) -> pa.Table:
-        a, b = mat(x.column("vec")), mat(y.column("vec"))
-        a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
-        b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
-        d = np.sqrt(np.maximum(2.0 - 2.0 * (a @ b.T), 0.0))
-        tx = np.asarray(x.column("token").to_pylist(), dtype=object)
-        ty = np.asarray(y.column("token").to_pylist(), dtype=object)
-        d[tx[:, None] == ty[None, :]] = 0.0          # equal words are at distance 0 exactly
-        ii, jj = np.nonzero(d < cutoff)
-        n = len(ii)
-        head = {c: x.column(c)[0].as_py() for c in ("source", "entry_id", "version_x", "version_y")}
-        return pa.Table.from_arrays([
-            pa.array([head["source"]] * n, pa.string()), pa.array([head["entry_id"]] * n, pa.int64()),
-            pa.array([head["version_x"]] * n, pa.int32()), pa.array([head["version_y"]] * n, pa.int32()),
-            pa.array(tx[ii].tolist(), pa.string()), pa.array(ty[jj].tolist(), pa.string()),
-            pa.array(d[ii, jj], pa.float64())], schema=_ARROW_PAIR)
-
-    def split(t: pa.Table) -> dict:
-        keys = list(zip(t.column("source").to_pylist(), t.column("entry_id").to_pylist(),
-                        t.column("version_x").to_pylist()))
-        groups: dict = {}
-        for i, k in enumerate(keys):
-            groups.setdefault(k, []).append(i)
-        return {k: t.take(pa.array(v, pa.int64())) for k, v in groups.items()}
-
-    def run(x: pa.Table, y: pa.Table) -> pa.Table:
-        if x.num_rows == 0 or y.num_rows == 0:
-            return pa.Table.from_pylist([], schema=_ARROW_PAIR)
-        xs, ys = split(x), split(y)            # a group may hold several small blocks
-        parts = [block(xs[k], ys[k]) for k in xs if k in ys]
-        return pa.concat_tables(parts) if parts else pa.Table.from_pylist([], schema=_ARROW_PAIR)
+    def matrix(col):
+        values = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        m = values.reshape(len(col), -1)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+    def block(t: pa.Table) -> pa.RecordBatch | None:
+        t = t.combine_chunks()
+        n = int((t.column("side").to_numpy() == 0).sum())
+        if n in (0, t.num_rows):
+            return None
+        vec = matrix(t.column("vec").chunk(0))
+        d = np.sqrt(np.maximum(2.0 - 2.0 * (vec[:n] @ vec[n:].T), 0.0))
+        token = np.asarray(t.column("token").to_pylist(), dtype=object)
+        d[token[:n, None] == token[None, n:]] = 0.0          # equal words are at distance 0 exactly
+        i, j = np.nonzero(d < cutoff)
+        k = len(i)
+        one = lambda c: t.column(c)[0].as_py()
+        return pa.record_batch([
+            pa.array([one("source")] * k, pa.string()), pa.array(np.full(k, one("entry_id")), pa.int64()), pa.array(np.full(k, one("version_x")), pa.int32()),
+            pa.array(np.full(k, one("version_x") + 1), pa.int32()), pa.array(token[i].tolist(), pa.string()), pa.array(token[j + n].tolist(), pa.string()),
+            pa.array(d[i, j], pa.float64())], schema=_ARROW_PAIR)
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if not t.num_rows:
+                continue
+            changed = np.zeros(t.num_rows - 1, bool)
+            for c in _TILE:
+                v = np.asarray(t.column(c).to_pylist(), dtype=object) if c == "source" else t.column(c).to_numpy()
+                changed |= v[1:] != v[:-1]
+            edges = [0, *(np.flatnonzero(changed) + 1).tolist()]
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                found = block(t.slice(lo, hi - lo))
+                if found is not None:
+                    yield found
+            held = t.slice(edges[-1])
+        if held is not None and held.num_rows:
+            found = block(held)
+            if found is not None:
+                yield found
     return run
 
 
@@ -168,43 +180,16 @@ def near_token_pairs(tokens: DataFrame, cutoff: float = K.WORD_DISTANCE_CUTOFF,
     keys = ["source", "entry_id", "version"]
     vocab = (tokens.select(*keys, "token", F.col(vector_col).alias("vec"))
                    .dropDuplicates(keys + ["token"]))
-    sizes = vocab.groupBy(*keys).agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("k", F.ceil(F.col("n") / F.lit(tile)).cast("int"))
-    # blocks that fit in one tile share groups: about one tile of rows per group
-    total = sizes.agg(F.sum("n")).first()[0] or 0     # one number, from a one-row-per-version table
-    nb = max(1, int(total // tile))
-    hx = F.pmod(F.xxhash64("token"), F.col("kx")).cast("int")
-
-    def group_cols(vx):
-        small = (F.col("kx") == 1) & (F.col("ky") == 1)
-        return [F.when(small, F.pmod(F.xxhash64("source", "entry_id", vx), F.lit(nb))).otherwise(F.lit(-1))
-                 .cast("long").alias("gb"),
-                F.when(small, F.lit(None)).otherwise(F.col("source")).alias("g_source"),
-                F.when(small, F.lit(None)).otherwise(F.col("entry_id")).alias("g_entry"),
-                F.when(small, F.lit(None)).otherwise(vx).cast("int").alias("g_version")]
-
-    nxt = sizes.select(*keys[:2], (F.col("version") - 1).alias("version"), F.col("k").alias("ky"))
-    x = (vocab.join(sizes.select(*keys, F.col("k").alias("kx")), keys)
-              .join(nxt, keys)
-              .select(F.col("source"), F.col("entry_id"), F.col("version").alias("version_x"),
-                      (F.col("version") + 1).alias("version_y"), "token", "vec", "kx", "ky",
-                      hx.alias("chunk_x"), F.explode(F.sequence(F.lit(0), F.col("ky") - 1)).alias("chunk_y"))
-              .select("*", *group_cols(F.col("version_x"))))
-    prev = sizes.select(*keys[:2], (F.col("version") + 1).alias("version"), F.col("k").alias("kx"))
-    hy = F.pmod(F.xxhash64("token"), F.col("ky")).cast("int")
-    y = (vocab.join(sizes.select(*keys, F.col("k").alias("ky")), keys)
-              .join(prev, keys)
-              .select(F.col("source"), F.col("entry_id"), (F.col("version") - 1).alias("version_x"),
-                      F.col("version").alias("version_y"), "token", "vec", "kx", "ky",
-                      F.explode(F.sequence(F.lit(0), F.col("kx") - 1)).alias("chunk_x"), hy.alias("chunk_y"))
-              .select("*", *group_cols(F.col("version_x"))))
-    g = ["gb", "g_source", "g_entry", "g_version", "chunk_x", "chunk_y"]
-    cols = ["source", "entry_id", "version_x", "version_y", "token", "vec"] + g
-    # both sides come from one lineage: fresh aliases keep their attributes apart
-    x = x.select(*[F.col(c).alias(c) for c in cols])
-    y = y.select(*[F.col(c).alias(c) for c in cols])
-    return (x.groupBy(*g).cogroup(y.groupBy(*g))
-             .applyInArrow(_tile_distances(cutoff), schema=_PAIR_SCHEMA))
+    sizes = vocab.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("k"))
+    mine = F.pmod(F.xxhash64("token"), F.col("k_mine")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("k_other") - 1))
+    own = vocab.join(sizes.withColumnRenamed("k", "k_mine"), keys)
+    side = lambda shift, chunks, n: own.join(sizes.select(*keys[:2], (F.col("version") + shift).alias("version"), F.col("k").alias("k_other")), keys).select(
+        "source", "entry_id", F.col("version").alias("version_x"), *chunks, F.lit(n).alias("side"), "token", "vec")
+    x = side(-1, (mine.alias("chunk_x"), other.alias("chunk_y")), 0)
+    y = side(1, (other.alias("chunk_x"), mine.alias("chunk_y")), 1).withColumn("version_x", F.col("version_x") - 1)
+    rows = x.unionByName(y).repartition(*_TILE).sortWithinPartitions(*_TILE, "side")
+    return rows.mapInArrow(_tile_distances(cutoff), schema=_PAIR_SCHEMA)
 
 
 def word_pairs_exact(tokens: DataFrame, near: DataFrame | None = None, cutoff: float = K.WORD_DISTANCE_CUTOFF,

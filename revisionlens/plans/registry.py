@@ -323,12 +323,21 @@ def q_v2(spark, sf):
     return rounded(n.select("vec_id", F.col("n")[0].alias("n0"), norm.alias("norm")))
 
 
-@register("v3_lsh_hash")
+PROJECTIONS = ("projections", """
+SELECT t, list(u / sqrt(s) ORDER BY d) AS p FROM (
+  SELECT t, d, u, sum(u * u) OVER (PARTITION BY t) AS s FROM (
+    SELECT t, d, CAST('0x' || substr(md5('42:' || t || ':' || d), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE - 0.5 AS u
+    FROM range(3) a(t), range(64) b(d))) GROUP BY t""")
+
+
+@register("v3_lsh_hash", O.with_(PROJECTIONS, ("unit", """
+SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS v FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"""),
+    select="""SELECT vec_id, CAST(max(h) FILTER (WHERE t = 0) AS BIGINT) AS h0, CAST(max(h) FILTER (WHERE t = 1) AS BIGINT) AS h1, CAST(max(h) FILTER (WHERE t = 2) AS BIGINT) AS h2
+FROM (SELECT vec_id, t, floor(list_dot_product(v, p) / 3.0) AS h FROM unit, projections) GROUP BY vec_id"""))
 def q_v3(spark, sf):
     e = FX.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    _, h = V.lsh_hash(V.l2_normalize(e, "e", "n"), "n")
-    from pyspark.ml.functions import vector_to_array
-    return h.select("vec_id", *[vector_to_array(F.col("hashes")[i])[0].alias(f"h{i}") for i in range(3)])
+    h = V.lsh_hash(V.l2_normalize(e, "e", "n"), "n")
+    return h.select("vec_id", *[F.col("hashes")[i].alias(f"h{i}") for i in range(3)])
 
 
 def conv_vector_tokens(spark, sf):
@@ -339,7 +348,15 @@ def conv_vector_tokens(spark, sf):
     return V.attach_vectors(vocab, lex)
 
 
-@register("v4_word_pairs_lsh")
+@register("v4_word_pairs_lsh", O.with_(*O.sentences_ctes("conversations"), O.TOKENS, O.LEXICON, PROJECTIONS, ("words", """
+SELECT DISTINCT t.source, t.entry_id, t.version, t.token, l.vector FROM tokens t JOIN lexicon l USING (token)"""), ("hashed", """
+SELECT token, max(h) FILTER (WHERE t = 0) AS h0, max(h) FILTER (WHERE t = 1) AS h1, max(h) FILTER (WHERE t = 2) AS h2
+FROM (SELECT token, t, floor(list_dot_product(vector, p) / 0.25) AS h FROM lexicon, projections) GROUP BY token"""), select="""
+SELECT source, entry_id, version_x, version_y, token_x, token_y, round(distance, 4) AS distance FROM (
+  SELECT x.source, x.entry_id, x.version AS version_x, y.version AS version_y, x.token AS token_x, y.token AS token_y,
+         CASE WHEN x.token = y.token THEN 0.0::DOUBLE ELSE list_distance(x.vector, y.vector) END AS distance
+  FROM words x JOIN words y ON x.source = y.source AND x.entry_id = y.entry_id AND y.version = x.version + 1
+  JOIN hashed a ON a.token = x.token JOIN hashed b ON b.token = y.token WHERE a.h0 = b.h0 OR a.h1 = b.h1 OR a.h2 = b.h2) WHERE distance < 1.0"""))
 def q_v4(spark, sf):
     return rounded(V.word_pairs_lsh(conv_vector_tokens(spark, sf), cutoff=1.0))
 
