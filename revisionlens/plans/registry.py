@@ -754,6 +754,14 @@ def q_r2(spark, sf):
     return MV.arc_crossings(MV.arc_ranks(rev_arcs(spark, sf)))
 
 
+@register("r2_crossing_counts", O.with_(*REV, ("ranked", R1_SQL), select="""
+SELECT a.source, a.entry_id, a.version_x, a.version_y, a.sent_idx_x, a.sent_idx_y, a.rx, a.ry, count(b.rx) AS crossings
+FROM ranked a LEFT JOIN ranked b ON a.source = b.source AND a.entry_id = b.entry_id AND a.version_x = b.version_x
+ AND a.version_y = b.version_y AND ((a.rx < b.rx AND a.ry > b.ry) OR (a.rx > b.rx AND a.ry < b.ry)) GROUP BY ALL"""))
+def q_r2c(spark, sf):
+    return MV.crossing_counts(MV.arc_ranks(rev_arcs(spark, sf)))
+
+
 @register("r3_refactor_edges", O.with_(*REV, *edges_ctes(), select="SELECT * FROM edges", recursive=True))
 def q_r3(spark, sf):
     return MV.refactor_edges(rev_arcs(spark, sf))
