@@ -2,11 +2,14 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before
 kept; its result is written as Parquet and read again as the next one's ``docs``.
-All but the last return the columns of ``docs``.
+All but the last return the columns of ``docs``.  The tables that a stage wrote on its way
+are deleted when the next stage begins (unless its ``docs`` still reads them), so write a
+stage's result before going on.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,13 +17,33 @@ from pyspark.sql import functions as F
 
 from revisionlens.llm import decontam, kneserney, mixing, neardup, tokens
 from revisionlens.llm.common import checked_broadcast, prepare, table, written
-from revisionlens.session import checkpoint_dir
+from revisionlens.session import checkpoint_dir, delete_tables, recorded_tables
 
 
 #: Column that tells the rows of a stage's input apart: ids can be null or repeat.
 ROW = "pipeline_row"
 
 
+#: Tables of the stage before.
+_LEFT: list[str] = []
+
+
+def _stage(f):
+    """A stage that deletes its predecessor's tables first."""
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = "\n".join(docs.inputFiles()) if _LEFT else ""
+        gone = [p for p in _LEFT if p.rsplit("/", 1)[1] not in read]
+        delete_tables(spark, gone)
+        _LEFT[:] = [p for p in _LEFT if p not in gone]
+        with recorded_tables() as made:
+            out = f(spark, docs, sf_dir)
+        _LEFT.extend(made)
+        return out
+    return run_stage
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
     rows = _rows(docs)
@@ -28,6 +51,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(rows, scores.filter("not kept").select(F.col("row_id").alias(ROW)))
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the smallest ``doc_id`` (null is the largest).
 
@@ -45,6 +69,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(rows, found.select(ROW).join(first, ROW, "left_anti"))
 
 
+@_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark."""
     rows = _rows(docs)
@@ -52,11 +77,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _without(rows, found.filter("contaminated").select(F.col("doc_id").alias(ROW)))
 
 
+@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources: documents repeat as often as they are taken."""
     return mixing.mixed(docs, table(spark, sf_dir, "labels"))
 
 
+@_stage
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in ORC files; returns what the files hold of each document."""
     return tokens.tokenized(docs)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -80,6 +81,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+_RECORDERS: list[list[str]] = []
+
+
+@contextmanager
+def recorded_tables():
+    """The list of the tables that :func:`materialize` writes inside the ``with`` block."""
+    made: list[str] = []
+    _RECORDERS.append(made)
+    try:
+        yield made
+    finally:
+        _RECORDERS.remove(made)
+
+
+def delete_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing reads any more (else they go when the session ends)."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def materialize(df, name: str = "table", rebalance: bool = False):
     """Cut lineage by writing ``df`` once as a Parquet table in the shared
     checkpoint folder and reading it back.
@@ -94,6 +116,8 @@ def materialize(df, name: str = "table", rebalance: bool = False):
     import uuid
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for made in _RECORDERS:
+        made.append(path)
     (df.hint("rebalance") if rebalance else df).write.mode("overwrite").parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)     # when the session ends
