@@ -1141,7 +1141,7 @@ def q_s4(spark, sf):
     return RD.list_tables(spark).filter(F.col("name").startswith("s4_"))
 
 
-D9_ROUNDS = 4        # the SQL states the fixpoint by so many rounds, one more than the rows need (a test of the code has no such bound)
+D9_ROUNDS = 4        # the SQL states the fixpoint by so many rounds; the code and its brute-force test have no such bound
 
 
 def d9_ctes(rounds: int = D9_ROUNDS) -> list[tuple[str, str]]:
