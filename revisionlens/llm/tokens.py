@@ -7,13 +7,13 @@ streams, with a row index every ``ROW_INDEX_STRIDE`` rows and Bloom filters on
 ``doc_id``: a lookup by id skips files and stripes by their footers, then row groups by index
 and filter, and a full read splits at stripes.
 
-A tokenizer whose normaliser and splitter are ``PIECEWISE`` never joins text across a
-space or line feed, so the ids of a text are the ids of its blank-separated pieces in
-order.  A worker asks the tokenizers library once for each distinct piece and keeps the
-answers in a table that is emptied at ``CACHE_PIECES`` entries (a time saver: no answer
-depends on it).  Such a normaliser and splitter leave a run of lower-case letters whole
-and only rename its bytes, so these pieces go straight to the library's model.  Texts of
-any other tokenizer are encoded whole.
+A tokenizer whose normaliser and splitter are ``PIECEWISE`` and whose model ends words by
+``SUFFIX`` lower-cases a text and cuts it into runs of letters, single digits and runs of signs.
+A chunk of texts is cut in numpy by the kinds of its code points, a mark is put after each piece, and all pieces go
+to one byte-pair encoder made of the same file's entries, where an ending entry is its bytes and the
+mark.  Texts for which that isn't known to be the same (a code point without a kind, such as combining
+marks, controls and all above U+FFFF; an added token; a piece of more than ``LONG_PIECE`` letters), and all texts of
+other tokenizers, are encoded whole by the tokenizers library.
 
 Nulls and odd input: a null or empty text is only the end id; rows without
 ``doc_id`` come first; rows of equal ``doc_id`` stand in the order of their texts; other
@@ -23,11 +23,9 @@ columns are ignored; an empty table writes an empty folder with the same schema.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
-from unicodedata import is_normalized
+from unicodedata import category, is_normalized, ucd_3_2_0
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +40,12 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 ROW_INDEX_STRIDE = 1000
 STRIPE_BYTES = 16 << 20
-CACHE_PIECES = 300_000
 CHUNK_CHARS = 1 << 19        # texts are encoded some at a time
-#: Letters below this (Latin, Greek, Cyrillic) are lower-cased one by one everywhere, but for a sigma at a word's end.
-PLAIN_BELOW, SIGMA = "\u0530", "\u03a3"
+LONG_PIECE = 4096            # the byte-pair encoder is quadratic in a piece
+SUFFIX, MARK = "</w>", "\0"
+SPACE, LETTER, DIGIT, SIGN, OTHER = range(5)
+#: What may follow an apostrophe that begins a run of signs, as one piece with it.
+SHORT_FORMS = ("s", "t", "m", "d", "re", "ve", "ll")
 #: Normaliser and splitter of a tokenizer file that works piece by piece.
 PIECEWISE = {
     "normalizer": {"type": "Sequence", "normalizers": [
@@ -72,33 +72,20 @@ def _byte_letters() -> dict[int, str]:
 BYTE_LETTERS = _byte_letters()
 
 
-#: A full stop or comma before a space that follows neither a letter, a digit nor a space: it belongs to a run of signs.
-JOINED_STOP = re.compile(r"[.,](?= )(?<![^\W_][.,])(?<! [.,])")
+def _kinds() -> np.ndarray:
+    """The kind of each code point of the basic plane, for lower-cased text.
 
-
-def _pieces(text: str) -> list[str]:
-    """The blank-separated pieces.
-
-    Text in Latin-1, where each letter is lower-cased alone, comes in lower case and with its stops apart.
+    Only code points that are the same in the first Unicode tables and the present ones, and that
+    normalisation neither changes nor joins to others, have a kind: marks and Hangul's parts have none.
     """
-    text = text.replace("\n", " ")
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text.split(" ")
-    text = text.lower() + " "
-    if not JOINED_STOP.search(text):
-        text = text.replace(". ", " . ").replace(", ", " , ")
-    return text.split(" ")
-
-
-def _parts(piece: str) -> tuple[str, str]:
-    """(lower-cased letters, stop) of a piece of plain letters and perhaps a full stop or comma; else (piece, "")."""
-    stem, stop = (piece[:-1], piece[-1]) if piece[-1:] in (".", ",") else (piece, "")
-    low = stem.lower()
-    if not stem.isalpha() or not low.isalpha():            # a dotted capital I ends in a mark, which would join the stop
-        return piece, ""
-    return (low, stop) if stem.isascii() or (max(stem) < PLAIN_BELOW and SIGMA not in stem) else (piece, "")
+    of = {"L": LETTER, "N": DIGIT, "P": SIGN, "S": SIGN}
+    out = np.full(1 << 16, OTHER, np.uint8)
+    for i in [*range(32, 0x1100), *range(0x1200, 0xD800), *range(0xE000, 0xFFFF)]:
+        c = chr(i)
+        if category(c) == ucd_3_2_0.category(c) and is_normalized("NFC", c):
+            out[i] = of.get(category(c)[0], OTHER)
+    out[[9, 10, 13, 32]] = SPACE
+    return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -112,77 +99,86 @@ def encoder_of(path: str) -> Encoder:
 
 
 class Encoder:
-    """Ids of texts through a table of pieces."""
+    """Ids of texts, by pieces where the tokenizer allows it."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         parts = json.loads(self.tokenizer.to_str())
-        self.piecewise = all(parts[k] == v for k, v in PIECEWISE.items())
-        self._empty()
-
-    def _empty(self) -> None:
-        self.places: dict[str, int] = {"": 0}
-        self.ids = np.zeros(1 << 16, np.int32)
-        self.start, self.size, self.used, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0, 1
-
-    def _store(self, pieces: list[str], ids: np.ndarray, size: np.ndarray) -> None:
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.count + len(pieces) > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        here = slice(self.count, self.count + len(pieces))
-        self.ids[self.used:self.used + len(ids)] = ids
-        self.size[here] = size
-        self.start[here] = self.used + np.cumsum(size) - size
-        self.places.update(zip(pieces, range(here.start, here.stop), strict=True))
-        self.used += len(ids)
-        self.count += len(pieces)
-
-    def _gather(self, at: np.ndarray) -> np.ndarray:
-        """The ids of the pieces at these places, one after the other."""
-        size = self.size[at]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.arange(total) + np.repeat(self.start[at] - (ends - size), size)]
-
-    def _learn(self, pieces: set[str]) -> None:
-        """The tokenizer lower-cases and splits letters from a stop: ``Word.`` has the ids of ``word`` and of ``.``."""
-        parts = {p: _parts(p) for p in pieces if not p.isalpha() or not p.islower()}
-        stems = list({x for pair in parts.values() for x in pair}.union(pieces.difference(parts)).difference(self.places))
-        found = self._ask(stems)
-        self._store(stems, np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found)))
-        pieces = [p for p in parts if p not in self.places]
-        at = np.fromiter((self.places[x] for p in pieces for x in parts[p]), np.int64, 2 * len(pieces))
-        self._store(pieces, self._gather(at), self.size[at].reshape(-1, 2).sum(axis=1))
-
-    def _ask(self, stems: list[str]) -> list[list[int]]:
-        """The library's ids of each piece: of lower-case letters from its model, else from the whole tokenizer."""
-        model, found, rest = self.model.tokenize, [], []
-        for i, s in enumerate(stems):
-            if s.isascii() and s.isalpha() and s.islower():
-                found.append([t.id for t in model(s)])
-            elif s.isalpha() and s.islower() and max(s) < PLAIN_BELOW and s.lower() == s and is_normalized("NFC", s):
-                found.append([t.id for t in model(s.encode().decode("latin-1").translate(BYTE_LETTERS))])
-            else:
-                found.append([])
-                rest.append(i)
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([stems[i] for i in rest], add_special_tokens=False), strict=True):
-            found[i] = e.ids
-        return found
+        self.added = [t["content"] for t in parts["added_tokens"]]
+        self.piecewise = False
+        model = parts["model"]
+        if all(parts[k] == v for k, v in PIECEWISE.items()) and model["type"] == "BPE" and model["end_of_word_suffix"] == SUFFIX:
+            self._rank(model["vocab"], [pair if isinstance(pair, list) else pair.split(" ") for pair in model["merges"]])
+
+    def _rank(self, vocab: dict[str, int], merges: list[list[str]]) -> None:
+        """The byte-pair encoder, if ids rise with the order of the merges: bytes, bytes that end a word, then one entry a merge."""
+        import tiktoken
+        single = [*BYTE_LETTERS.values()]
+        if sorted(vocab[x] for x in single) != [*range(256)] or sorted(vocab[x + SUFFIX] for x in single) != [*range(256, 512)]:
+            return
+        if [vocab[a + b] for a, b in merges] != [*range(512, len(vocab))]:
+            return
+        byte_of = {c: b for b, c in BYTE_LETTERS.items()}
+        mark = MARK.encode()
+        entries = {bytes(byte_of[c] for c in t.removesuffix(SUFFIX)) + (mark if t.endswith(SUFFIX) else b""): i for t, i in vocab.items()}
+        if len(entries) != len(vocab):
+            return
+        self.ends = np.zeros(len(vocab), bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(SUFFIX)]] = True
+        self.kinds = _kinds()
+        self.piecewise = True
+        self.ranked = tiktoken.Encoding("pieces", pat_str=f"[^{MARK}]+{MARK}", mergeable_ranks=entries, special_tokens={})
+
+    def _ends(self, points: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Where a piece ends."""
+        end = (kind != SPACE) & ((kind == DIGIT) | (kind != np.append(kind[1:], SPACE)))
+        at = np.flatnonzero(points == ord("'"))
+        at = at[(at == 0) | (kind[at - 1] != SIGN)]
+        padded = np.append(points, [0, 0])
+        for form in SHORT_FORMS:
+            here = at[np.all([padded[np.minimum(at + 1 + k, len(points))] == ord(c) for k, c in enumerate(form)], axis=0)]
+            end[here] = False
+            end[here + len(form)] = True
+        return end
+
+    def _by_pieces(self, texts: list[str]) -> list[np.ndarray | None]:
+        """The ids of each lower-cased text; None where pieces may not do."""
+        points = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le"), np.uint32)
+        kind = self.kinds[np.minimum(points, 0xFFFF)]
+        stop = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        bad = np.zeros(len(texts), bool)
+        bad[np.searchsorted(stop, np.flatnonzero(kind == OTHER), "right")] = True
+        end = self._ends(points, kind)
+        keep = kind != SPACE
+        place = np.cumsum(keep)
+        last = np.flatnonzero(end)
+        long = np.diff(place[last], prepend=0) > LONG_PIECE
+        bad[np.searchsorted(stop, last[long], "right")] = True
+        if bad.any():
+            left = np.repeat(~bad, np.diff(stop, prepend=0))
+            keep &= left
+            end &= left
+        place = np.cumsum(keep.astype(np.int64) + end)
+        marked = np.zeros(int(place[-1]), np.uint32)
+        marked[(place - 1 - end)[keep]] = points[keep]
+        ids = self.ranked.encode_to_numpy(marked.tobytes().decode("utf-32-le")).astype(np.int32)
+        after = np.append(0, np.flatnonzero(self.ends[ids]) + 1)          # ids up to each piece's end
+        cut = after[np.append(0, np.cumsum(end)[stop - 1])].tolist()
+        return [None if b else ids[x:y] for b, x, y in zip(bad.tolist(), cut[:-1], cut[1:], strict=True)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, with the end id."""
-        if not self.piecewise:
-            return [np.array([*e.ids, END_ID], np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        split = [_pieces(t) for t in texts]
-        if self.count > CACHE_PIECES:
-            self._empty()
-        new = set().union(*split).difference(self.places)
-        if new:
-            self._learn(new)
-        return [np.append(self._gather(np.fromiter(map(self.places.__getitem__, s), np.int64, len(s))), np.int32(END_ID)) for s in split]
+        found: list[np.ndarray | None] = [None] * len(texts)
+        if self.piecewise:
+            own = [i for i, t in enumerate(texts) if not any(a in t for a in self.added)]
+            # the tokenizer lower-cases letter by letter: a last sigma is like any other
+            for i, ids in zip(own, self._by_pieces([texts[i].replace("\u03a3", "\u03c3").lower() for i in own]) if own else (), strict=True):
+                found[i] = ids
+        rest = [i for i, ids in enumerate(found) if ids is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            found[i] = np.array(e.ids, np.int32)
+        return [np.append(ids, np.int32(END_ID)) for ids in found]
 
 
 def _encoding(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -135,11 +135,28 @@ def test_tokens_round_trip(spark, docs, odd_rows, tmp_path):
 
 
 def test_token_pieces_are_bounded(monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE_PIECES", 5)
     e = tokens.Encoder(tokens.tokenizer_path())
     text = "Some words, and then. some WORDS and Others, again."
     want = [*e.tokenizer.encode(text, add_special_tokens=False).ids, 1]
-    assert [e.encode([text])[0].tolist() for _ in range(3)] == [want] * 3
+    assert e.encode([text])[0].tolist() == want
+    assert e._by_pieces([text.lower()])[0].tolist() == want[:-1]
+    monkeypatch.setattr(tokens, "LONG_PIECE", 4)             # longer pieces are left to the library
+    assert e._by_pieces(["", text.lower(), "a b, c."])[1] is None
+    assert e.encode(["", text, "a b"])[1].tolist() == want
+
+
+def test_ids_are_exact_for_words_and_short_forms():
+    """Vocabulary entries joined and cut at random, and every apostrophe form, have the library's ids."""
+    import json
+    rng = random.Random(11)
+    e = tokens.Encoder(tokens.tokenizer_path())
+    entries = [t.removesuffix(tokens.SUFFIX) for t in json.loads(e.tokenizer.to_str())["model"]["vocab"]]
+    plain = [t for t in entries if t.isascii() and t.isalpha()]
+    made = [rng.choice(plain) + rng.choice(plain)[:rng.randint(0, 9)] for _ in range(30_000)]
+    forms = ["".join(rng.choice(["'", "'s", "'t", "'re", "'ve", "'ll", "'d", "'m", "a", "s", "!", "1", " ", "|", "re", "中", "É"]) for _ in range(rng.randint(1, 8))) for _ in range(6000)]
+    texts = [" ".join(made[i:i + 50]) for i in range(0, len(made), 50)] + forms + ["x" * 9000, "'", "''s", "a\U0001f600b", "\u3000中 文,。"]
+    for t, ids, want in zip(texts, e.encode(texts), e.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert ids.tolist() == [*want.ids, 1], t
 
 
 PAGE = """<html><head><title>t</title></head><body><header><h1>Site</h1></header><nav>menu menu menu</nav><div class="cookie-notice">We use cookies here</div>
