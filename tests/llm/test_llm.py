@@ -226,6 +226,18 @@ def test_mix(docs, odd_rows):
     assert mixing.mix_documents(docs.limit(0)).count() == 0
 
 
+def test_url_branches_speak_for_unlabelled_templates(spark):
+    """A path branch with enough labels decides its unlabelled children; a host's other branches don't; a very long path costs no rounds."""
+    labelled = [(f"http://h.xyz/shop/{'ab'[i % 2]}{x}/p", 1) for i, x in enumerate("qrstuvwxyz" * 3)] + [("http://h.xyz/news/a/p", 0)] * 30
+    asked = ["http://h.xyz/shop/other/p/q", "http://h.xyz/fresh/a/p", "http://h.xyz/news/c/p", "http://new.xyz/shop/other", "http://h.xyz/" + "deep/" * 2000, "http://h.xyz/shop/aq/p"]
+    out = got(urls.filter_urls(spark.createDataFrame(list(enumerate(asked)), "page_id long, url string"), spark.createDataFrame(labelled, "url string, blocked int")), "page_id")
+    assert [out[i].verdict for i in range(len(asked))] == ["block", "allow", "allow", "allow", "allow", "block"]
+    empty = urls.filter_urls(spark.createDataFrame([], "page_id long, url string"))
+    assert empty.count() == 0
+    twice = urls.filter_urls(spark.createDataFrame([(1, asked[0]), (1, asked[0]), (None, None)], "page_id long, url string")).collect()
+    assert len(twice) == 3 and {r.verdict for r in twice} == {"allow"}
+
+
 def test_url_rules(spark):
     rows = [("http://com/", "com/", "allow"), ("HTTP://WWW.Example.COM/en/a", "www.example.com/en/", "allow"), ("x://a.example.com/en/", "example.com/en/", "block"),
             ("http://example.com/en", "com/", "allow"), ("https://x.net/es/1?q#z", "net/es/", "block"), ("net/es/", None, "allow"), (None, None, "allow"), ("http://net", None, "allow"), ("", None, "allow")]
