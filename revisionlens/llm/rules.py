@@ -2,12 +2,13 @@
 
 One pass lays whole texts out in numpy (see ``textbatch``) and computes the base
 statistics of every document.  The other rules form a cascade: a rule is only
-evaluated on documents that no earlier rule has rejected, and computes the
-statistics it needs for those alone.  The order comes from a sample of
+evaluated on documents that no earlier rule has rejected, and computes for those alone the
+statistics that aren't there yet.  The order comes from a sample of
 documents (``SAMPLE_ROWS``, those of the smallest id hashes): each rule's cost and rejections
-are measured there on all sampled documents, and rules run by rejections per
-second, highest first.  A verdict is the conjunction of all rules, so it doesn't
-depend on the order; only the time does.
+are counted there on all sampled documents, and rules run by rejections per
+cost, highest first.  Cost is counted work, one for each byte or item that a statistic passes over, not
+time: the same documents give the same order in every run.  A verdict is the conjunction of all rules, so it doesn't
+depend on the order; ``rejected_by`` is the first rule of that order that fails.
 
 Nulls and odd input: a null or empty text has no words and fails the base rule;
 a null ``doc_id`` stays null; repeated rows are judged each; other columns are ignored; an
@@ -16,7 +17,6 @@ empty table gives an empty result (and the rules in the order given).
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -48,38 +48,69 @@ _CODE_POINT[128:192] = 0
 
 
 class Stats:
-    """Statistics of a batch of texts, each computed when first asked for."""
+    """Statistics of a batch of texts, each computed when first asked for; ``work`` counts the bytes and items passed over."""
 
     def __init__(self, texts: Texts):
         self.t = texts
-        self.ws, self.we, self.first = texts.words()
-        self.n_words = np.diff(self.first)
+        self.work = 0
+        self.known: dict[str, np.ndarray] = {}
+        self._words: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
         self._prefix: np.ndarray | None = None
 
+    def _at(self, name: str, values: Callable[[], np.ndarray]) -> np.ndarray:
+        if name not in self.known:
+            self.known[name] = values()
+        return self.known[name]
+
+    def take(self, rows: np.ndarray) -> Stats:
+        """These rows alone, with the statistics that are known."""
+        part = Stats(_rows(self.t, rows))
+        part.known = {name: values[rows] for name, values in self.known.items()}
+        return part
+
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self._words is None:
+            self._words = self.t.words()
+            self.work += 2 * len(self.t.buf)
+        return self._words
+
+    @property
+    def n_words(self) -> np.ndarray:
+        return self._at("n_words", lambda: np.diff(self.words()[2]))
+
     def prefix(self) -> np.ndarray:
         if self._prefix is None:
             self._prefix = self.t.prefix(False)
+            self.work += 2 * len(self.t.buf)
         return self._prefix
 
     def count(self, table: np.ndarray) -> np.ndarray:
         """Per text the sum of a byte table over its bytes."""
+        self.work += len(self.t.buf)
         sums = np.concatenate([[0], np.cumsum(table[self.t.buf])])
         return sums[self.t.end] - sums[self.t.start]
 
     def word_chars(self) -> np.ndarray:
-        return self.count(_CODE_POINT * ~SPACE)
+        return self._at("word_chars", lambda: self.count(_CODE_POINT * ~SPACE))
 
     def n_symbols(self) -> np.ndarray:
-        return self.count(_SYMBOL)
+        return self._at("n_symbols", lambda: self.count(_SYMBOL))
 
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
         """Per text the lines with a word, and how many of them repeat an earlier one."""
+        if "n_lines" not in self.known:
+            self.known["n_lines"], self.known["n_dup_lines"] = self._lines()
+        return self.known["n_lines"], self.known["n_dup_lines"]
+
+    def _lines(self) -> tuple[np.ndarray, np.ndarray]:
         t = self.t
+        ws = self.words()[0]
         end = np.flatnonzero(t.buf == 10)
         start = np.concatenate([[0], end[:-1] + 1]) if len(end) else end
-        worded = np.searchsorted(self.ws, end) > np.searchsorted(self.ws, start)
+        worded = np.searchsorted(ws, end) > np.searchsorted(ws, start)
         row = np.searchsorted(t.end, end[worded])
         h = t.span_hash(self.prefix(), start[worded], end[worded])
+        self.work += len(t.buf) + 2 * len(end)
         order = np.lexsort((h, row))
         again = (np.diff(h[order]) == 0) & (np.diff(row[order]) == 0) if len(h) else np.zeros(0, bool)
         return np.bincount(row, minlength=t.rows), np.bincount(row[order][1:][again], minlength=t.rows) if len(h) else np.zeros(t.rows, np.int64)
@@ -87,13 +118,14 @@ class Stats:
     def n_repeat_words(self) -> np.ndarray:
         """Words inside three-word windows that the text holds twice or more."""
         t = self.t
-        h = t.span_hash(self.prefix(), self.ws, self.we)
+        ws, we, first = self.words()
+        h = t.span_hash(self.prefix(), ws, we)
         out = np.zeros(t.rows, np.int64)
         if len(h) < 3:
             return out
         grams = combined([h[:-2], h[1:-1], h[2:]])
         for i in np.flatnonzero(self.n_words > 3).tolist():
-            a, b = int(self.first[i]), int(self.first[i + 1])
+            a, b = int(first[i]), int(first[i + 1])
             g = grams[a:b - 2]
             order = np.argsort(g, kind="stable")
             same = np.diff(g[order]) == 0
@@ -129,32 +161,34 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, texts in chunks(batch.column(0)):
             for k, rule in enumerate(RULES):
-                began = time.perf_counter()
-                rejected = int(rule.fails(Stats(texts)).sum())
-                yield pa.record_batch([pa.array([k]), pa.array([time.perf_counter() - began]), pa.array([rejected])], names=["rule", "seconds", "rejected"])
+                stats = Stats(texts)
+                rejected = int(rule.fails(stats).sum())
+                yield pa.record_batch([pa.array([k]), pa.array([stats.work]), pa.array([rejected])], names=["rule", "work", "rejected"])
 
 
 def rule_order(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Names of :data:`RULES` by rejections per second on the sample."""
+    """Names of :data:`RULES` by rejections per counted work on the sample."""
     ids = documents.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).agg(F.max(F.xxhash64("doc_id"))).first()[0]
     if ids is None:
         return [r.name for r in RULES]
     sample = documents.filter(F.xxhash64("doc_id") <= F.lit(ids)).select("text")
-    seen = sample.mapInArrow(_measured, "rule long, seconds double, rejected long").groupBy("rule").agg(F.sum("seconds"), F.sum("rejected")).collect()
-    rate = {r[0]: r[2] / max(r[1], 1e-9) for r in seen}
+    seen = sample.mapInArrow(_measured, "rule long, work long, rejected long").groupBy("rule").agg(F.sum("work"), F.sum("rejected")).collect()
+    rate = {r[0]: r[2] / max(r[1], 1) for r in seen}
     return [RULES[k].name for k in sorted(range(len(RULES)), key=lambda k: (-rate.get(k, 0.0), k))]
 
 
-def cascade(texts: Texts, alive: np.ndarray, order: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def cascade(texts: Texts | Stats, alive: np.ndarray, order: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(still alive, index of the rejecting rule or -1): each rule sees only texts that are alive when it runs."""
-    alive, by = alive.copy(), np.full(texts.rows, -1, np.int64)
+    alive, by = alive.copy(), np.full(len(alive), -1, np.int64)
     named = {r.name: k for k, r in enumerate(RULES)}
+    part, rows = (texts if isinstance(texts, Stats) else Stats(texts)), np.arange(len(alive))
     for name in order:
-        rows = np.flatnonzero(alive)
-        if not len(rows):
+        left = np.flatnonzero(alive[rows])
+        if not len(left):
             break
-        part = texts if len(rows) == texts.rows else _rows(texts, rows)
-        bad = rows[RULES[named[name]].fails(Stats(part)).astype(bool)]
+        if len(left) < len(rows):
+            part, rows = part.take(left), rows[left]
+        bad = rows[RULES[named[name]].fails(part).astype(bool)]
         alive[bad] = False
         by[bad] = named[name]
     return alive, by
@@ -181,11 +215,12 @@ def quality_rules(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
         for batch in batches:
             for lo, hi, texts in chunks(batch.column(1)):
                 s = Stats(texts)
+                columns = [s.n_words, s.word_chars(), s.n_symbols(), s.lines()[1]]
                 repeat = s.n_repeat_words()
                 base = (s.n_words < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * s.n_words)
-                kept, by = cascade(texts, ~base, order)
+                kept, by = cascade(s, ~base, order)
                 names = [RULES[k].name if k >= 0 else "base" if b else None for k, b in zip(by.tolist(), base.tolist(), strict=True)]
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), *(pa.array(x.astype(np.int64)) for x in (s.n_words, s.word_chars(), s.n_symbols(), s.lines()[1], repeat)),
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), *(pa.array(x.astype(np.int64)) for x in (*columns, repeat)),
                                        pa.array(base), pa.array(kept), pa.array(names, pa.string())],
                                       names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"])
 

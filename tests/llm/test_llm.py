@@ -368,6 +368,30 @@ def test_cascade_verdict_does_not_depend_on_order(odd_rows):
         assert (rules.cascade(t, alive, names)[0] == rules.cascade(t, alive, names[::-1])[0]).all()
 
 
+def test_rule_order_is_the_same_in_every_run(spark, docs):
+    orders = {tuple(rules.rule_order(docs.repartition(n).select("doc_id", "text"))) for n in (1, 2, 5)}
+    assert len(orders) == 1
+    by = [sorted((str(r.doc_id), str(r.rejected_by)) for r in rules.quality_rules(docs.repartition(n)).collect()) for n in (2, 4)]
+    assert by[0] == by[1]
+
+
+def test_rules_reject_what_each_says(spark):
+    """Each rule by itself, against its words in plain Python."""
+    prose = "some plain words of a text that goes on " * 8
+    rows = [prose, "# * | " * 40 + prose[:150], "a " * 60, ("the same line again of ten plain words in it\n" * 9), prose.upper(), "12345 678 90 " * 30, "·— … ¿? " * 40, prose + "é" * 30]
+    n = lambda pattern, s: len(re.findall(pattern, s))
+
+    def fails(s):
+        w, lines = words(s), [x for x in s.split("\n") if words(x)]
+        chars = sum(map(len, w))
+        return [2 * n(r"[#*$%&|<>]", s) > len(w), chars < 2 * len(w) or chars > 25 * len(w), 2 * (len(lines) - len(set(lines))) > len(lines),
+                2 * n("[A-Z]", s) > n("[A-Za-z]", s) + n("[é¿·—…]", s), 2 * n("[0-9]", s) > chars]
+    texts = next(t for _, _, t in rules.chunks(rules.pa.array(rows)))
+    got_ = [r.fails(rules.Stats(texts)).astype(bool).tolist() for r in rules.RULES[:5]]
+    assert got_[:3] == [list(x) for x in zip(*(fails(s)[:3] for s in rows), strict=True)] and got_[4] == [fails(s)[4] for s in rows]
+    assert got_[3][4] and not got_[3][0]
+
+
 def test_licenses(spark):
     filler = "word " * 400
     rows = [(1, f"{filler}\nReleased under the MIT License.\n{filler}the under released"), (2, "Licensed under CC BY-NC 4.0."), (3, None), (4, "the license is under review"), (None, ""),
