@@ -11,7 +11,8 @@ words (counted in whole numbers), so texts without such a word are passed over
 without losing a match.  In the others, each such word of the text is put on its
 place in the template, and what is before and after it is aligned alone, over at most a
 template's length of added words: copies that follow each other don't hide one
-another, and no work grows with the square of a text.
+another, and no work grows with the square of a text.  A word that is aligned in a sufficient place isn't tried
+again.  Of each text and license the best place is reported, of equal ones the first.
 
 Near names are told apart: versions and the words of ``TELLING`` must be aligned, and no
 other word of ``TELLING`` may stand between the aligned words.  Of a template of more
@@ -272,21 +273,53 @@ def placed(words: list[str], template: Template, i: int, j: int) -> list[tuple[i
     return best
 
 
+class _Window:
+    """How many words of a moving part of a text a part of a template has too (each as often as it stands in both)."""
+
+    def __init__(self, words: list[str], target: Counter):
+        self.words, self.target, self.held = words, target, Counter()
+        self.lo = self.hi = self.common = 0
+
+    def moved(self, lo: int, hi: int) -> int:
+        """The count for ``words[lo:hi]``; neither end moves back."""
+        lo, hi = max(lo, 0), min(hi, len(self.words))
+        for w in self.words[self.hi:hi]:
+            if w in self.target:
+                self.held[w] += 1
+                self.common += self.held[w] <= self.target[w]
+        for w in self.words[self.lo:lo]:
+            if w in self.target:
+                self.common -= self.held[w] <= self.target[w]
+                self.held[w] -= 1
+        self.lo, self.hi = max(self.lo, lo), max(self.hi, hi)
+        return self.common
+
+
 def _best(words: list[str], template: Template, keys: dict[str, list[int]], at: dict[str, list[int]]) -> tuple[int, int, int]:
-    """(aligned words, first word, last word) of the best place that has one of the keys aligned."""
+    """(aligned words, first word, last word) of the best place that has one of the keys aligned.
+
+    A word that a sufficient alignment has already put on some place isn't tried again.
+    """
     best, n = (0, 0, 0), len(template.words)
+    around = _Window(words, template.count)
+    sides: dict[int, tuple[_Window, _Window]] = {}
+    taken: set[int] = set()
     for i in sorted(i for w in keys for i in at.get(w, ())):
         if best[0] == n:
             break
-        if not template.enough(Counter(words[max(0, i - 2 * n):i + 2 * n])):
+        if i in taken or 100 * around.moved(i - 2 * n, i + 2 * n) < _PERCENT * n:
             continue
         for j in keys[words[i]]:
-            sides = ((words[max(0, i - j - n):i], template.words[:j]), (words[i + 1:i + 2 * n - j], template.words[j + 1:]))
-            if 100 * (1 + sum((Counter(a) & Counter(b)).total() for a, b in sides)) < _PERCENT * n:
+            if j not in sides:
+                sides[j] = (_Window(words, Counter(template.words[:j])), _Window(words, Counter(template.words[j + 1:])))
+            left, right = sides[j]
+            if 100 * (1 + left.moved(i - j - n, i) + right.moved(i + 1, i + 2 * n - j)) < _PERCENT * n:
                 continue
             pairs = placed(words, template, i, j)
             if len(pairs) > best[0]:
                 best = (len(pairs), pairs[0][0], pairs[-1][0])
+            if 100 * len(pairs) >= _PERCENT * n:
+                taken.update(x for x, _ in pairs)
     return best
 
 

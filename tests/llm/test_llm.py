@@ -432,6 +432,23 @@ def test_licenses_are_told_apart(spark):
     assert [(r.doc_id, r.license) for r in own.collect()] == [(1, "ours")]
 
 
+def test_license_windows_count_like_multisets():
+    rng = random.Random(4)
+    text, part = [rng.choice("abcde") for _ in range(300)], Counter("aabbbd")
+    window, lo, hi = licenses._Window(text, part), 0, 0
+    for _ in range(60):
+        lo, hi = lo + rng.randint(0, 9), max(hi, lo + 9) + rng.randint(0, 9)
+        assert window.moved(lo - 3, hi) == (Counter(text[max(lo - 3, 0):hi]) & part).total()
+
+
+def test_licenses_of_empty_tables_and_repeated_copies(spark):
+    assert licenses.license_matches(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    mit = licenses.PHRASINGS["MIT"][0].split()
+    altered = " ".join(w for k, w in enumerate(mit) if k % 31)
+    once, often = licenses.scan(altered), licenses.scan(" ".join([altered] * 40))
+    assert [x for x in often if x[0] == "MIT"] == [x for x in once if x[0] == "MIT"] != []
+
+
 def test_queries_are_registered():
     assert sorted(QUERIES) == sorted(set(QUERIES)) and {re.match(r"op(\d+)_", q)[1] for q in QUERIES} == {str(i) for i in range(1, 11)} and set(ORACLE) <= set(QUERIES)
 
