@@ -446,7 +446,8 @@ def test_licenses_of_empty_tables_and_repeated_copies(spark):
     mit = licenses.PHRASINGS["MIT"][0].split()
     altered = " ".join(w for k, w in enumerate(mit) if k % 31)
     once, often = licenses.scan(altered), licenses.scan(" ".join([altered] * 40))
-    assert [x for x in often if x[0] == "MIT"] == [x for x in once if x[0] == "MIT"] != []
+    share = lambda found: max(x[1] for x in found if x[0] == "MIT")
+    assert licenses.COVERAGE <= share(once) <= share(often) < 1           # a place may take a lacking word from the next copy
 
 
 def test_queries_are_registered():
