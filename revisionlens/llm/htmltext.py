@@ -4,14 +4,18 @@ A page becomes a sequence of events, its tags and its text pieces.  Words score
 above zero and tags below; the weights are log-odds counted on labelled pages,
 those that mark their article themselves (``<article>`` or ``<main>``).  One
 linear scan finds the run with the highest sum.  The run is then widened to the
-element that holds it (the enclosing article or main element if there is one, so
-short paragraphs at its ends aren't lost), and its blocks are the text.
+element that holds it (the enclosing article with its sibling articles, or the main
+element, if there is one, so short paragraphs at its ends aren't lost), and its
+blocks are the text.
 
 Elements that are never content are left out by name (scripts, styles, menus,
-forms, asides ...) or by the words of their class, id and role (adverts,
-sidebars, notices, comments ...).  A form, dialog or object stays if it holds the
+forms, asides ...) or where a class, id or role says nothing else than that (adverts,
+sidebars, notices, comments ...: ``ad``, ``related-posts``, ``cookie-notice-box``).
+A name that holds other words too (``related-note``) only turns the score of its
+words below zero, and nothing inside an article or around most of the page's words.
+A form, dialog or object stays if it holds the
 article or main element or, on pages without one, most of the page's words.  Only one page is in hand at a time; every
-page is extracted whole.  At most ``SAMPLE_PAGES`` labelled pages (those of the
+page is extracted whole, in time and memory linear in its tags and words.  At most ``SAMPLE_PAGES`` labelled pages (those of the
 smallest id hashes) fit the weights; one weight a tag name of a fixed list is
 all that reaches the driver.
 
@@ -30,6 +34,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,6 +61,10 @@ breadcrumb breadcrumbs cookie cookies consent gdpr notice notices notification p
 share sharing social related recommended recommendations comment comments reply replies respond disqus discussion footer masthead toolbar widget
 pagination pager copyright alert toast skip complementary contentinfo form""".split())
 MARKS_OUTSIDE = frozenset(["header"])          # of the page; inside an article they are its own
+# Words beside a mark that don't change what it says ("related-posts", "cookie-notice-box").
+BESIDE = frozenset("""area articles aside bar block blog body bottom box btn button buttons card cards center col column container content cta desktop
+feed footer form global google header icons inline inner item items left link links list main middle mobile module outer page panel post posts primary
+reader readers right row secondary section site slot stories sticky story text thread title tools top unit user users wp wrap wrapper""".split())
 NEGATIONS = frozenset("with without has no".split())          # "content-with-sidebar" isn't a sidebar
 
 _EVENT = re.compile(r"<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
@@ -65,86 +74,113 @@ _PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
 class Page:
-    """Elements (name, parent, marks) and events of a page.
+    """Elements (name, parent, marks, nearest article and main) and events of a page.
 
+    Elements are numbered in the order of their start tags, so an element's
+    descendants are the numbers after it up to ``last()[element]``.
     ``events``: (element, kind, value); kind 0 is text, 1 a start tag, 2 an end tag.
     """
 
     def __init__(self, source: str):
-        self.name, self.parent, self.off, self.holds = ["#root"], [-1], [False], [False]
+        self.name, self.parent, self.off, self.weak, self.holds = ["#root"], [-1], [False], [False], [False]
+        self.article, self.main = [-1], [-1]       # the nearest one that holds the element or is it
         self.events: list[tuple[int, int, str]] = []
         self.marked = False                        # whether there is an article or main element
-        stack, at, n = [0], 0, len(source)
+        self.stack, self.blocks, self.open = [0], [], Counter()     # open elements, places of blocks among them, open names
+        at, n = 0, len(source)
         while at < n:
             m = _EVENT.search(source, at)
             if m is None:
-                self._text(stack[-1], source[at:])
+                self._text(source[at:])
                 break
             if m.start() > at:
-                self._text(stack[-1], source[at:m.start()])
+                self._text(source[at:m.start()])
             at = m.end()
             close, name, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
             if not name:
                 continue
             name = name.lower()
             if close:
-                if name in [self.name[e] for e in stack[:0:-1]]:
-                    while self.name[stack.pop()] != name:
+                if self.open[name]:
+                    while self._pop() != name:
                         pass
-                self.events.append((stack[-1], 2, name))
+                self.events.append((self.stack[-1], 2, name))
                 continue
             if name in BLOCK:
-                self._implied_end(stack, name)
-            e = self._open(name, stack[-1], attrs)
+                self._implied_end(name)
+            e = self._start(name, self.stack[-1], attrs)
             self.events.append((e, 1, name))
             if name in RAW and not attrs.endswith("/"):
                 end = re.compile(rf"</{name}[\s/>]", re.I).search(source, at)
                 at = n if end is None else (source.find(">", end.start()) + 1 or n)
             elif name not in VOID:
-                stack.append(e)
-
-    def _text(self, element: int, piece: str) -> None:
-        self.events.append((element, 0, piece))
-
-    def _implied_end(self, stack: list[int], name: str) -> None:
+                if name in BLOCK:
+                    self.blocks.append(len(self.stack))
+                self.stack.append(e)
+                self.open[name] += 1
+
+    def _text(self, piece: str) -> None:
+        self.events.append((self.stack[-1], 0, piece))
+
+    def _pop(self) -> str:
+        name = self.name[self.stack.pop()]
+        self.open[name] -= 1
+        if self.blocks and self.blocks[-1] == len(self.stack):
+            self.blocks.pop()
+        return name
+
+    def _implied_end(self, name: str) -> None:
         """A block ends an open paragraph, a list item an open item of its list, and so on."""
         ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}.get(name, ()) + ("p",)
-        for k in range(len(stack) - 1, 0, -1):
-            open_name = self.name[stack[k]]
-            if open_name in ends:
-                del stack[k:]
-                return
-            if open_name in BLOCK:
-                return
-
-    def _open(self, name: str, parent: int, attrs: str) -> int:
-        off = name in NEVER and name not in WRAPPERS or bool(attrs and _HIDDEN.search(attrs))
-        inside = self.within(parent, ("article", "main"))
+        if self.blocks and self.name[self.stack[self.blocks[-1]]] in ends:
+            k = self.blocks[-1]
+            while len(self.stack) > k:
+                self._pop()
+
+    def _start(self, name: str, parent: int, attrs: str) -> int:
+        off, weak = name in NEVER and name not in WRAPPERS or bool(attrs and _HIDDEN.search(attrs)), False
+        inside = self.article[parent] >= 0 or self.main[parent] >= 0
         if not off and attrs and name not in ("html", "body", "main"):
             for m in _MARK_ATTR.finditer(attrs):
-                for one in (m[2] or m[3] or m[4] or "").split():
+                label = m[1].lower() == "aria-label"                    # a sentence, not names
+                for one in [m[2] or m[3] or m[4] or ""] if label else (m[2] or m[3] or m[4] or "").split():
                     words = {w.lower() for w in _PARTS.findall(one)} - ({name} & WRAPPERS)          # id="form1" says no more than the name
-                    if not words & NEGATIONS:
-                        off = off or bool(words & MARKS) or inside < 0 and bool(words & MARKS_OUTSIDE)
-        off = off or name == "header" and inside < 0
+                    marks = words & MARKS | (frozenset() if inside else words & MARKS_OUTSIDE)
+                    if marks and not words & NEGATIONS:
+                        off = off or all(w in BESIDE or len(w) == 1 for w in words - marks)
+                        weak = weak or not inside
+        off = off or name == "header" and not inside
+        e = len(self.name)
         self.name.append(name)
         self.parent.append(parent)
         self.off.append(off)
+        self.weak.append(weak)
         self.holds.append(False)
+        self.article.append(e if name == "article" else self.article[parent])
+        self.main.append(e if name == "main" else self.main[parent])
         if name in ("article", "main") and not off:
             self.marked = True
             while parent > 0 and not self.holds[parent]:
                 self.holds[parent] = True
                 parent = self.parent[parent]
-        return len(self.name) - 1
+        return e
 
-    def within(self, element: int, names: tuple[str, ...]) -> int:
-        """The nearest element of these names that holds ``element`` or is it; -1 if none."""
-        while element > 0:
-            if self.name[element] in names:
-                return element
-            element = self.parent[element]
-        return -1
+    def last(self) -> list[int]:
+        """Per element its last descendant (itself if it has none)."""
+        out = list(range(len(self.name)))
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parent[e]] = max(out[self.parent[e]], out[e])
+        return out
+
+    def doubtful(self) -> list[bool]:
+        """Per element: its words score below zero, for a name at it or around it (not around the article or most of the page)."""
+        if not any(self.weak):
+            return [False] * len(self.name)
+        n = self._words()
+        out = [False]
+        for e in range(1, len(self.name)):
+            out.append(self.name[e] not in ("article", "main") and (out[self.parent[e]] or self.weak[e] and not self.holds[e] and 2 * n[e] <= n[0]))
+        return out
 
     def dropped(self) -> list[bool]:
         """Per element: it or one around it is never content (an element that holds the article is)."""
@@ -160,13 +196,18 @@ class Page:
         """Forms, dialogs and objects that hold more than half of the page's words."""
         if WRAPPERS.isdisjoint(self.name):
             return frozenset()
+        n = self._words()
+        return frozenset(e for e, name in enumerate(self.name) if name in WRAPPERS and 2 * n[e] > n[0])
+
+    def _words(self) -> list[int]:
+        """Words inside each element."""
         n = [0] * len(self.name)
         for e, kind, value in self.events:
             if kind == 0:
                 n[e] += _count_words(value)
         for e in range(len(n) - 1, 0, -1):                 # a parent comes before its children
             n[self.parent[e]] += n[e]
-        return frozenset(e for e, name in enumerate(self.name) if name in WRAPPERS and 2 * n[e] > n[0])
+        return n
 
 
 def _count_words(piece: str) -> int:
@@ -179,7 +220,7 @@ def labelled_counts(page: Page) -> dict[str, list[int]] | None:
     any_inside = False
     dropped = page.dropped()
     for e, kind, value in page.events:
-        inside = not dropped[e] and page.within(e, ("article", "main")) >= 0
+        inside = not dropped[e] and (page.article[e] >= 0 or page.main[e] >= 0)
         any_inside |= inside
         token, n = ("#word", _count_words(value)) if kind == 0 else (value if value in _KNOWN else "#other", 1)
         out.setdefault(token, [0, 0])[0 if inside else 1] += n
@@ -222,16 +263,32 @@ def main_text(source: str | None, weights: dict[str, float]) -> str:
         page.off = [name in NEVER and name not in WRAPPERS for name in page.name]       # all is marked: only names count then
         dropped = page.dropped()
     word, other = weights.get("#word", 1.0), weights.get("#other", -1.0)
-    scores = [0.0 if dropped[e] and kind == 0 else word * _count_words(value) if kind == 0 else weights.get(value, other) for e, kind, value in page.events]
-    first, last = best_run(scores)
+    doubtful = page.doubtful()
+
+    def score(e: int, kind: int, value: str) -> float:
+        if kind:
+            return weights.get(value, other)
+        return 0.0 if dropped[e] else (-word if doubtful[e] else word) * _count_words(value)
+
+    first, last = best_run([score(*event) for event in page.events])
+    if last < first:
+        doubtful = [False] * len(doubtful)                 # nothing else on the page
+        first, last = best_run([score(*event) for event in page.events])
     if last < first:
         return ""
     run = [e for e, kind, value in page.events[first:last + 1] if kind == 0 and not dropped[e] and value.strip()]
-    holder = _common(page, run)
+    ends = page.last()
+    holder = _common(page, ends, run)
     while page.name[holder] not in BLOCK and holder > 0 or page.name[holder] in PROSE:
         holder = page.parent[holder]
-    article = page.within(holder, ("article",))
-    article = article if article >= 0 else page.within(holder, ("main",))
+    whole, inner = page.article[holder] >= 0 or page.main[holder] >= 0, [False] * len(page.name)
+    chosen = {page.article[holder] if page.article[holder] >= 0 else page.main[holder]} if whole else {page.article[e] for e in run} - {-1}
+    beside = {page.parent[c] for c in chosen if page.name[c] == "article"}
+    prose = [False] * len(page.name)                       # in a paragraph or heading directly in the holder, or in a list, unless that is the whole page
+    for e in range(1, len(page.name)):
+        up = page.parent[e]
+        inner[e] = inner[up] or e in chosen or page.name[e] == "article" and up in beside
+        prose[e] = prose[up] or up == holder and (page.name[e] in PROSE or page.name[e] in LISTS and page.name[holder] not in ("#root", "html", "body")) and not doubtful[e]
     blocks: list[str] = []
     piece: list[str] = []
 
@@ -247,37 +304,18 @@ def main_text(source: str | None, weights: dict[str, float]) -> str:
                 flush()
             elif value == "br":
                 piece.append(" ")
-        elif not dropped[e] and (_inside(page, e, article) if article >= 0 else first <= k <= last or _prose_of(page, e, holder)):
+        elif not dropped[e] and (inner[e] or not whole and (first <= k <= last or prose[e])):
             piece.append(value)
     flush()
     return "\n".join(blocks)
 
 
-def _inside(page: Page, element: int, holder: int) -> bool:
-    while element > holder:
-        element = page.parent[element]
-    return element == holder
-
-
-def _prose_of(page: Page, element: int, holder: int) -> bool:
-    """Whether text of ``element`` belongs to a paragraph or heading directly in ``holder`` (or a list, unless that is the whole page)."""
-    while element > holder and page.parent[element] != holder:
-        element = page.parent[element]
-    return element > holder and (page.name[element] in PROSE or page.name[element] in LISTS and page.name[holder] not in ("#root", "html", "body"))
-
-
-def _common(page: Page, elements: list[int]) -> int:
+def _common(page: Page, ends: list[int], elements: list[int]) -> int:
     """The lowest element that holds all of these."""
-    first = elements[0]
-    around = []
-    while first >= 0:
-        around.append(first)
-        first = page.parent[first]
-    k = 0
-    for e in set(elements):
-        while not _inside(page, e, around[k]):
-            k += 1
-    return around[k]
+    holder, high = min(elements), max(elements)
+    while ends[holder] < high:
+        holder = page.parent[holder]
+    return holder
 
 
 def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
