@@ -26,8 +26,10 @@ can split; tiles bound what one group brings to a task.
 
 Nulls and odd input: a null or empty text has an empty set and is linked with
 nothing; a row without ``doc_id`` has no component (``component_id`` null) and is
-kept; repeated rows give repeated result rows; other columns are ignored; an
-empty table gives an empty result.
+kept; repeated rows give repeated result rows; rows that repeat a ``doc_id`` with
+other texts are one document, linked with all that any of them is linked with (each
+keeps its own ``n_shingles``); other columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -337,7 +339,28 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     prepare(documents.sparkSession)
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketch = written(docs.mapInArrow(frees(_sketches), SKETCH), "sketch")
-
+    held = F.struct(F.coalesce("fp1", F.lit(0)).alias("fp1"), F.coalesce("fp2", F.lit(0)).alias("fp2"), "n_shingles")
+    several = sketch.filter("doc_id is not null").groupBy("doc_id").agg(F.min(held).alias("low"), F.max(held).alias("high")).filter("low != high")
+    return _of_rows(docs, sketch) if several.head(1) else _of_ids(docs, sketch)
+
+
+def _of_rows(docs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Where ids repeat with other texts: each row is linked by itself, then rows of one id unite their components."""
+    rows = written(docs.filter("doc_id is not null").withColumn("row", F.monotonically_increasing_id()), "rows")
+    texts = rows.select(F.col("row").alias("doc_id"), "text")
+    found = _of_ids(texts, written(texts.mapInArrow(frees(_sketches), SKETCH), "row-sketch"))
+    found = found.select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("of"))
+    found = written(rows.select("row", "doc_id").join(found, "row"), "row-components")
+    linked = found.filter("n_shingles > 0")
+    low = linked.groupBy("of").agg(F.min("doc_id").alias("low"))
+    united = components(linked.join(low, "of").select(F.col("doc_id").alias("a"), F.col("low").alias("b")))
+    out = found.join(united.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    nameless = sketch.filter("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    return out.unionByName(nameless).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+
+
+def _of_ids(docs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """The result where rows of one id have equal sets."""
     # one class for each distinct set
     full = sketch.filter("fp1 is not null and doc_id is not null")
     classes = written(full.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -82,6 +83,20 @@ def test_near_duplicates_equal_brute_force(docs, odd_rows):
             assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows of one id with other texts unite what each is linked with; null ids link nothing."""
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(40))
+    one, two, three = text(), text(), text()
+    rows = [(1, one), (2, two), (5, one), (5, two), (5, ""), (7, three), (8, three + " more"), (9, text()), (None, one), (8, text()), (9, None), (1, one)]
+    out = neardup.near_duplicates(spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id long, text string, component int, row int"))
+    sizes = [max(0, len((t or "").split()) - 4) for _, t in rows]
+    component = {1: 1, 2: 1, 5: 1, 7: 7, 8: 7, 9: 9, None: None}
+    want = [(d, n, component[d], d is None or component[d] == d) for (d, _), n in zip(rows, sizes, strict=True)]
+    assert Counter(tuple(r) for r in out.collect()) == Counter(want)
+    assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
 def test_near_duplicates_large_group_in_tiles(spark):
     """A bucket of more than a tile, where most are linked only by way of others."""
     rng = random.Random(1)
@@ -189,6 +204,30 @@ def test_article_in_a_form():
     assert htmltext.main_text("<article><p>Be here.</p><form>sign up now or later, as you like it</form></article>", weights) == "Be here."
 
 
+def test_nothing_but_marks_is_removed_in_an_article():
+    page = """<body><nav>m</nav><article><p>One two three four.</p><section class="search-results-explained"><p>five six seven</p></section>
+<div class="related-note">eight</div><div class="related-posts">gone</div><div class="inline-ad-300x250">gone</div><ul id="readerComments"><li>gone</ul></article>
+<article><p>Second.</p></article><article class="comment"><p>gone</p></article><section class="more"><article><p>Teaser.</p></article></section></body>"""
+    assert htmltext.main_text(page, htmltext.DEFAULT_WEIGHTS) == "One two three four.\nfive six seven\neight\nSecond."
+    whole = "<body><div class='my-search-story'><p>One two three four.</p><p>more</p></div><div class='footer-x'>at the foot</div></body>"
+    assert htmltext.main_text(whole, htmltext.DEFAULT_WEIGHTS) == "One two three four.\nmore"
+
+
+def test_unclosed_tags_take_linear_time():
+    for tag in ("<span>", "<div>", "<p>x<b>", "<li><i>", "<article>", "</x><a href=\"", "<div class='related-note'>w "):
+        began = time.process_time()
+        htmltext.main_text("<body>" + tag * 100_000 + "word word", htmltext.DEFAULT_WEIGHTS)
+        assert time.process_time() - began < 5
+
+
+def test_html_of_empty_tables_and_long_pages(spark):
+    schema = "page_id long, url string, html string, dropped int, kind int"
+    assert htmltext.extract_text(spark.createDataFrame([], schema)).collect() == []
+    long = " ".join(f"word{i}" for i in range(300_000))
+    out = htmltext.extract_text(spark.createDataFrame([(1, None, f"<nav>m</nav><article><p>{long}</p></article>", 1, 2)], schema)).collect()
+    assert out[0].text == long and out[0].n_chars == len(long)
+
+
 def test_best_run():
     assert htmltext.best_run([-1, 2, -1, 3, -9, 4]) == (1, 3) and htmltext.best_run([-1, 0]) == (0, -1)
 
