@@ -1,6 +1,8 @@
-"""Quality classifier: interpolated modified Kneser-Ney over characters, trained on trusted text.
+"""Quality classifier: interpolated modified Kneser-Ney over UTF-8 bytes, trained on trusted text.
 
-Trusted documents are those labelled of quality (and not toxic).  Their character
+The alphabet is the 256 byte values, so every character of every script counts as
+what it is (one of three bytes fills three of a five-gram's places).
+Trusted documents are those labelled of quality (and not toxic).  Their byte
 five-grams are counted in each task and summed by gram; the lower orders'
 continuation counts, discounts, context sums and probabilities are grouped sums
 and joins sharded by gram.  A document's perplexity is that of its whole text.
@@ -36,36 +38,30 @@ from pyspark.sql import functions as F
 from revisionlens.llm.common import checked_broadcast, frees, prepare, written
 
 ORDER = 5
-BITS = 12
+BITS = 8
 MODEL_ENTRIES = 2_000_000
 QUANTILE, SLACK, PRIOR_CHARS = 0.995, 0.15, 100
 HELD_OUT = 10
 CHUNK_CHARS = 1 << 18
 TASK_GRAMS = 1_000_000       # distinct five-grams that a task holds before it hands on what it has
-START = 2
-
-
-def codes(text: str) -> np.ndarray:
-    """A 12-bit code for each character: itself below 3840, else one of 256 by its remainder."""
-    c = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.int64)
-    return np.where(c < 3840, c, 3840 + (c & 255))
+START = b"\xff"              # not a byte of UTF-8
 
 
 def five_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The five-grams that end at each character of the texts, and each text's first place among them.
+    """The five-grams that end at each byte of the texts, and each text's first place among them.
 
     Each text begins with four start symbols, which are context only.
     """
-    size = np.array([len(t) for t in texts], np.int64)
-    pad = chr(START) * (ORDER - 1)
-    c = codes(pad.join(["", *texts]))
+    raw = [t.encode() for t in texts]
+    size = np.array([len(t) for t in raw], np.int64)
+    c = np.frombuffer((START * (ORDER - 1)).join([b"", *raw]), np.uint8).astype(np.int64)
     first = np.concatenate([[0], np.cumsum(size)])
     if not first[-1]:
         return np.zeros(0, np.int64), first
     g = c[:len(c) - ORDER + 1].copy()
     for k in range(1, ORDER):
         g = (g << BITS) | c[k:len(c) - ORDER + 1 + k]
-    # grams whose last character is a real one: after each text's pad
+    # grams whose last byte is a text's: after its start symbols
     ends = np.repeat(np.arange(len(texts)) * (ORDER - 1), size) + np.arange(first[-1])
     return g[ends], first
 
@@ -111,7 +107,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(texts: DataFrame) -> DataFrame:
     """The model over the one column of ``texts``: ``kind, key, value``.
 
-    kind k > 0: the log-probability of a k-gram's last character; kind -k: the log of what the context
+    kind k > 0: the log-probability of a k-gram's last byte; kind -k: the log of what the context
     of a k-gram leaves to the lower order.
     """
     mask = lambda k: (1 << (BITS * k)) - 1
@@ -175,7 +171,7 @@ class Lookup:
 
 
 def log_probabilities(grams: np.ndarray, model: dict[int, Lookup]) -> np.ndarray:
-    """Of each five-gram's last character: the longest known gram's, less what each longer context leaves."""
+    """Of each five-gram's last byte: the longest known gram's, less what each longer context leaves."""
     out, todo = np.zeros(len(grams)), np.arange(len(grams))
     for k in range(ORDER, 0, -1):
         g = grams[todo] & ((1 << (BITS * k)) - 1)
@@ -200,7 +196,7 @@ def _whole(docs: DataFrame, model: DataFrame) -> DataFrame:
             for lo, texts in _pieces(batch.column(2)):
                 grams, first = five_grams(texts)
                 sums = np.concatenate([[0.0], np.cumsum(log_probabilities(grams, tables))])
-                yield pa.record_batch([batch.column(0).slice(lo, len(texts)), batch.column(1).slice(lo, len(texts)), pa.array(np.diff(first)), pa.array(sums[first[:-1]] - sums[first[1:]]),
+                yield pa.record_batch([batch.column(0).slice(lo, len(texts)), batch.column(1).slice(lo, len(texts)), pa.array([len(t) for t in texts], pa.int64()), pa.array(sums[first[:-1]] - sums[first[1:]]),
                                        batch.column(3).slice(lo, len(texts))], names=["doc_id", "lang", "n_chars", "nll", "row_id"])
 
     return docs.mapInArrow(frees(scored), "doc_id long, lang string, n_chars long, nll double, row_id long")

@@ -379,11 +379,50 @@ def test_kneser_ney_probabilities_sum_to_one(spark):
     for context in ("abra", "zzzz", "b ca"):
         h = 0
         for c in context:
-            h = (h << 12) | ord(c)
-        p = np.exp(kneserney.log_probabilities((np.int64(h) << 12) | np.arange(1 << 12), model)).sum()
+            h = (h << kneserney.BITS) | ord(c)
+        p = np.exp(kneserney.log_probabilities((np.int64(h) << kneserney.BITS) | np.arange(1 << kneserney.BITS), model)).sum()
         assert abs(p - 1) < 1e-9
 
 
+def brute_kneser_ney(trusted, text):
+    """-log of a text's probability: the formula over tuples of bytes, order by order."""
+    grams = lambda t: [tuple((b"\xff" * 4 + t.encode())[i:i + 5]) for i in range(len(t.encode()))]
+    counts = {5: Counter(g for t in trusted for g in grams(t))}
+    for k in range(4, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    off, total, left = {}, {}, {}
+    for k, c in counts.items():
+        n1, n2, n3, n4 = (max(1, sum(v == i for v in c.values())) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        d = [0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
+        for g, v in c.items():
+            i = min(v, 3)
+            off[g] = min(min(max(d[i], 0.05), i), 0.95 * v)
+            total[g[:-1]] = total.get(g[:-1], 0) + v
+            left[g[:-1]] = left.get(g[:-1], 0) + off[g]
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        if g[:-1] not in total:
+            return p(g[1:])
+        c = counts[len(g)].get(g, 0)
+        return (c - off[g] if c else 0) / total[g[:-1]] + left[g[:-1]] / total[g[:-1]] * p(g[1:])
+    return -sum(np.log(p(g)) for g in grams(text))
+
+
+def test_kneser_ney_brute_force(spark):
+    trusted = ["abracadabra alakazam", "abba cadabra", "\u4e2d\u6587\u6587\u672c and \u201cquotes\u201d \u2014 \ud55c\uad6d\uc5b4", "a" * 40 + "b" * 9, ""]
+    texts = [*trusted, "\u4e2d\u6587", "\u4f2d\u6587", "zebra \U0001f600", "\x02\x02", "abra"]
+    docs = spark.createDataFrame([(i, "l", t, i) for i, t in enumerate(texts)], "doc_id long, lang string, text string, row_id long")
+    model = kneserney.train(docs.filter(f"doc_id < {len(trusted)}").select("text"))
+    want = [brute_kneser_ney(trusted, t) for t in texts]
+    for entries in (kneserney.MODEL_ENTRIES, 0):
+        rows = got(kneserney.score(docs, model, entries), "doc_id")
+        assert all(abs(rows[i].nll - w) < 1e-6 * max(1, w) and rows[i].n_chars == len(texts[i]) for i, w in enumerate(want))
+    assert want[texts.index("\u4f2d\u6587")] > want[texts.index("\u4e2d\u6587")]
+
+
 def test_quality_rules_brute_force(docs, odd_rows):
     out = Counter(tuple(r)[:7] for r in rules.quality_rules(docs).collect())
     want = Counter()
