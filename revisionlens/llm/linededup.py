@@ -3,8 +3,10 @@
 Lines are exploded once; a line's key (ends stripped, A-Z lower-cased) travels
 as a 128-bit hash, never as text.  Documents are counted per hash with map-side
 partial sums, so a line in a third of all documents is one row a task before
-the shuffle.  The positions to drop then meet their document once, and the
-other lines are joined again by position.
+the shuffle.  The hashes held by most documents, as many as ``BROADCAST_IDS``
+allows (counted by powers of two), meet their lines by a broadcast, so no line is
+hot in a join; the others, each in few documents, by a shuffled one.  The positions to
+drop then meet their document once, and the other lines are joined again by position.
 
 Nulls and odd input: a null or empty text is one empty line; a document with a
 null ``doc_id`` is counted under no id, so its lines count for no document and
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revisionlens.llm.common import ascii_lower, prepare, written
+from revisionlens.llm.common import BROADCAST_IDS, ascii_lower, prepare, written
 
 MIN_CHARS, MIN_DOCUMENTS = 20, 3
 BLANKS = " \t\n\x0b\x0c\r"
@@ -31,8 +33,22 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def _of_common(each: DataFrame, common: DataFrame, most: int) -> DataFrame:
+    """The lines of ``each`` whose hash is in ``common``: at most ``most`` hashes, those of most documents, are broadcast."""
+    power = F.floor(F.log2("documents")).cast("int")
+    n = dict(common.groupBy(power.alias("power")).agg(F.count("*").alias("n")).collect())          # at most 63 rows
+    least, held = 63, 0
+    while least > 0 and held + n.get(least - 1, 0) <= most:
+        least -= 1
+        held += n.get(least, 0)
+    often = each.join(F.broadcast(common.filter(power >= least)), ["h1", "h2"])
+    if held == sum(n.values()):
+        return often
+    return often.unionByName(each.join(common.filter(power < least), ["h1", "h2"]))
+
+
 def dedup_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+                min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS, broadcast_hashes: int = BROADCAST_IDS) -> DataFrame:
     """Per document ``doc_id, n_lines, n_dropped, kept_text``.
 
     A key of at least ``min_chars`` code points found in at least
@@ -48,7 +64,8 @@ def dedup_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     # a line that repeats within one document counts once: distinct (hash, document), then counts
     held = each.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
     common = held.groupBy("h1", "h2").agg(F.count("*").alias("documents"), F.max("doc_id").alias("last")).filter(F.col("documents") >= min_documents)
-    dropped = each.join(common, ["h1", "h2"]).filter("doc_id != last")
+    common = written(common, "common-lines")
+    dropped = _of_common(each, common, broadcast_hashes).filter("doc_id != last")
     dropped = dropped.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("dropped"))
 
     out = docs.join(dropped, docs.doc_id.eqNullSafe(dropped.doc_id) & docs.row.eqNullSafe(dropped.row), "left").select(docs.doc_id, docs.text, "dropped")
