@@ -104,11 +104,11 @@ def merge_split_sentences(clustered: DataFrame, slack: float = K.CONTAINMENT_SLA
         one = F.struct("row_idx", F.trim(f"text_{name}").alias("text"), F.col(f"sent_idx_{name}").alias("sent_idx"))
         return F.when(F.col(f"text_{name}") != "", F.array(one)).otherwise(F.slice(F.array(one), 1, 0)).alias(name)
 
-    rows = clustered.filter("text_old != '' or text_new != ''").select(*CLUSTER, "row_idx", side("old"), "tag_old", side("new"), "tag_new")
-    rows = materialize(rows, "fold")
-    several = rows.groupBy(*CLUSTER).agg(F.count("*").alias("n"), F.max((F.size("old") == 0) | (F.size("new") == 0)).alias("any")).filter("n > 1 and any").select(*CLUSTER)
-    open_ = materialize(rows.join(several, CLUSTER, "left_semi"), "fold")
-    done = [rows.join(several, CLUSTER, "left_anti")]
+    # counted in the order that the clusters were numbered in, so the texts aren't dealt out again
+    cluster = Window.partitionBy(*CLUSTER)
+    rows = clustered.filter("text_old != '' or text_new != ''").withColumn("open", (F.count("*").over(cluster) > 1) & F.max(~F.coalesce((F.col("text_old") != "") & (F.col("text_new") != ""), F.lit(False))).over(cluster))
+    rows = materialize(rows.select(*CLUSTER, "row_idx", side("old"), "tag_old", side("new"), "tag_new", "open"), "fold")
+    open_, done = rows.filter("open").drop("open"), [rows.filter("not open").drop("open")]
     while True:
         arrows = _arrows(open_, slack, max_words)
         rank = Window.partitionBy(*CLUSTER, "src").orderBy(F.desc("share"), F.abs(F.col("src") - F.col("dst")), "dst")
