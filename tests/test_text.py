@@ -79,3 +79,21 @@ def test_dateline_of_a_country_of_two_words(spark):
     first = {r.entry_id: r.sentence for r in rows if r.sent_idx == 0}
     assert first[1].startswith("United Kingdom") and first[1].endswith("The bridge opened.")
     assert [r.sent_idx for r in rows if r.entry_id == 1] == [0, 1]
+
+
+def test_lemmas_without_copies_of_the_word_lists(spark):
+    import contextlib
+    import io
+    s = sentences_df(spark, [(1, 0, ["Dogs barked.", "The.", "Dogs barked.", "Cats sat; dogs ran."])])
+    s = s.unionByName(spark.createDataFrame([(None, None, None, None, None)], s.schema)).unionByName(s.limit(1))
+    lemmas = spark.createDataFrame([("dogs", "Dog"), ("cats", "the"), ("ran", None), ("none", "nothing")], "word string, lemma string")
+    out = TX.content_words(s, lemmas)
+    assert out.columns == [*s.columns, "content_words"]
+    assert sorted((r.content_words is None, r.content_words or []) for r in out.collect()) == [
+        (False, []), (False, ["dog", "barked"]), (False, ["dog", "barked"]), (False, ["dog", "barked"]), (False, ["sat", "dog", "ran"]), (True, [])]
+    no_lemmas = TX.content_words(s, lemmas.limit(0)).collect()
+    assert sorted(map(str, no_lemmas)) == sorted(map(str, TX.content_words(s).collect()))
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        out.explain("formatted")
+    assert "collect_list" not in buf.getvalue()                 # lists aren't taken apart with a copy for each of their words
