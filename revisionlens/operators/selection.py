@@ -47,8 +47,11 @@ def arcs_with_text(arcs: DataFrame, sentences: DataFrame, how: str = "inner") ->
                           F.col("sent_idx").alias("sent_idx_x"), F.col("sentence").alias("sentence_x"))
     sy = sentences.select("source", "entry_id", F.col("version").alias("version_y"),
                           F.col("sent_idx").alias("sent_idx_y"), F.col("sentence").alias("sentence_y"))
-    return (arcs.join(sx, ["source", "entry_id", "version_x", "sent_idx_x"], how)
-                .join(sy, ["source", "entry_id", "version_y", "sent_idx_y"], how))
+    # numbers first in the sorts: all entries may share a source
+    out = (arcs.join(sx, ["entry_id", "version_x", "sent_idx_x", "source"], how)
+               .join(sy, ["entry_id", "version_y", "sent_idx_y", "source"], how))
+    first = ["source", "entry_id", "version_y", "sent_idx_y", "version_x", "sent_idx_x"]
+    return out.select(*first, *[c for c in out.columns if c not in first])
 
 
 def filter_by_distance(arcs: DataFrame, min_distance: float = 0.1) -> DataFrame:
