@@ -32,7 +32,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from revisionlens.operators.matching import match_sentences
+from revisionlens.operators.matching import match_articles, match_sentences
 from revisionlens.operators.text import split_sentences
 from revisionlens.schemas import ARTICLES
 from revisionlens.session import materialize
@@ -95,20 +95,26 @@ def process_batch(spark: SparkSession, batch: DataFrame, epoch: int, out_path: s
         stored = rows.filter(~F.col("bucket").isin(many)).unionByName(every.filter(F.col("bucket").isin(many)))
     else:
         stored = rows
-    stored.write.partitionBy("bucket").parquet(f"{out_path}/versions/{generation}")
+    # dealt by bucket, so that files don't grow with tasks times buckets (large buckets are several files)
+    stored.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{out_path}/versions/{generation}")
     for b in touched:
         manifest["versions"][str(b)] = [generation] if b in many else [*manifest["versions"].get(str(b), []), generation]
 
     # results of the touched entries anew, of the other entries of their buckets as they were
     ids = rows.select("source", "entry_id").distinct()
-    todo = materialize(every.drop("bucket").join(ids, ["source", "entry_id"], "left_semi"), "touched")
-    sentences = split_sentences(todo)
-    made = match_sentences(materialize(sentences, "touched-sentences"), lexicon, versions=todo) if mode == "match" else sentences
+    todo = every.drop("bucket").join(ids, ["source", "entry_id"], "left_semi")
+    if mode != "match":
+        made = split_sentences(todo)
+    elif lexicon is None:
+        made = match_articles(todo, emptied=True)                        # reads them once
+    else:
+        todo = materialize(todo, "touched")
+        made = match_sentences(materialize(split_sentences(todo), "touched-sentences"), lexicon, versions=todo)
     old = {b: manifest["results"][str(b)] for b in touched if manifest["results"].get(str(b))}
     if old:
         kept = spark.read.schema(made.schema).parquet(*[f"{out_path}/results/{g}/bucket={b}" for b, g in old.items()])
         made = made.unionByName(kept.join(ids, ["source", "entry_id"], "left_anti"))
-    made.withColumn("bucket", _bucket(buckets)).write.partitionBy("bucket").parquet(f"{out_path}/results/{generation}")
+    made.withColumn("bucket", _bucket(buckets)).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{out_path}/results/{generation}")
     full = commits.folders(spark, f"{out_path}/results/{generation}")
     for b in touched:
         manifest["results"][str(b)] = generation if f"bucket={b}" in full else None

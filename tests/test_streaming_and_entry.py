@@ -6,6 +6,7 @@ from revisionlens.operators import text as TX
 from revisionlens.sources import commits
 from revisionlens.streaming import continuous as CM
 
+CM_MATERIALIZE = CM.materialize
 COLUMNS = {"match": M.ARC_COLS, "split": ["source", "entry_id", "version", "sent_idx", "sentence"]}
 
 
@@ -64,6 +65,23 @@ def test_versions_are_compacted(spark, tmp_path, monkeypatch):
     assert len(CM._manifest(spark, out)[1]["versions"]["0"]) <= 3
 
 
+def test_a_batch_of_many_tasks_leaves_few_files(spark, tmp_path):
+    import glob
+    rows = [(e, v, f"a b c. part {v}.") for e in range(40) for v in range(3)]
+    out = str(tmp_path / "out")
+    assert CM.process_batch(spark, articles_df(spark, rows).repartition(8), 0, out, buckets=4)
+    assert {tuple(r) for r in CM.read_matches(spark, out).select(*M.ARC_COLS).collect()} == batch_result(spark, rows)
+    for kind in ("versions", "results"):
+        assert len(glob.glob(f"{out}/{kind}/*/bucket=*/*.parquet")) <= 4
+
+
+def test_a_batch_is_matched_by_articles(spark, tmp_path, monkeypatch):
+    made = []
+    monkeypatch.setattr(CM, "materialize", lambda df, name="table", *a, **k: (made.append(name), CM_MATERIALIZE(df, name, *a, **k))[1])
+    assert CM.process_batch(spark, articles_df(spark, FIRST), 0, str(tmp_path / "out"), buckets=4)
+    assert made == ["batch"]                   # neither the touched versions nor their sentences are written
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
