@@ -34,6 +34,8 @@ empty result.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -208,8 +210,16 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def links(docs: DataFrame, sketch: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of the candidate ``pairs`` (a, b) those that are links: estimate first, then the full sets."""
+def _once(rows: DataFrame, repeated: bool) -> DataFrame:
+    """One of each id's rows.  They are wide, so they are sorted and merged only where ids are ``repeated``."""
+    return rows.dropDuplicates(["doc_id"]) if repeated else rows
+
+
+def links(docs: DataFrame, sketch: DataFrame, pairs: DataFrame, repeated: bool = True) -> DataFrame:
+    """Of the candidate ``pairs`` (a, b) those that are links: estimate first, then the full sets.
+
+    ``repeated``: whether ids may repeat in ``docs``.
+    """
     a = sketch.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("regs").alias("ra"))
     b = sketch.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("regs").alias("rb"))
     bounded = "100 * least(na, nb) >= 75 * greatest(na, nb)"
@@ -217,7 +227,7 @@ def links(docs: DataFrame, sketch: DataFrame, pairs: DataFrame) -> DataFrame:
     likely = written(both.mapInArrow(frees(_likely), "a long, b long"), "likely")
     ids = written(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     sets = written(docs.join(checked_broadcast(ids, ids.count()), "doc_id", "left_semi").mapInArrow(frees(_sets), "doc_id long, shingles binary"), "sets")
-    sets = sets.dropDuplicates(["doc_id"])
+    sets = _once(sets, repeated)
     x, y = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     return written(likely.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(frees(_confirmed), "a long, b long"), "links")
 
@@ -294,13 +304,13 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                   names=["doc_id", "n", "short", "codes"])
 
 
-def pairs_across(docs: DataFrame, members: DataFrame, found: DataFrame) -> DataFrame:
+def pairs_across(docs: DataFrame, members: DataFrame, found: DataFrame, repeated: bool = True) -> DataFrame:
     """Candidate pairs between different components of ``found`` that share a bucket of ``members`` (key, doc_id).
 
     A bucket of up to ``TILE`` members is one tile.  A larger one is cut into
     chunks: one component with more than ``TILE`` members has chunks of its own
     (never paired with each other), all others share hashed chunks; every pair of
-    chunks is a tile.
+    chunks is a tile.  ``repeated``: whether ids may repeat in ``docs``.
     """
     m = members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     own = m.groupBy("key", "component").agg(F.count("*").alias("own"))
@@ -319,7 +329,7 @@ def pairs_across(docs: DataFrame, members: DataFrame, found: DataFrame) -> DataF
     tiles = parts.select("key", F.col("chunk").alias("i"), "of").join(other, "key").filter("(i < j or (i = j and of is null)) and not (of <=> of_j and of is not null)").select("key", "i", "j")
     ids = written(m.select("doc_id").distinct(), "mixed-ids")
     short = docs.join(checked_broadcast(ids, ids.count()), "doc_id", "left_semi").mapInArrow(frees(_short), "doc_id long, n long, short binary, codes binary")
-    short = written(short, "short").dropDuplicates(["doc_id"])
+    short = _once(written(short, "short"), repeated)
     ends = tiles.select("key", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("chunk"), F.lit(-1).cast("long").alias("side"))))
                         .otherwise(F.array(F.struct(F.col("i").alias("chunk"), F.lit(0).cast("long").alias("side")), F.struct(F.col("j").alias("chunk"), F.lit(1).cast("long").alias("side"))))).alias("x"))
     ends = ends.select("key", "i", "j", F.col("x.chunk").alias("chunk"), F.col("x.side").alias("side"))
@@ -339,16 +349,18 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     prepare(documents.sparkSession)
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketch = written(docs.mapInArrow(frees(_sketches), SKETCH), "sketch")
-    held = F.struct(F.coalesce("fp1", F.lit(0)).alias("fp1"), F.coalesce("fp2", F.lit(0)).alias("fp2"), "n_shingles")
-    several = sketch.filter("doc_id is not null").groupBy("doc_id").agg(F.min(held).alias("low"), F.max(held).alias("high")).filter("low != high")
-    return _of_rows(docs, sketch) if several.head(1) else _of_ids(docs, sketch)
+    held = [F.coalesce("fp1", F.lit(0)), F.coalesce("fp2", F.lit(0)), F.col("n_shingles")]
+    differ = functools.reduce(operator.or_, (F.min(x) != F.max(x) for x in held))
+    ids = sketch.filter("doc_id is not null").groupBy("doc_id").agg((F.count("*") > 1).alias("repeated"), differ.alias("differ"))
+    repeated, several = ids.agg(F.max("repeated"), F.max("differ")).first()
+    return _of_rows(docs, sketch) if several else _of_ids(docs, sketch, bool(repeated))
 
 
 def _of_rows(docs: DataFrame, sketch: DataFrame) -> DataFrame:
     """Where ids repeat with other texts: each row is linked by itself, then rows of one id unite their components."""
     rows = written(docs.filter("doc_id is not null").withColumn("row", F.monotonically_increasing_id()), "rows")
     texts = rows.select(F.col("row").alias("doc_id"), "text")
-    found = _of_ids(texts, written(texts.mapInArrow(frees(_sketches), SKETCH), "row-sketch"))
+    found = _of_ids(texts, written(texts.mapInArrow(frees(_sketches), SKETCH), "row-sketch"), False)
     found = found.select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("of"))
     found = written(rows.select("row", "doc_id").join(found, "row"), "row-components")
     linked = found.filter("n_shingles > 0")
@@ -359,8 +371,8 @@ def _of_rows(docs: DataFrame, sketch: DataFrame) -> DataFrame:
     return out.unionByName(nameless).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
-def _of_ids(docs: DataFrame, sketch: DataFrame) -> DataFrame:
-    """The result where rows of one id have equal sets."""
+def _of_ids(docs: DataFrame, sketch: DataFrame, repeated: bool) -> DataFrame:
+    """The result where rows of one id have equal sets; ``repeated``: whether an id has several."""
     # one class for each distinct set
     full = sketch.filter("fp1 is not null and doc_id is not null")
     classes = written(full.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
@@ -375,14 +387,14 @@ def _of_ids(docs: DataFrame, sketch: DataFrame) -> DataFrame:
     stars = buckets.filter("n = 2").select(F.col("high").alias("a"), F.col("low").alias("b")).unionByName(
         members.filter("doc_id != low").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))).distinct()
     stars = written(stars, "stars")
-    sketch_of_reps = sketch.filter("fp1 is not null").select("doc_id", "n_shingles", "regs").dropDuplicates(["doc_id"])
+    sketch_of_reps = _once(sketch.filter("fp1 is not null").select("doc_id", "n_shingles", "regs"), repeated)
 
     # one pair a document first; then what is still in different components
-    found = components(links(docs, sketch_of_reps, stars.groupBy("a").agg(F.min("b").alias("b"))))
-    for pairs in (lambda: _between(stars, found), lambda: pairs_across(docs, members.select("key", "doc_id"), found)):
+    found = components(links(docs, sketch_of_reps, stars.groupBy("a").agg(F.min("b").alias("b")), repeated))
+    for pairs in (lambda: _between(stars, found), lambda: pairs_across(docs, members.select("key", "doc_id"), found, repeated)):
         more = written(pairs(), "pairs")
         if more.head(1):
-            found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links(docs, sketch_of_reps, more)))
+            found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links(docs, sketch_of_reps, more, repeated)))
 
     # every document by its class, every class by its component
     class_of = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component_id"))

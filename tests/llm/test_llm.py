@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from revisionlens.llm import components, decontam, htmltext, kneserney, licenses, linededup, mixing, neardup, rules, tokens, urls
 from revisionlens.llm.queries import ORACLE, QUERIES
+from revisionlens.session import recorded_tables
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, row string, n string, size string"
 
@@ -129,6 +130,34 @@ def test_components_of_a_long_path_and_nulls(spark):
     assert components.components(e.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("edges", "want", "tables"), [
+    ([(1, 9), (9, 2), (9, 1)], {2: 1, 9: 1}, None),              # a larger end with two edges
+    ([(1, 2), (2, 3), (4, 5)], {2: 1, 3: 1, 5: 4}, None),        # an end that is larger and smaller
+    ([(1, i) for i in range(2, 40)] + [(50, 60), (60, 50), (7, 7), (None, 8)], {**{i: 1 for i in range(2, 40)}, 60: 50}, 1),
+    ([], {}, 1)])
+def test_components_take_no_round_once_they_are_stars(spark, edges, want, tables):
+    with recorded_tables() as made:
+        found = components.components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r.id: r.component for r in found.collect()} == want
+    assert tables is None or len(made) == tables
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_near_duplicates_merges_wide_rows_only_where_ids_repeat(spark, monkeypatch, repeated):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[:i % 20], f"x{rng.randrange(10 ** 6)}", *base[i % 20:]])) for i in range(80)] + [(90, "one two"), (91, None)]
+    rows += rows[3:9] * repeated
+    docs, merged = spark.createDataFrame(rows, "doc_id long, text string"), []
+    kind = type(docs)
+    drop = kind.dropDuplicates
+    monkeypatch.setattr(kind, "dropDuplicates", lambda self, *a: merged.append(a) or drop(self, *a))
+    out = neardup.near_duplicates(docs).collect()
+    want = brute_components(rows)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == Counter((d, *want[d]) for d, _ in rows)
+    assert bool(merged) == repeated
+
+
 def test_tokens_round_trip(spark, docs, odd_rows, tmp_path):
     from tokenizers import Tokenizer
     extra = docs.unionByName(spark.createDataFrame([(900, "a <|endoftext|> B<|ENDOFTEXT|> ΣΑΣ. don't, 12 ...x., ́e", None, None, 0, "", "", "", "")], DOCS))
