@@ -17,11 +17,14 @@ step, and rounds repeat on the merged texts until no arrow is left.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revisionlens.functions import constants as K
 from revisionlens.functions import text as X
+from revisionlens.operators.matching import group_starts, whole_articles
 from revisionlens.session import materialize
 
 PAIR = ["source", "entry_id", "version_x", "version_y"]
@@ -50,6 +53,12 @@ def contained(pieces: DataFrame, containers: DataFrame, slack: float) -> DataFra
     return both.select(*CLUSTER, "i", "j", m.alias("m"), "l1", "l2").filter(F.col("m") >= F.col("l2") * (1 - slack))
 
 
+def held_words(w2: list[str], has: frozenset[str], slack: float) -> int | None:
+    """How many of the words w2 the text with the words ``has`` holds, if that is enough (:func:`contained`; no words are in every text)."""
+    m = sum(w in has for w in w2)
+    return m if not w2 or m and m >= len(w2) * (1 - slack) else None
+
+
 def _arrows(rows: DataFrame, slack: float, max_words: int | None) -> DataFrame:
     """``CLUSTER, src, dst, share``: where each piece may go."""
     words = lambda side: X.content_words(X.tokens(F.array_join(F.col(f"{side}.text"), " ")))
@@ -92,6 +101,97 @@ def _roots(best: DataFrame) -> DataFrame:
         now = materialize(jumped.select(*CLUSTER, "src", F.coalesce("further", "dst").alias("dst")), "fold-arrows")
 
 
+def folded_rows(rows: list[int], words: tuple[list, list], slack: float, max_words: int | None) -> dict[int, list[int]]:
+    """The fold of one cluster: each row that is left -> the places of the rows it is made of, in order (nothing if no row moved).
+
+    ``rows``: row numbers, increasing; ``words``: both sides' words by place, None for a side without text.
+    """
+    made = {r: [at] for at, r in enumerate(rows)}
+    while True:
+        def side(k, made=made):
+            texts = ((r, [words[k][at] for at in places if words[k][at] is not None]) for r, places in made.items())
+            return {r: [w for t in some for w in t] for r, some in texts if some}
+        sides = side(0), side(1)
+        best: dict[int, tuple[float, int, int]] = {}
+        for mine, other in ((0, 1), (1, 0)):
+            boxes = [(i, w1, frozenset(w1)) for i, w1 in sides[other].items()]
+            for j, w2 in sides[mine].items():
+                if j in sides[other] or max_words is not None and len(w2) > max_words:
+                    continue
+                found = []
+                if w2:
+                    for i, w1, has in boxes:
+                        m = held_words(w2, has, slack) if len(w2) <= len(w1) else None
+                        if m is not None:
+                            turned = mine == 1 and i not in sides[1] and len(w1) == len(w2)
+                            found.append((i, j, m / len(w2)) if turned else (j, i, m / len(w2)))
+                else:
+                    fits = [i for i, w1, _ in boxes if mine == 0 or i in sides[1] or w1]
+                    near = [max((i for i in fits if i < j), default=None), min((i for i in fits if i > j), default=None)]
+                    found = [(j, min((abs(i - j), i) for i in near if i is not None)[1], 0.0)] if fits else []
+                for src, dst, share in found:
+                    arrow = (-share, abs(src - dst), dst)
+                    best[src] = min(best.get(src, arrow), arrow)
+        if not best:
+            return made if len(made) < len(rows) else {}
+        after: dict[int, list[int]] = {}
+        for r, places in made.items():
+            while r in best:
+                r = best[r][2]
+            after.setdefault(r, []).extend(places)
+        made = {r: sorted(places) for r, places in after.items()}
+
+
+def _fold_together(slack: float, max_words: int | None):
+    """Whole clusters' rows, with the words of those that aren't alone -> folded rows."""
+    def run(batches):
+        for t in whole_articles(batches, CLUSTER):
+            many = np.flatnonzero(t.column("cluster_rows").to_numpy() > 1)
+            if not len(many):
+                yield from t.select(_FOLDED.names).cast(_FOLDED).to_batches()
+                continue
+            some = t.take(pa.array(many)).combine_chunks()
+            row, words = some.column("row_idx").to_pylist(), [some.column(c).to_pylist() for c in ("w_old", "w_new")]
+            edges = [*group_starts(some, CLUSTER).tolist(), some.num_rows]
+            stay, moved = np.ones(t.num_rows, bool), []
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                made = folded_rows(row[lo:hi], (words[0][lo:hi], words[1][lo:hi]), slack, max_words)
+                if made:
+                    stay[many[lo:hi]] = False
+                    moved += [(lo + places[0], r, [lo + at for at in places]) for r, places in made.items()]
+            yield from t.select(_FOLDED.names).filter(pa.array(stay)).cast(_FOLDED).combine_chunks().to_batches()
+            if moved:
+                sides = {c: some.column(c).to_pylist() for name in ("old", "new") for c in (f"sent_idx_{name}", f"text_{name}", f"tag_{name}")}
+                keys = some.select(CLUSTER).take(pa.array([at for at, _, _ in moved])).combine_chunks()
+                out = {c: keys.column(c).combine_chunks() for c in CLUSTER} | {"row_idx": pa.array([r for _, r, _ in moved], pa.int32())}
+                for k, name in enumerate(("old", "new")):
+                    here = [[at for at in places if words[k][at] is not None] for _, _, places in moved]
+                    idx, text, tag = (sides[f"{c}_{name}"] for c in ("sent_idx", "text", "tag"))
+                    out[f"sent_idx_{name}"] = pa.array([[i for at in h for i in idx[at]] for h in here], _FOLDED.field(f"sent_idx_{name}").type)
+                    out[f"text_{name}"] = pa.array([" ".join(text[at] for at in h) for h in here], pa.string())
+                    out[f"tag_{name}"] = pa.array([max((tag[at] for at in h), default=" ") for h in here], pa.string())
+                yield pa.record_batch([out[c] for c in _FOLDED.names], schema=_FOLDED)
+    return run
+
+
+_FOLDED = pa.schema([("source", pa.string()), ("entry_id", pa.int64()), *[(c, pa.int32()) for c in ("version_x", "version_y", "row_idx")],
+                     *[(f"{c}_{name}", kind) for name in ("old", "new") for c, kind in (("sent_idx", pa.list_(pa.int32())), ("text", pa.string()), ("tag", pa.string()))],
+                     ("cluster_id", pa.int32())])
+
+
+def _folded_together(clustered: DataFrame, slack: float, max_words: int | None) -> DataFrame:
+    """D9 where the clusters' rows lie together: rows of one-row clusters pass as they are, the others are folded in their task."""
+    cols = [*CLUSTER, "row_idx", "cluster_rows"]
+    for name in ("old", "new"):
+        text = F.col(f"text_{name}")
+        has, idx = text != "", F.array(f"sent_idx_{name}")
+        cols += [F.when(has, idx).otherwise(F.slice(idx, 1, 0)).alias(f"sent_idx_{name}"), F.when(has, F.trim(text)).otherwise("").alias(f"text_{name}"), f"tag_{name}",
+                 F.when(has & (F.col("cluster_rows") > 1), X.content_words(X.tokens(text))).alias(f"w_{name}")]
+    rows = clustered.filter("text_old != '' or text_new != ''").select(*cols)
+    return rows.mapInArrow(_fold_together(slack, max_words), "source string, entry_id long, version_x int, version_y int, row_idx int, sent_idx_old array<int>, text_old string, "
+                                                             "tag_old string, sent_idx_new array<int>, text_new string, tag_new string, cluster_id int")
+
+
 def merge_split_sentences(clustered: DataFrame, slack: float = K.CONTAINMENT_SLACK, max_words: int | None = None) -> DataFrame:
     """D9 over the rows of ``edit_clusters``: containment folded until nothing changes (see the module's text).
 
@@ -99,7 +199,15 @@ def merge_split_sentences(clustered: DataFrame, slack: float = K.CONTAINMENT_SLA
     indices of their sentences are kept in that order (arrays); rows left without
     text are gone.  Clusters in which nothing moved aren't looked at again.
     Returns ``PAIR, row_idx, sent_idx_old, text_old, tag_old, sent_idx_new, text_new, tag_new, cluster_id``.
+
+    Rows that were aligned by a rule (:func:`diff.sentence_diff_set`) are folded where they lie, cluster by cluster; only those of large
+    version pairs go through joins.
     """
+    if "cluster_rows" in clustered.columns:
+        here, rest = clustered.filter("not joined"), clustered.filter("joined")
+        here = _folded_together(here, slack, max_words)
+        return here.unionByName(merge_split_sentences(rest.drop("cluster_rows", "joined"), slack, max_words)) if rest.head(1) else here
+
     def side(name):
         one = F.struct("row_idx", F.trim(f"text_{name}").alias("text"), F.col(f"sent_idx_{name}").alias("sent_idx"))
         return F.when(F.col(f"text_{name}") != "", F.array(one)).otherwise(F.slice(F.array(one), 1, 0)).alias(name)
